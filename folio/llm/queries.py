@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, mixing, quality_rules, sharding, url_filter
+from folio.llm import bpe, mixing, ngram_join, quality_rules, sharding, url_filter
 from folio.llm.frames import documents
 
 
@@ -38,12 +38,16 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op8_bpe, op10_mixing)
+    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op8_bpe, op9_ngram_join, op10_mixing)
 }
 
 
