@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, mixing, ngram_join, quality_rules, sharding, url_filter
+from folio.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sharding, url_filter
 from folio.llm.frames import documents
 
 
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.decode_ids(bpe.encode_documents(documents(spark, sf_dir))))
 
@@ -47,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op8_bpe, op9_ngram_join, op10_mixing)
+    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op6_exact_dedup, op8_bpe, op9_ngram_join, op10_mixing)
 }
 
 
@@ -71,4 +75,10 @@ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN l.cano
 FROM b LEFT JOIN l ON host <> '' AND b.canonical = l.canonical"""
 
 
-ORACLES: dict[str, str] = {"op1_url_filters": _url_sql()}
+_DEDUP_SQL = r"""
+WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+b AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS size FROM a
+    WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, size AS group_size, place = 1 AS kept, h AS text_sha256 FROM b"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": _url_sql(), "op6_exact_dedup": _DEDUP_SQL}

@@ -11,16 +11,15 @@ listed urls are ignored; an empty list lists nothing; an empty table gives an em
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.bloom import BROADCAST_BLOCKS, KEYS_PER_BLOCK, blocks_for, bloom_filter, probe
+
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Host names of the categories that a site's blocklist covers.
 BLOCKED_NAMES = ("adult-x", "ads-track", "cheap-pills", "free-bets", "spam-farm")
-WORDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,42 +53,18 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks))
-
-
-def _bits(key: Column) -> list[Column]:
-    """In each word of a block, the one bit that a key sets."""
-    h = F.xxhash64(key, F.lit(2))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 5 * i).bitwiseAND(F.lit(31)).cast("int")) for i in range(WORDS)]
-
-
-def bloom_filter(keys: DataFrame, column: str, blocks: int) -> DataFrame:
-    """block, w0 ... w7: the words of each block that has a key."""
-    each = keys.select(_block(F.col(column), blocks).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(F.col(column)))])
-    return each.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-
-
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, keys_per_block: int = 16, broadcast_blocks: int = 100_000) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, keys_per_block: int = KEYS_PER_BLOCK, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed (boolean: the url is on the list), for each row of `pages`.
 
     `listed` has a column url. With 16 keys in a block of 256 bits about 2.4 % of other urls pass the filter.
     """
     keys = listed.select(canonical(F.col("url")).alias("listed_url")).where("listed_url is not null").distinct()
-    blocks = max(1, math.ceil(keys.count() / keys_per_block))
+    blocks = blocks_for(keys.count(), keys_per_block)
     bloom = bloom_filter(keys, "listed_url", blocks)
     host, path = host_path(F.col("url"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = (
-        pages.select("page_id", "url", host.alias("host"), path.alias("path"), canonical(F.col("url")).alias("canonical"))
-        .withColumns({"rule": rule, "by_rule": verdict})
-        .withColumn("block", _block(F.col("canonical"), blocks))
-    )
-    probed = judged.join(F.broadcast(bloom) if blocks <= broadcast_blocks else bloom, "block", "left")
-    possible = F.col("canonical").isNotNull()
-    for i, bit in enumerate(_bits(F.col("canonical"))):
-        possible = possible & (F.col(f"w{i}").bitwiseAND(bit) != 0)
-    probed = probed.withColumn("possible", F.coalesce(possible, F.lit(False)))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"), canonical(F.col("url")).alias("canonical")).withColumns({"rule": rule, "by_rule": verdict})
+    probed = probe(judged, "canonical", bloom, blocks, "possible", broadcast_blocks)
     # two branches, so that urls that can't be listed aren't shuffled, and no join has a null key for most rows
     sure = probed.where("not possible").withColumn("listed", F.lit(False))
     maybe = probed.where("possible").join(keys, F.col("canonical") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull()).drop("listed_url")
