@@ -12,6 +12,10 @@ named columns are used, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,13 @@ def mix_sources(
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if keep_rows else []))
 
 
+@F.pandas_udf("string")
+def first_words(text: pd.Series, words: pd.Series) -> pd.Series:
+    """The texts up to the end of their words-th word; null texts, of documents taken whole, stay null."""
+    ends = (next((m.end() for m in islice(re.finditer(WORD, t), int(n) - 1, None)), len(t)) if isinstance(t, str) else None for t, n in zip(text, words, strict=True))
+    return pd.Series([None if e is None else t[:e] for t, e in zip(text, ends, strict=True)], dtype=object)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself, with the columns of `docs`: a row per epoch of a document, the last one cut at its budget.
 
@@ -77,8 +88,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mixed = mix_sources(docs, keep_rows=True, **options).where("taken > 0")
     copies = mixed.withColumn("words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
     whole = F.col("words") == F.col("size")
-    head = F.regexp_extract(F.col("row.text"), F.concat(F.lit(rf"(?s)^(?:[\x20\x09-\x0D]*{WORD}){{"), F.col("words").cast("string"), F.lit("}")), 0)
-    text = F.when(whole, F.col("row.text")).otherwise(head)
+    part = first_words(F.when(~whole, F.col("row.text")), F.col("words"))
+    text = F.when(whole, F.col("row.text")).otherwise(part)
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))

@@ -331,3 +331,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     by_node = rooted.join(by_root, "root").select("node", "component_id")
     alone = measured.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return measured.where("node is not null").join(by_node, "node").select("doc_id", "n_shingles", "component_id").union(alone)
+
+
+def kept_documents(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """The rows of `docs`, less those that are linked, over any number of links, with a lesser doc_id. Rows without a doc_id stay."""
+    gone = near_duplicates(docs, k).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructType
 
 from folio.llm import textkit as tk
 
@@ -94,25 +95,38 @@ def ratios(text: bytes, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK_BY
     return len(squeeze.compress(text)) / len(text), bad / len(text)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for start, end in tk.slices(texts):
-            part = texts.slice(start, end - start)
-            found = counts(part)
-            both = [ratios(x, squeeze) for x in part.cast(pa.binary()).fill_null(b"").to_pylist()]
-            columns = [ids.slice(start, end - start), *[pa.array(found[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes")]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r for r, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())], names=["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]])
+def measure(docs: DataFrame) -> DataFrame:
+    """The rows' first column and all after the second as they are, and the measures of the second, a text."""
+    own = [f for i, f in enumerate(docs.schema) if i != 1]
+    measures = DataType.fromDDL(FIELDS).fields
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            texts = batch.column(1)
+            for start, end in tk.slices(texts):
+                part = texts.slice(start, end - start)
+                both = [ratios(x, squeeze) for x in part.cast(pa.binary()).fill_null(b"").to_pylist()]
+                found = counts(part) | {"ratio": np.array([np.nan if r is None else r for r, _ in both]), "bad_chunk_share": np.array([b for _, b in both])}
+                columns = [batch.column(i).slice(start, end - start) for i in range(batch.num_columns) if i != 1]
+                columns += [pa.array(found[f.name].astype(float if f.dataType == DoubleType() else np.int64), from_pandas=True) for f in measures]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*own, *measures]])
 
-def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHARE, least_words: int = 20, most_repeat_percent: int = 30) -> DataFrame:
-    """doc_id, the counts, ratio, bad_chunk_share, base_failed, in_band and kept, a row for each document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, {FIELDS}")
+    return docs.mapInArrow(run, StructType([*own, *measures]))
+
+
+def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHARE, least_words: int = 20, most_repeat_percent: int = 30, keep_rows: bool = False) -> DataFrame:
+    """doc_id, the counts, ratio, bad_chunk_share, base_failed, in_band and kept, a row for each document; with `keep_rows` also `row`, a struct of all input columns."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
+    measured = measure(docs.select("doc_id", "text", *kept))
     low, high = F.lit(0.0), F.lit(float("inf"))
     for least, lo, hi in bands:
         low, high = F.when(F.col("n_bytes") >= least, lo).otherwise(low), F.when(F.col("n_bytes") >= least, hi).otherwise(high)
     in_band = F.coalesce(F.col("ratio").between(low, high), F.lit(True)) & (F.col("bad_chunk_share") <= bad_share)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     return measured.withColumns({"base_failed": failed, "in_band": in_band}).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns."""
+    return quality_rules(docs, keep_rows=True, **options).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
