@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sharding, url_filter
+from folio.llm import bpe, exact_dedup, mixing, ngram_join, quality_fm, quality_rules, sharding, url_filter
 from folio.llm.frames import documents
 
 
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.decode_ids(bpe.encode_documents(documents(spark, sf_dir))))
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op6_exact_dedup, op8_bpe, op9_ngram_join, op10_mixing)
+    f.__name__: f for f in (op1_url_filters, op3_quality_rules, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing)
 }
 
 
