@@ -3,8 +3,8 @@
 Each document is reduced to a fingerprint: the SHA-256 of its text without white space, its length in code points, its
 doc_id and a locator (its row number in the fingerprint table). A streaming aggregation keyed by the digest keeps,
 for ever, the row that stays and the size of its group; the state store is RocksDB, and partial aggregates before the
-shuffle make a hot group of copies one row for each task. Rows that share a digest are then compared by their full
-text with the row that stays; texts that only share the digest are grouped by their text itself.
+shuffle make a hot group of copies one row for each task. The full texts of rows that share a digest are then
+compared; texts that only share the digest are grouped by their text itself.
 
 Defined cases: null text counts as empty, and empty and all-space texts are equal; of repeated rows one stays; a null
 doc_id ranks after all others; an empty table gives an empty result. Only doc_id and text are read.
@@ -24,6 +24,8 @@ SPACES = " \t\n\x0b\f\r"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # else each of many small stores holds megabytes of empty files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -69,15 +71,19 @@ def stream_groups(prints: DataFrame, place: str) -> DataFrame:
 
 
 def unequal_digests(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Digests whose texts differ from the text of the row that stays. Only texts that have a copy are shuffled."""
-    hits = groups.where("group_size > 1").select(F.col("digest").alias("hit"), F.col("best.doc_id").alias("kept_id"), (-F.col("best.less")).alias("kept_n"))
+    """Digests that stand for more than one text: the least and the greatest full text of their rows differ.
+
+    Only texts that may have a copy are compared; the two extremes are partial aggregates, so that a large group's
+    texts don't meet in one task.
+    """
+    hits = groups.where("group_size > 1").select(F.col("digest").alias("hit"))
     blocks = blocks_for(hits.count())
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest(F.col("text")).alias("digest"))
+    texts = docs.select(normalised(F.col("text")).alias("content"), digest(F.col("text")).alias("digest"))
     if blocks <= BROADCAST_BLOCKS:
-        texts = probe(texts, "digest", bloom_filter(hits, "hit", blocks), blocks, "possible").where("possible")
-    copies = texts.join(hits, F.col("digest") == F.col("hit"))
-    kept = copies.where(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.length("text") == F.col("kept_n"))).groupBy("digest").agg(F.first(normalised(F.col("text"))).alias("kept_text"))
-    return copies.join(kept, "digest").where(normalised(F.col("text")) != F.col("kept_text")).select("digest").distinct()
+        copies = probe(texts, "digest", bloom_filter(hits, "hit", blocks), blocks, "possible").where("possible")
+    else:
+        copies = texts.join(hits, F.col("digest") == F.col("hit"), "left_semi")
+    return copies.groupBy("digest").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most").select("digest")
 
 
 def deduplicate(docs: DataFrame, files_per_batch: int = 1_000) -> DataFrame:
