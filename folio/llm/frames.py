@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` written once as compressed Parquet to the shared folder, for larger tables; and what deletes it when it's no longer read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def drop() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.parquet(path), drop
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,14 +38,15 @@ from pyspark.sql import functions as F
 
 from folio.llm import textkit as tk
 from folio.llm.components import components
-from folio.llm.frames import cut
+from folio.llm.frames import cut, stored
 
 WORDS = 5
 GROUPS = 32
 #: Text bytes of a batch, and its most nodes (local numbers are 16 bits).
 BATCH_BYTES, BATCH_NODES = 1 << 23, 60_000
 LEAF, TILE = 16, 2_048
-REST = np.uint64(48)
+#: Bits of a shingle's hash that travel beside its bucket's number.
+REST = 40
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -79,23 +80,42 @@ def measure(docs: DataFrame, k: int = WORDS) -> DataFrame:
 # -- step 1: packed shingles to buckets, shared ones back to their batch
 
 
+def _pack(rest: np.ndarray, owner: np.ndarray, rank: np.ndarray | None = None) -> bytes:
+    """Shingles of a bucket and a batch, in order of their nodes: 5 bytes of each, its rank from rare to frequent, and the step to its node's number."""
+    steps = np.diff(owner.astype(np.int64), prepend=0)
+    wide = len(steps) > 0 and steps.max() > 255
+    parts = [(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)]
+    parts += [] if rank is None else [rank.astype(np.uint8)]
+    return bytes([bool(wide)]) + b"".join(p.tobytes() for p in [*parts, steps.astype(np.uint16 if wide else np.uint8)])
+
+
+def _unpack(body: bytes, m: int, ranked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    rest = np.frombuffer(body, np.uint32, m, 1).astype(np.uint64) | np.frombuffer(body, np.uint8, m, 1 + 4 * m).astype(np.uint64) << np.uint64(32)
+    rank = np.frombuffer(body, np.uint8, m, 1 + 5 * m) if ranked else None
+    return rest, np.cumsum(np.frombuffer(body, np.uint16 if body[0] else np.uint8, m, 1 + (6 if ranked else 5) * m), dtype=np.int64), rank
+
+
+def frequency_rank(df: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of nodes: the number itself up to 64, then eighths of its logarithm to base 2."""
+    return np.minimum(np.where(df < 64, df, 64 + (8 * np.log2(np.maximum(df, 64) / 64)).astype(np.int64)), 255)
+
+
 def _scatter(buckets: int, k: int):
     shift = np.uint64(buckets.bit_length() - 1)
 
     def rows(number: int, nodes: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple]:
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         points = np.zeros((len(sets), GROUPS), np.uint32)
         np.add.at(points, (owner, (flat >> np.uint64(59)).astype(np.int64)), 1)
         head = b"".join(nodes) + np.array([len(s) for s in sets], np.uint32).tobytes() + points.tobytes()
         yield -1 - number % buckets, number, 0, len(sets), head
         bucket = (flat & np.uint64(buckets - 1)).astype(np.int64)
-        rest = (flat >> shift) & np.uint64((1 << 48) - 1)
+        rest = (flat >> shift) & np.uint64((1 << REST) - 1)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             at = order[edges[b] : edges[b + 1]]
-            body = (rest[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (rest[at] >> np.uint64(32)).astype(np.uint16).tobytes() + owner[at].tobytes()
-            yield int(b), number, 1, len(at), body
+            yield int(b), number, 1, len(at), _pack(rest[at], owner[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 20, {}, 0
@@ -121,34 +141,31 @@ def _scatter(buckets: int, k: int):
     return run
 
 
+_PACKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("m", pa.int64()), ("body", pa.binary())])
+PACKED = "bucket long, batch long, kind int, m long, body binary"
+
+
 def _count(table: pa.Table) -> pa.Table:
     """A bucket's shingles found in two nodes or more, with their counts, for each batch; batch heads pass through."""
     if table["bucket"][0].as_py() < 0:
-        return table.select(["batch", "kind", "m", "body"])
-    b = np.uint64(table["bucket"][0].as_py())
+        return table.select(_PACKED.names)
+    b = table["bucket"][0].as_py()
     sizes = table["m"].to_numpy()
-    keys, owners = [], []
-    for m, body in zip(sizes, table["body"].to_pylist(), strict=True):
-        low, high = np.frombuffer(body, np.uint32, m), np.frombuffer(body, np.uint16, m, 4 * m)
-        keys.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) << np.uint64(16) | b)
-        owners.append(np.frombuffer(body, np.uint16, m, 6 * m))
-    flat = np.concatenate(keys)
+    parts = [_unpack(body, m, False) for m, body in zip(sizes, table["body"].to_pylist(), strict=True)]
+    flat = np.concatenate([p[0] for p in parts])
     order = np.argsort(flat)
-    new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
-    run = np.cumsum(new) - 1
-    count = np.zeros(len(flat), np.int64)
-    count[order] = np.bincount(run)[run]
-    out, at = {"batch": [], "kind": [], "m": [], "body": []}, 0
-    for batch, m, key, owner in zip(table["batch"].to_pylist(), sizes, keys, owners, strict=True):
-        df = count[at : at + m]
+    run = np.cumsum(np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])) - 1
+    df = np.zeros(len(flat), np.int64)
+    df[order] = np.bincount(run)[run]
+    out, at = {"bucket": [], "batch": [], "kind": [], "m": [], "body": []}, 0
+    for batch, m, (rest, owner, _) in zip(table["batch"].to_pylist(), sizes, parts, strict=True):
+        own = df[at : at + m]
         at += m
-        keep = df > 1
+        keep = own > 1
         if keep.any():
-            out["batch"].append(batch)
-            out["kind"].append(1)
-            out["m"].append(int(keep.sum()))
-            out["body"].append(key[keep].tobytes() + np.minimum(df[keep], 65_535).astype(np.uint16).tobytes() + owner[keep].tobytes())
-    return pa.table(out, pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("m", pa.int64()), ("body", pa.binary())]))
+            for name, value in (("bucket", b), ("batch", batch), ("kind", 1), ("m", int(keep.sum())), ("body", _pack(rest[keep], owner[keep], frequency_rank(own[keep])))):
+                out[name].append(value)
+    return pa.table(out, _PACKED)
 
 
 NODES = "node binary, n int, lone double, point array<int>, blocks array<long>, shared binary"
@@ -158,16 +175,17 @@ _NODES = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("lone", pa.float6
 def _choose(table: pa.Table) -> pa.Table:
     """Of each node of a batch that has any: the shared shingles among its first ones from rare to frequent."""
     kinds, sizes, bodies = table["kind"].to_numpy(), table["m"].to_numpy(), table["body"].to_pylist()
-    keys, counts, owners, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)], 0
-    for kind, m, body in zip(kinds, sizes, bodies, strict=True):
+    keys, counts, owners, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], 0
+    for kind, m, bucket, body in zip(kinds, sizes, table["bucket"].to_pylist(), bodies, strict=True):
         if kind == 0:
             nodes, names = m, body[: 16 * m]
             n = np.frombuffer(body, np.uint32, m, 16 * m).astype(np.int64)
             points = np.frombuffer(body, np.uint32, m * GROUPS, 20 * m).reshape(m, GROUPS)
         else:
-            keys.append(np.frombuffer(body, np.uint64, m))
-            counts.append(np.frombuffer(body, np.uint16, m, 8 * m))
-            owners.append(np.frombuffer(body, np.uint16, m, 10 * m))
+            rest, owner, rank = _unpack(body, m, True)
+            keys.append(rest << np.uint64(16) | np.uint64(bucket))
+            counts.append(rank)
+            owners.append(owner)
     key, count, owner = np.concatenate(keys), np.concatenate(counts), np.concatenate(owners)
     order = np.lexsort((key, count, owner))
     key, edges = key[order], np.searchsorted(owner[order], np.arange(nodes + 1))
@@ -185,8 +203,8 @@ def candidates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """A row for each node that may have a link: node, n, lone (share of shingles that no other node has), point, blocks, shared."""
     wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 16, 1 << max(4, (wanted - 1).bit_length()))
-    packed = docs.select("text").mapInArrow(_scatter(buckets, k), "bucket long, batch long, kind int, m long, body binary")
-    counted = packed.groupBy("bucket").applyInArrow(_count, "batch long, kind int, m long, body binary")
+    packed = docs.select("text").mapInArrow(_scatter(buckets, k), PACKED)
+    counted = packed.groupBy("bucket").applyInArrow(_count, PACKED)
     return counted.groupBy("batch").applyInArrow(_choose, NODES).dropDuplicates(["node"])
 
 
@@ -259,33 +277,25 @@ def _search_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, _PAIRS)
 
 
-def _overlap_bound(a: str, b: str) -> F.Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-
-
 def star_pairs(blocks: DataFrame, sizes: DataFrame, star_from: int) -> DataFrame:
     """In blocks of more than `star_from` nodes, pairs of each node and the most central one: that with the least share of own shingles."""
     large = blocks.join(sizes.where(F.col("held") > star_from).select("block"), "block")
-    centre = large.groupBy("block").agg(F.min(F.struct("lone", "node", "n", "point")).alias("c"))
-    both = large.join(centre, "block").where("node <> c.node").withColumn("bound", _overlap_bound("point", "c.point"))
-    both = both.where("7 * bound >= 3 * (n + c.n) and 4 * n >= 3 * c.n and 4 * c.n >= 3 * n")
+    centre = large.groupBy("block").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
+    both = large.join(centre, "block").where("node <> c.node and 4 * n >= 3 * c.n and 4 * c.n >= 3 * n")
     return both.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def tree_pairs(blocks: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame:
+def tree_pairs(blocks: DataFrame, roots: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """All pairs of not yet joined nodes in a block that may link, found by R-tree search.
 
     Of each block, all nodes are held, and those outside its largest component are searched for; any pair of different
     components has such a node. Tiles of both keep each tree and each list of probes bounded.
     """
-    if roots is None:
-        known = blocks.withColumn("root", F.col("node"))
-    else:
-        known = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = blocks.select("block", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     each = known.groupBy("block", "root").agg(F.count("*").alias("c"))
     sizes = each.groupBy("block").agg(F.sum("c").alias("held"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     sizes = sizes.select("block", F.ceil(F.col("held") / TILE).cast("int").alias("tiles"), F.ceil((F.col("held") - F.col("main.c")) / TILE).cast("int").alias("probe_tiles"), F.col("main.root").alias("main"))
-    open_ = known.join(sizes, "block")
+    open_ = known.join(sizes, "block").join(nodes.select("node", "n", "point"), "node")
     columns = ["block", "node", "n", "point", "root"]
     held = open_.select(*columns, F.lit(False).alias("probe"), F.expr("pmod(xxhash64(node, 1), tiles)").cast("int").alias("tile"), F.explode(F.expr("sequence(0, probe_tiles - 1)")).alias("probe_tile"))
     probes = open_.where("root <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(node, 2), probe_tiles)").cast("int").alias("probe_tile"))
@@ -310,14 +320,14 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def node_links(docs: DataFrame, k: int = WORDS, star_from: int = 24) -> tuple[DataFrame, DataFrame]:
     """Links between nodes that, with their components, give all components; and the components (node, root)."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = cut(candidates(docs, k))
-    blocks = nodes.select("node", "n", "lone", "point", F.explode("blocks").alias("block"))
+    nodes, drop = stored(candidates(docs, k))
+    blocks = nodes.select("node", "n", "lone", F.explode("blocks").alias("block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("held")).where("held > 1")
-    blocks = cut(blocks.join(sizes.select("block"), "block"))
     links = verified(star_pairs(blocks, sizes, star_from), nodes)
     roots = components(links)
-    rest = verified(tree_pairs(blocks, roots, parts), nodes)
+    rest = verified(tree_pairs(blocks, roots, nodes, parts), nodes)
     every = cut(rest.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop()
     return every, components(every)
 
 
