@@ -27,6 +27,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once; an expression used inside a lambda would be computed again for each element."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -59,10 +64,12 @@ def any_of(words: tuple[str, ...]) -> str:
 
 def sentences(c: Column, least: int = 1) -> Column:
     """Runs up to ., ! or ? (a decimal point ends one too), of at least so many characters."""
-    whole = normalize(c)
-    found = F.regexp_extract_all(whole, F.lit(SENTENCE), F.lit(0))
-    found = F.when(F.size(found) > 0, found).when(whole != "", F.array(whole)).otherwise(found)
-    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+    def parts(whole: Column) -> Column:
+        found = F.regexp_extract_all(whole, F.lit(SENTENCE), F.lit(0))
+        return let(found, lambda f: F.when((F.size(f) > 0) | (whole == ""), f).otherwise(F.array(whole)))
+
+    return F.filter(F.transform(let(normalize(c), parts), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def raw_words(c: Column) -> Column:
@@ -81,8 +88,13 @@ def content_words(c: Column, stop: tuple[str, ...]) -> Column:
 def unique_ci(values: Column, most: int | None = None) -> Column:
     """Normalised values without empty ones and without later ones that differ in case only, the first `most` of them."""
     clean = F.filter(F.transform(values, normalize), lambda v: v != "")
-    kept = F.filter(clean, lambda v, i: F.array_position(F.transform(clean, F.lower), F.lower(v)) == i + 1)
-    return F.slice(kept, 1, most) if most else kept
+    both = F.transform(clean, lambda v: F.struct(v.alias("v"), F.lower(v).alias("k")))
+
+    def kept(pairs: Column) -> Column:
+        return let(F.transform(pairs, lambda p: p["k"]), lambda keys: F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["v"]))
+
+    out = let(both, kept)
+    return F.slice(out, 1, most) if most else out
 
 
 def head(values: Column, most: int) -> Column:

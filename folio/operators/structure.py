@@ -201,7 +201,7 @@ def split_study_paragraphs(text: Column, longest: int = 1800, most: int = 1350)
 
     def parts(b: Column) -> Column:
         found = F.filter(F.transform(F.regexp_extract_all(b, F.lit(t.SENTENCE), F.lit(0)), lambda s: t.clean_block(s)), lambda s: s != "")
-        return F.when((F.length(b) <= longest) | (F.size(found) == 0), F.array(b)).otherwise(pack(found, most))
+        return F.when(F.length(b) <= longest, F.array(b)).otherwise(t.let(found, lambda f: F.when(F.size(f) == 0, F.array(b)).otherwise(pack(f, most))))
 
     return F.flatten(F.transform(blocks, parts))
 

@@ -87,19 +87,18 @@ def remember_items(source: Column, keywords: Column, lex: Lexicon = ITALIAN, mos
     """The first sentences with data or a cue, or else the first keywords."""
     found = F.filter(t.sentences(source), lambda s: s.rlike(DATA_NUMBER) | s.rlike(t.any_of(lex.remember)))
     named = F.transform(t.head(keywords, most), lambda k: F.concat(F.lit("Concetto chiave: "), k))
-    return F.when(F.size(found) > 0, t.head(found, most)).otherwise(F.coalesce(named, F.array().cast("array<string>")))
+    return t.let(found, lambda f: F.when(F.size(f) > 0, t.head(f, most)).otherwise(F.coalesce(named, F.array().cast("array<string>"))))
 
 
 def missing_anchors(source: Column, summary: Column, spoken: Column, most: int = 32) -> Column:
     """Anchors of the source that neither text holds, letter case aside."""
     seen = F.lower(F.concat_ws(" ", t.normalize(summary), t.text(spoken)))
-    return F.filter(t.anchors(source, most), lambda a: ~F.contains(seen, F.lower(a)))
+    return t.let(seen, lambda known: F.filter(t.anchors(source, most), lambda a: ~F.contains(known, F.lower(a))))
 
 
 def recovery(source: Column, missing: Column, most: int = 5) -> Column:
     """For each missing anchor the first source sentence that has it, distinct."""
-    whole = t.sentences(source)
-    found = F.transform(missing, lambda a: t.first_match(whole, lambda s: t.contains_ci(s, a)))
+    found = t.let(t.sentences(source), lambda whole: F.transform(missing, lambda a: t.first_match(whole, lambda s: t.contains_ci(s, a))))
     return t.head(F.array_distinct(F.filter(found, lambda s: s.isNotNull())), most)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import structure_queries, text_queries
+from folio.plans import structure_queries, study_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **structure_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES, **structure_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **structure_queries.QUERIES, **study_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **structure_queries.ORACLES, **study_queries.ORACLES}
