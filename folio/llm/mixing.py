@@ -18,6 +18,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folio.llm.frames import WORD, unit_hash, word_count
 
@@ -73,7 +74,7 @@ def mix_sources(
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if keep_rows else []))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_words(text: pd.Series, words: pd.Series) -> pd.Series:
     """The texts up to the end of their words-th word; null texts, of documents taken whole, stay null."""
     ends = (next((m.end() for m in islice(re.finditer(WORD, t), int(n) - 1, None)), len(t)) if isinstance(t, str) else None for t, n in zip(text, words, strict=True))
