@@ -117,13 +117,13 @@ def validate_batches(batches: DataFrame, by: list[str], text: str = "text") -> D
 
 
 ENTRY = "struct<term: string, definition: string, placement: string, basis: string>"
-RECORD = f"summary string, dsaSummary string, keyPoints array<string>, remember array<string>, keywords array<string>, glossary array<{ENTRY}>"
+RECORD = f"summary: string, dsaSummary: string, keyPoints: array<string>, remember: array<string>, keywords: array<string>, glossary: array<{ENTRY}>"
 
 
 def validate_responses(responses: DataFrame) -> DataFrame:
     """Responses (batch_id, n_items, payload) with records, and an error (or null): fences are stripped, the JSON must hold as many complete records as the batch has items."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(t.text(F.col("payload"))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    out = responses.withColumn("records", F.from_json(bare, f"summaries array<struct<{RECORD.replace(' string', ': string').replace(' array', ': array')}>>")["summaries"])
+    out = responses.withColumn("records", F.from_json(bare, f"summaries array<struct<{RECORD}>>")["summaries"])
     whole = F.forall("records", lambda r: r["summary"].isNotNull() & r["dsaSummary"].isNotNull() & r["keyPoints"].isNotNull() & r["remember"].isNotNull() & r["keywords"].isNotNull())
     return out.withColumn("error", F.when(F.col("records").isNull(), "INVALID_JSON").when(F.size("records") != F.col("n_items"), "WRONG_COUNT").when(~F.coalesce(whole, F.lit(False)), "INCOMPLETE"))
 
