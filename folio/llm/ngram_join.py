@@ -45,6 +45,8 @@ GROUPS = 32
 #: Text bytes of a batch, and its most nodes (local numbers are 16 bits).
 BATCH_BYTES, BATCH_NODES = 1 << 23, 60_000
 LEAF, TILE = 16, 2_048
+#: Of each node's blocks, so many are known where pairs are found, to give a pair once and not in each block it shares.
+HEADS = 16
 #: Bits of a shingle's hash that travel beside its bucket's number.
 REST = 40
 
@@ -259,6 +261,7 @@ def _search_blocks(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(order))
     probe, n = table["probe"].to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.int64)
     points, nodes, roots = _matrix(table["point"], GROUPS, np.int64), _matrix(table["node"], 2, np.uint64), _matrix(table["root"], 2, np.uint64)
+    heads, pos = _matrix(table["heads"], HEADS, np.int64), table["pos"].to_numpy()
     first = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(0)]))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for start, end in zip(first, [*first[1:], len(n)], strict=True):
@@ -270,6 +273,8 @@ def _search_blocks(table: pa.Table) -> pa.Table:
         for s in seekers:
             hits = held[tree.search(points[s], n[s])]
             hits = hits[(roots[hits] != roots[s]).any(1)]
+            # a block that both have earlier in their common order gives the pair already
+            hits = hits[~np.isin(heads[hits], heads[s, : pos[s]]).any(1)]
             found.append((np.full(len(hits), s), hits))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     names = table["node"].combine_chunks().to_pylist()
@@ -291,12 +296,13 @@ def tree_pairs(blocks: DataFrame, roots: DataFrame, nodes: DataFrame, parts: int
     Of each block, all nodes are held, and those outside its largest component are searched for; any pair of different
     components has such a node. Tiles of both keep each tree and each list of probes bounded.
     """
-    known = blocks.select("block", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = blocks.select("block", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     each = known.groupBy("block", "root").agg(F.count("*").alias("c"))
     sizes = each.groupBy("block").agg(F.sum("c").alias("held"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     sizes = sizes.select("block", F.ceil(F.col("held") / TILE).cast("int").alias("tiles"), F.ceil((F.col("held") - F.col("main.c")) / TILE).cast("int").alias("probe_tiles"), F.col("main.root").alias("main"))
-    open_ = known.join(sizes, "block").join(nodes.select("node", "n", "point"), "node")
-    columns = ["block", "node", "n", "point", "root"]
+    heads = F.slice(F.concat("blocks", F.array_repeat(F.get("blocks", F.lit(0)), HEADS)), 1, HEADS)
+    open_ = known.join(sizes, "block").join(nodes.select("node", "n", "point", heads.alias("heads")), "node")
+    columns = ["block", "pos", "node", "n", "point", "heads", "root"]
     held = open_.select(*columns, F.lit(False).alias("probe"), F.expr("pmod(xxhash64(node, 1), tiles)").cast("int").alias("tile"), F.explode(F.expr("sequence(0, probe_tiles - 1)")).alias("probe_tile"))
     probes = open_.where("root <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(node, 2), probe_tiles)").cast("int").alias("probe_tile"))
     dealt = held.select(*columns, "probe", "tile", "probe_tile").union(probes.select(*columns, "probe", "tile", "probe_tile"))
@@ -321,7 +327,7 @@ def node_links(docs: DataFrame, k: int = WORDS, star_from: int = 24) -> tuple[Da
     """Links between nodes that, with their components, give all components; and the components (node, root)."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes, drop = stored(candidates(docs, k))
-    blocks = nodes.select("node", "n", "lone", F.explode("blocks").alias("block"))
+    blocks = nodes.select("node", "n", "lone", F.posexplode("blocks").alias("pos", "block"))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("held")).where("held > 1")
     links = verified(star_pairs(blocks, sizes, star_from), nodes)
     roots = components(links)
