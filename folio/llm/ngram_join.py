@@ -41,10 +41,12 @@ from folio.llm.components import components
 from folio.llm.frames import cut, stored
 
 WORDS = 5
-GROUPS = 32
+GROUPS = 128
 #: Text bytes of a batch, and its most nodes (local numbers are 16 bits).
 BATCH_BYTES, BATCH_NODES = 1 << 23, 60_000
 LEAF, TILE = 16, 2_048
+#: A coordinate's largest stored value; it stands for that or more, and two of them bound nothing.
+MANY = 65_535
 #: Of each node's blocks, so many are known where pairs are found, to give a pair once and not in each block it shares.
 HEADS = 16
 #: Bits of a shingle's hash that travel beside its bucket's number.
@@ -107,8 +109,8 @@ def _scatter(buckets: int, k: int):
 
     def rows(number: int, nodes: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple]:
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        points = np.zeros((len(sets), GROUPS), np.uint32)
-        np.add.at(points, (owner, (flat >> np.uint64(59)).astype(np.int64)), 1)
+        group = (flat >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64)
+        points = np.minimum(np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS), MANY).astype(np.uint16)
         head = b"".join(nodes) + np.array([len(s) for s in sets], np.uint32).tobytes() + points.tobytes()
         yield -1 - number % buckets, number, 0, len(sets), head
         bucket = (flat & np.uint64(buckets - 1)).astype(np.int64)
@@ -170,8 +172,8 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table(out, _PACKED)
 
 
-NODES = "node binary, n int, lone double, point array<int>, blocks array<long>, shared binary"
-_NODES = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("lone", pa.float64()), ("point", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int64())), ("shared", pa.binary())])
+NODES = "node binary, n int, lone double, point binary, blocks array<long>, shared binary"
+_NODES = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("lone", pa.float64()), ("point", pa.binary()), ("blocks", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def _choose(table: pa.Table) -> pa.Table:
@@ -182,7 +184,7 @@ def _choose(table: pa.Table) -> pa.Table:
         if kind == 0:
             nodes, names = m, body[: 16 * m]
             n = np.frombuffer(body, np.uint32, m, 16 * m).astype(np.int64)
-            points = np.frombuffer(body, np.uint32, m * GROUPS, 20 * m).reshape(m, GROUPS)
+            points = np.frombuffer(body, np.uint16, m * GROUPS, 20 * m).reshape(m, GROUPS)
         else:
             rest, owner, rank = _unpack(body, m, True)
             keys.append(rest << np.uint64(16) | np.uint64(bucket))
@@ -196,7 +198,7 @@ def _choose(table: pa.Table) -> pa.Table:
     out = {f.name: [] for f in _NODES}
     for i in np.flatnonzero(take):
         own = key[edges[i] : edges[i + 1]]
-        for name, value in (("node", names[16 * i : 16 * i + 16]), ("n", int(n[i])), ("lone", float(1 - shared[i] / n[i])), ("point", points[i].astype(np.int32)), ("blocks", own[: take[i]].view(np.int64)), ("shared", np.unique(own).tobytes())):
+        for name, value in (("node", names[16 * i : 16 * i + 16]), ("n", int(n[i])), ("lone", float(1 - shared[i] / n[i])), ("point", points[i].tobytes()), ("blocks", own[: take[i]].view(np.int64)), ("shared", np.unique(own).tobytes())):
             out[name].append(value)
     return pa.table(out, _NODES)
 
@@ -241,8 +243,12 @@ def may_link(bound, size, least, most):
     return (7 * bound >= 3 * (size + least)) & (4 * size >= 3 * least) & (4 * most >= 3 * size)
 
 
+def coordinates(stored: np.ndarray) -> np.ndarray:
+    return np.where(stored == MANY, 1 << 40, stored.astype(np.int64))
+
+
 def _matrix(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
-    """A numpy row for each row of a list or 16-byte binary column."""
+    """A numpy row for each row of a list or binary column."""
     c = column.combine_chunks()
     if pa.types.is_binary(c.type):
         return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, width)
@@ -260,7 +266,7 @@ def _search_blocks(table: pa.Table) -> pa.Table:
     where = where[:, order]
     table = table.take(pa.array(order))
     probe, n = table["probe"].to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.int64)
-    points, nodes, roots = _matrix(table["point"], GROUPS, np.int64), _matrix(table["node"], 2, np.uint64), _matrix(table["root"], 2, np.uint64)
+    points, nodes, roots = coordinates(_matrix(table["point"], GROUPS, np.uint16)), _matrix(table["node"], 2, np.uint64), _matrix(table["root"], 2, np.uint64)
     heads, pos = _matrix(table["heads"], HEADS, np.int64), table["pos"].to_numpy()
     first = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(0)]))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
