@@ -52,3 +52,9 @@ def word_count(text: Column) -> Column:
 def unit_hash(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
+def hashed_sample(df: DataFrame, key: str, most: int, count: int, seed: int = 29) -> DataFrame:
+    """At most `most` of the `count` rows, those with the least hashes of the key. A threshold leaves about twice as many for the sort, so that none of its tasks grows with the table."""
+    u = unit_hash(F.col(key), seed)
+    return df.where(u < min(1.0, 2.0 * most / max(count, 1))).orderBy(u, key).limit(most)

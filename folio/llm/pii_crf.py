@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textkit as tk
+from folio.llm.frames import hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -241,7 +242,8 @@ def added_spans(g: Graph, marginals: np.ndarray, texts: dict[int, str], base: di
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    few = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", F.col("text")).limit(sample)
+    some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    few = hashed_sample(some, "doc_id", sample, some.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

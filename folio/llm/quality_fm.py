@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textkit as tk
+from folio.llm.frames import hashed_sample
 from folio.llm.quality_rules import NOT_NEWLINE, SYMBOLS, _owners, _per_text, counts
 
 WORDS = 1 << 15
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(share) < 2:
         return None
-    few = [known.where(f"quality = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    few = [hashed_sample(known.where(f"quality = {c}"), "doc_id", per_class, share[c]) for c in (0, 1)]
     sample = _texts(docs).join(F.broadcast(few[0].union(few[1])), "doc_id").select("text", "n_chars", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
