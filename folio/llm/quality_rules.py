@@ -95,30 +95,34 @@ def ratios(text: bytes, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK_BY
     return len(squeeze.compress(text)) / len(text), bad / len(text)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The rows' first column and all after the second as they are, and the measures of the second, a text."""
-    own = [f for i, f in enumerate(docs.schema) if i != 1]
+def measure(docs: DataFrame, text: int, keep_text: bool) -> DataFrame:
+    """The rows of `docs`, whose column number `text` is the text, with its measures; the text itself only if it is to be kept."""
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != text]
+    fields = [docs.schema[i] for i in kept]
     measures = DataType.fromDDL(FIELDS).fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            texts = batch.column(1)
-            for start, end in tk.slices(texts):
-                part = texts.slice(start, end - start)
-                both = [ratios(x, squeeze) for x in part.cast(pa.binary()).fill_null(b"").to_pylist()]
-                found = counts(part) | {"ratio": np.array([np.nan if r is None else r for r, _ in both]), "bad_chunk_share": np.array([b for _, b in both])}
-                columns = [batch.column(i).slice(start, end - start) for i in range(batch.num_columns) if i != 1]
+            for start, end in tk.slices(batch.column(text)):
+                part = batch.slice(start, end - start)
+                data, offsets = tk.utf8(part.column(text))
+                both = [ratios(data[a:z].tobytes(), squeeze) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+                found = counts(part.column(text)) | {"ratio": np.array([np.nan if r is None else r for r, _ in both]), "bad_chunk_share": np.array([b for _, b in both])}
+                columns = [part.column(i) for i in kept]
                 columns += [pa.array(found[f.name].astype(float if f.dataType == DoubleType() else np.int64), from_pandas=True) for f in measures]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*own, *measures]])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*fields, *measures]])
 
-    return docs.mapInArrow(run, StructType([*own, *measures]))
+    return docs.mapInArrow(run, StructType([*fields, *measures]))
 
 
 def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHARE, least_words: int = 20, most_repeat_percent: int = 30, keep_rows: bool = False) -> DataFrame:
-    """doc_id, the counts, ratio, bad_chunk_share, base_failed, in_band and kept, a row for each document; with `keep_rows` also `row`, a struct of all input columns."""
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
-    measured = measure(docs.select("doc_id", "text", *kept))
+    """doc_id, the counts, ratio, bad_chunk_share, base_failed, in_band and kept, a row for each document; with `keep_rows` instead of doc_id all input columns, as row_0, row_1, ..."""
+    if keep_rows:
+        named = docs.toDF(*[f"row_{i}" for i in range(len(docs.columns))])
+        measured = measure(named, docs.columns.index("text"), True)
+    else:
+        measured = measure(docs.select("doc_id", "text"), 1, False)
     low, high = F.lit(0.0), F.lit(float("inf"))
     for least, lo, hi in bands:
         low, high = F.when(F.col("n_bytes") >= least, lo).otherwise(low), F.when(F.col("n_bytes") >= least, hi).otherwise(high)
@@ -129,4 +133,4 @@ def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHA
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
-    return quality_rules(docs, keep_rows=True, **options).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return quality_rules(docs, keep_rows=True, **options).where("kept").select(*[F.col(f"row_{i}").alias(c) for i, c in enumerate(docs.columns)])
