@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.json"
-PIECES = 300_000
+PIECES = 100_000
 #: Fixed value: how byte-level vocabularies of this kind part a text into pieces; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -223,6 +223,11 @@ class Encoder:
         table[key] = ids
         return ids
 
+    def forget(self) -> None:
+        """Free the tables of recent pieces; workers outlive the stage that filled them."""
+        self.seen.clear()
+        self.after_space.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
@@ -249,6 +254,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "ids"])
+        own.forget()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
