@@ -19,7 +19,7 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes handled at once; each byte needs some tens of bytes of working memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
