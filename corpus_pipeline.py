@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's encoding and its decoding."""
-    return bpe_digests(bpe.decode_ids(bpe.encode_documents(docs)))
+    return bpe_digests(bpe.encode_documents(docs, decode=True))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -7,7 +7,8 @@ encoding leads on are marked, so no position is tried twice. The result is exact
 order gives, since all neighbours of a true encoding are compatible and no other tiling has that property.
 
 Pieces come from the pre-tokenising pattern of byte-level vocabularies; encodings of recent pieces, and of the parts
-between spaces, are kept in two tables of at most `PIECES` entries for each Python worker.
+between spaces, are kept in two tables of at most `PIECES` entries for each Python worker, known pairs in one of at
+most `PAIRS`.
 
 The vocabulary is a file of the tokenizers library (JSON, byte-level BPE), found by name or path on the executors; it
 is never trained or copied here. Special tokens standing in a text become their ids, as in the library's default.
@@ -32,6 +33,9 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = 100_000
+PAIRS = 300_000
+#: Rows handled at once.
+ROWS = 500
 #: Fixed value: how byte-level vocabularies of this kind part a text into pieces; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -113,6 +117,8 @@ class Encoder:
         """
         known = self.compatible.get((left, right))
         if known is None:
+            if len(self.compatible) >= PAIRS:
+                self.compatible.clear()
             known = self.compatible[left, right] = self._pair_fits(left, right)
         return known
 
@@ -242,34 +248,44 @@ def encoder(name: str) -> Encoder:
     return Encoder(vocabulary_path(name))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ids (array of int), a row for each row of `docs`."""
+def _encoded(own: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids in a row, and the offsets of each text in them."""
+    ids = [np.array(own.encode(t or ""), np.int32) for t in texts.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+
+
+def _decoded(own: Encoder, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.array([own.decode(flat[a:b].astype(np.int64)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """key and ids (array of int), a row for each row of `docs`; with `decode` also decoded, the text that the ids stand for, made in the same workers."""
+    names = [key, "ids", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "ids"])
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                flat, offsets = _encoded(own, part.column(1))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *([_decoded(own, flat, offsets)] if decode else [])], names=names)
         own.forget()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>" + (", decoded string" if decode else "")
+    return docs.select(key, text).mapInArrow(run, fields)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
-    """All columns of `encoded` (key, ids), and the decoded text."""
+    """key, ids and the decoded text of each row of `encoded`; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
                 column = part.column(1)
                 flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                texts = [own.decode(flat[a:b].astype(np.int64)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(texts, pa.string())], names=[key, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), column, _decoded(own, flat, offsets)], names=[key, "ids", "decoded"])
 
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, ids array<int>, decoded string")

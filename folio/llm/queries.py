@@ -54,7 +54,7 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(bpe.decode_ids(bpe.encode_documents(documents(spark, sf_dir))))
+    return bpe_digests(bpe.encode_documents(documents(spark, sf_dir), decode=True))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -187,6 +187,7 @@ def test_bpe_matches_the_library(docs, empty):
     for r in rows:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert sorted(map(repr, bpe.encode_documents(docs, decode=True).collect())) == sorted(map(repr, rows))
     own, rng = bpe.encoder("byte_bpe_50k.json"), np.random.default_rng(4)
     parts = ["a", "e", " ", "th", "\n", "\t", "é", "ß", "😀", "'s", "1", "²", "\x85", "\u00a0", "ing", "<|endoftext|>", "!!", "中文", "the", "nana", "\x1c"]
     for _ in range(2_000):
