@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folio.llm.frames import for_workers
+
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = 100_000
 PAIRS = 300_000
@@ -273,7 +275,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
         own.forget()
 
     fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>" + (", decoded string" if decode else "")
-    return docs.select(key, text).mapInArrow(run, fields)
+    return for_workers(docs).select(key, text).mapInArrow(run, fields)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
@@ -288,4 +290,4 @@ def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc
                 flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
                 yield pa.RecordBatch.from_arrays([part.column(0), column, _decoded(own, flat, offsets)], names=[key, "ids", "decoded"])
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
+    return for_workers(encoded).select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, ids array<int>, decoded string")

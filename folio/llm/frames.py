@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Runs of anything but space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,13 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.parquet(path), drop
 
 
+def for_workers(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends Python workers Arrow batches of at most BATCH_BYTES (or one row), unless it has a bound of its own. Else long texts make batches of 64 MB on both sides."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import textkit as tk
 from folio.llm.components import components
-from folio.llm.frames import cut, stored
+from folio.llm.frames import cut, for_workers, stored
 
 WORDS = 5
 GROUPS = 128
@@ -78,7 +78,7 @@ def measure(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     names=["doc_id", "n_shingles", "node"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary")
+    return for_workers(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary")
 
 
 # -- step 1: packed shingles to buckets, shared ones back to their batch
@@ -207,7 +207,7 @@ def candidates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """A row for each node that may have a link: node, n, lone (share of shingles that no other node has), point, blocks, shared."""
     wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 16, 1 << max(4, (wanted - 1).bit_length()))
-    packed = docs.select("text").mapInArrow(_scatter(buckets, k), PACKED)
+    packed = for_workers(docs).select("text").mapInArrow(_scatter(buckets, k), PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count, PACKED)
     return counted.groupBy("batch").applyInArrow(_choose, NODES).dropDuplicates(["node"])
 

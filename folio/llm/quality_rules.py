@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructType
 
 from folio.llm import textkit as tk
+from folio.llm.frames import for_workers
 
 #: (bytes from, lowest ratio, highest ratio) of whole texts, by length; below the first length nothing is judged.
 WHOLE_BANDS = ((120, 0.42, 1.20), (300, 0.33, 0.95), (1_000, 0.28, 0.80), (4_000, 0.22, 0.72), (16_000, 0.16, 0.68))
@@ -113,7 +114,7 @@ def measure(docs: DataFrame, text: int, keep_text: bool) -> DataFrame:
                 columns += [pa.array(found[f.name].astype(float if f.dataType == DoubleType() else np.int64), from_pandas=True) for f in measures]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*fields, *measures]])
 
-    return docs.mapInArrow(run, StructType([*fields, *measures]))
+    return for_workers(docs).mapInArrow(run, StructType([*fields, *measures]))
 
 
 def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHARE, least_words: int = 20, most_repeat_percent: int = 30, keep_rows: bool = False) -> DataFrame:
