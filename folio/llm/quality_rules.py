@@ -4,12 +4,21 @@ Repetitive text compresses too well, noise too badly. The ratio is compressed by
 of fixed chunks of it; the limits depend on the length in bytes, since short texts compress badly whatever they hold.
 A text goes when its whole ratio is outside its band, or when chunks of more than `bad_share` of its bytes are.
 
+The limits come from the table: a histogram of the ratios of all texts and chunks by length class (half a power of two)
+and script (a third of the bytes outside ASCII, or not). A class's band is its median and `REACH` times the lesser
+distance to a quartile on both sides, so neither junk of up to a quarter of a class nor its kind moves it far. A class
+of fewer than LEAST_PIECES pieces takes its upper limit from the next shorter class that has them, its lower one from
+the next longer (the ratio falls with the length), and fixed bands where there is none. Where most of a class is junk,
+its band is junk's.
+
 Defined cases: null and empty texts have no words and fail the base rule; very long texts are handled whole, in one
 pass; repeated rows give repeated results; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,23 +26,25 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, StructType
+from pyspark.sql.types import DataType, StructType
 
 from folio.llm import textkit as tk
 from folio.llm.frames import for_workers
 
-#: (bytes from, lowest ratio, highest ratio) of whole texts, by length; below the first length nothing is judged.
+#: (bytes from, lowest ratio, highest ratio) of whole texts without limits from the table, by length; below the first length nothing is judged.
 WHOLE_BANDS = ((120, 0.42, 1.20), (300, 0.33, 0.95), (1_000, 0.28, 0.80), (4_000, 0.22, 0.72), (16_000, 0.16, 0.68))
 CHUNK_BYTES = 4_096
 CHUNK_BAND = (0.14, 0.75)
 LEAST_CHUNK = 1_024
 BAD_SHARE = 0.5
 LEVEL = 3
+BINS, REACH, LEAST_SPREAD, LEAST_PIECES = 1_000, 8, 0.004, 40
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 NOT_NEWLINE = np.zeros(256, bool)
 NOT_NEWLINE[10] = True
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, bad_chunk_share double"
+NUMPY = {"double": float, "boolean": bool}
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, fits boolean, bad_chunk_share double"
 
 
 def _per_text(flags_or_values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,20 +94,74 @@ def counts(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
     }
 
 
-def ratios(text: bytes, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK_BYTES, band: tuple[float, float] = CHUNK_BAND) -> tuple[float | None, float]:
-    """The whole text's ratio (None if empty), and the share of its bytes in chunks outside the band; shorter last chunks than LEAST_CHUNK aren't judged."""
-    if not text:
-        return None, 0.0
-    bad = 0
+def piece_class(piece: np.ndarray) -> tuple[int, int]:
+    """A text's or chunk's script and length class."""
+    return int(3 * np.count_nonzero(piece & 0x80) > len(piece)), int(2 * math.log2(len(piece)))
+
+
+def pieces(text: np.ndarray, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, float]]:
+    """A text that isn't empty and its ratio, then those of its chunks if it has several; shorter last chunks than LEAST_CHUNK aren't judged."""
+    yield text, len(squeeze.compress(text.tobytes())) / len(text)
     if len(text) > chunk:
         for i in range(0, len(text), chunk):
             part = text[i : i + chunk]
-            if len(part) >= LEAST_CHUNK and not band[0] <= len(squeeze.compress(part)) / len(part) <= band[1]:
-                bad += len(part)
-    return len(squeeze.compress(text)) / len(text), bad / len(text)
-
-
-def measure(docs: DataFrame, text: int, keep_text: bool) -> DataFrame:
+            if len(part) >= LEAST_CHUNK:
+                yield part, len(squeeze.compress(part.tobytes())) / len(part)
+
+
+Limits = dict[tuple[int, int], tuple[float | None, float | None]]
+
+
+def ratios(text: np.ndarray, squeeze: zstandard.ZstdCompressor, limits: Limits, bands=WHOLE_BANDS, band: tuple[float, float] = CHUNK_BAND) -> tuple[float, bool, float]:
+    """The whole text's ratio (NaN if empty), whether it's in its band, and the share of its bytes in chunks outside theirs."""
+    if not len(text):
+        return math.nan, True, 0.0
+    ratio, fits, bad = math.nan, True, 0
+    for i, (piece, r) in enumerate(pieces(text, squeeze)):
+        low, high = limits.get(piece_class(piece), (None, None))
+        fixed = band if i else next((b[1:] for b in reversed(bands) if len(piece) >= b[0]), None)
+        fit = fixed is None or (fixed[0] if low is None else low) <= r <= (fixed[1] if high is None else high)
+        if i:
+            bad += 0 if fit else len(piece)
+        else:
+            ratio, fits = r, fit
+    return ratio, fits, bad / len(text)
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
+    for batch in batches:
+        seen: Counter = Counter()
+        for start, end in tk.slices(batch.column(0)):
+            data, offsets = tk.utf8(batch.column(0).slice(start, end - start))
+            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
+                if z > a:
+                    seen.update((*piece_class(piece), int(BINS * r)) for piece, r in pieces(data[a:z], squeeze))
+        yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in seen], pa.int32()) for i in range(3)], pa.array(seen.values(), pa.int64())], names=["script", "length", "bin", "n"])
+
+
+def ratio_limits(docs: DataFrame) -> Limits:
+    """Lowest and highest ratio by script and length class, None where no class gives one; from all texts of `docs` and their chunks."""
+    rows = for_workers(docs.select("text")).mapInArrow(_histogram, "script int, length int, bin int, n long").groupBy("script", "length", "bin").agg(F.sum("n").alias("n")).collect()
+    counted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in rows:
+        counted.setdefault((r["script"], r["length"]), []).append((r["bin"], r["n"]))
+    own = {}
+    for key, bins in counted.items():
+        values, n = np.array(sorted(bins)).T
+        if n.sum() >= LEAST_PIECES:
+            q25, q50, q75 = ((values[np.searchsorted(np.cumsum(n), n.sum() * q)] + 0.5) / BINS for q in (0.25, 0.5, 0.75))
+            reach = REACH * max(min(q50 - q25, q75 - q50), LEAST_SPREAD)
+            own[key] = (float(q50 - reach), float(q50 + reach))
+    limits: Limits = {}
+    for script, length in counted:
+        shorter = max((k for k in own if k[0] == script and k[1] <= length), default=None)
+        longer = min((k for k in own if k[0] == script and k[1] >= length), default=None)
+        limits[script, length] = (own[longer][0] if longer else None, own[shorter][1] if shorter else None)
+    return limits
+
+
+def measure(docs: DataFrame, text: int, keep_text: bool, limits: Limits, bands=WHOLE_BANDS) -> DataFrame:
     """The rows of `docs`, whose column number `text` is the text, with its measures; the text itself only if it is to be kept."""
     kept = [i for i in range(len(docs.columns)) if keep_text or i != text]
     fields = [docs.schema[i] for i in kept]
@@ -108,10 +173,10 @@ def measure(docs: DataFrame, text: int, keep_text: bool) -> DataFrame:
             for start, end in tk.slices(batch.column(text)):
                 part = batch.slice(start, end - start)
                 data, offsets = tk.utf8(part.column(text))
-                both = [ratios(data[a:z].tobytes(), squeeze) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-                found = counts(part.column(text)) | {"ratio": np.array([np.nan if r is None else r for r, _ in both]), "bad_chunk_share": np.array([b for _, b in both])}
+                judged = zip(*(ratios(data[a:z], squeeze, limits, bands) for a, z in zip(offsets[:-1], offsets[1:], strict=True)), strict=True)
+                found = counts(part.column(text)) | dict(zip(("ratio", "fits", "bad_chunk_share"), map(np.array, judged), strict=True))
                 columns = [part.column(i) for i in kept]
-                columns += [pa.array(found[f.name].astype(float if f.dataType == DoubleType() else np.int64), from_pandas=True) for f in measures]
+                columns += [pa.array(found[f.name].astype(NUMPY.get(f.dataType.typeName(), np.int64)), from_pandas=True) for f in measures]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*fields, *measures]])
 
     return for_workers(docs).mapInArrow(run, StructType([*fields, *measures]))
@@ -119,17 +184,15 @@ def measure(docs: DataFrame, text: int, keep_text: bool) -> DataFrame:
 
 def quality_rules(docs: DataFrame, bands=WHOLE_BANDS, bad_share: float = BAD_SHARE, least_words: int = 20, most_repeat_percent: int = 30, keep_rows: bool = False) -> DataFrame:
     """doc_id, the counts, ratio, bad_chunk_share, base_failed, in_band and kept, a row for each document; with `keep_rows` instead of doc_id all input columns, as row_0, row_1, ..."""
+    limits = ratio_limits(docs)
     if keep_rows:
         named = docs.toDF(*[f"row_{i}" for i in range(len(docs.columns))])
-        measured = measure(named, docs.columns.index("text"), True)
+        measured = measure(named, docs.columns.index("text"), True, limits, bands)
     else:
-        measured = measure(docs.select("doc_id", "text"), 1, False)
-    low, high = F.lit(0.0), F.lit(float("inf"))
-    for least, lo, hi in bands:
-        low, high = F.when(F.col("n_bytes") >= least, lo).otherwise(low), F.when(F.col("n_bytes") >= least, hi).otherwise(high)
-    in_band = F.coalesce(F.col("ratio").between(low, high), F.lit(True)) & (F.col("bad_chunk_share") <= bad_share)
+        measured = measure(docs.select("doc_id", "text"), 1, False, limits, bands)
+    in_band = F.col("fits") & (F.col("bad_chunk_share") <= bad_share)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    return measured.withColumns({"base_failed": failed, "in_band": in_band}).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    return measured.withColumns({"base_failed": failed, "in_band": in_band}).drop("fits").withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -71,6 +71,17 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_bands_come_from_the_table(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(900)]
+    weights = 1 / np.arange(1, 901)
+    text = [" ".join(rng.choice(words, 700, p=weights / weights.sum())) for _ in range(120)]
+    noise = [" ".join("".join(rng.choice(list(letters), 8)) for _ in range(480)) for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(text + noise)), "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i in range(120))
+    assert not any(got[i].base_failed or got[i].kept for i in range(120, 123))
+
+
 def test_exact_dedup(docs, empty):
     groups = {}
     for i, t in [(r[0], r[1]) for r in ROWS] + [(5, TEXTS[5]), (None, "no name")]:
