@@ -15,9 +15,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_url_filters(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """`listed`: the blocked urls, in a column url; without it, pages of a few known host names stand in."""
     pages = _pages(spark, sf_dir)
-    return url_filter.filter_urls(pages, url_filter.listed_urls(pages))
+    return url_filter.filter_urls(pages, url_filter.listed_urls(pages) if listed is None else listed)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, quality_fm, quality_rules, sharding, textkit, url_filter
+from folio.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, quality_fm, quality_rules, queries, sharding, textkit, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -234,6 +234,14 @@ def test_url_filters(spark, broadcast_blocks):
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
 
 
+def test_url_list_is_an_argument(spark, tmp_path):
+    urls = ["http://www.casino-win.example.org/a", "http://other.org/bad?utm_source=x", "http://other.org/good"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = lambda df: [r.verdict for r in df.orderBy("page_id").collect()]
+    assert verdicts(queries.op1_url_filters(spark, str(tmp_path))) == ["block", "allow", "allow"]
+    assert verdicts(queries.op1_url_filters(spark, str(tmp_path), spark.createDataFrame([("https://www.other.org/bad",)], "url string"))) == ["allow", "block", "allow"]
+
+
 def test_html_extraction(spark):
     page = '<html><head><title>T{i}</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy {i}</div>{body}<div class="notice">Cookies here</div><aside>Side</aside><footer>&copy; X</footer></body></html>'
     article = "<article><h1>Title {i}</h1><p><b>Bold &amp;  text\n{i}<br>more<p>Second &eacute;<form>no</form><section class='comments'><p>Reader</p></section></article>"
