@@ -3,7 +3,7 @@
 Pages of one host come from few templates. A page is taken as tokens: its structural tags with their path of enclosing
 elements, and its text chunks with theirs. For each host, tokens are grouped by their occurrence vector: how often
 they occur on each page. Tokens that one template piece writes have equal vectors. A class is valid if it has at
-least two tokens and is found on at least half of the host's pages (three or more); valid classes hold each other as
+least two tokens and is found on at least half of the host's distinct pages (three or more); valid classes hold each other as
 their elements do, and together are the host's template. What remains of a page between template tokens are its slots.
 
 A slot's text is main text unless it stands in a part that isn't the article by its element or by the words of its
@@ -11,13 +11,13 @@ class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, c
 (article, main), only slots in it count; there, headings and paragraphs are kept even if all pages share them, other
 constant chunks go as notices. Without such a mark, constant chunks go and so do list items that are only links.
 
-Occurrence vectors are never held: the XOR over pages of a hash of page and count stands for one, and is a partial
-aggregate. At most twice the mean number of tokens of a page can be on half of the pages, so a host's template is
+Occurrence vectors are never held: the XOR over distinct pages of a hash of page and count stands for one, and is a
+partial aggregate. Pages of equal html on a host count once, else many copies of one page would be its template; they
+are found by digest and meet as lists of token hashes, not as html. At most twice the mean number of tokens of a page can be on half of the pages, so a host's template is
 small whatever the number of its pages; templates are broadcast while there are at most `broadcast_hosts` hosts.
 
 Defined cases: null and empty html give an empty text; broken, cut and unclosed mark-up is read as browsers do, roughly;
-a null url is the host ''; hosts of fewer than three pages have no template, so only marks count; repeated rows are
-counted as pages; an empty table gives an empty result. Extra columns aren't read.
+a null url is the host ''; hosts of fewer than three distinct pages have no template, so only marks count; an empty table gives an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -158,24 +158,25 @@ def page_tokens(page: str) -> Counter:
     return Counter([_path_hash(t) for t in tags]) + Counter([chunk_token(c) for c in found])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-        for host, page_id, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for token, count in page_tokens(page or "").items():
-                v = vectors[host, token]
-                v[0] ^= _hash(f"{page_id}:{count}")
-                v[1] += 1
-        hosts, tokens = [k[0] for k in vectors], [k[1] for k in vectors]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), *[pa.array([v[i] for v in vectors.values()], pa.int64()) for i in (0, 1)]], names=["host", "token", "vector", "pages"])
+        seen: dict[tuple[str, bytes], Counter] = {}
+        for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            key = host, hashlib.blake2b((page or "").encode("utf-8", "replace"), digest_size=16).digest()
+            if key not in seen:
+                seen[key] = page_tokens(page or "")
+        columns = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary())]
+        columns += [pa.array([list(c) for c in seen.values()], pa.list_(pa.int64())), pa.array([list(c.values()) for c in seen.values()], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "digest", "tokens", "counts"])
 
 
 def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
-    """host, template: the tokens of its valid classes."""
-    named = pages.select(host_path(F.col("url"))[0].alias("host"), "page_id", "html")
-    each = named.mapInArrow(_occurrences, "host string, token long, vector long, pages long")
-    tokens = each.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages)
-    total = named.groupBy("host").agg(F.count("*").alias("host_pages"))
+    """host, template: the tokens of its valid classes, over distinct pages."""
+    named = pages.select(host_path(F.col("url"))[0].alias("host"), "html")
+    each = named.mapInArrow(_page_digests, "host string, digest binary, tokens array<long>, counts array<int>").groupBy("host", "digest").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
+    occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"))
+    tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    total = each.groupBy("host").agg(F.count("*").alias("host_pages"))
     frequent = tokens.join(total, "host").where(F.col("pages") >= least_share * F.col("host_pages"))
     classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least_tokens)
     return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))

@@ -255,6 +255,17 @@ def test_html_extraction(spark):
     assert (got[20].text, got[21].text, got[22].text) == ("", "", "Cut &am") and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_copies_of_a_page_are_not_its_template(spark):
+    page = "<html><body><div>Menu of all</div><div>About us</div><p>{}</p><p>{}</p></body></html>"
+    rows = [(i, "http://h.com/1", page.format("First copied", "Second copied")) for i in range(7)] + [(10, "http://h.com/1", page.format("First copied", "Second copied"))] * 2
+    rows += [(20 + i, f"http://h.com/{i}", page.format(f"First {i}", f"Second {i}")) for i in range(3)]
+    rows += [(30 + i, "http://g.com/1", page.format("Only", "this")) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "First copied\nSecond copied" for i in (*range(7), 10))
+    assert all(got[20 + i] == f"First {i}\nSecond {i}" for i in range(3))
+    assert all("Only\nthis" in got[30 + i] for i in range(3))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
