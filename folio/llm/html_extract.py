@@ -6,8 +6,9 @@ they occur on each page. Tokens that one template piece writes have equal vector
 least two tokens and is found on at least half of the host's distinct pages (three or more); valid classes hold each other as
 their elements do, and together are the host's template. What remains of a page between template tokens are its slots.
 
-A slot's text is main text unless it stands in a part that isn't the article by its element or by the words of its
-class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, comments). If the page marks its article
+A slot's text is main text unless it stands in a part that isn't the article by its element or by a name in its class,
+id or role that consists of such words alone (menus, headers, footers, sidebars, notices, adverts, forms, comments).
+The page itself, and what holds or is the page's only article, is no such part. If the page marks its article
 (article, main), only slots in it count; there, headings and paragraphs are kept even if all pages share them, other
 constant chunks go as notices. Without such a mark, constant chunks go and so do list items that are only links.
 
@@ -54,6 +55,8 @@ ASIDE_WORDS = frozenset(
     "notice notices alert popup promo promoted related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
 MAIN_WORDS = frozenset("article main".split())
+#: Never aside.
+PAGE = frozenset("html body".split())
 SPACES = re.compile(r"\s+")
 
 
@@ -70,18 +73,48 @@ class Chunk(NamedTuple):
 @lru_cache(maxsize=4_096)
 def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
     """An element's name in paths, whether it marks the article, and whether it is aside of it."""
-    words, label = set(), name
+    names, label = [], name
     for kind, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
-        words |= {w for w in re.split(r"[\s_-]+", value) if w}
+        names += [words for n in value.split() if (words := {w for w in re.split(r"[_-]+", n) if w})]
         label += f" {kind.lower()}={value}"
-    return label, name in MAIN_WORDS or bool(words & MAIN_WORDS and not words & ASIDE_WORDS), name in ASIDE or name == "header" or bool(words & ASIDE_WORDS)
+    main = name in MAIN_WORDS or any(words & MAIN_WORDS and not words & ASIDE_WORDS for words in names)
+    return label, main, name not in PAGE and (name in ASIDE or name == "header" or any(words <= ASIDE_WORDS for words in names))
+
+
+class Aside(NamedTuple):
+    """An element aside of the article by its own mark-up."""
+
+    name: str
+    above: tuple[int, ...]
+    mains: tuple[int, ...]
+    in_article: bool
+    holds: list[int]
+
+
+def _lifted(asides: list[Aside], blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], tuple[int, ...], bool]]) -> set[int]:
+    """The asides that don't count: from outside in, those that hold an article mark where the page has none beside them; and if no text is left, its forms.
+
+    In an <article>, and where an article's text stands elsewhere, such marks are comments or teasers.
+    """
+    lifted: set[int] = set()
+    while True:
+        free = {m for b in blocks if lifted.issuperset(b[3]) for m in b[2]}
+        more = {i for i, a in enumerate(asides) if i not in lifted and lifted.issuperset(a.above) and a.holds and not a.in_article and free <= {*a.mains, *a.holds}}
+        if not more:
+            break
+        lifted |= more
+    if not any(lifted.issuperset(b[3]) and not b[4] for b in blocks):
+        lifted |= {i for i, a in enumerate(asides) if a.name == "form" and lifted.issuperset(a.above)}
+    return lifted
 
 
 def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
     """The page's blocks of text in order, and the paths of its structural tags in order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, in the article, aside
-    found: list[Chunk] = []
+    stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = []  # name, label, numbers of the article marks and of the asides above and here
+    above: list[tuple[int, ...]] = []  # of each article mark, the asides above it
+    asides: list[Aside] = []
+    blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], tuple[int, ...], bool]] = []
     tags: list[tuple[str, ...]] = []
     text: list[str] = []
     links = [0, 0, 0]  # open links, letters, letters in links
@@ -90,8 +123,8 @@ def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
         if text:
             joined = SPACES.sub(" ", entities.unescape("".join(text))).strip()
             if joined:
-                top = stack[-1] if stack else ("", "", False, False)
-                found.append(Chunk(joined, tuple(s[1] for s in stack), top[2], top[3], links[1] > 0 and links[2] == links[1]))
+                top = stack[-1] if stack else ("", "", (), ())
+                blocks.append((joined, tuple(s[1] for s in stack), top[2], top[3], links[1] > 0 and links[2] == links[1]))
             text.clear()
         links[1] = links[2] = 0
 
@@ -130,16 +163,25 @@ def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
         while stack and stack[-1][0] in ENDS.get(name, ()):
             stack.pop()
         label, is_main, is_aside = _element(name, m[4])
-        main, aside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        if name == "header" and main:
+        mains, outer = (stack[-1][2], stack[-1][3]) if stack else ((), ())
+        if name == "header" and mains:
             is_aside = False  # an article's own heading
         if name not in VOID:
-            stack.append((name, label, main or is_main and not aside, aside or is_aside))
+            own = (*outer, len(asides)) if is_aside else outer
+            if is_aside:
+                asides.append(Aside(name, outer, mains, any(s[0] == "article" for s in stack), []))
+            if is_main:
+                for i in own:
+                    asides[i].holds.append(len(above))
+                mains = (*mains, len(above))
+                above.append(outer)
+            stack.append((name, label, mains, own))
             tags.append(tuple(s[1] for s in stack))
     if at < len(page):
         say(page[at:])
     flush()
-    return found, tags
+    lifted = _lifted(asides, blocks)
+    return [Chunk(t, path, any(lifted.issuperset(above[m]) for m in mains), not lifted.issuperset(own), linked) for t, path, mains, own, linked in blocks], tags
 
 
 def _hash(value: str) -> int:

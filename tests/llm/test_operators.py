@@ -266,6 +266,26 @@ def test_copies_of_a_page_are_not_its_template(spark):
     assert all("Only\nthis" in got[30 + i] for i in range(3))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='page has-sidebar'><p>Text</p></body>",
+        "<body class='cookie-consent sidebar'><article><p>Text</p></article></body>",
+        "<div id='main' class='content with-sidebar'><p>Text</p></div>",
+        "<article class='post search-result'><p>Text</p></article>",
+        "<article class='search'><p>Text</p></article>",
+        "<body><form><nav>Menu</nav><article><p>Text</p></article></form></body>",
+        "<body><form><nav>Menu</nav><p>Text</p></form><footer>Foot</footer></body>",
+        "<form><main><article><p>Text</p><div class='comments'><article>Reader</article></div></article></main></form>",
+        "<main><article><p>Text</p></article><div id='comments'><article class='comment'>Reader</article></div></main>",
+        "<article><p>Text</p></article><aside><article>Teaser</article></aside><form><p>Mail</p></form>",
+        "<main><div class='cookie-banner'>Cookies</div><p>Text</p></main>",
+    ],
+)
+def test_wrappers_are_not_aside(page):
+    assert html_extract.main_text(page, frozenset()) == "Text"
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
