@@ -3,13 +3,14 @@
 Pages of one host come from few templates. A page is taken as tokens: its structural tags with their path of enclosing
 elements, and its text chunks with theirs. For each host, tokens are grouped by their occurrence vector: how often
 they occur on each page. Tokens that one template piece writes have equal vectors. A class is valid if it has at
-least two tokens and is found on at least half of the host's distinct pages (three or more); valid classes hold each other as
-their elements do, and together are the host's template. What remains of a page between template tokens are its slots.
+least two tokens and is found on at least half of the host's distinct pages (three or more); the
+tokens of the valid classes together are the host's template. Classes are neither ordered nor nested, and slots aren't cut
+between template tokens: the template only tells which chunks are constant, and rules of elements and names decide first.
 
-A slot's text is main text unless it stands in a part that isn't the article by its element or by a name in its class,
+A chunk's text is main text unless it stands in a part that isn't the article by its element or by a name in its class,
 id or role that consists of such words alone (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 The page itself, and what holds or is the page's only article, is no such part. If the page marks its article
-(article, main), only slots in it count; there, headings and paragraphs are kept even if all pages share them, other
+(article, main), only chunks in it count; there, headings and paragraphs are kept even if all pages share them, other
 constant chunks go as notices. Without such a mark, constant chunks go and so do list items that are only links.
 
 Occurrence vectors are never held: the XOR over distinct pages of a hash of page and count stands for one, and is a
@@ -225,7 +226,7 @@ def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3,
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """The page's slots that are main text, joined by line feeds."""
+    """The page's chunks that are main text, joined by line feeds."""
     found, _ = chunks(page)
     marked = any(c.main and not c.aside for c in found)
     out = []
