@@ -80,10 +80,21 @@ def _numbered(out: DataFrame, by, most: int, order: str) -> DataFrame:
     return _top(out, by, ("i",), most, "question_no").select(*by, "question_no", "question", "options", "correct_index", "explanation", order)
 
 
+def _needed(pools: DataFrame, by, order: str, most: int) -> DataFrame:
+    """The passages that the questions of a chapter's first `most` ones can need, a fixed number however long it is.
+
+    A question takes three passages with a new point. A list of points gives at most three, and while fewer than four are
+    taken at most 15 different lists give none; so past the first `most` passages three of each of 18 lists are enough.
+    """
+    alike = Window.partitionBy(*by, F.transform("p", F.lower)).orderBy(order)
+    near = pools.withColumn("_alike", F.row_number().over(alike)).where(F.col("_alike") <= most + 3).drop("_alike")
+    return _top(near, by, (order,), most + 18 * (most + 3), "_place").drop("_place")
+
+
 def quiz_points(paras: DataFrame, by, order: str, most: int = 18) -> DataFrame:
     """As quiz_glossary, asking which statement a passage makes; each wrong one is the first new point of another passage."""
     pools = paras.select(*by, order, label(F.col(order)).alias("label"), points(3).alias("p")).where(F.size("p") > 0)
-    ring = pools.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "label", "p"))).alias("e"))
+    ring = _needed(pools, by, order, most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "label", "p"))).alias("e"))
     each = ring.select(*by, F.transform("e", lambda x: x["p"]).alias("ring"), F.posexplode(F.slice("e", 1, most)).alias("i", "x"))
     after = F.concat(F.slice("ring", F.col("i") + 2, F.size("ring")), F.slice("ring", F.lit(1), F.col("i")))
     correct = F.get("x.p", F.lit(0))

@@ -103,6 +103,22 @@ def test_artefacts(spark):
     assert (score.answered, score.correct) == (8, 8)
 
 
+def test_quiz_points_needs_few_passages(spark):
+    said = ["The first point is said here", "A second point is said here", "One third point is said here", "Some fourth point is said here", "Every fifth point is said here"]
+    rows = [("b", i, [said[0], said[1]] if i < 900 else [said[2 + i % 3]]) for i in range(1_000)]
+    frame = spark.createDataFrame(rows, "book string, para int, remember array<string>")
+    paras = frame.withColumns({c: F.lit("") for c in ("summary", "accessible", "original", "section")} | {"key_points": F.array().cast("array<string>")})
+    assert artefacts._needed(frame.withColumnRenamed("remember", "p"), ["book"], "para", 18).count() == 21 + 3 * 21
+    got = artefacts.quiz_points(paras, ["book"], "para").orderBy("question_no").collect()
+    assert len(got) == 18 and [r.para for r in got] == list(range(18))
+    for r in got:
+        acc = [said[0]]
+        for _, _, p in rows[r.para + 1 :] + rows[: r.para]:
+            acc += [v for v in p if v not in acc][:1] if len(acc) < 4 else []
+        k = (r.para + 1) % 4
+        assert r.options == acc[k:] + acc[:k] and r.explanation == said[0]
+
+
 def test_sinks(spark, tmp_path):
     paras = study(spark).withColumn("title", F.lit("Cap <1>"))
     html = sinks.chapter_html(paras, ["book"], "para", "title").first().html
