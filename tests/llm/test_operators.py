@@ -131,9 +131,34 @@ def test_near_duplicates(spark, docs, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs.where("doc_id is not null")).collect()}
     assert got == _near([(r[0], r[1]) for r in ROWS])
     assert ngram_join.near_duplicates(empty).count() == 0
-
-
-def test_near_duplicates_of_a_large_group(spark):
+    # rows without a doc_id are linked, but name no component
+    every = spark.createDataFrame([(5, BASE), (None, BASE + " two"), (None, "alone without a name here"), (9, BASE + " extra"), (None, None)], "doc_id long, text string")
+    rows = sorted(map(repr, ((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(every).collect())))
+    assert rows == sorted(map(repr, [(5, 5), (None, 5), (None, None), (9, 5), (None, None)]))
+
+
+def _thue_morse(rounds, a, b):
+    x = a
+    for _ in range(rounds):
+        x += x.translate(str.maketrans(a + b, b + a))
+    return x
+
+
+def test_hashes_of_patterned_texts_differ(spark):
+    for rounds in (9, 11, 12):
+        one, two = _thue_morse(rounds, "a", "b"), _thue_morse(rounds, "b", "a")
+        texts = pa.array([one, two, f"{one}\n{two}\n{one}"])
+        data, offsets = textkit.utf8(texts)
+        hashes = textkit.hash_spans(data, *textkit.spans(data, offsets)[:2])
+        assert hashes[0] != hashes[1] and list(hashes[2:]) == [hashes[0], hashes[1], hashes[0]]
+        assert list(quality_rules.counts(texts)["n_dup_lines"]) == [0, 0, 1]
+        docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("tile", [2_048, 16])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
     base = list(rng.choice(words, 120))
