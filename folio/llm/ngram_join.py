@@ -12,9 +12,12 @@ on the blocks or their sizes. The steps:
 
 1. Each task hashes its documents' shingles and sends them, packed, to hash buckets, which count them; the shared ones
    go back to the batch they came from, where each node's block shingles are chosen. No text is shuffled.
-2. In blocks larger than `star_from`, the nodes are first compared with the block's most central one. The links found
-   join most of a large group of near copies, so that its pairs needn't all be tried.
-3. In each block, nodes that aren't yet joined are searched for in R-trees; large blocks are dealt out in tiles.
+2. Each block is led by its most central node, that with the least share of shingles of its own. Blocks of one leader
+   are one group, so that a node goes to few groups, with its set, however many blocks it is in. Each node is compared
+   with the leaders of its groups; the links found join most of a large group of near copies.
+3. In groups that are still in several parts, nodes outside the largest part are searched for in R-trees, by tiles of
+   bounded size. Pairs found are verified in the tile, and those that are joined already are passed over, so that a tile
+   gives fewer links than it has nodes.
 4. Components of all links, in DataFrame operations.
 
 Batches keep the order of their input, so `docs` should come from a file scan or another plan with a fixed row order.
@@ -47,8 +50,6 @@ BATCH_BYTES, BATCH_NODES = 1 << 23, 60_000
 LEAF, TILE = 16, 2_048
 #: A coordinate's largest stored value; it stands for that or more, and two of them bound nothing.
 MANY = 65_535
-#: Of each node's blocks, so many are known where pairs are found, to give a pair once and not in each block it shares.
-HEADS = 16
 #: Bits of a shingle's hash that travel beside its bucket's number.
 REST = 40
 
@@ -112,7 +113,7 @@ def _scatter(buckets: int, k: int):
         group = (flat >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64)
         points = np.minimum(np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS), MANY).astype(np.uint16)
         head = b"".join(nodes) + np.array([len(s) for s in sets], np.uint32).tobytes() + points.tobytes()
-        yield -1 - number % buckets, number, 0, len(sets), head
+        yield -1 - int(tk.mix(np.array([number], np.uint64))[0] % np.uint64(buckets)), number, 0, len(sets), head
         bucket = (flat & np.uint64(buckets - 1)).astype(np.int64)
         rest = (flat >> shift) & np.uint64((1 << REST) - 1)
         order = np.argsort(bucket, kind="stable")
@@ -247,106 +248,135 @@ def coordinates(stored: np.ndarray) -> np.ndarray:
     return np.where(stored == MANY, 1 << 40, stored.astype(np.int64))
 
 
-def _matrix(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
-    """A numpy row for each row of a list or binary column."""
-    c = column.combine_chunks()
-    if pa.types.is_binary(c.type):
-        return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, width)
-    return c.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
-
-
-PAIRS = "a binary, b binary"
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-
-def _search_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of a probe and a node of the same tile of a block, not yet joined, that may link."""
-    where = np.stack([table[c].to_numpy() for c in ("block", "tile", "probe_tile")])
-    order = np.lexsort(where[::-1])
-    where = where[:, order]
-    table = table.take(pa.array(order))
-    probe, n = table["probe"].to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.int64)
-    points, nodes, roots = coordinates(_matrix(table["point"], GROUPS, np.uint16)), _matrix(table["node"], 2, np.uint64), _matrix(table["root"], 2, np.uint64)
-    heads, pos = _matrix(table["heads"], HEADS, np.int64), table["pos"].to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(0)]))
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for start, end in zip(first, [*first[1:], len(n)], strict=True):
-        rows = np.arange(start, end)
-        seekers, held = rows[probe[start:end]], rows[~probe[start:end]]
-        if not len(seekers) or not len(held):
+LINKS = "a binary, b binary"
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in range(2)], schema=_LINKS)
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of nodes to their group's leader; rows come in order of groups, each led by its leader."""
+    name, size, point, own = None, 0, None, None
+    for batch in batches:
+        found = []
+        for leader, node, n, stored, shared in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leader", "node", "n", "point", "shared")), strict=True):
+            at, held = coordinates(np.frombuffer(stored, np.uint16)), np.frombuffer(shared, np.uint64)
+            if leader == node:
+                name, size, point, own = node, n, at, held
+            elif name != leader:
+                raise ValueError("a group without its leader")
+            elif may_link(int(np.minimum(at, point).sum()), n, size, size) and similar(len(np.intersect1d(held, own, assume_unique=True)), n, size):
+                found.append((leader, node))
+        yield _links(found)
+
+
+def tile_links(nodes: list[bytes], roots: list[bytes], n: np.ndarray, points: np.ndarray, sets: list[np.ndarray], probe: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links between roots that, with what is joined already, join all similar pairs of a probe and a held node."""
+    index = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    names, part = list(index), np.array([index[r] for r in roots])
+    seekers, held = np.flatnonzero(probe), np.flatnonzero(~probe)
+    if not len(seekers) or not len(held):
+        return []
+    lengths = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    tree, marked, found = CountTree(points[held], n[held]), np.zeros(len(codes) + 1, bool), []
+    for s in seekers:
+        hits = held[tree.search(points[s], n[s])]
+        hits = hits[part[hits] != part[s]]
+        if not len(hits):
             continue
-        tree = CountTree(points[held], n[held])
-        for s in seekers:
-            hits = held[tree.search(points[s], n[s])]
-            hits = hits[(roots[hits] != roots[s]).any(1)]
-            # a block that both have earlier in their common order gives the pair already
-            hits = hits[~np.isin(heads[hits], heads[s, : pos[s]]).any(1)]
-            found.append((np.full(len(hits), s), hits))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    names = table["node"].combine_chunks().to_pylist()
-    pairs = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-    return pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, _PAIRS)
-
-
-def star_pairs(blocks: DataFrame, sizes: DataFrame, star_from: int) -> DataFrame:
-    """In blocks of more than `star_from` nodes, pairs of each node and the most central one: that with the least share of own shingles."""
-    large = blocks.join(sizes.where(F.col("held") > star_from).select("block"), "block")
-    centre = large.groupBy("block").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
-    both = large.join(centre, "block").where("node <> c.node and 4 * n >= 3 * c.n and 4 * c.n >= 3 * n")
-    return both.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-
-
-def tree_pairs(blocks: DataFrame, roots: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """All pairs of not yet joined nodes in a block that may link, found by R-tree search.
-
-    Of each block, all nodes are held, and those outside its largest component are searched for; any pair of different
-    components has such a node. Tiles of both keep each tree and each list of probes bounded.
+        own = codes[edges[s] : edges[s + 1]]
+        marked[own] = True
+        first = np.cumsum(lengths[hits]) - lengths[hits]
+        flat = np.arange(lengths[hits].sum()) + np.repeat(edges[hits] - first, lengths[hits])
+        overlap = np.add.reduceat(marked[codes[flat]].astype(np.int64), first)
+        marked[own] = False
+        for h in hits[similar(overlap, n[hits], n[s])]:
+            if part[h] != part[s]:
+                found.append((names[part[s]], names[part[h]]))
+                part[part == part[h]] = part[s]
+    return found
+
+
+def _search_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links found in each tile; rows come in order of tiles, and one tile is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def search() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        nodes, roots, points, shared = (t[c].to_pylist() for c in ("node", "root", "point", "shared"))
+        at = coordinates(np.frombuffer(b"".join(points), np.uint16)).reshape(-1, GROUPS)
+        return _links(tile_links(nodes, roots, t["n"].to_numpy().astype(np.int64), at, [np.frombuffer(x, np.uint64) for x in shared], t["probe"].to_numpy(zero_copy_only=False)))
+
+    now = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leader", "tile", "probe_tile")), strict=True))
+        start = 0
+        for i, key in enumerate(keys):
+            if key != now:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield search()
+                held, now, start = [], key, i
+        held.append(batch.slice(start))
+    if held:
+        yield search()
+
+
+def groups_of(blocks: DataFrame) -> DataFrame:
+    """leader, node: each node beside the leaders of its blocks; a leader is beside itself too."""
+    led = blocks.groupBy("block").agg(F.min(F.struct("lone", "node")).alias("c"), F.count("*").alias("held")).where("held > 1").select("block", F.col("c.node").alias("leader"))
+    return blocks.select("block", "node").join(led, "block").select("leader", "node").distinct()
+
+
+def star_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of each node with the leaders of its groups; groups are dealt out in tiles, each with the leader."""
+    tiles = groups.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    members = groups.where("node <> leader").join(tiles, "leader").select("leader", "node", F.expr("pmod(xxhash64(node), tiles)").cast("int").alias("tile"))
+    leaders = tiles.select("leader", F.col("leader").alias("node"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"))
+    rows = members.union(leaders).join(nodes.select("node", "n", "point", "shared"), "node")
+    return rows.repartition("leader", "tile").sortWithinPartitions("leader", "tile", F.col("node") != F.col("leader")).select("leader", "node", "n", "point", "shared").mapInArrow(_star, LINKS)
+
+
+def tree_links(groups: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between roots that join all similar pairs of a group that `roots` doesn't.
+
+    Of each group, all nodes are held, and those outside its largest part are searched for; any pair of different
+    parts has such a node. Tiles of both keep each tree and each list of probes bounded.
     """
-    known = blocks.select("block", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    each = known.groupBy("block", "root").agg(F.count("*").alias("c"))
-    sizes = each.groupBy("block").agg(F.sum("c").alias("held"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    sizes = sizes.select("block", F.ceil(F.col("held") / TILE).cast("int").alias("tiles"), F.ceil((F.col("held") - F.col("main.c")) / TILE).cast("int").alias("probe_tiles"), F.col("main.root").alias("main"))
-    heads = F.slice(F.concat("blocks", F.array_repeat(F.get("blocks", F.lit(0)), HEADS)), 1, HEADS)
-    open_ = known.join(sizes, "block").join(nodes.select("node", "n", "point", heads.alias("heads")), "node")
-    columns = ["block", "pos", "node", "n", "point", "heads", "root"]
-    held = open_.select(*columns, F.lit(False).alias("probe"), F.expr("pmod(xxhash64(node, 1), tiles)").cast("int").alias("tile"), F.explode(F.expr("sequence(0, probe_tiles - 1)")).alias("probe_tile"))
-    probes = open_.where("root <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(node, 2), probe_tiles)").cast("int").alias("probe_tile"))
-    dealt = held.select(*columns, "probe", "tile", "probe_tile").union(probes.select(*columns, "probe", "tile", "probe_tile"))
-    return dealt.groupBy(F.expr(f"pmod(xxhash64(block, tile, probe_tile), {parts})")).applyInArrow(_search_blocks, PAIRS).distinct()
-
-
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose exact overlap is enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
-            keep = [similar(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), n, m) for x, y, n, m in zip(sa, sb, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(side, keep, strict=True) if k], pa.binary()) for side in (a, b)], names=["a", "b"])
-
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, PAIRS)
-
-
-def node_links(docs: DataFrame, k: int = WORDS, star_from: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes that, with their components, give all components; and the components (node, root)."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = known.groupBy("leader", "root").agg(F.count("*").alias("c"))
+    sizes = each.groupBy("leader").agg(F.sum("c").alias("held"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("leader", F.ceil(F.col("held") / TILE).cast("int").alias("tiles"), F.ceil((F.col("held") - F.col("main.c")) / TILE).cast("int").alias("probe_tiles"), F.col("main.root").alias("main"))
+    open_ = known.join(sizes, "leader")
+    held = open_.select("leader", "node", "root", F.lit(False).alias("probe"), F.expr("pmod(xxhash64(node, 1), tiles)").cast("int").alias("tile"), F.explode(F.expr("sequence(0, probe_tiles - 1)")).alias("probe_tile"))
+    probes = open_.where("root <> main").select("leader", "node", "root", F.lit(True).alias("probe"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(node, 2), probe_tiles)").cast("int").alias("probe_tile"))
+    rows = held.unionByName(probes).join(nodes.select("node", "n", "point", "shared"), "node")
+    tile = ["leader", "tile", "probe_tile"]
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_search_tiles, LINKS)
+
+
+def node_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """node, root: the least node of each component, for the nodes that have a link."""
     nodes, drop = stored(candidates(docs, k))
-    blocks = nodes.select("node", "n", "lone", F.posexplode("blocks").alias("pos", "block"))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("held")).where("held > 1")
-    links = verified(star_pairs(blocks, sizes, star_from), nodes)
-    roots = components(links)
-    rest = verified(tree_pairs(blocks, roots, nodes, parts), nodes)
-    every = cut(rest.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    groups, drop_groups = stored(groups_of(nodes.select("node", "lone", F.explode("blocks").alias("block"))))
+    roots = components(star_links(groups, nodes))
+    later = components(tree_links(groups, roots, nodes))
     drop()
-    return every, components(every)
+    drop_groups()
+    moved = later.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    joined = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return joined.union(later.join(roots.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), a row for each document."""
     measured = cut(measure(docs, k))
-    _, roots = node_links(docs, k)
+    roots = node_components(docs, k)
     least = measured.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
