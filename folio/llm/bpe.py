@@ -6,9 +6,10 @@ these two), else the next shorter one, and steps back over the token before when
 encoding leads on are marked, so no position is tried twice. The result is exactly what merging pairs in rank
 order gives, since all neighbours of a true encoding are compatible and no other tiling has that property.
 
+Most pieces need no step back: their leftmost longest matches, which the automaton gives in one pass, all fit together.
 Pieces come from the pre-tokenising pattern of byte-level vocabularies; encodings of recent pieces, and of the parts
-between spaces, are kept in two tables of at most `PIECES` entries for each Python worker, known pairs in one of at
-most `PAIRS`.
+between spaces, are kept in two tables of two generations of at most `PIECES` entries for each Python worker: when the
+newer one is full, the older one goes, so that frequent pieces stay. Known pairs are kept likewise, `PAIRS` at most.
 
 The vocabulary is a file of the tokenizers library (JSON, byte-level BPE), found by name or path on the executors; it
 is never trained or copied here. Special tokens standing in a text become their ids, as in the library's default.
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from folio.llm.frames import for_workers
 
 VOCABULARY = "byte_bpe_50k.json"
-PIECES = 100_000
-PAIRS = 300_000
+PIECES = 150_000
+PAIRS = 200_000
 #: Rows handled at once.
 ROWS = 500
 #: Fixed value: how byte-level vocabularies of this kind part a text into pieces; white space is Unicode's property.
@@ -62,6 +63,27 @@ def byte_letters() -> list[str]:
     return out
 
 
+class Recent:
+    """A table of recent values: two generations of at most `most` entries; what is asked for moves to the newer one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def keep(self, key, value):
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+        return value
+
+    def older(self, key):
+        """The value of a key that the newer generation doesn't have; None if the older one hasn't either."""
+        value = self.old.get(key)
+        return value if value is None else self.keep(key, value)
+
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
+
 class Encoder:
     """One vocabulary, ready to encode pieces; each worker makes its own from the file."""
 
@@ -93,15 +115,14 @@ class Encoder:
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.tokens]
         self.shorter = [self._next_shorter(t.decode("latin-1")) for t in self.tokens]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible, self.seen, self.after_space = Recent(PAIRS), Recent(PIECES // 4), Recent(PIECES)
         self.alone: dict[int, bool] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.after_space: dict[str, tuple[int, ...]] = {}
         self.mixed_space = regex.compile(r"^ | $| \p{White_Space}|\p{White_Space} ")
         self.pieces = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
+        self.marks = {c: self.encode_piece(c) for c in ".,;:!?\n"}
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])])
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
@@ -117,12 +138,11 @@ class Encoder:
         Both tokens are unmade from the last merge backwards along the edges that touch. If at some stage the two
         edge tokens would merge, earlier than the merge that replaced one of them, the boundary would have been lost.
         """
-        known = self.compatible.get((left, right))
+        pair = (left, right)
+        known = self.compatible.new.get(pair)
         if known is None:
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self._pair_fits(left, right)
-        return known
+            known = self.compatible.older(pair)
+        return self.compatible.keep(pair, self._pair_fits(left, right)) if known is None else known
 
     def _pair_fits(self, left: int, right: int, until: int | None = None) -> bool:
         a, b = left, right
@@ -142,32 +162,28 @@ class Encoder:
                 until, b, replaced_right = rb, self.parts[b][0], True
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        text = piece.encode().decode("latin-1")  # a letter for each byte
-        n, size, shorter, compatible = len(text), self.size, self.shorter, self.compatible
-        # matches come by rising end, so the last for a start is the longest
-        longest = {end - tail: token for end, (token, tail) in self.automaton.iter(text)}
-        if len(longest) < n:
-            raise ValueError("a byte isn't in the vocabulary")
-        token = longest[0]
-        if size[token] == n:
-            return (token,) if self.rank[token] < 0 or self._stands_alone(token) else self._search(longest, n)
-        out, at, last = [token], size[token], token
-        while True:  # the common case: no step back
-            token = longest[at]
-            while True:
-                fits = compatible.get((last, token))
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")  # a letter for each byte
+        out, last, at, known, size = [], -1, 0, self.compatible.new, self.size
+        for _, (token, _) in self.automaton.iter_long(text):
+            if last >= 0:
+                fits = known.get((last, token))
                 if fits is None:
                     fits = self.pair_fits(last, token)
-                if fits:
-                    break
-                token = shorter[token]
-                if token < 0:
-                    return self._search(longest, n)
+                if not fits:
+                    return self._search(text, out, at, self.shorter[token])
+            elif self.rank[token] >= 0 and not self._stands_alone(token):
+                return self._search(text, out, 0, self.shorter[token])
             out.append(token)
             at += size[token]
-            if at == n:
-                return tuple(out)
             last = token
+        if at < len(text):
+            raise ValueError("a byte isn't in the vocabulary")
+        return tuple(out)
+
+    def _longest(self, text: str) -> dict[int, int]:
+        """The longest token that starts at each position."""
+        # matches come by rising end, so the last for a start is the longest
+        return {end - tail: token for end, (token, tail) in self.automaton.iter(text)}
 
     def _stands_alone(self, token: int) -> bool:
         """Whether merging a token's bytes gives the token: its two parts fit together until their own merge, and each stands alone."""
@@ -177,28 +193,34 @@ class Encoder:
             known = self.alone[token] = self._pair_fits(a, b, self.rank[token]) and all(self.rank[x] < 0 or self._stands_alone(x) for x in (a, b))
         return known
 
-    def _search(self, longest: dict[int, int], n: int) -> tuple[int, ...]:
-        """The full search: from a position that no encoding leads on from, step back over the token before."""
-        alive = bytearray([1]) * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
+    def _search(self, text: str, out: list[int], at: int, token: int) -> tuple[int, ...]:
+        """Goes on at position `at` with `token`, then shorter ones; from a position that no encoding leads on from, back over the token before."""
+        longest, n, size, shorter, rank, known = self._longest(text), len(text), self.size, self.shorter, self.rank, self.compatible.new
+        alive = bytearray(b"\1") * (n + 1)
+        last = out[-1] if out else -1
         while True:
             while token >= 0:
-                end = at + self.size[token]
-                if alive[end] and (not out or self.pair_fits(out[-1], token)) and (out or self.rank[token] < 0 or self._stands_alone(token)):
-                    break
-                token = self.shorter[token]
+                end = at + size[token]
+                if alive[end]:
+                    if last < 0:
+                        fits = rank[token] < 0 or self._stands_alone(token)
+                    else:
+                        fits = known.get((last, token))
+                        if fits is None:
+                            fits = self.pair_fits(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return tuple(out)
-                token = longest[at]
+                last, at, token = token, end, longest[end]
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= self.size[token]
-                alive[at + self.size[token]] = 0
+                at -= size[token]
+                token, last = shorter[token], out[-1] if out else -1
 
     def encode(self, text: str) -> list[int]:
         if self.specials is not None and any(s in text for s in self.special):
@@ -213,28 +235,34 @@ class Encoder:
         if self.mixed_space.search(text):
             return list(self._by_pieces(text))
         first, *rest = text.split(" ")
-        found = [*map(self.after_space.get, rest)]
+        found = [*map(self.after_space.new.get, rest)]
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
-                    found[i] = self._kept(self.after_space, rest[i], self._by_pieces(" " + rest[i]))
+                    found[i] = self.after_space.older(rest[i]) or self._after_space(rest[i])
         return list(chain(self._by_pieces(first), chain.from_iterable(found)))
 
+    def _after_space(self, word: str) -> tuple[int, ...]:
+        """The ids of a space and a part between spaces. Letters alone are one piece with the space; a mark after them is one of its own."""
+        if word.isalpha():
+            return self.after_space.keep(word, self.encode_piece(" " + word))
+        stem = word[:-1]
+        if stem.isalpha() and word[-1] in self.marks:
+            return (self.after_space.new.get(stem) or self.after_space.older(stem) or self._after_space(stem)) + self.marks[word[-1]]
+        left, line_feed, right = word.partition("\n")
+        if left and right and not right[0].isspace() and not left[-1].isspace():  # a line feed by itself is a piece
+            return (self.after_space.new.get(left) or self.after_space.older(left) or self._after_space(left)) + self.marks[line_feed] + self._by_pieces(right)
+        return self.after_space.keep(word, self._by_pieces(" " + word))
+
     def _by_pieces(self, text: str) -> tuple[int, ...]:
-        found = [self.seen.get(p) or self._kept(self.seen, p, self.encode_piece(p)) for p in self.pieces.findall(text)]
+        known = self.seen.new
+        found = [known.get(p) or self.seen.older(p) or self.seen.keep(p, self.encode_piece(p)) for p in self.pieces.findall(text)]
         return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
-    @staticmethod
-    def _kept(table: dict, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        if len(table) >= PIECES:
-            table.clear()
-        table[key] = ids
-        return ids
-
     def forget(self) -> None:
         """Free the tables of recent pieces; workers outlive the stage that filled them."""
-        self.seen.clear()
-        self.after_space.clear()
+        for table in (self.seen, self.after_space, self.compatible):
+            table.clear()
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
