@@ -1,13 +1,18 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-Base spans come from fixed patterns. The field labels words that hold a digit or an `@` as one of four kinds or none;
-all other words can only be none, so they need no node. Neighbouring words are linked in a chain, and each word also
-with the last earlier one that has the same digits or letters, however far away. Loopy belief propagation over both
-kinds of link makes repeated and similar words agree on a label across the document. Runs of words of one kind with
-a marginal of `sure` or more that touch no base span are added.
-
-The field is fitted piecewise on a bounded sample (the `sample` documents with candidate words and the least hashes)
-labelled by the base patterns: word weights by multinomial logistic regression, link weights from label counts.
+Base spans come from fixed patterns. The field labels words that hold a digit, an `@` or a written-out one (`[at]`) as one
+of five kinds (the four of the patterns, and secrets such as access tokens) or none; all other words can only be none,
+so they need no node. Neighbouring words are linked in a chain, and each word also with the last earlier one that has
+the same digits or letters, however far away. Loopy belief propagation over both kinds of link makes repeated and
+similar words agree on a label across the document. Runs of words of one kind with a marginal of `sure` or more
+that touch no base span are added.
+
+The field is fitted piecewise on a bounded sample (the `sample` documents with candidate words and the least hashes).
+Its labels are the base spans as they stand; the same documents with each base span disguised (a card number that
+fails its check, a phone number without `+`, `[at]` for `@`), still labelled; and again with things of other meaning in their
+places (dates, versions, shorter numbers, handles), labelled none. A long word of letters and digits that a cue such as
+`token =` introduces is labelled a secret. Words that look like a kind without any such evidence have no label. Word weights
+come from multinomial logistic regression, link weights from label counts.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole in linear time; repeated rows give
 repeated results; where the sample has no candidate words only base spans are found; an empty table gives an empty
@@ -17,11 +22,14 @@ result. Only doc_id and text are read. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +37,21 @@ from folio.llm import textkit as tk
 from folio.llm.frames import hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
+LABELS = (*KINDS, "secret")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HIT, SPACE = re.compile(r"[0-9@]"), re.compile(r"[\x20\x09-\x0D]")
+CANDIDATE = r"[0-9@]|[\[(]at[\])]"
+HIT, SPACE = re.compile(CANDIDATE), re.compile(r"[\x20\x09-\x0D]")
+AT = re.compile(r"@|[\[(]at[\])]")
+SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SECRET_CUES = frozenset("token key secret password passwd pwd apikey api_key bearer auth credential access_token".split())
+OTHER_CUES = frozenset("card visa mastercard credit phone tel telephone mobile fax call mail email contact ip host address".split())
 WHITE = " \t\n\x0b\f\r"
 NOT_DIGIT = re.compile(r"[^0-9]")
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 7}
+LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 7, "secret": 0}
 SAMPLE = 2_000
 SPAN = "array<struct<kind: string, start: int, end: int>>"
 
@@ -100,22 +114,40 @@ class Graph(NamedTuple):
     skip: np.ndarray
 
 
-N_FEATURES = 24
+def secret_part(word: str) -> re.Match | None:
+    """The longest run of a word that may be a secret: 16 or more letters and digits of both kinds."""
+    found = [m for m in SECRET.finditer(word) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return max(found, key=lambda m: len(m[0]), default=None)
 
 
 def word_features(word: str) -> list[float]:
     digits = NOT_DIGIT.sub("", word)
-    n, core = len(digits), word.strip(".,;:!?()[]\"'")
+    n, core = len(digits), word.strip(".,;:!?()[]\"'#*$%&|<>=")
     parts = core.split(".")
     dotted = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
-    local, at, domain = core.partition("@")
+    at = AT.search(core)
+    local, domain = (core[: at.start()], core[at.end() :]) if at else ("", "")
+    secret = secret_part(word)
     return [
         1.0, bool(at), bool(at and local and "." in domain.strip(".")), n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 12, 13 <= n <= 19, n > 19,
         core.isdigit(), dotted, dotted and all(len(p) <= 3 and int(p) <= 255 for p in parts), word.startswith("+"), "(" in word and ")" in word, "-" in core, "." in core,
-        any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits), len(core) - n > n,
+        any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits), len(core) - n > n, bool(secret), bool(secret and len(secret[0]) >= 24), core.count("-") == 2 and n == 8, core.isdigit() and 13 <= n <= 19,
     ]
 
 
+#: Places of features: of the word itself, then of what follows it, what is before it, and the words around it.
+PLUS, BRACKETS, DASH, SHAPED = 13, 14, 15, 20
+OWN = 24
+NEXT, NEXT_PHONE, JOINED, AFTER_PHONE, SECRET_CUE, OTHER_CUE = range(OWN, OWN + 6)
+N_FEATURES = OWN + 6
+
+
+def cues(text: str, start: int) -> tuple[bool, bool]:
+    """Whether the words shortly before a place name a secret, and whether they name another kind."""
+    before = [w.strip(".,;:!?()[]\"'=#*$%&").lower() for w in re.split(r"[\s=:]+", text[max(0, start - 40) : start])[-4:]]
+    return any(w in SECRET_CUES for w in before), any(w in OTHER_CUES for w in before)
+
+
 def graph(texts: list[str], docs: list[int]) -> Graph:
     owner, spans, rows, chain, skip = [], [], [], [], []
     for text, doc in zip(texts, docs, strict=True):
@@ -127,12 +159,14 @@ def graph(texts: list[str], docs: list[int]) -> Graph:
             joined = before is not None and not text[spans[before][1] : start].strip(WHITE)
             if joined:
                 chain.append((before, i))
-                rows[before][20:22] = [1.0, float(own[13] or own[14] or own[15])]
-            rows.append([*map(float, own), 0.0, 0.0, float(joined), float(joined and (rows[before][13] or rows[before][14] or rows[before][22] and rows[before][15]))])
+                rows[before][NEXT], rows[before][NEXT_PHONE] = 1.0, float(own[PLUS] or own[BRACKETS] or own[DASH])
+            after_phone = joined and (rows[before][PLUS] or rows[before][BRACKETS] or rows[before][JOINED] and rows[before][DASH])
+            rows.append([*map(float, own), 0.0, 0.0, float(joined), float(after_phone), *map(float, cues(text, start))])
             owner.append(doc)
             spans.append((start, end))
             digits = NOT_DIGIT.sub("", word)
-            key = digits if len(digits) >= 4 and "@" not in word else word.strip(".,;:!?()").lower()
+            secret = secret_part(word)
+            key = secret[0].lower() if secret else digits if len(digits) >= 4 and not AT.search(word) else word.strip(".,;:!?()").lower()
             if key in last:
                 skip.append((last[key], i))
             last[key] = before = i
@@ -156,14 +190,20 @@ class Field(NamedTuple):
         potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         messages = np.zeros((len(source), unary.shape[1]))
+        # each document stops by itself, so that its result doesn't depend on those beside it
+        _, own = np.unique(g.doc[source], return_inverse=True)
+        live = np.ones(own.max() + 1, bool)
         for _ in range(rounds):
             belief = unary.copy()
             np.add.at(belief, target, messages)
             new = _logsum((belief[source] - messages[back])[:, :, None] + potential)
             new -= new.max(1, keepdims=True)
-            change = np.abs(new - messages).max()
-            messages = damping * messages + (1 - damping) * new
-            if change < 1e-4:
+            change = np.zeros(len(live))
+            np.maximum.at(change, own, np.abs(new - messages).max(1))
+            moved = live[own]
+            messages[moved] = damping * messages[moved] + (1 - damping) * new[moved]
+            live &= change >= 1e-4
+            if not live.any():
                 break
         belief = unary.copy()
         np.add.at(belief, target, messages)
@@ -181,24 +221,70 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def labels_of(g: Graph, spans: dict[int, list[Span]]) -> np.ndarray:
-    """The kind of the base span that each word overlaps, 0 for none."""
+    """The label of each word: the kind of the span that it overlaps, secret by shape and cue, none, or -1 where it looks like a kind without evidence."""
     out = np.zeros(len(g.doc), np.int64)
-    for i, (doc, (start, end)) in enumerate(zip(g.doc.tolist(), g.span.tolist(), strict=True)):
+    for i, (doc, (start, end), x) in enumerate(zip(g.doc.tolist(), g.span.tolist(), g.x, strict=True)):
         for kind, a, b in spans[doc]:
             if a < end and start < b:
-                out[i] = KINDS.index(kind) + 1
+                out[i] = LABELS.index(kind) + 1
+        if not out[i]:
+            out[i] = LABELS.index("secret") + 1 if x[SHAPED] and x[SECRET_CUE] else -1 if x[SHAPED] or x[8] else 0
+    return out
+
+
+def rewritten(text: str, spans: list[Span], change) -> tuple[str, list[Span]]:
+    """The text with what `change(kind, part)` gives in the place of each span, and where the new parts stand."""
+    out, at, found = [], 0, []
+    length = 0
+    for kind, start, end in sorted(spans, key=lambda s: s[1:]):
+        if start < at:
+            continue
+        new = change(kind, text[start:end])
+        out += [text[at:start], new]
+        length += start - at + len(new)
+        found.append((kind, length - len(new), length))
+        at = end
+    return "".join(out) + text[at:], found
+
+
+def disguise(kind: str, part: str) -> str:
+    """The same thing in a form that the base patterns miss."""
+    if kind == "card":
+        return part[:-1] + str((int(part[-1]) + 5) % 10)
+    return part[1:] if kind == "phone" else part.replace("@", "[at]", 1) if kind == "email" else part
+
+
+def mislead(kind: str, part: str) -> str:
+    """Something else of a similar form."""
+    digits = (NOT_DIGIT.sub("", part) + "1" * 8)[:8]
+    if kind == "phone":
+        return f"{digits[:4]}-0{digits[4]}-1{digits[5]}"
+    return digits if kind == "card" else ".".join(part.split(".")[:3]) if kind == "ip" else "@" + part.partition("@")[0]
+
+
+def examples(text: str) -> list[tuple[str, list[Span]]]:
+    """A text and its base spans, and the text with these disguised, and replaced."""
+    spans = base_spans(text)
+    out = [(text, spans)]
+    if spans:
+        out += [rewritten(text, spans, disguise), (rewritten(text, spans, mislead)[0], [])]
     return out
 
 
 def fit(g: Graph, y: np.ndarray, steps: int = 600, rate: float = 1.0, decay: float = 1e-3) -> Field:
-    n = len(KINDS) + 1
-    weights, target = np.zeros((N_FEATURES, n)), np.eye(n)[y]
+    n, sure = len(LABELS) + 1, y >= 0
+    x, target = g.x[sure], np.eye(n)[y[sure]]
+    # rare labels weigh as much as frequent ones
+    each = 1 / np.bincount(y[sure], minlength=n)[y[sure]] if sure.any() else np.zeros(0)
+    each = (each / max(each.sum(), 1e-9))[:, None]
+    weights = np.zeros((N_FEATURES, n))
     speed = np.zeros_like(weights)
     for _ in range(steps):
-        speed = 0.9 * speed - rate * 0.1 * (g.x.T @ (_softmax(g.x @ weights) - target) / len(y) + decay * weights)
+        speed = 0.9 * speed - rate * 0.1 * (x.T @ (each * (_softmax(x @ weights) - target)) + decay * weights)
         weights = weights + speed
 
     def potentials(pairs: np.ndarray, same_way: bool) -> np.ndarray:
+        pairs = pairs[(y[pairs] >= 0).all(1)]
         seen = np.full((n, n), 0.5) + np.eye(n)
         np.add.at(seen, (y[pairs[:, 0]], y[pairs[:, 1]]), 1)
         seen = seen if same_way else seen + seen.T
@@ -216,40 +302,49 @@ def _begins(kind: str, before: str, word: str) -> bool:
 
 
 def added_spans(g: Graph, marginals: np.ndarray, texts: dict[int, str], base: dict[int, list[Span]], sure: float) -> dict[int, list[Span]]:
-    """Runs of neighbouring words of one kind, trimmed of punctuation, that touch no base span."""
+    """Runs of neighbouring words of one kind, trimmed of what isn't theirs, that touch no base span."""
     out: dict[int, list[Span]] = {}
     label, joined = marginals.argmax(1), np.zeros(len(g.doc), bool)
     label[marginals.max(1) < sure] = 0
     joined[g.chain[:, 1]] = True
+    taken: dict[int, tuple[list[int], list[int]]] = {}
     i = 0
     while i < len(label):
         j = i + 1
-        while j < len(label) and joined[j] and label[j] == label[i] and not _begins(KINDS[label[i] - 1], *(texts[int(g.doc[i])][g.span[k, 0] : g.span[k, 1]] for k in (j - 1, j))):
+        while j < len(label) and joined[j] and label[j] == label[i] and not _begins(LABELS[label[i] - 1], *(texts[int(g.doc[i])][g.span[k, 0] : g.span[k, 1]] for k in (j - 1, j))):
             j += 1
         if label[i]:
-            doc, kind = int(g.doc[i]), KINDS[label[i] - 1]
+            doc, kind = int(g.doc[i]), LABELS[label[i] - 1]
             start, end = int(g.span[i, 0]), int(g.span[j - 1, 1])
             text = texts[doc]
-            word = text[start:end]
-            end -= len(word) - len(word.rstrip(".,;:!?\"'"))
-            start += len(word) - len(word.lstrip(".,;:!?\"'"))
+            if kind == "secret":
+                part = secret_part(text[start:end])
+                start, end = (start + part.start(), start + part.end()) if part else (start, start)
+            while start < end and not (text[end - 1].isalnum() or text[end - 1] in ")=" and kind in ("phone", "secret")):
+                end -= 1
+            while start < end and not (text[start].isalnum() or text[start] in "+("):
+                start += 1
             core = text[start:end]
-            free = all(b <= start or end <= a for _, a, b in base[doc])
-            if free and len(NOT_DIGIT.sub("", core)) >= LEAST_DIGITS[kind] and (kind != "email" or "@" in core[1:-1]):
+            if doc not in taken:
+                order = sorted(base[doc], key=lambda s: s[1])
+                taken[doc] = [s[1] for s in order], list(accumulate((s[2] for s in order), max))
+            before = bisect_left(taken[doc][0], end)
+            free = not before or taken[doc][1][before - 1] <= start
+            if core and free and len(NOT_DIGIT.sub("", core)) >= LEAST_DIGITS[kind] and (kind != "email" or AT.search(core[1:-1])):
                 out.setdefault(doc, []).append((kind, start, end))
         i = j
     return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    some = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", "text")
     few = hashed_sample(some, "doc_id", sample, some.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            g = graph(texts, list(range(len(texts))))
-            y = labels_of(g, {i: base_spans(t) for i, t in enumerate(texts)})
+            made = [e for t in b.column(1).to_pylist() for e in examples(t)]
+            g = graph([t for t, _ in made], list(range(len(made))))
+            y = labels_of(g, {i: spans for i, (_, spans) in enumerate(made)})
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (g.x, g.chain, g.skip, y)], names=["x", "chain", "skip", "y"])
 
     parts, at = [], 0
@@ -265,7 +360,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
 
 
 def find_personal_data(docs: DataFrame, sample: int = SAMPLE, sure: float = 0.9) -> DataFrame:
-    """doc_id, base_spans, spans (base and added, by kind as listed, then start), a row for each document."""
+    """doc_id, base_spans, spans (base and added, by kind as in LABELS, then start), a row for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +369,14 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE, sure: float = 0.9)
         for b in batches:
             for first, last in tk.slices(b.column(1)):
                 part = b.slice(first, last - first)
-                data, offsets = tk.utf8(part.column(1))
-                hits = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-                some = np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]]).tolist()
+                some = np.flatnonzero(pc.match_substring_regex(part.column(1), CANDIDATE).fill_null(False).to_numpy(zero_copy_only=False)).tolist()
                 texts = {i: part.column(1)[i].as_py() for i in some}
                 base = {i: base_spans(t) for i, t in texts.items()}
                 added: dict[int, list[Span]] = {}
                 if field is not None and some:
                     g = graph(list(texts.values()), some)
                     added = added_spans(g, field.marginals(g), texts, base, sure)
-                every = {i: sorted({*base[i], *added.get(i, [])}, key=lambda s: (KINDS.index(s[0]), *s[1:])) for i in some}
+                every = {i: sorted({*base[i], *added.get(i, [])}, key=lambda s: (LABELS.index(s[0]), *s[1:])) for i in some}
                 as_rows = lambda found: pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in found.get(i, [])] for i in range(len(part))], kinds)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column(0), as_rows(base), as_rows(every)], names=["doc_id", "base_spans", "spans"])
 

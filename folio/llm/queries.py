@@ -39,7 +39,9 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [of_kind(k) for k in pii_crf.KINDS]
-    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    every = F.size("spans").cast("long")
+    more = [every.alias("n_spans"), (every - F.size("base_spans")).alias("n_added"), (every > 0).alias("has_personal_data")]
+    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"), *more)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,13 +320,59 @@ def test_personal_data(spark, docs, empty):
     for _ in range(3_000):
         text = "".join(rng.choice(parts, rng.integers(0, 14)))
         assert [s[1:] for s in pii_crf.base_spans(text) if s[0] == "email"] == [m.span() for m in EMAIL.finditer(text)]
-        assert [text[a:b] for a, b in pii_crf.candidates(text)] == [w for w in WORD.findall(text) if re.search("[0-9@]", w)]
+        assert [text[a:b] for a, b in pii_crf.candidates(text)] == [w for w in WORD.findall(text) if re.search(pii_crf.CANDIDATE, w)]
     got = {r.doc_id: r for r in pii_crf.find_personal_data(docs).collect()}
     assert [s.kind for s in got[18].base_spans] == ["email", "ip", "card", "phone"]
     assert all(set(r.base_spans) <= set(r.spans) for r in got.values()) and got[10].base_spans == []
     assert pii_crf.find_personal_data(empty).count() == 0
 
 
+def _base(text):
+    """The contract's patterns by the library's own search."""
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+TOKEN = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
+
+
+def _personal_texts():
+    rng = np.random.default_rng(8)
+    pick = lambda n: "".join(rng.choice(list("0123456789"), n))
+    card = lambda: next(c for c in iter(lambda: pick(16), "") if pii_crf.luhn(c))
+    texts = []
+    for i in range(300):
+        parts = [f"mail user{i}@host{i % 9}.example.com", f"call +1 ({pick(3)}) 555-{pick(4)}", f"from 10.{i % 256}.3.{i % 200}", f"paid {card()}", f'token = "{"".join(rng.choice(list("0123456789abcdef"), 40))}"', f"version {i % 9}.0. and chapter {i}", "no numbers at all"]
+        texts.append(f"{BASE}. " + " then ".join(parts[j] for j in sorted({i % 7, (i * 3 + 1) % 7})))
+    return texts
+
+
+def test_personal_data_beyond_the_patterns(spark, tmp_path):
+    own = [
+        ("a plain number 4111111111111112 of a card", "card", "4111111111111112"),
+        ("please write to someone[at]host.example.org today", "email", "someone[at]host.example.org"),
+        (f'here token = "{TOKEN}"### stands and far away after much text {BASE} it is named again as {TOKEN} without a cue', "secret", TOKEN),
+    ]
+    clean = ["Licensed under the Apache License, Version 2.0.", "On 2024-05-17 we met, 1999 of us, in 3 rooms.", BASE, "", None]
+    texts = [*_personal_texts(), *[t for t, *_ in own], *clean]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_pii_crf(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = _base(t or "")
+        r, written = got[i], ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii_crf.KINDS]
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest() and set(filter(None, written.split(","))) <= set(r.spans.split(","))
+    for i, (t, kind, part) in enumerate(own, 300):
+        expected = {f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(re.escape(part), t)}
+        assert expected == set(got[i].spans.split(",")), got[i].spans
+    assert not any(got[i].has_personal_data for i in range(303, 308))
+
+
 def test_loopy_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(5)
     field = pii_crf.Field(rng.normal(size=(pii_crf.N_FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
