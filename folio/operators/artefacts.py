@@ -31,19 +31,25 @@ def _top(df: DataFrame, by, order, most: int, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
 
+def _terms_and(paras: DataFrame, by, order: str, more: Column) -> DataFrame:
+    """by, order, k, pos, a, b: a chapter's terms (k = 0; a, b are term and definition), the first of each, and what `more` makes of each paragraph (k = 1)."""
+    entries = F.transform("glossary", lambda e, i: F.struct(F.lit(0).alias("k"), i.alias("pos"), e["term"].alias("a"), e["definition"].alias("b")))
+    each = paras.select(*by, order, F.explode(F.concat(entries, more)).alias("x")).select(*by, order, "x.*")
+    same = F.when(F.col("k") == 0, F.lower("a")).otherwise(F.concat_ws(" ", F.col(order).cast("string"), F.col("pos").cast("string")))
+    return each.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "k", same).orderBy(order, "pos"))).where("_n = 1").drop("_n")
+
+
 def flashcards(paras: DataFrame, by, order: str, most: int = 36) -> DataFrame:
     """by, card_no, kind, front, back, order: terms first, then up to three points of each paragraph."""
-    terms = chapter_glossary(paras, by, order).select(*by, F.lit("term").alias("kind"), F.concat(F.lit("Che cosa significa “"), "term", F.lit("”?")).alias("front"), F.col("definition").alias("back"), order, F.lit(0).alias("k"), F.col("place").alias("pos"))
-    each = paras.select(*by, order, label(F.col(order)).alias("label"), F.posexplode(points(3)).alias("pos", "back"))
-    front = F.concat(F.when(F.col("pos") == 0, "Qual è il concetto principale di ").otherwise("Quale altro elemento importante va ricordato di "), F.col("label"), F.lit("?"))
-    cards = each.select(*by, F.lit("point").alias("kind"), front.alias("front"), "back", order, F.lit(1).alias("k"), "pos")
-    # terms keep their own order, points that of their paragraphs
-    both = terms.withColumn("first", F.col("pos")).unionByName(cards.withColumn("first", F.col(order)))
-    return _top(both, by, ("k", "first", "pos"), most, "card_no").select(*by, "card_no", "kind", "front", "back", order)
+    front = lambda i: F.concat(F.when(i == 0, "Qual è il concetto principale di ").otherwise("Quale altro elemento importante va ricordato di "), label(F.col(order)), F.lit("?"))
+    cards = _terms_and(paras, by, order, F.transform(points(3), lambda v, i: F.struct(F.lit(1).alias("k"), i.alias("pos"), front(i).alias("a"), v.alias("b"))))
+    asked = F.when(F.col("k") == 0, F.concat(F.lit("Che cosa significa “"), "a", F.lit("”?"))).otherwise(F.col("a"))
+    kind = F.when(F.col("k") == 0, "term").otherwise("point")
+    return _top(cards, by, ("k", order, "pos"), most, "card_no").select(*by, "card_no", kind.alias("kind"), asked.alias("front"), F.col("b").alias("back"), order)
 
 
 def rotate(values: Column, shift: Column) -> Column:
-
+    """The values turned round by `shift` places."""
 
     def turned(v: Column) -> Column:
         n = F.size(v)
@@ -117,10 +123,11 @@ def quiz(paras: DataFrame, by, order: str, most: int = 18) -> DataFrame:
 
 def oral_questions(paras: DataFrame, by, order: str, most: int = 24) -> DataFrame:
     """by, question_no, question, answer, order: terms, then passages."""
-    terms = chapter_glossary(paras, by, order).select(*by, F.concat(F.lit("Definisci “"), "term", F.lit("” e spiegalo nel contesto del capitolo.")).alias("question"), F.col("definition").alias("answer"), order, F.lit(0).alias("k"), F.col("place").alias("pos"))
-    each = paras.select(*by, order, label(F.col(order)).alias("label"), points(3).alias("p")).where(F.size("p") > 0)
-    asked = each.select(*by, F.concat(F.lit("Spiega i concetti fondamentali di "), "label", F.lit(".")).alias("question"), F.array_join("p", " ").alias("answer"), order, F.lit(1).alias("k"), F.col(order).alias("pos"))
-    return _top(terms.unionByName(asked), by, ("k", "pos"), most, "question_no").select(*by, "question_no", "question", "answer", order)
+    spoken = t.let(points(3), lambda p: F.when(F.size(p) > 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(0).alias("pos"), label(F.col(order)).alias("a"), F.array_join(p, " ").alias("b")))))
+    none = F.array().cast("array<struct<k: int, pos: int, a: string, b: string>>")
+    asked = _terms_and(paras, by, order, F.coalesce(spoken, none))
+    question = F.when(F.col("k") == 0, F.concat(F.lit("Definisci “"), "a", F.lit("” e spiegalo nel contesto del capitolo."))).otherwise(F.concat(F.lit("Spiega i concetti fondamentali di "), "a", F.lit(".")))
+    return _top(asked, by, ("k", order, "pos"), most, "question_no").select(*by, "question_no", question.alias("question"), F.col("b").alias("answer"), order)
 
 
 def concept_map(paras: DataFrame, by, order: str, most: int = 24) -> DataFrame:

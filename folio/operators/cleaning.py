@@ -62,17 +62,19 @@ def detect_running_lines(pages: DataFrame, ratio: float = 0.3, least: int = 3, b
 
 
 def strip_running_lines(pages: DataFrame, keys: DataFrame, book: str = "book") -> DataFrame:
-    """book, page, text: without running lines and bare page numbers among the first and last two lines."""
-    total = Window.partitionBy(book, "page")
-    each = lines(pages.select(book, "page", t.clean_text(F.col("text")).alias("text")), (book, "page")).withColumn("last", F.max("line_no").over(total))
-    each = each.withColumns({"edge": (F.col("line_no") <= 1) | (F.col("line_no") >= F.col("last") - 1), "line_key": running_key(F.col("line"))})
-    each = each.join(keys.select(book, "line_key", F.lit(True).alias("running")), [book, "line_key"], "left")
-    n_book = pages.groupBy(book).agg(F.count("*").alias("n_book"))
-    each = each.join(n_book, book)
-    gone = (F.col("n_book") >= 3) & F.col("edge") & (F.col("running").isNotNull() | t.trim_all(F.col("line")).rlike(t.PAGE_NUMBER))
-    kept = F.array_sort(F.collect_list(F.when(~gone, F.struct("line_no", "line"))))
-    text = t.clean_text(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
-    return each.groupBy(book, "page").agg(text.alias("text"), F.count_if(gone).alias("removed"))
+    """book, page, text, removed: without running lines and bare page numbers among the first and last two lines.
+
+    A page has at most four edge lines and a running line is on a share of the pages, so a book's keys are few
+    (4 / ratio at most); they travel with its pages, whose other lines aren't touched.
+    """
+    held = pages.groupBy(book).agg(F.count("*").alias("n_book")).join(keys.groupBy(book).agg(F.collect_list("line_key").alias("keys")), book, "left")
+    cut = pages.select(book, "page", F.split(t.clean_text(F.col("text")), "\n").alias("l")).join(held, book)
+    gone = lambda v: F.coalesce(F.array_contains("keys", running_key(v)), F.lit(False)) | t.trim_all(v).rlike(t.PAGE_NUMBER)
+    n = F.size("l")
+    first, last = F.slice("l", 1, 2), F.slice("l", F.greatest(n - 1, F.lit(3)), F.greatest(F.lit(0), F.least(F.lit(2), n - 2)))
+    kept = F.concat(F.filter(first, lambda v: ~gone(v)), F.slice("l", F.lit(3), F.greatest(F.lit(0), n - 4)), F.filter(last, lambda v: ~gone(v)))
+    each = cut.withColumn("k", F.when(F.col("n_book") >= 3, kept).otherwise(F.col("l")))
+    return each.select(book, "page", t.clean_text(F.array_join("k", "\n")).alias("text"), (n - F.size("k")).cast("long").alias("removed"))
 
 
 def removed_report(keys: DataFrame, book: str = "book") -> DataFrame:

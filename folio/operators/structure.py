@@ -30,6 +30,7 @@ PATTERNS = {
     "named": r"(?iu)^(?:introduzione|premessa|prefazione|prologo|conclusioni?|epilogo|appendice|glossario|bibliografia|riepilogo)(?: |$)",
     "capitals": r"^[A-ZÀ-ÖØ-Ý0-9][A-ZÀ-ÖØ-Ý0-9 '\-–—,:()/&]+$",
 }
+# The older heading patterns.
 LEGACY = {
     "part": rf"(?iu)^(?:parte|libro|unità|unita) +{NUMERAL}([^\p{{L}}\p{{N}}_]|$)",
     "chapter": rf"(?iu)^(?:capitolo|chapter) +{NUMERAL}([^\p{{L}}\p{{N}}_]|$)",
@@ -38,8 +39,6 @@ LEGACY = {
     "roman": r"(?iu)^([IVXLCDM]{1,8})[.)] +(.+)$",
     "capitals": r"^[A-ZÀ-ÖØ-Ý0-9][A-ZÀ-ÖØ-Ý0-9 '\-–—,:()]+$",
 }
-CUT = "\x1f"
-
 
 def n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, " "), lambda w: w != ""))
@@ -101,26 +100,46 @@ def classify_heading_legacy(line: Column) -> Column:
 
 
 def explode_lines(pages: DataFrame) -> DataFrame:
-    """book, page, line_no, line, value (clean), heading: the lines of pages (book, page, text), without index pages."""
-    text = t.clean_block(F.col("text"))
-    each = pages.where(~is_index_page(F.col("text"), F.col("page"))).select("book", "page", F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("line_no", "line"))
-    at = Window.partitionBy("book", "page").orderBy("line_no")
-    each = each.withColumn("value", t.clean_block(F.col("line")))
-    blank = (F.coalesce(F.lag("value").over(at), F.lit("")) == "") | (F.coalesce(F.lead("value").over(at), F.lit("")) == "")
-    each = each.withColumn("surrounded", blank)
-    return each.withColumns({"heading": classify_heading(F.col("value"), F.col("surrounded")), "as_next": classify_heading(F.col("value"), F.lit(True))})
+    """book, page, line_no, line, value (clean), following (the next line's value), heading: the lines of pages (book, page, text), without index pages.
+
+    Neighbours are looked up in the page's own array, so that lines need no exchange before they are classified.
+    """
+    kept = pages.where(~is_index_page(F.col("text"), F.col("page")))
+    rows = kept.select("book", "page", F.split(F.regexp_replace(t.clean_block(F.col("text")), "\r", ""), "\n").alias("l"))
+    rows = rows.withColumn("v", F.transform("l", lambda x: t.clean_block(x)))
+    beside = lambda i, by: F.get("v", i + by)
+    blank = lambda i: (F.coalesce(beside(i, -1), F.lit("")) == "") | (F.coalesce(beside(i, 1), F.lit("")) == "")
+    each = F.transform("l", lambda x, i: F.struct(x.alias("line"), F.get("v", i).alias("value"), beside(i, 1).alias("following"), blank(i).alias("surrounded")))
+    lines = rows.select("book", "page", F.posexplode(each).alias("line_no", "x")).select("book", "page", "line_no", "x.*")
+    return lines.withColumn("heading", classify_heading(F.col("value"), F.col("surrounded")))
 
 
 def heading_candidates(lines: DataFrame) -> DataFrame:
     return lines.where("heading is not null").select("book", "page", "line_no", F.col("value").alias("title"), "heading.family", "heading.depth", "heading.number", "heading.bare")
 
 
+MODES = ("chapter", "container", "named")
+
+
+def _mode(n: dict[str, Column], root_depth: Column) -> Column:
+    return F.when(n["chapter"] >= 2, "chapter").when(n["container"] >= 2, "container").when(root_depth.isNotNull(), "numbered").when(n["named"] >= 2, "named").when(n["visual"] >= 2, "visual").otherwise("document")
+
+
+def _counts(family: Column, depth: Column) -> dict[str, Column]:
+    """Numbers of a book's headings by kind, and of numbered ones by depth."""
+    out = {k: F.count_if(family == k) for k in MODES} | {"visual": F.count_if((family == "visual") & (depth == 1))}
+    return out | {f"d{k}": F.count_if((family == "numbered") & (depth == k)) for k in range(1, 7)}
+
+
+def _least_depth() -> Column:
+    """The smallest depth with two numbered headings."""
+    return F.coalesce(*[F.when(F.col(f"d{k}") >= 2, k) for k in range(1, 7)])
+
+
 def choose_root_strategy(candidates: DataFrame) -> DataFrame:
     """book, mode, root_depth: which headings begin chapters."""
-    deep = candidates.where("family = 'numbered'").groupBy("book", "depth").agg(F.count("*").alias("c")).where("c >= 2").groupBy("book").agg(F.min("depth").alias("root_depth"))
-    n = {k: F.count_if(F.col("family") == k) for k in ("chapter", "container", "named")} | {"visual": F.count_if((F.col("family") == "visual") & (F.col("depth") == 1))}
-    counts = candidates.groupBy("book").agg(*[c.alias(k) for k, c in n.items()]).join(deep, "book", "left")
-    mode = F.when(F.col("chapter") >= 2, "chapter").when(F.col("container") >= 2, "container").when(F.col("root_depth").isNotNull(), "numbered").when(F.col("named") >= 2, "named").when(F.col("visual") >= 2, "visual").otherwise("document")
+    counts = candidates.groupBy("book").agg(*[c.alias(k) for k, c in _counts(F.col("family"), F.col("depth")).items()]).withColumn("root_depth", _least_depth())
+    mode = _mode({k: F.col(k) for k in (*MODES, "visual")}, F.col("root_depth"))
     return counts.select("book", mode.alias("mode"), F.when(mode == "numbered", F.col("root_depth")).alias("root_depth"))
 
 
@@ -130,9 +149,11 @@ def outline(pages: DataFrame) -> DataFrame:
     stack is the path of (level, title) at the line. A level is on it if its last heading is later than the last ones of
     all smaller levels since the last root or container.
     """
-    lines = explode_lines(pages)
-    lines = lines.join(choose_root_strategy(heading_candidates(lines)), "book", "left").withColumn("mode", F.coalesce("mode", F.lit("document")))
     family, depth = F.col("heading.family"), F.col("heading.depth")
+    book = Window.partitionBy("book")
+    lines = explode_lines(pages)
+    lines = lines.withColumns({k: c.over(book) for k, c in _counts(family, depth).items()}).withColumn("root_depth", _least_depth())
+    lines = lines.withColumn("mode", _mode({k: F.col(k) for k in (*MODES, "visual")}, F.col("root_depth"))).drop(*MODES, "visual", *[f"d{k}" for k in range(1, 7)])
     root = (
         F.when(F.col("mode").isin("chapter", "container"), (family == F.col("mode")) | (family == "named"))
         .when(F.col("mode") == "numbered", (family == "numbered") & (depth == F.col("root_depth")))
@@ -141,9 +162,11 @@ def outline(pages: DataFrame) -> DataFrame:
     )
     on_page = Window.partitionBy("book", "page").orderBy("line_no")
     lines = lines.withColumn("is_root", F.coalesce(root, F.lit(False)))
-    following, next_family = F.lead("value").over(on_page), F.lead("as_next.family").over(on_page)
-    merges = F.col("is_root") & (family == "chapter") & F.col("heading.bare") & (following != "") & (F.length(following) <= 90) & ~looks_like_sentence(following) & (next_family.isNull() | (next_family == "visual"))
-    lines = lines.withColumns({"merges": F.coalesce(merges, F.lit(False)), "following": following})
+    # only a bare chapter line asks what the next line is
+    following, bare = F.col("following"), F.col("is_root") & (family == "chapter") & F.col("heading.bare")
+    next_family = F.when(bare, classify_heading(following, F.lit(True))["family"])
+    merges = bare & (following != "") & (F.length(following) <= 90) & ~looks_like_sentence(following) & (next_family.isNull() | (next_family == "visual"))
+    lines = lines.withColumn("merges", F.coalesce(merges, F.lit(False)))
     consumed = F.coalesce(F.lag("merges").over(on_page), F.lit(False))
     role = F.when(consumed, "consumed").when(family.isNull(), "body").when((family == "container") & (F.col("mode") == "chapter"), "container").when(F.col("is_root"), "root").otherwise("section")
     lines = lines.withColumn("role", role).withColumn("title", F.when(F.col("merges"), F.concat_ws(" — ", "value", "following")).when(F.col("role") != "body", F.col("value")))
@@ -187,11 +210,22 @@ def body_segments(lines: DataFrame) -> DataFrame:
     return body.withColumn("body", t.clean_block(F.col("body"))).where("body <> ''")
 
 
+def gather(pieces: Column, full) -> Column:
+    """Pieces joined by spaces in order; a piece that finds the text so far full(text, piece) begins the next text."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        ends = (acc["now"] != "") & full(acc["now"], piece)
+        done = F.when(ends, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        now = F.when(ends | (acc["now"] == ""), piece).otherwise(F.concat_ws(" ", acc["now"], piece))
+        return F.struct(done.alias("done"), now.alias("now"))
+
+    return F.filter(F.aggregate(pieces, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"]))), lambda v: v != "")
+
+
 def pack(pieces: Column, most: int) -> Column:
     """Greedy packs: pieces joined by a space while a pack stays within `most` characters."""
-    last = lambda acc: F.substring_index(acc, CUT, -1)
-    fold = F.aggregate(pieces, F.lit(""), lambda acc, s: F.when(acc == "", s).when(F.length(last(acc)) + 1 + F.length(s) > most, F.concat(acc, F.lit(CUT), s)).otherwise(F.concat_ws(" ", acc, s)))
-    return F.filter(F.split(fold, CUT), lambda s: s != "")
+    return gather(pieces, lambda now, piece: F.length(now) + 1 + F.length(piece) > most)
 
 
 def split_study_paragraphs(text: Column, longest: int = 1800, most: int = 1350) -> Column:
@@ -211,9 +245,8 @@ def split_paragraphs_legacy(text: Column) -> Column:
     edge = r"(?<=[.!?])[\s]+(?=[A-ZÀ-ÖØ-Ý])"
     clean = t.clean_text(text)
     blocks = F.filter(F.transform(F.split(clean, rf"\n{t.SPACE}*\n"), lambda b: t.trim_all(b)), lambda b: b != "")
-    last = lambda acc: F.substring_index(acc, CUT, -1)
-    grown = F.aggregate(F.split(clean, edge), F.lit(""), lambda acc, s: F.when(acc == "", t.trim_all(s)).when(F.length(last(acc)) > 700, F.concat(acc, F.lit(CUT), t.trim_all(s))).otherwise(F.concat_ws(" ", acc, s)))
-    raw = F.when(F.size(blocks) > 1, blocks).otherwise(F.filter(F.split(grown, CUT), lambda b: b != ""))
+    grown = gather(F.transform(F.split(clean, edge), t.trim_all), lambda now, _: F.length(now) > 700)
+    raw = F.when(F.size(blocks) > 1, blocks).otherwise(grown)
     return F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= 1400, F.array(b)).otherwise(pack(F.split(b, edge), 1200))))
 
 
@@ -228,25 +261,43 @@ def paragraphs(segments: DataFrame) -> DataFrame:
 
 
 def chapters(lines: DataFrame) -> DataFrame:
-    """book, chapter_idx, title, numbering, container, page_start, page_end, n_sections, n_paragraphs; chapters without sections and text go.
+    """book, chapter_idx, chapter_no, title, numbering, container, page_start, page_end, n_sections, n_paragraphs; chapters without sections and text go.
 
-    A chapter's end is the last page it has text on, but before the next chapter's start.
+    A chapter's end is the last page it has text on, but before the next chapter's start. A book that no chapter is
+    left of is one, `Documento`, from its first to its last page. The lines of a book meet once.
     """
-    roots = lines.where("role = 'root'").select("book", "chapter_no", "title", F.col("heading.number").alias("numbering"), F.col("container").alias("of"), F.col("page").alias("root_page"))
-    held = lines.where("role in ('section')").groupBy("book", "chapter_no").agg(F.count("*").alias("n_sections"), F.min(F.struct("pos", "page")).alias("first_section"))
-    paras = paragraphs(body_segments(lines)).groupBy("book", "chapter_no").agg(F.count("*").alias("n_paragraphs"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    every = held.join(paras, ["book", "chapter_no"], "full").join(roots, ["book", "chapter_no"], "left")
-    start = F.coalesce("root_page", F.least(F.col("first_section.page"), F.col("first_page")))
-    every = every.withColumns({"page_start": start, "end": F.greatest(start, F.coalesce("last_page", F.lit(0)))})
-    following = F.lead("page_start").over(Window.partitionBy("book").orderBy("chapter_no"))
+    role = F.col("role")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(role == "body", F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    root = F.struct("title", F.col("heading.number").alias("numbering"), "container", "page")
+    parts = lines.groupBy("book", "page", "segment").agg(
+        F.first("chapter_no").alias("chapter_no"), F.max(F.when(role == "root", root)).alias("root"), F.count_if(role == "section").alias("sections"), F.min(F.when(role == "section", F.struct("pos", "page"))).alias("first_section"),
+        F.size(split_study_paragraphs(body)).alias("paragraphs"),
+    )
+    some = F.when(F.col("paragraphs") > 0, F.col("page"))
+    every = parts.groupBy("book", "chapter_no").agg(
+        F.max("root").alias("root"), F.sum("sections").alias("n_sections"), F.min("first_section").alias("first_section"), F.sum("paragraphs").alias("n_paragraphs"), F.min(some).alias("first_page"), F.max(some).alias("last_page"),
+        F.min("page").alias("least_page"), F.max("page").alias("most_page"),
+    )
+    whole = Window.partitionBy("book")
+    held = (F.col("n_sections") > 0) | (F.col("n_paragraphs") > 0)
+    every = every.withColumns({"none": F.count_if(held).over(whole) == 0, "b_start": F.min("least_page").over(whole), "b_end": F.max("most_page").over(whole), "b_first": F.min("chapter_no").over(whole)})
+    every = every.where(held | (F.col("none") & (F.col("chapter_no") == F.col("b_first"))))
+    start = F.when(F.col("none"), F.col("b_start")).otherwise(F.coalesce("root.page", F.least(F.col("first_section.page"), F.col("first_page"))))
+    every = every.withColumns({"page_start": start, "end": F.when(F.col("none"), F.col("b_end")).otherwise(F.greatest(start, F.coalesce("last_page", F.lit(0))))})
+    order = Window.partitionBy("book").orderBy("chapter_no")
+    following = F.lead("page_start").over(order)
     end = F.when(following.isNotNull(), F.greatest(F.col("page_start"), F.least(F.col("end"), following - 1))).otherwise(F.col("end"))
-    number = F.row_number().over(Window.partitionBy("book").orderBy("chapter_no"))
-    zero = F.lit(0).cast("long")
+    own = lambda c, other=None: F.when(~F.col("none"), F.coalesce(F.col(f"root.{c}"), F.lit(other)))
     return every.select(
-        "book", number.alias("chapter_idx"), "chapter_no", F.coalesce("title", F.lit("Introduzione")).alias("title"), "numbering", F.col("of").alias("container"), "page_start", end.alias("page_end"), F.coalesce("n_sections", zero).alias("n_sections"), F.coalesce("n_paragraphs", zero).alias("n_paragraphs")
+        "book", F.row_number().over(order).alias("chapter_idx"), "chapter_no", F.coalesce(own("title", "Introduzione"), F.lit("Documento")).alias("title"), own("numbering").alias("numbering"), own("container").alias("container"), "page_start", end.alias("page_end"), "n_sections", "n_paragraphs"
     )
 
 
+def detect_chapters(texts: DataFrame) -> DataFrame:
+    """Chapters of texts without pages (book, text): each is read as one page."""
+    return chapters(outline(texts.select("book", F.lit(1).alias("page"), "text")))
+
+
 def structure_stats(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """book, pages, skipped index pages, chapters, sections, paragraphs, max_depth."""
     total = pages.groupBy("book").agg(F.count("*").alias("pages"), F.count_if(is_index_page(F.col("text"), F.col("page"))).alias("index_pages"))
@@ -278,6 +329,44 @@ def root_level_legacy(lines: DataFrame) -> DataFrame:
     return known.withColumns({"root_level": least, "is_root": F.coalesce(F.col("heading.level") == least, F.lit(False))})
 
 
+def build_structure_legacy(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chapters and sections of pages (book, page, text) by the older headings: those of the book's least level begin chapters, others sections.
+
+    chapters: book, chapter_no, title, page_start, page_end, n_sections, n_paragraphs. Text before the first chapter is
+    `Introduzione`, sections before it `Documento`; a book without headings, or without text, is one `Documento`.
+    sections: book, chapter_no, section_no, title, level, page_start, page_end (before the next section, or the chapter's end).
+    """
+    clean = pages.select("book", "page", t.clean_text(F.col("text")).alias("text"))
+    lines = clean.select("book", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    whole, so_far = Window.partitionBy("book"), Window.partitionBy("book").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("level", classify_heading_legacy(F.col("line"))["level"])
+    lines = lines.withColumn("root_level", F.min("level").over(whole)).withColumn("kind", F.when(F.col("level").isNull(), "body").when(F.col("level") == F.col("root_level"), "root").otherwise("section"))
+    lines = lines.withColumns({"chapter_no": F.count_if(F.col("kind") == "root").over(so_far), "segment": F.count_if(F.col("kind") != "body").over(so_far)})
+    body = t.clean_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "body", F.struct("line_no", "line")))), lambda x: x["line"]), "\n"))
+    parts = lines.groupBy("book", "page", "segment").agg(
+        F.first("chapter_no").alias("chapter_no"), F.first("root_level").alias("root_level"), F.max(F.when(F.col("kind") == "root", F.struct("page", t.trim_all(F.col("line")).alias("title")))).alias("root"),
+        F.max(F.when(F.col("kind") == "section", F.struct(t.trim_all(F.col("line")).alias("title"), F.greatest(F.lit(2), F.col("level") - F.col("root_level") + 1).alias("level")))).alias("section"), body.alias("body"),
+    )
+    parts = parts.withColumn("n", F.when(F.col("body") == "", 0).otherwise(F.size(split_paragraphs_legacy(F.col("body")))))
+    some = F.when(F.col("n") > 0, F.col("page"))
+    sums = parts.groupBy("book", "chapter_no").agg(
+        F.max("root_level").alias("root_level"), F.max("root").alias("root"), F.count("section").alias("n_sections"), F.sum("n").alias("n_paragraphs"), F.min(some).alias("first_page"), F.max(some).alias("last_page"),
+        F.min(F.when((F.col("n") > 0) | F.col("section").isNotNull(), F.struct("segment", "page", (F.col("section").isNull()).alias("text_first")))).alias("begins"),
+        F.min("page").alias("least_page"), F.max("page").alias("most_page"),
+    )
+    held = (F.col("n_sections") > 0) | (F.col("n_paragraphs") > 0)
+    sums = sums.withColumns({"none": F.col("root_level").isNull() | (F.count_if(held).over(whole) == 0), "b_start": F.min("least_page").over(whole), "b_end": F.max("most_page").over(whole), "b_first": F.min("chapter_no").over(whole)})
+    sums = sums.where(F.when(F.col("none"), F.col("chapter_no") == F.col("b_first")).otherwise(held))
+    title = F.when(F.col("none"), "Documento").otherwise(F.coalesce("root.title", F.when(F.col("begins.text_first"), "Introduzione").otherwise("Documento")))
+    start = F.when(F.col("none"), F.col("b_start")).otherwise(F.coalesce("root.page", "begins.page"))
+    end = F.when(F.col("none"), F.col("b_end")).otherwise(F.coalesce("last_page", start))
+    found = sums.select("book", "chapter_no", title.alias("title"), start.alias("page_start"), end.alias("page_end"), "n_sections", "n_paragraphs")
+    in_chapter = Window.partitionBy("book", "chapter_no").orderBy("segment")
+    each = parts.where("section is not null").select("book", "chapter_no", F.row_number().over(in_chapter).alias("section_no"), "section.title", "section.level", F.col("page").alias("page_start"), F.lead("page").over(in_chapter).alias("next"))
+    each = each.join(found.select("book", "chapter_no", F.col("page_end").alias("of")), ["book", "chapter_no"])
+    return found, each.withColumn("page_end", F.when(F.col("next").isNotNull(), F.greatest("page_start", F.col("next") - 1)).otherwise(F.col("of"))).drop("next", "of")
+
+
 def choose_structure(legacy: DataFrame, rebuilt: DataFrame, paged: DataFrame) -> DataFrame:
     """Chapters (doc_id, title, ...) by document: the older ones unless the document has pages (doc_id in `paged`), none, or a single `Documento`."""
     counts = legacy.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("title").alias("only"))

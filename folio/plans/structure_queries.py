@@ -144,10 +144,15 @@ e0 AS (SELECT book, page, segment, any_value(chapter_no) AS chapter_no, any_valu
 e AS (SELECT * EXCLUDE (raw), {s.clean_block('raw')} AS body FROM e0 WHERE {s.clean_block('raw')} <> '')"""
 
 
+def gathered(pieces: str, full: str) -> str:
+    """As structure.gather; `full` is a test of a.n (the text so far) and x.n (the piece)."""
+    each = f"list_transform({pieces}, lambda v: {{'d': []::VARCHAR[], 'n': v}})"
+    fold = f"list_reduce({each}, lambda a, x: CASE WHEN a.n = '' THEN {{'d': a.d, 'n': x.n}} WHEN {full} THEN {{'d': list_append(a.d, a.n), 'n': x.n}} ELSE {{'d': a.d, 'n': a.n || ' ' || x.n}} END)"
+    return f"CASE WHEN len({pieces}) = 0 THEN [] ELSE list_filter(list_transform([{fold}], lambda r: list_append(r.d, r.n))[1], lambda v: v <> '') END"
+
+
 def packed(pieces: str, most: int) -> str:
-    last = "regexp_extract(acc, '[^\\x1F]*$')"
-    fold = f"list_reduce({pieces}, lambda acc, x: CASE WHEN acc = '' THEN x WHEN length({last}) + 1 + length(x) > {most} THEN acc || chr(31) || x ELSE acc || ' ' || x END, '')"
-    return f"list_filter(string_split({fold}, chr(31)), lambda x: x <> '')"
+    return gathered(pieces, f"length(a.n) + 1 + length(x.n) > {most}")
 
 
 def study_paragraphs_sql(x: str) -> str:
@@ -180,7 +185,9 @@ h3 AS (SELECT book, chapter_no, count(*) AS n_paragraphs, min(page) AS first_pag
 h4 AS (SELECT * FROM h2 FULL JOIN h3 USING (book, chapter_no) LEFT JOIN h1 USING (book, chapter_no)),
 h5 AS (SELECT *, coalesce(root_page, least(first_section, first_page)) AS page_start FROM h4),
 h6 AS (SELECT *, greatest(page_start, coalesce(last_page, 0)) AS e, lead(page_start) OVER (PARTITION BY book ORDER BY chapter_no) AS nx FROM h5),
-h AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY chapter_no)::INT AS chapter_idx, chapter_no, coalesce(title, 'Introduzione') AS title, numbering, container, page_start,
+h7 AS (SELECT book, 1::INT AS chapter_idx, min(chapter_no) AS chapter_no, 'Documento' AS title, NULL AS numbering, NULL AS container, min(page) AS page_start, max(page) AS page_end, 0::BIGINT AS n_sections, 0::BIGINT AS n_paragraphs
+  FROM o WHERE book NOT IN (SELECT book FROM h4 WHERE book IS NOT NULL) GROUP BY book),
+h AS (SELECT * FROM h7 UNION ALL SELECT book, row_number() OVER (PARTITION BY book ORDER BY chapter_no)::INT AS chapter_idx, chapter_no, coalesce(title, 'Introduzione') AS title, numbering, container, page_start,
   CASE WHEN nx IS NOT NULL THEN greatest(page_start, least(e, nx - 1)) ELSE e END AS page_end, coalesce(n_sections, 0) AS n_sections, coalesce(n_paragraphs, 0) AS n_paragraphs FROM h6)"""
 
 
@@ -204,9 +211,17 @@ def study_paragraphs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(structure.split_study_paragraphs(F.col("text"))).alias("para_no", "paragraph"))
 
 
-@query("paragraphs_legacy")
+def legacy_paragraphs_sql(x: str) -> str:
+    clean = s.clean_text(x)
+    edge = lambda v: f"string_split(regexp_replace({v}, {q(f'([.!?]){t.SPACE}+([A-ZÀ-ÖØ-Ý])')}, '\\1' || chr(30) || '\\2', 'g'), chr(30))"
+    blocks = f"list_filter(list_transform(regexp_split_to_array({clean}, {q(chr(92) + 'n' + t.SPACE + '*' + chr(92) + 'n')}), lambda b: {s.trim_all('b')}), lambda b: b <> '')"
+    grown = gathered(f"list_transform({edge(clean)}, lambda v: {s.trim_all('v')})", "length(a.n) > 700")
+    raw = f"CASE WHEN len({blocks}) > 1 THEN {blocks} ELSE {grown} END"
+    return f"flatten(list_transform({raw}, lambda b: CASE WHEN length(b) <= 1400 THEN [b] ELSE {packed(edge('b'), 1200)} END))"
+
+
+@query("paragraphs_legacy", f"SELECT doc_id, unnest(p) AS paragraph, unnest(range(len(p)))::INT AS para_no FROM (SELECT doc_id, {legacy_paragraphs_sql('text')} AS p FROM documents)")
 def paragraphs_legacy(spark, sf_dir):
-    """The split looks behind and ahead, which the checking engine's patterns can't."""
     return docs(spark, sf_dir).select("doc_id", F.posexplode(structure.split_paragraphs_legacy(F.col("text"))).alias("para_no", "paragraph"))
 
 

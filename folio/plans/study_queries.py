@@ -104,8 +104,11 @@ i2 AS (SELECT *, CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_intersect(w, gw)) /
 )
 def coverage(spark, sf_dir):
     made = summary.extract_summary(docs(spark, sf_dir), "studio", LEX).select("doc_id", "summary")
-    each = important_sentences(spark, sf_dir).join(made, "doc_id", "left")
-    return each.select("doc_id", "idx", F.round(audit.coverage(F.col("sentence"), F.col("summary"), LEX), 6).alias("coverage"), audit.is_covered(F.col("sentence"), F.col("summary"), LEX).alias("covered"))
+    # a document's generated words are split once, before its sentences are taken apart
+    both = docs(spark, sf_dir).select("doc_id", audit.important_sentences(F.col("text"), LEX).alias("found")).where(F.size("found") > 0).join(made, "doc_id", "left")
+    both = both.select("doc_id", "found", F.lower(t.normalize(F.col("summary"))).alias("low"), F.array_distinct(t.content_words(F.col("summary"), LEX.audit_stop)).alias("known"))
+    judged = F.transform("found", lambda v: t.let(t.content_words(v, LEX.audit_stop), lambda w: F.struct(F.round(audit.coverage_of(w, F.col("known")), 6).alias("coverage"), audit.covered_by(v, w, F.col("low"), F.col("known")).alias("covered"))))
+    return both.select("doc_id", F.posexplode(judged).alias("idx", "x")).select("doc_id", "idx", "x.*")
 
 
 def audited(spark, sf_dir):

@@ -14,8 +14,15 @@ from folio.plans.sql import q
 LEX = MIXED
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """`df`, dealt out by key where its scan has fewer splits than there are cores (a small table in one row group)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
