@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from folio.functions import text as t
 from folio.functions.lexicon import ITALIAN, Lexicon
 
+# What marks data in a sentence.
 NUMBER = r"(^|[^\p{L}\p{N}_])(1[0-9]{3}|20[0-9]{2}|[0-9]{1,3}([.,][0-9]+)?%)([^\p{L}\p{N}_]|$)"
 FORMULA = r"(^|[^\p{L}\p{N}_])[A-Za-z]{1,4} *= *[^,.;]{1,40}"
 PER_PARAGRAPH, PER_CHAPTER = 2, 8
 
 
 def cue_patterns(lex: Lexicon) -> tuple[str, ...]:
-    return (*[t.any_of((p,)) for p in lex.important], NUMBER, FORMULA)
+    return (t.any_of(lex.important), NUMBER, FORMULA)
 
 
 def important_sentences(source: Column, lex: Lexicon = ITALIAN) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
+from folio.functions.lexicon import ITALIAN, Lexicon
 from folio.operators.structure import pack
+from folio.operators.summary import ensure_fidelity
 
 LONG, CHUNK = 7_000, 4_200
 ITEMS, CHARS, ADMITTED = 5, 18_000, 22_000
+#: Fixed values.
+ACTIONS = ("simple", "meaning", "example", "importance", "remember", "exam", "custom")
 
 
 def chunk_long(c: Column, long: int = LONG, most: int = CHUNK) -> Column:
@@ -68,9 +74,13 @@ def merge_chunks(pieces: DataFrame, key, order: str = "chunk_no", caps=(10, 6, 1
     )
 
 
-def combine_units(pieces: DataFrame, key, order: str = "chunk_no") -> DataFrame:
-    """As merge_chunks with the caps of units (8, 5, 12, 6); any unit by a model makes the whole `ai`. A fidelity pass on the source may follow."""
-    return merge_chunks(pieces, key, order, (8, 5, 12, 6)).withColumn("engine", F.when(F.col("chunk_stats.ai_chunks") > 0, "ai").otherwise("locale"))
+def combine_units(pieces: DataFrame, key, sources: DataFrame, order: str = "chunk_no", lex: Lexicon = ITALIAN) -> DataFrame:
+    """As merge_chunks with the caps of units (8, 5, 12, 6), then a fidelity pass on the source (key, text); any unit by a model makes the whole `ai`.
+
+    fidelity_recovered counts the last pass only.
+    """
+    merged = merge_chunks(pieces, key, order, (8, 5, 12, 6)).withColumn("engine", F.when(F.col("chunk_stats.ai_chunks") > 0, "ai").otherwise("locale"))
+    return ensure_fidelity(merged.join(sources.select(*key, "text"), list(key)), lex).drop("text")
 
 
 def make_batches(df: DataFrame, by: list[str], order: str, text: str = "text", items: int = ITEMS, chars: int = CHARS) -> DataFrame:
@@ -120,24 +130,62 @@ ENTRY = "struct<term: string, definition: string, placement: string, basis: stri
 RECORD = f"summary: string, dsaSummary: string, keyPoints: array<string>, remember: array<string>, keywords: array<string>, glossary: array<{ENTRY}>"
 
 
+def _bare(payload: Column) -> Column:
+    """A response without the fences around its JSON."""
+    return F.regexp_replace(F.regexp_replace(F.trim(t.text(payload)), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
 def validate_responses(responses: DataFrame) -> DataFrame:
     """Responses (batch_id, n_items, payload) with records, and an error (or null): fences are stripped, the JSON must hold as many complete records as the batch has items."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(t.text(F.col("payload"))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    out = responses.withColumn("records", F.from_json(bare, f"summaries array<struct<{RECORD}>>")["summaries"])
-    whole = F.forall("records", lambda r: r["summary"].isNotNull() & r["dsaSummary"].isNotNull() & r["keyPoints"].isNotNull() & r["remember"].isNotNull() & r["keywords"].isNotNull())
+    out = responses.withColumn("records", F.from_json(_bare(F.col("payload")), f"summaries array<struct<{RECORD}>>")["summaries"])
+    parts = ("summary", "dsaSummary", "keyPoints", "remember", "keywords", "glossary")
+    whole = F.forall("records", lambda r: reduce(lambda x, y: x & y, [r[c].isNotNull() for c in parts]))
     return out.withColumn("error", F.when(F.col("records").isNull(), "INVALID_JSON").when(F.size("records") != F.col("n_items"), "WRONG_COUNT").when(~F.coalesce(whole, F.lit(False)), "INCOMPLETE"))
 
 
+def response_glossary(entries: Column, source: Column, most: int = 3) -> Column:
+    """Entries with a term (to 90 characters, in the source) and a definition (to 180), the first of each term, at the side; their basis is the source unless general."""
+    clean = F.transform(
+        F.coalesce(entries, F.array().cast(f"array<{ENTRY}>")),
+        lambda e: F.struct(
+            F.substring(t.normalize(e["term"]), 1, 90).alias("term"), F.substring(F.regexp_replace(t.normalize(e["definition"]), "[.;:]$", ""), 1, 180).alias("definition"), F.lit("side").alias("placement"), F.when(e["basis"] == "general", "general").otherwise("source").alias("basis")
+        ),
+    )
+    there = t.let(F.lower(t.text(source)), lambda low: F.filter(clean, lambda e: (e["term"] != "") & (e["definition"] != "") & F.contains(low, F.lower(e["term"]))))
+    first = lambda kept: t.let(F.transform(kept, lambda e: F.lower(e["term"])), lambda names: F.filter(kept, lambda e, i: F.array_position(names, F.lower(e["term"])) == i + 1))
+    return F.slice(t.let(there, first), 1, most)
+
+
+def _several(values: Column, most: int) -> Column:
+    return t.head(F.filter(F.transform(values, lambda v: t.trim_all(t.text(v))), lambda v: v != ""), most)
+
+
 def normalize_responses(valid: DataFrame, sources: DataFrame) -> DataFrame:
-    """A trimmed record for each item of good responses: caps 8, 5 and 10, glossary of at most 3 terms that occur in the item's source (batch_id, item_idx, source)."""
+    """A trimmed record for each item of good responses (batch_id, item_idx, source): caps 8, 5 and 10, at most 3 glossary entries; without an accessible text the summary stands in."""
     each = valid.where("error is null").select("batch_id", F.posexplode("records").alias("item_idx", "r")).join(sources, ["batch_id", "item_idx"])
-    found = F.filter(F.coalesce("r.glossary", F.array().cast(f"array<{ENTRY}>")), lambda e: (t.normalize(e["term"]) != "") & t.contains_ci(F.col("source"), t.normalize(e["term"])))
+    summary, spoken = t.trim_all(t.text(F.col("r.summary"))), F.coalesce(F.nullif(F.col("r.dsaSummary"), F.lit("")), F.col("r.summary"))
     return each.select(
-        "batch_id", "item_idx", t.normalize(F.col("r.summary")).alias("summary"), t.trim_all(F.col("r.dsaSummary")).alias("accessible"), t.head(F.filter(F.transform("r.keyPoints", t.normalize), lambda v: v != ""), 8).alias("key_points"),
-        t.head(F.filter(F.transform("r.remember", t.normalize), lambda v: v != ""), 5).alias("remember"), t.head(F.filter(F.transform("r.keywords", t.normalize), lambda v: v != ""), 10).alias("keywords"), t.head(found, 3).alias("glossary"), F.lit("ai").alias("engine"),
+        "batch_id", "item_idx", summary.alias("summary"), t.trim_all(t.text(spoken)).alias("accessible"), _several(F.col("r.keyPoints"), 8).alias("key_points"), _several(F.col("r.remember"), 5).alias("remember"), _several(F.col("r.keywords"), 10).alias("keywords"),
+        response_glossary(F.col("r.glossary"), F.col("source")).alias("glossary"), F.lit("ai").alias("engine"),
     )
 
 
+def refined_records(responses: DataFrame) -> DataFrame:
+    """Refine responses (payload: one record) with summary, accessible, key_points (8), remember (5), keywords (12) and an error (or null)."""
+    out = responses.withColumn("_r", F.from_json(_bare(F.col("payload")), "summary string, dsaSummary string, keyPoints array<string>, remember array<string>, keywords array<string>"))
+    whole = reduce(lambda x, y: x & y, [F.col(f"_r.{c}").isNotNull() for c in ("summary", "dsaSummary", "keyPoints", "remember", "keywords")])
+    fields = {"summary": t.trim_all(F.col("_r.summary")), "accessible": t.trim_all(F.col("_r.dsaSummary")), "key_points": t.head(F.col("_r.keyPoints"), 8), "remember": t.head(F.col("_r.remember"), 5), "keywords": t.head(F.col("_r.keywords"), 12)}
+    return out.withColumns(fields).withColumn("error", F.when(~F.coalesce(whole, F.lit(False)), "INVALID_RESULT")).drop("_r")
+
+
+def apply_refinement(book: DataFrame, refined: DataFrame, key, source: str = "original", lex: Lexicon = ITALIAN) -> DataFrame:
+    """The book's records, replaced by good refined ones where there are any, which then get the fidelity pass (24 anchors, 4 sentences) on their source."""
+    names = ("summary", "accessible", "key_points", "remember", "keywords")
+    good = refined.where("error is null").select(*key, *names)
+    new = ensure_fidelity(book.drop(*names, "engine", "fidelity_recovered").join(good, list(key)), lex, source, 24, 4).withColumn("engine", F.lit("ai-refine"))
+    return book.join(good.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def with_fallback(ai: DataFrame, local: DataFrame, key) -> DataFrame:
     """Each local record, replaced by the model's where there is one."""
     names = [c for c in local.columns if c not in key]
@@ -146,16 +194,16 @@ def with_fallback(ai: DataFrame, local: DataFrame, key) -> DataFrame:
 
 
 def explain_requests(requests: DataFrame) -> DataFrame:
-    """Trimmed request fields, and an error where action or text is missing."""
-    caps = {"selection": 1_200, "chapter_title": 180, "section_title": 180, "source_text": 9_000, "summary": 4_000, "question": 800}
+    """Trimmed request fields (an unknown action is `simple`), and an error where nothing is selected or an own question is missing."""
+    caps = {"selection": 1_400, "source_text": 12_000, "summary": 7_000, "chapter_title": 300, "section_title": 300, "question": 600}
     out = requests.withColumns({c: F.substring(t.trim_all(t.text(F.col(c))), 1, n) for c, n in caps.items() if c in requests.columns})
-    return out.withColumn("error", F.when(t.normalize(F.col("action")) == "", "NO_ACTION").when((F.col("source_text") == "") & (F.col("selection") == ""), "NO_TEXT"))
+    out = out.withColumn("action", F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise("simple"))
+    return out.withColumn("error", F.when(F.col("selection") == "", "NO_SELECTION").when((F.col("action") == "custom") & (F.col("question") == ""), "NO_QUESTION"))
 
 
 def validate_answers(responses: DataFrame) -> DataFrame:
     """answer, basis (source unless general), label (at most 80 characters) and error of answer responses."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(t.text(F.col("payload"))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    out = responses.withColumn("_r", F.from_json(bare, "answer string, basis string, label string"))
+    out = responses.withColumn("_r", F.from_json(_bare(F.col("payload")), "answer string, basis string, label string"))
     answer = t.trim_all(t.text(F.col("_r.answer")))
     return out.withColumns({"answer": answer, "basis": F.when(F.col("_r.basis") == "general", "general").otherwise("source"), "label": F.substring(t.trim_all(t.text(F.col("_r.label"))), 1, 80), "error": F.when(answer == "", "NO_ANSWER")}).drop("_r")
 

@@ -41,9 +41,9 @@ def upsert_library(library: DataFrame, records: DataFrame) -> DataFrame:
     return upsert_checkpoint(both, None, ("id",), "updated_at")
 
 
-def list_library(library: DataFrame, most: int = 100) -> DataFrame:
-    """Books without their payload, newest first."""
-    return library.drop("source_data", "study_book").orderBy(F.desc("updated_at"), "id").limit(most)
+def list_library(library: DataFrame) -> DataFrame:
+    """All books without their payload, newest first."""
+    return library.drop("source_data", "study_book").orderBy(F.desc("updated_at"), "id")
 
 
 def get_book(library: DataFrame, book_id: str) -> DataFrame:

@@ -197,8 +197,3 @@ def missing_anchors(spark, sf_dir):
 )
 def fidelity_repair(spark, sf_dir):
     return summary.summarize_local(docs(spark, sf_dir), "studio", LEX).select("doc_id", "summary", "fidelity_recovered")
-
-
-@query("local_study_records")
-def local_study_records(spark, sf_dir):
-    return summary.summarize_local(docs(spark, sf_dir), "studio", LEX).drop("text")
