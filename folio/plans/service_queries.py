@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from folio.functions import text as t
 from folio.operators import answers, budget, incremental, structure, summary
 from folio.plans import sql as s
-from folio.plans.study_queries import BY, records
+from folio.plans.structure_queries import gathered
+from folio.plans.study_queries import BY, RECORDS, marked, records
 from folio.plans.text_queries import LEX, docs, summary_sql
 from folio.sources import files, sinks
 from folio.streaming import streams
@@ -65,7 +66,12 @@ def request_keys(spark, sf_dir):
     return requests(spark, sf_dir).select("conv_id", "turn", answers.request_key().alias("key"))
 
 
-@query("answer_cache")
+_LABEL = """CASE action WHEN 'exam' THEN 'Domanda d’esame' WHEN 'remember' THEN 'Da ricordare' WHEN 'importance' THEN 'Perché conta nel capitolo' WHEN 'meaning' THEN 'Significato nel contesto' WHEN 'custom' THEN 'Risposta dal testo'
+  WHEN 'example' THEN CASE WHEN ex IS NOT NULL THEN 'Esempio dal testo' ELSE 'Contesto dal testo' END ELSE 'Spiegazione dal testo' END"""
+_KEY = "sha256(action || '::' || selection || '::::::' || source_text || '::' || question)"
+
+
+@query("answer_cache", f"{LOCAL_SQL.replace('AS answer FROM r4', f'AS answer, {_KEY} AS key, {_LABEL} AS label, bool_or(conv_id % 2 = 0) OVER (PARTITION BY {_KEY}) AS cached FROM r4').replace('conv_id, turn, action, CASE', 'conv_id, turn, CASE', 1)}")
 def answer_cache(spark, sf_dir):
     """Answers of all requests with a cache that holds those of even conversations."""
     now, asked = F.lit("2024-06-01 00:00:00").cast("timestamp"), requests(spark, sf_dir)
@@ -74,12 +80,33 @@ def answer_cache(spark, sf_dir):
     return found.select("conv_id", "turn", "key", "answer", "label", "cached")
 
 
-@query("html_blocks")
+# of pages as they come here: no tables, a few character references; a block ends at its closing tag or the next block
+_RAW = "list_filter(string_split(regexp_replace(coalesce(html, ''), '<(h[1-6]|p)(?:\\s[^>]*)?>', chr(30) || '\\1' || chr(31), 'g'), chr(30)), lambda b: regexp_matches(b, '^(h[1-6]|p)\\x1f'))"
+_PLAIN = "regexp_replace(regexp_replace(regexp_extract(b, '(?s)^(?:h[1-6]|p)\\x1f(.*?)(?:</(?:h[1-6]|p)>|\\z)', 1), '(?s)<[^>]*>', '', 'g'), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')"
+# the references that the tables hold
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": " ", "copy": "©", "middot": "·", "eacute": "é", "egrave": "è", "agrave": "à", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "mdash": "—", "ndash": "–", "hellip": "…", "laquo": "«", "raquo": "»", "rsquo": "’", "amp": "&"}
+for _name, _letter in REFERENCES.items():
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', {s.q(_letter)})"
+BLOCKS_SQL = f"""bl0 AS (SELECT page_id, list_filter(list_transform({_RAW}, lambda b: {{'h': regexp_extract(b, '^(h[1-6]|p)', 1), 't': trim({_PLAIN})}}), lambda x: x.t <> '') AS l FROM pages),
+bl AS (SELECT page_id, unnest(l) AS x, unnest(range(len(l)))::INT AS block_seq FROM bl0)"""
+
+
+@query("html_blocks", f"WITH {BLOCKS_SQL} SELECT page_id, block_seq, CASE WHEN x.h = 'p' THEN 'paragraph' ELSE 'heading' END AS block_type, CASE WHEN x.h <> 'p' THEN x.h[2]::INT END AS level, x.t AS text FROM bl")
 def html_blocks(spark, sf_dir):
     return files.html_blocks(table(spark, sf_dir, "pages"))
 
 
-@query("block_chapters")
+_LAST = ", ".join(f"max(CASE WHEN level = {k} THEN block_seq END) OVER w AS p{k}, last(CASE WHEN level = {k} THEN text END IGNORE NULLS) OVER w AS t{k}" for k in range(2, 7))
+_OPEN = ", ".join(f"CASE WHEN p{k} > greatest({', '.join(['reset'] + [f'coalesce(p{j}, -1)' for j in range(2, k)])}) THEN t{k} END" for k in range(2, 7))
+
+
+@query(
+    "block_chapters",
+    f"""WITH {BLOCKS_SQL}, bc0 AS (SELECT page_id AS doc_id, block_seq, CASE WHEN x.h = 'p' THEN 'paragraph' ELSE 'heading' END AS block_type, CASE WHEN x.h <> 'p' THEN x.h[2]::INT END AS level, x.t AS text FROM bl),
+bc1 AS (SELECT *, count(*) FILTER (level = 1) OVER w AS chapter_no, coalesce(last(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w, 'Documento') AS chapter_title, coalesce(max(CASE WHEN level = 1 THEN block_seq END) OVER w, -1) AS reset, {_LAST}
+  FROM bc0 WINDOW w AS (PARTITION BY doc_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, block_seq, block_type, level, text, chapter_no, chapter_title, list_filter([{_OPEN}], lambda v: v IS NOT NULL) AS section_path FROM bc1""",
+)
 def block_chapters(spark, sf_dir):
     return structure.chapters_from_blocks(files.html_blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id"))
 
@@ -119,7 +146,12 @@ def library_latest(spark, sf_dir):
 
 
 def _place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-stream-")
+    """A new folder for a stream's state and rows: below spark.checkpoint.dir, or on one machine (tests) a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="folio-stream-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -159,7 +191,17 @@ def letter_budget(spark, sf_dir):
     return both.select("doc_id", cut.alias("reduction"), budget.band(cut).alias("band"))
 
 
-@query("line_budget")
+_VIRTUAL = gathered(f"list_filter(string_split({s.norm('text')}, ' '), lambda w: w <> '')", "length(a.n) + 1 + length(x.n) > 60")
+
+
+@query(
+    "line_budget",
+    f"""WITH u AS (SELECT source, doc_id, length(coalesce(text, '')) AS weight, len({_VIRTUAL})::INT AS virtual_lines FROM documents),
+v AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, sum(weight) OVER (PARTITION BY source) AS w FROM u),
+x AS (SELECT *, CASE WHEN w > 0 THEN greatest(0, 1000 - n) ELSE 0 END AS spare, CASE WHEN w > 0 THEN greatest(0, 1000 - n) * weight / w::DOUBLE ELSE 0.0::DOUBLE END AS part FROM v),
+y AS (SELECT *, spare - sum(floor(part)) OVER (PARTITION BY source) AS open, row_number() OVER (PARTITION BY source ORDER BY round(part - floor(part), 9) DESC, doc_id) AS place FROM x)
+SELECT source, doc_id, weight::INT AS weight, virtual_lines, (1 + floor(part) + CASE WHEN place <= open THEN 1 ELSE 0 END)::BIGINT AS lines FROM y""",
+)
 def line_budget(spark, sf_dir):
     units = docs(spark, sf_dir).select("source", "doc_id", F.length(t.text(F.col("text"))).alias("weight"), budget.virtual_lines(F.col("text")).alias("virtual_lines"))
     return budget.line_budget(units, ["source"], "doc_id", 1_000)
@@ -170,16 +212,44 @@ def full_text(spark, sf_dir):
     return sinks.full_text(docs(spark, sf_dir).select(F.col("source").alias("book"), "doc_id", t.text(F.col("text")).alias("text")), ["book"], "doc_id")
 
 
-@query("reading_view")
+SHOWN = f"{s.norm("coalesce(nullif(trim(summary), ''), nullif(trim(accessible), ''), nullif(trim(text), ''), '')")}"
+READ = f"""{RECORDS}, rv AS (SELECT *, {SHOWN} AS shown, CASE WHEN section IS NOT NULL AND section IS DISTINCT FROM lag(section) OVER w THEN section END AS fresh,
+  CASE WHEN section IS NOT NULL AND section IS DISTINCT FROM last(section IGNORE NULLS) OVER b THEN section END AS heading FROM rec
+  WINDOW w AS (PARTITION BY book, chapter ORDER BY para), b AS (PARTITION BY book, chapter ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("reading_view", f"""WITH {READ} SELECT book, chapter, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY para) FILTER (part <> ''), '') AS text
+FROM (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN lower(fresh) <> lower(book) THEN fresh END, nullif(shown, '')) AS part FROM rv) GROUP BY book, chapter""")
 def reading_view(spark, sf_dir):
     return sinks.reading_view(records(spark, sf_dir), BY, "para", "book")
 
 
-@query("chapter_html")
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_FIRST_TERMS = "list_filter(g, lambda e, k: list_position(list_transform(g, lambda u: lower(u.term)), lower(e.term)) = k)"
+_SIDE = f"list_transform({_FIRST_TERMS}[1:40], lambda e: '<div class=\"term-entry\"><strong>' || {_escaped('e.term')} || '</strong><span>' || {_escaped('e.definition')} || '</span></div>')"
+
+
+@query(
+    "chapter_html",
+    f"""WITH {READ}, ch0 AS (SELECT *, {_escaped(marked('shown', 'list_transform(glossary, lambda e: e.term)', 'chr(2)', 'chr(3)'))} AS body FROM rv),
+ch1 AS (SELECT book, chapter, string_agg('<section class="flow-block">' || coalesce('<h3>' || {_escaped('heading')} || '</h3>', '') || '<p>' || replace(replace(body, chr(2), '<strong class="technical-term">'), chr(3), '</strong>') || '</p></section>', '' ORDER BY para) AS parts,
+  flatten(list(glossary ORDER BY para)) AS g FROM ch0 GROUP BY ALL)
+SELECT book, chapter, '<section class="chapter"><header class="chapter-head"><small>CAPITOLO ' || (chapter + 1) || '</small><h2>' || {_escaped('book')} || '</h2></header><div class="chapter-layout"><div class="chapter-text">' || parts
+  || '</div><aside class="terminology"><div class="terminology-title">TERMINOLOGIA</div>' || CASE WHEN len(g) > 0 THEN array_to_string({_SIDE}, '') ELSE '<div class="term-empty">Nessun termine specialistico da spiegare.</div>' END || '</aside></div></section>' AS html FROM ch1""",
+)
 def chapter_html(spark, sf_dir):
-    return sinks.chapter_html(records(spark, sf_dir), BY, "para", "book")
+    return sinks.chapter_html(records(spark, sf_dir).withColumn("number", F.col("chapter") + 1), BY, "para", "book", "number")
 
 
-@query("book_txt")
+@query(
+    "book_txt",
+    f"""WITH {READ}, bt AS (SELECT book, chapter, upper(book) || chr(10) || chr(10) || string_agg(shown, chr(10) || chr(10) ORDER BY para) AS body, flatten(list(glossary ORDER BY para)) AS g FROM rv GROUP BY book, chapter)
+SELECT book, chapter, body || CASE WHEN len(g) > 0 THEN chr(10) || chr(10) || 'TERMINOLOGIA' || chr(10) || array_to_string(list_transform({_FIRST_TERMS}, lambda e: '- ' || e.term || ': ' || e.definition), chr(10)) ELSE '' END AS text FROM bt""",
+)
 def book_txt(spark, sf_dir):
     return sinks.book_txt(records(spark, sf_dir), BY, "para", "book")

@@ -227,14 +227,16 @@ def paragraphs_legacy(spark, sf_dir):
 
 _legacy = {k: f"regexp_matches(v, {q(p)})" for k, p in LEGACY.items()}
 _lnum = f"regexp_extract(v, {q(LEGACY['numbered'])}, 1)"
+LEGACY_HEADING = f"""CASE WHEN v = '' OR length(v) > 120 OR regexp_matches(v, {q(t.PAGE_NUMBER)}) OR regexp_matches(v, '^[•·\\-–—_]+$') THEN NULL WHEN {_legacy['part']} THEN {{'level': 1, 'kind': 'part'}} WHEN {_legacy['chapter']} THEN {{'level': 1, 'kind': 'chapter'}}
+  WHEN {_legacy['section']} THEN {{'level': 2, 'kind': 'section'}} WHEN {_legacy['numbered']} THEN {{'level': least(3, length({_lnum}) - length(replace({_lnum}, '.', '')) + 1)::INT, 'kind': 'numbered'}} WHEN {_legacy['roman']} THEN {{'level': 1, 'kind': 'roman'}}
+  WHEN {_legacy['capitals']} AND length(v) <= 76 AND len(list_filter(string_split(v, ' '), lambda w: w <> '')) <= 10 AND NOT regexp_matches(v, '[.!?]$') THEN {{'level': 1, 'kind': 'uppercase'}} END"""
+LEGACY_LEVEL = f"({LEGACY_HEADING}).level"
 
 
 @query(
     "heading_lines_legacy",
     f"""WITH {PAGES}, a AS (SELECT book, page, string_split(text, chr(10)) AS l FROM pages), b AS (SELECT book, page, unnest(l) AS line, unnest(range(len(l)))::INT AS line_no FROM a), c AS (SELECT *, {s.trim_all('line')} AS v FROM b),
-d AS (SELECT book, page, line_no, CASE WHEN v = '' OR length(v) > 120 OR regexp_matches(v, {q(t.PAGE_NUMBER)}) OR regexp_matches(v, '^[•·\\-–—_]+$') THEN NULL WHEN {_legacy['part']} THEN {{'level': 1, 'kind': 'part'}} WHEN {_legacy['chapter']} THEN {{'level': 1, 'kind': 'chapter'}}
-  WHEN {_legacy['section']} THEN {{'level': 2, 'kind': 'section'}} WHEN {_legacy['numbered']} THEN {{'level': least(3, length({_lnum}) - length(replace({_lnum}, '.', '')) + 1)::INT, 'kind': 'numbered'}} WHEN {_legacy['roman']} THEN {{'level': 1, 'kind': 'roman'}}
-  WHEN {_legacy['capitals']} AND length(v) <= 76 AND len(list_filter(string_split(v, ' '), lambda w: w <> '')) <= 10 AND NOT regexp_matches(v, '[.!?]$') THEN {{'level': 1, 'kind': 'uppercase'}} END AS h FROM c)
+d AS (SELECT book, page, line_no, {LEGACY_HEADING} AS h FROM c)
 SELECT book, page, line_no, h.level AS level, h.kind AS kind FROM d WHERE h IS NOT NULL""",
 )
 def heading_lines_legacy(spark, sf_dir):
@@ -262,7 +264,17 @@ def chunk_map(spark, sf_dir):
     return batches.chunk_map(docs(spark, sf_dir).withColumnRenamed("source", "book"), book="book")
 
 
-@query("batches")
+def batches_sql(of: str, by: str, order: str) -> str:
+    """Greedy batches of a table (by, order, n_chars) as bt(by, batch_no, order, n_chars); the state and the items have one type."""
+    item = lambda b: f"list_append(a.out, {{'o': x.o, 'n': x.n, 'b': {b}}})"
+    step = f"CASE WHEN a.i > 0 AND (a.i >= 5 OR a.c + x.n > 18000) THEN {{'o': 0::BIGINT, 'n': 0::BIGINT, 'b': a.b + 1, 'i': 1, 'c': x.n, 'out': {item('a.b + 1')}}} ELSE {{'o': 0::BIGINT, 'n': 0::BIGINT, 'b': a.b, 'i': a.i + 1, 'c': a.c + x.n, 'out': {item('a.b')}}} END"
+    none = "list_filter([{'o': 0::BIGINT, 'n': 0::BIGINT, 'b': 0}], lambda v: v.o > 0)"
+    each = f"{{'o': {order}::BIGINT, 'n': n_chars::BIGINT, 'b': 0, 'i': 0, 'c': 0::BIGINT, 'out': {none}}}"
+    return f"""bt0 AS (SELECT {by}, list({each} ORDER BY {order}) AS l FROM {of} GROUP BY {by}),
+bt1 AS (SELECT {by}, unnest(list_reduce([{each.replace(order + '::', '0::').replace('n_chars::', '0::')}] || l, lambda a, x: {step}).out) AS u FROM bt0),
+bt AS (SELECT {by}, u.b::INT AS batch_no, u.o::INT AS {order}, u.n::INT AS n_chars FROM bt1)"""
+
+
+@query("batches", f"WITH {PARAGRAPHS}, fb AS (SELECT book, chapter_no, para_no, length(paragraph) AS n_chars FROM f), {batches_sql('fb', 'book, chapter_no', 'para_no')} SELECT * FROM bt")
 def batch_rows(spark, sf_dir):
-    """Greedy packing depends on order; it is checked by its rules in the tests."""
     return batches.make_batches(structure.paragraphs(structure.body_segments(lines_of(spark, sf_dir))).withColumnRenamed("paragraph", "text"), ["book", "chapter_no"], "para_no")

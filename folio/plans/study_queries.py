@@ -241,18 +241,18 @@ def _turned(x: str, by: str) -> str:
 
 
 # rings: lists of a chapter's terms or points, each entry followed by the others in order
-_AFTER = "e[at + 2:] || e[1:at]"
-_WRONG = f"list_filter({s.unique_ci(f'list_transform({_AFTER}, lambda v: v.definition)', 1_000)}, lambda v: lower(v) <> lower(e[at + 1].definition))[1:3]"
+_AFTER = "e[spot + 2:] || e[1:spot]"
+_WRONG = f"list_filter({s.unique_ci(f'list_transform({_AFTER}, lambda v: v.definition)', 1_000)}, lambda v: lower(v) <> lower(e[spot + 1].definition))[1:3]"
 QUIZ_TERMS = f"""qa AS (SELECT book, chapter, list({{'term': term, 'definition': definition, 'para': para}} ORDER BY place) AS e FROM gl GROUP BY ALL HAVING count(*) >= 3),
-qb AS (SELECT *, unnest(range(least(len(e), 18))) AS at FROM qa),
+qb AS (SELECT *, unnest(range(least(len(e), 18))) AS spot FROM qa),
 qc AS (SELECT *, {_WRONG} AS wrong FROM qb),
-qd AS (SELECT book, chapter, at, 'Quale definizione corrisponde a “' || e[at + 1].term || '”?' AS question, (list_append([]::VARCHAR[], e[at + 1].definition) || wrong)[1:4] AS o, at + length(e[at + 1].term) AS turn, e[at + 1].definition AS explanation, e[at + 1].para AS para FROM qc WHERE len(wrong) >= 2),
-qt AS (SELECT book, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY at)::INT AS question_no, question, {_turned('o', 'turn')} AS options, explanation, para FROM qd)"""
+qd AS (SELECT book, chapter, spot, 'Quale definizione corrisponde a “' || e[spot + 1].term || '”?' AS question, (list_append([]::VARCHAR[], e[spot + 1].definition) || wrong)[1:4] AS o, spot + length(e[spot + 1].term) AS turn, e[spot + 1].definition AS explanation, e[spot + 1].para AS para FROM qc WHERE len(wrong) >= 2),
+qt AS (SELECT book, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY spot)::INT AS question_no, question, {_turned('o', 'turn')} AS options, explanation, para FROM qd)"""
 _STEP = "CASE WHEN len(a) >= 4 THEN a ELSE a || list_filter(x, lambda v: NOT list_contains(list_transform(a, lambda u: lower(u)), lower(v)))[1:1] END"
 QUIZ_POINTS = f"""pa AS (SELECT book, chapter, list({{'label': label, 'p': p, 'para': para}} ORDER BY para) AS e FROM rec WHERE len(p) > 0 GROUP BY ALL),
-pb AS (SELECT *, unnest(range(least(len(e), 18))) AS at FROM pa),
-pc AS (SELECT *, list_reduce(list_append([]::VARCHAR[][], [e[at + 1].p[1]]) || list_transform({_AFTER}, lambda v: v.p), lambda a, x: {_STEP}) AS o FROM pb),
-pt AS (SELECT book, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY at)::INT AS question_no, 'Quale affermazione appartiene a ' || e[at + 1].label || '?' AS question, {_turned('o', 'at + 1')} AS options, e[at + 1].p[1] AS explanation, e[at + 1].para AS para FROM pc WHERE len(o) >= 3)"""
+pb AS (SELECT *, unnest(range(least(len(e), 18))) AS spot FROM pa),
+pc AS (SELECT *, list_reduce(list_append([]::VARCHAR[][], [e[spot + 1].p[1]]) || list_transform({_AFTER}, lambda v: v.p), lambda a, x: {_STEP}) AS o FROM pb),
+pt AS (SELECT book, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY spot)::INT AS question_no, 'Quale affermazione appartiene a ' || e[spot + 1].label || '?' AS question, {_turned('o', 'spot + 1')} AS options, e[spot + 1].p[1] AS explanation, e[spot + 1].para AS para FROM pc WHERE len(o) >= 3)"""
 _QUESTION = "SELECT book, chapter, question_no, question, options, (list_position(options, explanation) - 1)::INT AS correct_index, explanation, para"
 QUIZ = f"{RECORDS}, {QUIZ_TERMS}, {QUIZ_POINTS}, qq AS (SELECT 0 AS k, * FROM qt UNION ALL SELECT 1, * FROM pt), qz AS (SELECT * REPLACE (row_number() OVER (PARTITION BY book, chapter ORDER BY k, question_no)::INT AS question_no) FROM qq), quizzes AS ({_QUESTION} FROM qz WHERE question_no <= 18)"
 
