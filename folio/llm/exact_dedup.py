@@ -96,7 +96,7 @@ def deduplicate(docs: DataFrame, files_per_batch: int = 1_000) -> DataFrame:
     unequal = unequal_digests(docs, groups)
     if not unequal.isEmpty():
         groups = _by_text(docs, prints, groups, unequal)
-        return _rows(prints.join(_texts_of(docs, unequal), ["doc_id", "n", "digest"], "left"), groups, ["digest", "content"])
+        return _rows(_with_texts(prints, docs, unequal, "left"), groups, ["digest", "content"])
     return _rows(prints, groups, ["digest"])
 
 
@@ -112,9 +112,15 @@ def _texts_of(docs: DataFrame, unequal: DataFrame) -> DataFrame:
     return texts.join(unequal, "digest", "left_semi").distinct()
 
 
+def _with_texts(prints: DataFrame, docs: DataFrame, unequal: DataFrame, how: str) -> DataFrame:
+    """prints with the content of rows of unequal texts; rows without a doc_id are matched too."""
+    texts = _texts_of(docs, unequal).select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("digest").alias("_digest"), "content")
+    return prints.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), how).drop("_id", "_n", "_digest")
+
+
 def _by_text(docs: DataFrame, prints: DataFrame, groups: DataFrame, unequal: DataFrame) -> DataFrame:
     """The groups, those of unequal texts parted by the texts themselves."""
-    parted = prints.join(_texts_of(docs, unequal), ["doc_id", "n", "digest"]).groupBy("digest", "content").agg(best_row().alias("best"), F.count("*").alias("group_size"))
+    parted = _with_texts(prints, docs, unequal, "inner").groupBy("digest", "content").agg(best_row().alias("best"), F.count("*").alias("group_size"))
     whole = groups.join(unequal, "digest", "left_anti").withColumn("content", F.lit(None).cast("string"))
     return whole.select("digest", "content", "best", "group_size").union(parted.select("digest", "content", "best", "group_size"))
 

@@ -97,6 +97,15 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_exact_dedup_parts_texts_of_one_digest(spark, monkeypatch):
+    # a digest of the length alone, so that other texts clash
+    monkeypatch.setattr(exact_dedup, "digest", lambda c: F.unhex(F.sha2(F.length(exact_dedup.normalised(c)).cast("string"), 256)))
+    rows = [(1, "ab"), (2, "a b"), (3, "cd"), (None, "c d "), (5, "e"), (None, "xyz")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=repr)
+    assert found == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, None, 2, False), (None, None, 2, True), (5, 5, 1, True), (None, None, 1, True)], key=repr)
+
+
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     place = str(tmp_path)
     for rows in ([(1, "a b"), (2, "ab")], [(3, "a  b"), (4, "c")]):
