@@ -32,11 +32,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folio.llm.frames import for_workers
+from folio.llm.frames import for_workers, release
 
 VOCABULARY = "byte_bpe_50k.json"
-PIECES = 150_000
-PAIRS = 200_000
+PIECES = 100_000
+PAIRS = 120_000
 #: Rows handled at once.
 ROWS = 500
 #: Fixed value: how byte-level vocabularies of this kind part a text into pieces; white space is Unicode's property.
@@ -301,6 +301,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, *([_decoded(own, flat, offsets)] if decode else [])], names=names)
         own.forget()
+        release()
 
     fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>" + (", decoded string" if decode else "")
     return for_workers(docs).select(key, text).mapInArrow(run, fields)

@@ -23,9 +23,13 @@ from folio.llm.frames import shared_dir
 SPACES = " \t\n\x0b\f\r"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     # else each of many small stores holds megabytes of empty files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # one bound for all partitions of an executor, however many it serves, and no store held after its commit
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import textkit as tk
 from folio.llm.components import components
-from folio.llm.frames import cut, for_workers, stored
+from folio.llm.frames import cut, for_workers, release, stored
 
 WORDS = 5
 GROUPS = 128
@@ -78,6 +78,7 @@ def measure(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     [batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "node"],
                 )
+        release()
 
     return for_workers(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary")
 
@@ -142,6 +143,8 @@ def _scatter(buckets: int, k: int):
                     number, held, size = number + 1, {}, 0
         if held:
             yield flush()
+        held.clear()
+        release()
 
     return run
 

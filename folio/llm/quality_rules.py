@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from folio.llm import textkit as tk
-from folio.llm.frames import for_workers
+from folio.llm.frames import for_workers, release
 
 #: (bytes from, lowest ratio, highest ratio) of whole texts without limits from the table, by length; below the first length nothing is judged.
 WHOLE_BANDS = ((120, 0.42, 1.20), (300, 0.33, 0.95), (1_000, 0.28, 0.80), (4_000, 0.22, 0.72), (16_000, 0.16, 0.68))
@@ -138,6 +138,7 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if z > a:
                     seen.update((*piece_class(piece), int(BINS * r)) for piece, r in pieces(data[a:z], squeeze))
         yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in seen], pa.int32()) for i in range(3)], pa.array(seen.values(), pa.int64())], names=["script", "length", "bin", "n"])
+    release()
 
 
 def ratio_limits(docs: DataFrame) -> Limits:
@@ -178,6 +179,7 @@ def measure(docs: DataFrame, text: int, keep_text: bool, limits: Limits, bands=W
                 columns = [part.column(i) for i in kept]
                 columns += [pa.array(found[f.name].astype(NUMPY.get(f.dataType.typeName(), np.int64)), from_pandas=True) for f in measures]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*fields, *measures]])
+        release()
 
     return for_workers(docs).mapInArrow(run, StructType([*fields, *measures]))
 
