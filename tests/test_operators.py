@@ -121,7 +121,7 @@ def test_quiz_points_needs_few_passages(spark):
 
 def test_sinks(spark, tmp_path):
     paras = study(spark).withColumn("title", F.lit("Cap <1>"))
-    html = sinks.chapter_html(paras, ["book"], "para", "title").first().html
+    html = sinks.chapter_html(paras.withColumn("n", F.lit(1)), ["book"], "para", "title", "n").first().html
     assert html.count("<h3>") == 2 and "Cap &lt;1&gt;" in html
     txt = sinks.book_txt(paras, ["book"], "para", "title")
     assert "TERMINOLOGIA\n- termine0: definizione numero 0" in txt.first().text
