@@ -1,25 +1,35 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from few templates. A page is taken as tokens: its structural tags with their path of enclosing
-elements, and its text chunks with theirs. For each host, tokens are grouped by their occurrence vector: how often
-they occur on each page. Tokens that one template piece writes have equal vectors. A class is valid if it has at
-least two tokens and is found on at least half of the host's distinct pages (three or more); the
-tokens of the valid classes together are the host's template. Classes are neither ordered nor nested, and slots aren't cut
-between template tokens: the template only tells which chunks are constant, and rules of elements and names decide first.
-
-A chunk's text is main text unless it stands in a part that isn't the article by its element or by a name in its class,
+Pages of one host come from few templates. A page is taken as a sequence of tokens: the starts and ends of its structural
+elements with their path of enclosing elements, and its text chunks with theirs. The host's template is deduced in steps:
+
+1. Tokens are grouped by their occurrence vector: how often they occur on each page. Tokens that one template piece writes
+   have equal vectors. A class has at least two tokens and is found on at least half of the host's distinct pages (three or more).
+2. A class's tokens are ordered by their mean first place. A page is walked with the classes as open and closed spans; a
+   class is ordered if its tokens follow each other in that order, and nested if its spans lie between two neighbouring tokens of
+   the class around them (or outside all). Classes that are both on at least `least_valid` of their pages are valid; their nesting
+   is the template. On a page that breaks a valid class, the walk is made again without that class.
+3. What lies between two neighbouring tokens of the innermost open span is a slot, named by the open classes and the places
+   in them. Text of valid classes is constant; all other text is in slots.
+4. Which slots hold the article, templates can't tell; element and name rules say it for each chunk, and the chunks of a slot
+   with the same path, on all pages of the host that mark their article alike, decide together by majority (an even split leaves each its own).
+
+The rules: a chunk isn't main text if it stands in a part that isn't the article by its element or by a name in its class,
 id or role that consists of such words alone (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 The page itself, and what holds or is the page's only article, is no such part. If the page marks its article
-(article, main), only chunks in it count; there, headings and paragraphs are kept even if all pages share them, other
-constant chunks go as notices. Without such a mark, constant chunks go and so do list items that are only links.
+(article, main), only chunks in it are main text; there, constant headings and paragraphs are kept (a sentence that all
+articles of a host share is text), other constant chunks go as notices. Without such a mark, constant chunks go and so do chunks
+that are only links.
 
 Occurrence vectors are never held: the XOR over distinct pages of a hash of page and count stands for one, and is a
 partial aggregate. Pages of equal html on a host count once, else many copies of one page would be its template; they
-are found by digest and meet as lists of token hashes, not as html. At most twice the mean number of tokens of a page can be on half of the pages, so a host's template is
-small whatever the number of its pages; templates are broadcast while there are at most `broadcast_hosts` hosts.
+are found by digest and meet as token hashes, not as html. At most twice the mean number of tokens of a page can be on half of the pages, so a host's template is
+small whatever the number of its pages; of slots only those of mixed verdicts are kept, as the others decide nothing. Templates are
+broadcast while they hold at most `broadcast_tokens` hashes in all.
 
 Defined cases: null and empty html give an empty text; broken, cut and unclosed mark-up is read as browsers do, roughly;
-a null url is the host ''; hosts of fewer than three distinct pages have no template, so only marks count; an empty table gives an empty result. Extra columns aren't read.
+a null url is the host ''; hosts of fewer than three distinct pages have no template, so only the rules count; repeated rows
+each get a row; an empty table gives an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -36,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.frames import cut, stored
 from folio.llm.url_filter import host_path
 
 #: A comment, an element whose content isn't text, a tag, or a tag cut off by the end of the page.
@@ -110,13 +121,13 @@ def _lifted(asides: list[Aside], blocks: list[tuple[str, tuple[str, ...], tuple[
     return lifted
 
 
-def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
-    """The page's blocks of text in order, and the paths of its structural tags in order."""
+def chunks(page: str) -> tuple[list[Chunk], list[int | tuple[str, ...]]]:
+    """The page's blocks of text, and the order of all: numbers of blocks, paths of starting elements, and paths after "/" of ending ones."""
     stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = []  # name, label, numbers of the article marks and of the asides above and here
     above: list[tuple[int, ...]] = []  # of each article mark, the asides above it
     asides: list[Aside] = []
     blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], tuple[int, ...], bool]] = []
-    tags: list[tuple[str, ...]] = []
+    order: list[int | tuple[str, ...]] = []
     text: list[str] = []
     links = [0, 0, 0]  # open links, letters, letters in links
 
@@ -125,10 +136,16 @@ def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
             joined = SPACES.sub(" ", entities.unescape("".join(text))).strip()
             if joined:
                 top = stack[-1] if stack else ("", "", (), ())
+                order.append(len(blocks))
                 blocks.append((joined, tuple(s[1] for s in stack), top[2], top[3], links[1] > 0 and links[2] == links[1]))
             text.clear()
         links[1] = links[2] = 0
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            order.append(("/", *(s[1] for s in stack)))
+            stack.pop()
+
     def say(part: str) -> None:
         text.append(part)
         n = len(part) - part.count(" ")
@@ -155,14 +172,14 @@ def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
         if m[2]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    del stack[depth:]
+                    close(depth)
                     break
             links[0] = 0
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         while stack and stack[-1][0] in ENDS.get(name, ()):
-            stack.pop()
+            close(len(stack) - 1)
         label, is_main, is_aside = _element(name, m[4])
         mains, outer = (stack[-1][2], stack[-1][3]) if stack else ((), ())
         if name == "header" and mains:
@@ -177,12 +194,13 @@ def chunks(page: str) -> tuple[list[Chunk], list[tuple[str, ...]]]:
                 mains = (*mains, len(above))
                 above.append(outer)
             stack.append((name, label, mains, own))
-            tags.append(tuple(s[1] for s in stack))
+            order.append(tuple(s[1] for s in stack))
     if at < len(page):
         say(page[at:])
     flush()
+    close(0)
     lifted = _lifted(asides, blocks)
-    return [Chunk(t, path, any(lifted.issuperset(above[m]) for m in mains), not lifted.issuperset(own), linked) for t, path, mains, own, linked in blocks], tags
+    return [Chunk(t, path, any(lifted.issuperset(above[m]) for m in mains), not lifted.issuperset(own), linked) for t, path, mains, own, linked in blocks], order
 
 
 def _hash(value: str) -> int:
@@ -196,62 +214,214 @@ def chunk_token(chunk: Chunk) -> int:
     return _hash(chunk.text) ^ (_path_hash(chunk.path) * 3 & 0x7FFFFFFFFFFFFFFF)
 
 
-def page_tokens(page: str) -> Counter:
-    found, tags = chunks(page)
-    return Counter([_path_hash(t) for t in tags]) + Counter([chunk_token(c) for c in found])
+def tokens_of(found: list[Chunk], order: list[int | tuple[str, ...]]) -> list[int]:
+    return [chunk_token(found[o]) if isinstance(o, int) else _path_hash(o) for o in order]
+
+
+def rule_verdicts(found: list[Chunk]) -> tuple[list[bool], bool]:
+    """Of each chunk whether the rules take it for main text, and whether the page marks its article."""
+    marked = any(c.main and not c.aside for c in found)
+    return [not c.aside and (c.main if marked else not c.linked) for c in found], marked
+
+
+def chunk_place(chunk: Chunk, marked: bool) -> int:
+    """Stands for a chunk's path, on pages that mark their article or on others."""
+    return _path_hash(chunk.path) ^ (0x5555555555555555 if marked else 0)
+
+
+# -- spans and slots
+
+
+@lru_cache(maxsize=50_000)
+def _slot(spans: tuple[tuple[int, int], ...]) -> int:
+    return _hash(repr(spans))
+
+
+def walk(tokens: list[int], places: list[int | None], classes: list[list[int]]) -> tuple[list[int | None], set[int]]:
+    """Of each token with a place its slot and place as one number (None: constant, or no text), and the numbers of the classes that aren't ordered and nested here."""
+    where = {t: (c, i) for c, members in enumerate(classes) for i, t in enumerate(members)}
+    spans: list[list[int]] = []  # open ones: class, and the token that it waits for
+    broken: set[int] = set()
+    slots: list[int | None] = []
+    for token, place in zip(tokens, places, strict=True):
+        c, i = where.get(token, (-1, 0))
+        if c < 0:
+            slots.append(None if place is None else _slot(tuple((classes[k][0], n) for k, n in spans)) ^ place)
+            continue
+        slots.append(None)
+        depth = next((d for d in range(len(spans) - 1, -1, -1) if spans[d][0] == c), -1)
+        if depth < 0 and i == 0:
+            spans.append([c, 1])
+        elif depth >= 0 and spans[depth][1] == i:
+            broken.update(k for k, _ in spans[depth + 1 :])
+            del spans[depth + 1 :]
+            spans[depth][1] += 1
+            if spans[depth][1] == len(classes[c]):
+                spans.pop()
+        else:
+            broken.add(c)
+            if depth >= 0:
+                del spans[depth]
+    return slots, broken | {k for k, _ in spans}
+
+
+def settled(tokens: list[int], places: list[int | None], classes: list[list[int]]) -> list[int | None]:
+    """`walk`'s slots by the classes that this page keeps to."""
+    while True:
+        slots, broken = walk(tokens, places, classes)
+        if not broken:
+            return slots
+        classes = [members for c, members in enumerate(classes) if c not in broken]
+
+
+# -- templates on Spark
+
+ROW = "host string, digest binary, tokens array<long>, counts array<int>, firsts array<int>, sequence array<int>, places array<long>, verdicts array<boolean>"
+
+
+def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[int | None], list[bool]]:
+    found, order = chunks(page)
+    sequence = tokens_of(found, order)
+    counts = Counter(sequence)
+    number = {t: n for n, t in enumerate(counts)}
+    firsts: dict[int, int] = {}
+    for at, t in enumerate(sequence):
+        firsts.setdefault(t, at)
+    verdicts, marked = rule_verdicts(found)
+    places = [chunk_place(found[o], marked) if isinstance(o, int) else None for o in order]
+    return list(counts), list(counts.values()), list(firsts.values()), [number[t] for t in sequence], places, verdicts
 
 
 def _page_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.binary(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))]
     for batch in batches:
-        seen: dict[tuple[str, bytes], Counter] = {}
+        seen: dict[tuple[str, bytes], tuple] = {}
         for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             key = host, hashlib.blake2b((page or "").encode("utf-8", "replace"), digest_size=16).digest()
             if key not in seen:
-                seen[key] = page_tokens(page or "")
-        columns = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary())]
-        columns += [pa.array([list(c) for c in seen.values()], pa.list_(pa.int64())), pa.array([list(c.values()) for c in seen.values()], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["host", "digest", "tokens", "counts"])
+                seen[key] = _read(page or "")
+        columns = list(zip(*((*k, *v) for k, v in seen.items()), strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in ROW.split(", ")])
+
 
+def _pages_with_classes(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[int | None], list[bool], list[list[int]]]]:
+    """host, tokens in order, places, verdicts, classes; a host's classes are taken from Arrow once a batch."""
+    known: dict[str, list[list[int]]] = {}
+    hosts, tokens, sequences, places, verdicts = (batch.column(i).to_pylist() for i in range(5))
+    for row, host in enumerate(hosts):
+        if host not in known:
+            known[host] = batch.column(5)[row].as_py()
+        yield host, [tokens[row][n] for n in sequences[row]], places[row], verdicts[row], known[host]
 
-def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
-    """host, template: the tokens of its valid classes, over distinct pages."""
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, broken = Counter(), Counter()
+        for host, sequence, places, _, classes in _pages_with_classes(batch):
+            present = set(sequence)
+            bad = walk(sequence, places, classes)[1]
+            for c, members in enumerate(classes):
+                if members[0] in present:
+                    found[host, members[0]] += 1
+                    broken[host, members[0]] += c in bad
+        yield pa.RecordBatch.from_pydict(
+            {"host": pa.array([k[0] for k in found], pa.string()), "first": pa.array([k[1] for k in found], pa.int64()), "pages": pa.array(found.values(), pa.int64()), "broken": pa.array([broken[k] for k in found], pa.int64())}
+        )
+
+
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, kept = Counter(), Counter()
+        for host, sequence, places, verdicts, classes in _pages_with_classes(batch):
+            texts = (slot for slot, place in zip(settled(sequence, places, classes), places, strict=True) if place is not None)
+            for slot, verdict in zip(texts, verdicts, strict=True):
+                if slot is not None:
+                    found[host, slot] += 1
+                    kept[host, slot] += verdict
+        yield pa.RecordBatch.from_pydict(
+            {"host": pa.array([k[0] for k in found], pa.string()), "slot": pa.array([k[1] for k in found], pa.int64()), "chunks": pa.array(found.values(), pa.int64()), "kept": pa.array([kept[k] for k in found], pa.int64())}
+        )
+
+
+def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2, least_valid: float = 0.9, broadcast_tokens: int = 2_000_000) -> DataFrame:
+    """host, classes (valid ones, their tokens in order), kept and dropped (slots with a place whose chunks are mostly main text, or mostly not, but not all), over distinct pages."""
     named = pages.select(host_path(F.col("url"))[0].alias("host"), "html")
-    each = named.mapInArrow(_page_digests, "host string, digest binary, tokens array<long>, counts array<int>").groupBy("host", "digest").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
-    occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"))
-    tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    once = named.mapInArrow(_page_digests, ROW).groupBy("host", "digest").agg(*(F.first(c).alias(c) for c in ("tokens", "counts", "firsts", "sequence", "places", "verdicts")))
+    each, drop = stored(once)
+    occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts", "firsts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"), F.col("t.firsts").cast("long").alias("first"))
+    tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages"), F.sum("first").alias("first")).where(F.col("pages") >= least_pages)
     total = each.groupBy("host").agg(F.count("*").alias("host_pages"))
     frequent = tokens.join(total, "host").where(F.col("pages") >= least_share * F.col("host_pages"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least_tokens)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
+    grouped = frequent.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("first", "token"))).alias("members")).where(F.size("members") >= least_tokens)
+    candidates = cut(grouped.select("host", F.col("members.token").alias("members")))
 
+    def beside(classes: DataFrame) -> DataFrame:
+        lists = classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes"))
+        return each.select("host", "tokens", "sequence", "places", "verdicts").join(sized(lists, "classes", broadcast_tokens), "host")
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """The page's chunks that are main text, joined by line feeds."""
-    found, _ = chunks(page)
-    marked = any(c.main and not c.aside for c in found)
+    checked = beside(candidates).mapInArrow(_check, "host string, first long, pages long, broken long").groupBy("host", "first").agg(F.sum("pages").alias("pages"), F.sum("broken").alias("broken"))
+    valid = checked.where(F.col("broken") <= (1 - least_valid) * F.col("pages")).select("host", "first")
+    classes = cut(candidates.withColumn("first", F.col("members")[0]).join(valid, ["host", "first"]).select("host", "members"))
+    votes = beside(classes).mapInArrow(_vote, "host string, slot long, chunks long, kept long").groupBy("host", "slot").agg(F.sum("chunks").alias("chunks"), F.sum("kept").alias("kept"))
+    mixed = votes.where((F.col("kept") > 0) & (F.col("kept") < F.col("chunks")) & (2 * F.col("kept") != F.col("chunks"))).withColumn("most", 2 * F.col("kept") > F.col("chunks"))
+    slots = mixed.groupBy("host").agg(F.collect_list(F.when(F.col("most"), F.col("slot"))).alias("kept"), F.collect_list(F.when(~F.col("most"), F.col("slot"))).alias("dropped"))
+    made = cut(classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes")).join(slots, "host", "left"))
+    drop()
+    return made
+
+
+def sized(made: DataFrame, column: str, most: int) -> DataFrame:
+    """`made`, to be broadcast if its lists hold at most `most` numbers in all."""
+    held = made.agg(F.sum(F.size(F.flatten(column)) + 8)).first()[0]
+    return F.broadcast(made) if (held or 0) <= most else made
+
+
+class Template(NamedTuple):
+    """What a host's pages have in common."""
+
+    classes: list[list[int]]
+    kept: frozenset[int] = frozenset()
+    dropped: frozenset[int] = frozenset()
+
+
+def main_text(page: str, template: Template | frozenset) -> str:
+    """The page's chunks that are main text, joined by line feeds. An empty template is one of no classes."""
+    found, order = chunks(page)
+    verdicts, marked = rule_verdicts(found)
+    if not template:
+        return "\n".join(c.text for c, verdict in zip(found, verdicts, strict=True) if verdict)
+    places = [chunk_place(found[o], marked) if isinstance(o, int) else None for o in order]
     out = []
-    for c in found:
-        if c.aside or marked and not c.main:
-            continue
-        paragraph = any(p.split(" ", 1)[0] in PARAGRAPHS for p in c.path)
-        if (not marked or not paragraph) and template and chunk_token(c) in template or not marked and c.linked:
+    for o, slot in zip(order, settled(tokens_of(found, order), places, template.classes), strict=True):
+        if not isinstance(o, int):
             continue
-        out.append(c.text)
+        if slot is None:  # constant
+            keep = verdicts[o] and marked and any(p.split(" ", 1)[0] in PARAGRAPHS for p in found[o].path)
+        else:
+            keep = slot in template.kept or verdicts[o] and slot not in template.dropped
+        if keep:
+            out.append(found[o].text)
     return "\n".join(out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        known: dict[str, Template | frozenset] = {}
         for start in range(0, len(batch), 500):
             part = batch.slice(start, 500)
-            texts = [main_text(page or "", frozenset(template or ())) for page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            texts = []
+            for row, (host, page) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                if host not in known:
+                    classes, kept, dropped = (part.column(i)[row].as_py() for i in (4, 5, 6))
+                    known[host] = Template(classes, frozenset(kept or ()), frozenset(dropped or ())) if classes else frozenset()
+                texts.append(main_text(page or "", known[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_text(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def extract_text(pages: DataFrame, broadcast_tokens: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars, a row for each page."""
-    made = templates(pages)
-    hosts = pages.select(F.approx_count_distinct(host_path(F.col("url"))[0])).first()[0]
-    named = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
-    both = named.join(F.broadcast(made) if hosts <= broadcast_hosts else made, "host", "left").select("page_id", "url", "html", "template")
+    made = templates(pages, broadcast_tokens=broadcast_tokens)
+    held = made.agg(F.sum(F.size(F.flatten("classes")) + F.coalesce(F.size("kept"), F.lit(0)) + F.coalesce(F.size("dropped"), F.lit(0)) + 8)).first()[0] or 0
+    named = pages.select("page_id", "url", host_path(F.col("url"))[0].alias("host"), "html")
+    both = named.join(F.broadcast(made) if held <= broadcast_tokens else made, "host", "left").select("page_id", "url", "host", "html", "classes", "kept", "dropped")
     return both.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
