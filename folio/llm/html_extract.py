@@ -5,10 +5,11 @@ elements with their path of enclosing elements, and its text chunks with theirs.
 
 1. Tokens are grouped by their occurrence vector: how often they occur on each page. Tokens that one template piece writes
    have equal vectors. A class has at least two tokens and is found on at least half of the host's distinct pages (three or more).
-2. A class's tokens are ordered by their mean first place. A page is walked with the classes as open and closed spans; a
-   class is ordered if its tokens follow each other in that order, and nested if its spans lie between two neighbouring tokens of
-   the class around them (or outside all). Classes that are both on at least `least_valid` of their pages are valid; their nesting
-   is the template. On a page that breaks a valid class, the walk is made again without that class.
+2. A class's tokens are ordered as on one of its pages, the one of least hash. Tokens that on more than 1 - `least_valid` of their pages are
+   outside a longest run in that order leave the class. Then each page is walked with the classes as open and closed spans; a class is
+   nested if its spans lie whole between two neighbouring tokens of the class around them (or outside all). Classes that are so
+   on at least `least_valid` of their pages are valid; their nesting is the template. On a page that breaks a valid class, the walk is
+   made again without that class.
 3. What lies between two neighbouring tokens of the innermost open span is a slot, named by the open classes and the places
    in them. Text of valid classes is constant; all other text is in slots.
 4. Which slots hold the article, templates can't tell; element and name rules say it for each chunk, and the chunks of a slot
@@ -37,7 +38,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -265,6 +267,23 @@ def walk(tokens: list[int], places: list[int | None], classes: list[list[int]])
     return slots, broken | {k for k, _ in spans}
 
 
+def out_of_order(positions: list[int]) -> set[int]:
+    """The numbers of the positions that are outside a longest rising run of them."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(positions)
+    for n, position in enumerate(positions):
+        k = bisect_left(ends, position)
+        before[n] = last[k - 1] if k else -1
+        ends[k:], last[k:] = [position, *ends[k + 1 :]], [n, *last[k + 1 :]]
+    n = last[-1] if last else -1
+    outside = set(range(len(positions)))
+    while n >= 0:
+        outside.discard(n)
+        n = before[n]
+    return outside
+
+
 def settled(tokens: list[int], places: list[int | None], classes: list[list[int]]) -> list[int | None]:
     """`walk`'s slots by the classes that this page keeps to."""
     while True:
@@ -314,19 +333,33 @@ def _pages_with_classes(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int],
         yield host, [tokens[row][n] for n in sequences[row]], places[row], verdicts[row], known[host]
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tallies(found: Counter, broken: Counter, key: str) -> pa.RecordBatch:
+    columns = {"host": pa.array([k[0] for k in found], pa.string()), key: pa.array([k[1] for k in found], pa.int64()), "pages": pa.array(found.values(), pa.int64()), "broken": pa.array([broken[k] for k in found], pa.int64())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _check_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, broken = Counter(), Counter()
+        for host, sequence, _, _, classes in _pages_with_classes(batch):
+            at = defaultdict(list)
+            for n, t in enumerate(sequence):
+                at[t].append(n)
+            for members in classes:
+                if members[0] in at:
+                    found.update((host, t) for t in members)
+                    broken.update({(host, members[n]) for k in range(len(at[members[0]])) for n in out_of_order([at[t][k] for t in members])})
+        yield _tallies(found, broken, "token")
+
+
+def _check_nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, broken = Counter(), Counter()
         for host, sequence, places, _, classes in _pages_with_classes(batch):
             present = set(sequence)
-            bad = walk(sequence, places, classes)[1]
-            for c, members in enumerate(classes):
-                if members[0] in present:
-                    found[host, members[0]] += 1
-                    broken[host, members[0]] += c in bad
-        yield pa.RecordBatch.from_pydict(
-            {"host": pa.array([k[0] for k in found], pa.string()), "first": pa.array([k[1] for k in found], pa.int64()), "pages": pa.array(found.values(), pa.int64()), "broken": pa.array([broken[k] for k in found], pa.int64())}
-        )
+            found.update((host, members[0]) for members in classes if members[0] in present)
+            broken.update((host, classes[c][0]) for c in walk(sequence, places, classes)[1])
+        yield _tallies(found, broken, "head")
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,24 +377,30 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2, least_valid: float = 0.9, broadcast_tokens: int = 2_000_000) -> DataFrame:
-    """host, classes (valid ones, their tokens in order), kept and dropped (slots with a place whose chunks are mostly main text, or mostly not, but not all), over distinct pages."""
+    """host, classes (the valid ones, their tokens in order), kept and dropped (slots with a place whose chunks are mostly main text, or mostly not, but not all), over distinct pages."""
     named = pages.select(host_path(F.col("url"))[0].alias("host"), "html")
     once = named.mapInArrow(_page_digests, ROW).groupBy("host", "digest").agg(*(F.first(c).alias(c) for c in ("tokens", "counts", "firsts", "sequence", "places", "verdicts")))
     each, drop = stored(once)
-    occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts", "firsts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"), F.col("t.firsts").cast("long").alias("first"))
-    tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages"), F.sum("first").alias("first")).where(F.col("pages") >= least_pages)
+    occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts", "firsts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"), (F.shiftleft(F.xxhash64("digest"), 24) + F.col("t.firsts")).alias("place"))
+    tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages"), F.min("place").alias("place")).where(F.col("pages") >= least_pages)
     total = each.groupBy("host").agg(F.count("*").alias("host_pages"))
     frequent = tokens.join(total, "host").where(F.col("pages") >= least_share * F.col("host_pages"))
-    grouped = frequent.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("first", "token"))).alias("members")).where(F.size("members") >= least_tokens)
+    grouped = frequent.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members")).where(F.size("members") >= least_tokens)
     candidates = cut(grouped.select("host", F.col("members.token").alias("members")))
 
     def beside(classes: DataFrame) -> DataFrame:
         lists = classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes"))
         return each.select("host", "tokens", "sequence", "places", "verdicts").join(sized(lists, "classes", broadcast_tokens), "host")
 
-    checked = beside(candidates).mapInArrow(_check, "host string, first long, pages long, broken long").groupBy("host", "first").agg(F.sum("pages").alias("pages"), F.sum("broken").alias("broken"))
-    valid = checked.where(F.col("broken") <= (1 - least_valid) * F.col("pages")).select("host", "first")
-    classes = cut(candidates.withColumn("first", F.col("members")[0]).join(valid, ["host", "first"]).select("host", "members"))
+    def sound(checked: DataFrame, key: str) -> DataFrame:
+        return checked.groupBy("host", key).agg(F.sum("pages").alias("pages"), F.sum("broken").alias("broken")).where(F.col("broken") <= (1 - least_valid) * F.col("pages")).select("host", key)
+
+    in_order = sound(beside(candidates).mapInArrow(_check_order, "host string, token long, pages long, broken long"), "token")
+    numbered = candidates.select("host", F.col("members")[0].alias("of"), F.posexplode("members").alias("at", "token")).join(in_order, ["host", "token"])
+    ordered = numbered.groupBy("host", "of").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("members")).where(F.size("members") >= least_tokens)
+    ordered = cut(ordered.select("host", F.col("members.token").alias("members")))
+    nested = sound(beside(ordered).mapInArrow(_check_nesting, "host string, head long, pages long, broken long"), "head")
+    classes = cut(ordered.withColumn("head", F.col("members")[0]).join(nested, ["host", "head"]).select("host", "members"))
     votes = beside(classes).mapInArrow(_vote, "host string, slot long, chunks long, kept long").groupBy("host", "slot").agg(F.sum("chunks").alias("chunks"), F.sum("kept").alias("kept"))
     mixed = votes.where((F.col("kept") > 0) & (F.col("kept") < F.col("chunks")) & (2 * F.col("kept") != F.col("chunks"))).withColumn("most", 2 * F.col("kept") > F.col("chunks"))
     slots = mixed.groupBy("host").agg(F.collect_list(F.when(F.col("most"), F.col("slot"))).alias("kept"), F.collect_list(F.when(~F.col("most"), F.col("slot"))).alias("dropped"))

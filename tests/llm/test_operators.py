@@ -320,6 +320,80 @@ def test_wrappers_are_not_aside(page):
     assert html_extract.main_text(page, frozenset()) == "Text"
 
 
+def brute_template(pages, moving, least=3):
+    """The valid classes of one host's distinct pages, by their definition, without tokens known to move: positions of all tokens, and spans compared in pairs."""
+    read = [html_extract.tokens_of(*html_extract.chunks(p)) for p in sorted(set(pages))]
+    groups = {}
+    for token in {t for r in read for t in r}:
+        vector = tuple(r.count(token) for r in read)
+        if sum(map(bool, vector)) >= max(least, len(read) / 2):
+            groups.setdefault(vector, []).append((sum(r.index(token) for r in read if token in r), token))
+    classes = [[t for _, t in sorted(g) if t not in moving] for g in groups.values()]
+    valid = [c for c in classes if len(c) > 1]
+    for members in valid:
+        assert all([t for t in r if t in set(members)] == members * r.count(members[0]) for r in read)
+    spans = {(n, members[0]): [[(i, t) for i, t in enumerate(r) if t in set(members)][k : k + len(members)] for k in range(0, r.count(members[0]) * len(members), len(members))] for n, r in enumerate(read) for members in valid}
+
+    def crosses(n, inner, outer):
+        return any(o[0][0] < i[0][0] < at < i[-1][0] < o[-1][0] for i in spans[n, inner[0]] for o in spans[n, outer[0]] for at, _ in o)
+
+    valid = [inner for inner in valid if not any(crosses(n, inner, outer) for n in range(len(read)) for outer in valid)]
+    return sorted(valid)
+
+
+def test_template_equals_brute_force(spark):
+    def page(i):
+        blocks = "<p class='x'>Swap</p><div class='y'><p>Turn</p></div>" if i % 2 else "<div class='y'><p>Turn</p></div><p class='x'>Swap</p>"
+        items = "".join(f"<li><a href=/{j}>Item {i} {j}</a></li>" for j in range(i % 3 + 1))
+        return f"<html><body><div>Top line</div><ul>{items}</ul><section><h2>News {i}</h2><p>Text {i}</p></section>{blocks}<div>Bottom line</div></body></html>"
+
+    pages = [page(i) for i in range(8)]
+    rows = [(i, "http://h.com/1", p) for i, p in enumerate(pages + pages[:3] * 4)] + [(90, None, None), (91, "http://other.com", pages[0])]
+    made = {r.host: r for r in html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found, order = html_extract.chunks(pages[0])
+    moving = {t for t, o in zip(html_extract.tokens_of(found, order), order, strict=True) if (found[o].text == "Swap" if isinstance(o, int) else o[-1] == "p class=x")}
+    got = sorted(made["h.com"].classes)
+    assert set(made) == {"h.com"} and len(moving) == 3
+    assert got == brute_template(pages, moving) and len(got) == 2 and max(map(len, got)) >= 10
+
+
+def test_longest_run():
+    rng = np.random.default_rng(3)
+    for n in range(7):
+        for _ in range(30):
+            positions = rng.permutation(n).tolist()
+            best = max(bin(m).count("1") for m in range(1 << n) if (kept := [p for i, p in enumerate(positions) if m >> i & 1]) == sorted(kept))
+            outside = html_extract.out_of_order(positions)
+            kept = [p for i, p in enumerate(positions) if i not in outside]
+            assert kept == sorted(kept) and len(kept) == best
+
+
+def test_classes_that_overlap_are_not_nested():
+    classes = [[1, 2, 3], [10, 11]]
+    slots, broken = html_extract.walk([1, 10, 7, 11, 10, 11, 2, 7, 3], [None, None, 5, None, None, None, None, 5, None], classes)
+    assert not broken and slots[2] != slots[7] and slots.count(None) == 7
+    assert html_extract.walk([1, 10, 2, 11, 3], [None] * 5, classes)[1] == {1}
+    assert html_extract.walk([2, 1, 3], [None] * 3, classes)[1] == {0}
+    assert html_extract.settled([1, 10, 2, 7, 11, 3], [None, None, None, 5, None, None], classes)[3] == html_extract.walk([1, 2, 7, 3], [None, None, 5, None], classes[:1])[0][2]
+
+
+def test_slots_and_constants_decide_where_no_article_is_marked(spark):
+    page = "<html><body><div>Our shop</div><ul>{menu}</ul><h1>Head {i}</h1><p>{text}</p><div>Call us today</div></body></html>"
+    menu = "<li><a href=/a>Go {i}</a></li><li><a href=/b>See {i}</a></li>"
+    rows = [(i, f"http://h.com/{i}", page.format(i=i, menu=menu.format(i=i) + ("<li>Here 5</li>" if i == 5 else ""), text=f"<a href=/t>Linked {i}</a>" if i == 3 else f"Words of {i}")) for i in range(8)]
+    rows += [rows[0]] * 2 + [(50, "http://h.com/50", "<div>Our shop</div>" + "<p>Long words.</p>" * 20_000), (51, "http://h.com/51", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.extract_text(df).collect()
+    texts = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and sum(r.page_id == 0 for r in got) == 3
+    for i in range(8):
+        assert texts[i] == f"Head {i}\n" + (f"Linked {i}" if i == 3 else f"Words of {i}")
+    alone = {r[0]: html_extract.main_text(r[2] or "", frozenset()) for r in rows}
+    assert sum(alone[r] != texts[r] for r in range(8)) == 8  # with no template, constants stay
+    assert texts[51] == "" and texts[50].count("Long words.") == 20_000
+    assert html_extract.extract_text(df.limit(0)).collect() == []
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
