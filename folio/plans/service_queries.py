@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators import answers, budget, incremental, structure, summary
+from folio.operators.places import numbered
 from folio.plans import sql as s
 from folio.plans.structure_queries import gathered
 from folio.plans.study_queries import BY, RECORDS, marked, records
@@ -207,9 +208,20 @@ def line_budget(spark, sf_dir):
     return budget.line_budget(units, ["source"], "doc_id", 1_000)
 
 
-@query("full_text", "SELECT source AS book, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS full_text FROM documents GROUP BY ALL")
+#: Paragraphs of a part of a book's text.
+PART = 100
+
+
+@query(
+    "full_text",
+    f"""WITH p AS (SELECT source AS book, doc_id, coalesce(text, '') AS text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {PART} AS part_no FROM documents)
+SELECT book, part_no, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS full_text FROM p GROUP BY ALL""",
+)
 def full_text(spark, sf_dir):
-    return sinks.full_text(docs(spark, sf_dir).select(F.col("source").alias("book"), "doc_id", t.text(F.col("text")).alias("text")), ["book"], "doc_id")
+    """A book's text in parts, joined by an empty line, so that a huge book is many rows."""
+    each = docs(spark, sf_dir).select(F.col("source").alias("book"), "doc_id", t.text(F.col("text")).alias("text"))
+    each = numbered(each, ["book"], "doc_id", "n").withColumn("part_no", F.floor(F.col("n") / PART))
+    return sinks.full_text(each, ["book", "part_no"], "doc_id")
 
 
 SHOWN = f"{s.norm("coalesce(nullif(trim(summary), ''), nullif(trim(accessible), ''), nullif(trim(text), ''), '')")}"

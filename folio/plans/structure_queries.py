@@ -6,11 +6,12 @@ fifth page begins with a chapter line and every second one with a numbered line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators import batches, cleaning, structure
+from folio.operators.places import numbered
 from folio.operators.structure import LEGACY, PATTERNS
 from folio.plans import sql as s
 from folio.plans.sql import q
@@ -30,7 +31,7 @@ def query(name: str, check: str | None = None):
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).withColumn("page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    d = numbered(docs(spark, sf_dir).select("source", "doc_id", "text"), ["source"], "doc_id", "n").withColumn("page", (F.col("n") + 1).cast("int"))
     k = F.floor((F.col("page") - 1) / 5) + 1
     chapter = F.when((F.col("page") - 1) % 5 == 0, F.format_string("CAPITOLO %d — AREA %d\n\n", k, F.col("page"))).otherwise("")
     section = F.when(F.col("page") % 2 == 0, F.format_string("%d.1 Sezione %d\n\n", k, F.col("page"))).otherwise("")

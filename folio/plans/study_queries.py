@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators import artefacts, audit, glossary, summary
+from folio.operators.places import numbered
 from folio.plans import sql as s
 from folio.plans.sql import q
 from folio.plans.text_queries import FIDELITY, KEYWORDS, LEX, LISTED, REMEMBER, docs, summary_sql
@@ -27,10 +28,9 @@ def query(name: str, check: str | None = None):
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as paragraphs: a source is a book, five of its documents in order of doc_id are a chapter; every second one has a section."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    d = docs(spark, sf_dir).select("doc_id", F.col("source").alias("book"), n.alias("n"))
+    d = numbered(docs(spark, sf_dir).select("doc_id", F.col("source").alias("book")), ["book"], "doc_id", "n")
     section = F.when(F.col("n") % 2 == 1, F.format_string("%d.1 Sezione", F.floor(F.col("n") / 5) + 1))
-    return d.select("doc_id", "book", F.floor(F.col("n") / 5).cast("int").alias("chapter"), (F.col("n") % 5).alias("para"), section.alias("section"))
+    return d.select("doc_id", "book", F.floor(F.col("n") / 5).cast("int").alias("chapter"), (F.col("n") % 5).cast("int").alias("para"), section.alias("section"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

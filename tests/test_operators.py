@@ -214,3 +214,16 @@ def test_summary_keeps_order(spark, level):
     made = summary.extract_summary(spark.createDataFrame([(1, text)], "doc_id int, text string"), level, ITALIAN).first()
     numbers = [int(w) for w in made.summary.replace(".", " ").split() if w.isdigit()]
     assert numbers == sorted(numbers) and made.n_kept == len(numbers)
+
+
+def test_numbers_of_a_hot_group(spark):
+    from folio.operators.places import numbered
+
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", i * i % 1009 - 200, i) for i in range(300)]
+    rows = list({(g, v): (g, v, i) for g, v, i in rows}.values()) + [("hot", None, 1_000)]
+    got = {r.id: r.n for r in numbered(spark.createDataFrame(rows, "g string, v long, id int"), ["g"], "v", "n", width=7).collect()}
+    expected = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        expected |= {r[2]: n for n, r in enumerate(own)}
+    assert got == expected
