@@ -37,6 +37,8 @@ from folio.llm.frames import for_workers, release
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = 100_000
 PAIRS = 120_000
+#: A pair's key is one number, the left token's above so many bits.
+BITS = 24
 #: Rows handled at once.
 ROWS = 500
 #: Fixed value: how byte-level vocabularies of this kind part a text into pieces; white space is Unicode's property.
@@ -114,6 +116,7 @@ class Encoder:
                 self.automaton.add_word(self.tokens[i].decode("latin-1"), (i, len(self.tokens[i]) - 1))
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.tokens]
+        self.longest_size = max(self.size)
         self.shorter = [self._next_shorter(t.decode("latin-1")) for t in self.tokens]
         self.compatible, self.seen, self.after_space = Recent(PAIRS), Recent(PIECES // 4), Recent(PIECES)
         self.alone: dict[int, bool] = {}
@@ -138,7 +141,7 @@ class Encoder:
         Both tokens are unmade from the last merge backwards along the edges that touch. If at some stage the two
         edge tokens would merge, earlier than the merge that replaced one of them, the boundary would have been lost.
         """
-        pair = (left, right)
+        pair = left << BITS | right
         known = self.compatible.new.get(pair)
         if known is None:
             known = self.compatible.older(pair)
@@ -166,7 +169,7 @@ class Encoder:
         out, last, at, known, size = [], -1, 0, self.compatible.new, self.size
         for _, (token, _) in self.automaton.iter_long(text):
             if last >= 0:
-                fits = known.get((last, token))
+                fits = known.get(last << BITS | token)
                 if fits is None:
                     fits = self.pair_fits(last, token)
                 if not fits:
@@ -180,10 +183,13 @@ class Encoder:
             raise ValueError("a byte isn't in the vocabulary")
         return tuple(out)
 
-    def _longest(self, text: str) -> dict[int, int]:
-        """The longest token that starts at each position."""
-        # matches come by rising end, so the last for a start is the longest
-        return {end - tail: token for end, (token, tail) in self.automaton.iter(text)}
+    def _longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a position: the automaton's longest path there, less letters that end no token."""
+        part = text[at : at + self.longest_size]
+        for end in range(self.automaton.longest_prefix(part), 0, -1):
+            if (found := self.automaton.get(part[:end], None)) is not None:
+                return found[0]
+        raise ValueError("a byte isn't in the vocabulary")
 
     def _stands_alone(self, token: int) -> bool:
         """Whether merging a token's bytes gives the token: its two parts fit together until their own merge, and each stands alone."""
@@ -195,7 +201,7 @@ class Encoder:
 
     def _search(self, text: str, out: list[int], at: int, token: int) -> tuple[int, ...]:
         """Goes on at position `at` with `token`, then shorter ones; from a position that no encoding leads on from, back over the token before."""
-        longest, n, size, shorter, rank, known = self._longest(text), len(text), self.size, self.shorter, self.rank, self.compatible.new
+        n, size, shorter, rank, known = len(text), self.size, self.shorter, self.rank, self.compatible.new
         alive = bytearray(b"\1") * (n + 1)
         last = out[-1] if out else -1
         while True:
@@ -205,7 +211,7 @@ class Encoder:
                     if last < 0:
                         fits = rank[token] < 0 or self._stands_alone(token)
                     else:
-                        fits = known.get((last, token))
+                        fits = known.get(last << BITS | token)
                         if fits is None:
                             fits = self.pair_fits(last, token)
                     if fits:
@@ -215,7 +221,7 @@ class Encoder:
                 out.append(token)
                 if end == n:
                     return tuple(out)
-                last, at, token = token, end, longest[end]
+                last, at, token = token, end, self._longest(text, end)
             else:
                 alive[at] = 0
                 token = out.pop()
@@ -237,22 +243,21 @@ class Encoder:
         first, *rest = text.split(" ")
         found = [*map(self.after_space.new.get, rest)]
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.after_space.older(rest[i]) or self._after_space(rest[i])
+            found = [self._after_space(word) if ids is None else ids for ids, word in zip(found, rest, strict=True)]
         return list(chain(self._by_pieces(first), chain.from_iterable(found)))
 
     def _after_space(self, word: str) -> tuple[int, ...]:
-        """The ids of a space and a part between spaces. Letters alone are one piece with the space; a mark after them is one of its own."""
-        if word.isalpha():
-            return self.after_space.keep(word, self.encode_piece(" " + word))
-        stem = word[:-1]
-        if stem.isalpha() and word[-1] in self.marks:
-            return (self.after_space.new.get(stem) or self.after_space.older(stem) or self._after_space(stem)) + self.marks[word[-1]]
-        left, line_feed, right = word.partition("\n")
-        if left and right and not right[0].isspace() and not left[-1].isspace():  # a line feed by itself is a piece
-            return (self.after_space.new.get(left) or self.after_space.older(left) or self._after_space(left)) + self.marks[line_feed] + self._by_pieces(right)
-        return self.after_space.keep(word, self._by_pieces(" " + word))
+        """The ids of a space and a part between spaces. Letters alone are one piece with the space; a mark after them is one of its own, and isn't kept with them."""
+        if not word.isalpha():
+            mark = self.marks.get(word[-1:])
+            if mark is not None and word[:-1].isalpha():
+                stem = word[:-1]
+                return (self.after_space.new.get(stem) or self._after_space(stem)) + mark
+            left, line_feed, right = word.partition("\n")
+            if left and right and not right[0].isspace() and not left[-1].isspace():  # a line feed by itself is a piece
+                return (self.after_space.new.get(left) or self._after_space(left)) + self.marks[line_feed] + self._by_pieces(right)
+            return self.after_space.older(word) or self.after_space.keep(word, self._by_pieces(" " + word))
+        return self.after_space.older(word) or self.after_space.keep(word, self.encode_piece(" " + word))
 
     def _by_pieces(self, text: str) -> tuple[int, ...]:
         known = self.seen.new
