@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, quality_fm, quality_rules, sharding, url_filter
+from folio.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, prefix_trie, quality_fm, quality_rules, sharding, url_filter
 from folio.llm.frames import documents
 
 
@@ -74,8 +74,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("source")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing)
+    f.__name__: f
+    for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing, op11_prefix_trie)
 }
 
 
@@ -105,4 +110,22 @@ b AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep
     WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, size AS group_size, place = 1 AS kept, h AS text_sha256 FROM b"""
 
-ORACLES: dict[str, str] = {"op1_url_filters": _url_sql(), "op6_exact_dedup": _DEDUP_SQL}
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS turn, turn AS n, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(turn ORDER BY n NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS turns FROM t GROUP BY conv_id),
+-- CRC-32 of the decimal id, bit by bit
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 9 AS h FROM own),
+p AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, len(a.turns))) AS path
+    FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT conv_id, path, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth FROM p),
+g AS (SELECT list_slice(path, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+k AS (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(g.node[-1].x) END AS own FROM g LEFT JOIN k ON k.node = g.node),
+a AS (SELECT list_slice(node, 1, up) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens
+    FROM (SELECT node, n_children, own, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, a.saved_tokens, f.ends_sha256
+FROM f JOIN a ON a.node = f.node LEFT JOIN g ON f.depth > 0 AND g.node = list_slice(f.node, 1, f.depth - 1)"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": _url_sql(), "op6_exact_dedup": _DEDUP_SQL, "op11_prefix_trie": _TRIE_SQL}
