@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, prefix_trie, quality_fm, quality_rules, sharding, url_filter
+from folio.llm import binary_codes, bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, prefix_trie, quality_fm, quality_rules, sharding, url_filter
 from folio.llm.frames import documents
 
 
@@ -15,6 +15,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
     """`listed`: the blocked urls, in a column url; without it, pages of a few known host names stand in."""
     pages = _pages(spark, sf_dir)
@@ -78,9 +82,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = binary_codes.nearest_to_some(_embeddings(spark, sf_dir))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing, op11_prefix_trie)
+    for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing, op11_prefix_trie, op12_binary_codes)
 }
 
 
@@ -128,4 +137,10 @@ a AS (SELECT list_slice(node, 1, up) AS node, count(*) FILTER (n_children = 0) A
 SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, a.saved_tokens, f.ends_sha256
 FROM f JOIN a ON a.node = f.node LEFT JOIN g ON f.depth > 0 AND g.node = list_slice(f.node, 1, f.depth - 1)"""
 
-ORACLES: dict[str, str] = {"op1_url_filters": _url_sql(), "op6_exact_dedup": _DEDUP_SQL, "op11_prefix_trie": _TRIE_SQL}
+#: The codes find all of the true neighbours of the test tables.
+_NEAREST_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e))
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM d WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": _url_sql(), "op6_exact_dedup": _DEDUP_SQL, "op11_prefix_trie": _TRIE_SQL, "op12_binary_codes": _NEAREST_SQL}

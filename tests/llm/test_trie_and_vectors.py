@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folio.llm import prefix_trie
+from folio.llm import binary_codes, prefix_trie
 
 TURNS = "conv_id long, turn long, role string, text string, depth string, path int"
 
@@ -76,3 +76,61 @@ def test_findclose(block):
     pairs = prefix_trie.Parentheses(np.array(bits, np.int8), block)
     assert pairs.findclose(opens, 500).tolist() == [want[i] for i in opens.tolist()]
     assert pairs.leaf_pairs().tolist() == [i for i in opens.tolist() if bits[i + 1] == 0]
+
+
+def _vectors(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    rows = 5 + rng.standard_normal((n, dim)) + 3 * rng.standard_normal((4, dim))[rng.integers(0, 4, n)]
+    rows[: n // 10] = rows[:1]  # one very common vector
+    return [(i, v, "x") for i, v in enumerate(rows.astype(np.float32).tolist())]
+
+
+ODD = [(7_000_000, None, "x"), (7_000_001, [], None), (7_000_002, [0.0] * 8, None), (7_000_100, [1.0, None] * 4, "x"), (7_000_200, [float("nan")] + [1.0] * 7, "x"), (7_000_300, [float("inf")] + [1.0] * 7, "x"), (None, [1.0] * 8, "x")]
+
+
+def _nearest(rows, k=10):
+    by = {}
+    for i, v, _ in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            by[i] = min(by.get(i, v), v)
+    out = []
+    for q in (i for i in by if i % 100 == 0):
+        others = [(float(np.sqrt(((np.array(v) - np.array(by[q])) ** 2).sum())), i) for i, v in by.items() if i != q and len(v) == len(by[q])]
+        out += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(others)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("n", "dim"), [(0, 8), (5, 8), (1_000, 8), (1_500, 70)])
+def test_nearest(spark, n, dim):
+    rows = [*_vectors(n, dim, n), *ODD, (100, [1.0, 2.0], "short"), (8_000_000, [1.0, 2.5], "short"), *_vectors(n, dim, n)[:5]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
+    found = sorted(tuple(r) for r in binary_codes.nearest_to_some(frame).collect())
+    want = _nearest([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], x) for i, v, x in rows])
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in found], [r[3] for r in want], rtol=1e-13, atol=0)
+
+
+def test_nearest_in_passes_and_large_values(spark):
+    rows = [(i, [x * 1e200 for x in v], "x") for i, v, _ in _vectors(400, 6, 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    every = binary_codes.ready(frame, "vec_id", "embedding")
+    index = binary_codes.build_index(every, "vec_id", "embedding")
+    found = binary_codes.nearest(index, every, "vec_id", "embedding", 3, broadcast_bytes=2_000)
+    assert sorted(r.query_id for r in found.where("rank = 1").collect()) == list(range(400))
+    scores = {(r.query_id, r.vec_id): r.score for r in found.collect()}
+    assert all(np.isfinite(s) for s in scores.values())
+    small = np.array([v for _, v, _ in _vectors(400, 6, 3)])
+    for q in (0, 77, 399):
+        apart = np.sqrt(((small - small[q]) ** 2).sum(1))
+        assert sorted(s for (a, _), s in scores.items() if a == q) == pytest.approx([s * 1e200 for s in sorted(np.delete(apart, q))[:3]], rel=1e-9)
+
+
+def test_error_bounds_hold_and_prune():
+    rows = np.array([v for _, v, _ in _vectors(3_000, 64, 9)])
+    centres = binary_codes.fit_centres(rows)
+    codes, asked = binary_codes.encode(rows, centres, 31), binary_codes.ask(np.arange(50), rows[:50], centres, 31)
+    low, high = binary_codes.bounds(asked, slice(0, 50), codes, binary_codes.WIDTH)
+    true = ((rows[:50, None] - rows) ** 2).sum(2)
+    assert (true >= low).mean() > 0.985 and (true <= high).mean() > 0.985
+    best = binary_codes.Best(np.full((50, 10), np.inf), np.full((50, 10), 1 << 60))
+    assert binary_codes.search_chunk(asked, best, np.arange(3_000), rows, codes, binary_codes.WIDTH) < 0.5 * 50 * 3_000
