@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import binary_codes, bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, prefix_trie, quality_fm, quality_rules, sharding, url_filter
+from folio.llm import binary_codes, bpe, exact_dedup, html_extract, mixing, ngram_join, pii_crf, prefix_trie, quality_fm, quality_rules, sharding, url_filter, whitening
 from folio.llm.frames import documents
 
 
@@ -87,9 +87,13 @@ def op12_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing, op11_prefix_trie, op12_binary_codes)
+    for f in (op1_url_filters, op2_html_extraction, op3_quality_rules, op4_pii_crf, op5_sharding, op6_exact_dedup, op7_quality_fm, op8_bpe, op9_ngram_join, op10_mixing, op11_prefix_trie, op12_binary_codes, op13_whitening)
 }
 
 

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folio.llm import binary_codes, prefix_trie
+from folio.llm import binary_codes, prefix_trie, whitening
 
 TURNS = "conv_id long, turn long, role string, text string, depth string, path int"
 
@@ -134,3 +134,58 @@ def test_error_bounds_hold_and_prune():
     assert (true >= low).mean() > 0.985 and (true <= high).mean() > 0.985
     best = binary_codes.Best(np.full((50, 10), np.inf), np.full((50, 10), 1 << 60))
     assert binary_codes.search_chunk(asked, best, np.arange(3_000), rows, codes, binary_codes.WIDTH) < 0.5 * 50 * 3_000
+
+
+@pytest.mark.parametrize(("dim", "most", "steep"), [(64, 32, 1), (200, 12, 4), (20, 32, 1), (33, 32, 3), (5, 1, 0)])
+def test_jacobi_davidson(dim, most, steep):
+    q = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))[0]
+    values = 50 * np.exp(-2 * steep * np.arange(dim) / dim)
+    values[2:4] = values[2]  # a repeated eigenvalue
+    matrix = (q * values) @ q.T
+    found = whitening.jacobi_davidson(lambda y: matrix @ y, dim, most)
+    assert np.allclose(found.values, np.sort(values)[::-1][: min(most, dim)], rtol=1e-12)
+    assert np.allclose(found.vectors.T @ found.vectors, np.eye(min(most, dim)), atol=1e-13)
+    assert found.residuals.max() < 1e-12 * values[0]
+
+
+def _whitened(rows):
+    """By the whole covariance and its eigenvectors."""
+    kept = [(i, v) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    x = np.floor(64 * np.array([np.float32(v) for _, v in kept], float)).astype(np.int64) + 1_000_000
+    n, apart = len(x), len(x) * x - x.sum(0)
+    values, vectors = np.linalg.eigh((apart / n).T @ (apart / n) / n)
+    values, vectors = values[::-1][:32], vectors[:, ::-1][:, :32]
+    return [i for i, _ in kept], n, (apart**2).sum(1), (apart / n) @ vectors / np.sqrt(values), values / (np.square(apart / n).sum() / n)
+
+
+@pytest.mark.parametrize(("n", "dim"), [(300, 8), (500, 50)])
+def test_whitening(spark, n, dim):
+    odd = [(i, v, x) for i, v, x in ODD if v is None or len(v) != 8]
+    some = [(i, v if v is None else v * (dim // 8), x) for i, v, x in ODD[3:6]]
+    rows = [*_vectors(n, dim, n), *odd, *some, (None, [2.0] * dim, None), *_vectors(n, dim, n)[:4], (9_000_000, [1.0] * (dim + 1), "longer")]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>, whitened string").repartition(3)).toPandas()
+    ids, count, deviation, white, explained = _whitened([r for r in rows if r[1] is None or len(r[1]) == dim])
+    size = white.shape[1]
+    assert len(got) == count * size and set(got.n) == {count}
+    order = np.argsort([-1 if i is None else i for i in ids], kind="stable")
+    got = got.assign(vec_id=got.vec_id.fillna(-1), row=np.arange(len(got)) // size).sort_values(["vec_id", "row", "component"], kind="stable")
+    assert got.deviation.to_numpy()[::size].tolist() == deviation[order].tolist()
+    mine = got.whitened.to_numpy().reshape(-1, size)
+    want = white[order] * np.sign((white[order] * mine).sum(0))
+    assert np.abs(mine - want).max() < 1e-9
+    assert np.allclose(got.explained.to_numpy()[:size], explained, rtol=1e-10)
+    assert got.identity_error.max() < 1e-10
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])]])
+def test_whitening_without_variance(spark, rows):
+    assert whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() == []
+
+
+def test_whitening_of_flat_and_large_vectors(spark):
+    flat = [(i, [float(i), 2.0 * i, 5.0]) for i in range(50)]
+    got = whitening.whiten(spark.createDataFrame(flat, "vec_id long, embedding array<double>")).toPandas()
+    assert set(got.component) == {1} and abs(got.explained[0] - 1) < 1e-12
+    large = [(i, [1e30 * (i % 2), float(i % 7), -1e300]) for i in range(40)]
+    got = whitening.whiten(spark.createDataFrame(large, "vec_id long, embedding array<double>")).toPandas()
+    assert np.isfinite(got.whitened).all() and (got.deviation > 0).all()
