@@ -33,7 +33,7 @@ from folio.llm.frames import cut, for_workers
 
 DIGEST = 16
 BLOCK = 64
-SHARD_NODES = 1 << 18
+SHARD_NODES = 1 << 16
 NO_END = hashlib.sha256(b"").digest()
 ROOT = bytes(DIGEST)
 FAR = np.iinfo(np.int64).max
