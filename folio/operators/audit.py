@@ -109,14 +109,36 @@ def audit_rollup(chapters: DataFrame, by) -> DataFrame:
     )
 
 
-def quality_metrics(records: DataFrame, by) -> DataFrame:
-    """by (rolled up: subtotals have nulls), paragraphs by engine, recovered sentences, glossary entries, mean length ratio."""
-    return records.rollup(*by).agg(
-        F.count("*").alias("paragraphs"), F.count_if(F.col("engine") == "ai").alias("ai"), F.count_if(F.col("engine") == "locale").alias("locale"), F.count_if(F.col("engine") == "misto").alias("misto"), F.sum("fidelity_recovered").alias("fidelity_recovered"), F.sum(F.size("glossary")).alias("glossary_entries")
-    )
-
-
 def progress(done: Column, total: Column, paragraphs: Column) -> Column:
     """Finished paragraphs of all, from finished chunks of all."""
     part = F.least(paragraphs, F.floor(F.greatest(F.lit(0), done) / total * paragraphs))
     return F.when(paragraphs == 0, 0).when((total == 0) | (done >= total), paragraphs).otherwise(part).cast("long")
+
+
+def quality_metrics(records: DataFrame, by) -> DataFrame:
+    """by (rolled up: subtotals have nulls): paragraphs by engine, the engine of all, recovered sentences, glossary entries; and chunks, by engine, resumed ones, split paragraphs, the longest one, and the percentage by a model.
+
+    Chunk figures come from the columns chunk_stats (as of merge_chunks; null: one chunk by the record's engine), n_chunks and max_chunk (as of
+    chunk_map) and resumed (chunks taken from a checkpoint), where the records have them.
+    """
+    there = set(records.columns)
+    stats = "chunk_stats" in there
+    known = records.withColumns(
+        {
+            "_total": F.coalesce("chunk_stats.total_chunks", F.lit(1)) if stats else F.lit(1),
+            **{f"_{e}": (lambda own, name: F.coalesce(f"chunk_stats.{name}", own) if stats else own)((F.col("engine") == e).cast("int"), name) for e, name in (("ai", "ai_chunks"), ("locale", "local_chunks"), ("misto", "mixed_chunks"))},
+            "_chunks": F.coalesce("n_chunks", F.lit(1)) if "n_chunks" in there else F.lit(1),
+            "_longest": F.coalesce("max_chunk", F.lit(0)) if "max_chunk" in there else F.lit(0),
+            "_resumed": F.coalesce("resumed", F.lit(0)) if "resumed" in there else F.lit(0),
+        }
+    )
+    sums = known.rollup(*by).agg(
+        F.count("*").alias("paragraphs"), F.count_if(F.col("engine") == "ai").alias("ai"), F.count_if(F.col("engine") == "misto").alias("misto"), F.sum("fidelity_recovered").alias("fidelity_recovered"), F.sum(F.size("glossary")).alias("glossary_entries"),
+        F.sum("_total").cast("long").alias("total_chunks"), F.sum("_ai").cast("long").alias("ai_chunks"), F.sum("_locale").cast("long").alias("local_chunks"), F.sum("_misto").cast("long").alias("mixed_chunks"), F.sum("_chunks").cast("long").alias("_prepared"),
+        F.sum("_resumed").cast("long").alias("resumed_chunks"), F.count_if(F.col("_chunks") > 1).alias("long_split"), F.max("_longest").cast("int").alias("max_chunk_chars"),
+    )
+    locale = F.col("paragraphs") - F.col("ai") - F.col("misto")
+    engine = F.when(F.col("ai") == F.col("paragraphs"), "ai").when(locale == F.col("paragraphs"), "locale").otherwise("misto")
+    share = F.when(F.col("total_chunks") > 0, F.floor(F.col("ai_chunks") / F.col("total_chunks") * 1000 + 0.5) / 10).otherwise(0.0)
+    done = progress(F.col("resumed_chunks"), F.col("_prepared"), F.col("paragraphs"))
+    return sums.withColumns({"locale": locale, "engine": engine, "resumed_paragraphs": done, "ai_chunk_percent": share}).drop("_prepared")

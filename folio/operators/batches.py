@@ -109,15 +109,21 @@ def source_meta(paras: DataFrame) -> DataFrame:
 
 
 def attach_source_parts(paras: DataFrame, parts: DataFrame, key=("doc_id", "chapter_idx", "para_idx")) -> DataFrame:
-    """Paragraphs with their source part, and the number of assets of that part."""
-    return paras.join(parts.groupBy(*key).agg(F.first("source_part").alias("source_part"), F.count("asset").alias("n_assets")), list(key), "left").fillna(0, ["n_assets"])
+    """Paragraphs with their source part (the least, where parts differ), and the number of assets."""
+    return paras.join(parts.groupBy(*key).agg(F.min("source_part").alias("source_part"), F.count("asset").alias("n_assets")), list(key), "left").fillna(0, ["n_assets"])
+
+
+#: Labels of a prompt's context.
+CONTEXT = (("chapter_title", "Capitolo: ", 180), ("section_title", "Sezione: ", 180), ("page_label", "Pagina: ", 40))
 
 
 def prompt_payloads(batches: DataFrame, by: list[str], order: str = "item_idx") -> DataFrame:
-    """A tagged prompt for each batch: items in order with trimmed chapter (180), section (180) and page (40) context."""
-    context = F.concat_ws(" | ", *[F.substring(t.normalize(F.col(c)), 1, n) for c, n in (("chapter_title", 180), ("section_title", 180), ("page_label", 40))])
-    item = F.concat(F.lit('<paragraph n="'), F.col(order).cast("string"), F.lit('" context="'), context, F.lit('">\n'), t.text(F.col("text")), F.lit("\n</paragraph>"))
-    return batches.withColumn("item", item).groupBy(*by).agg(F.array_join(_ordered("item", order), "\n").alias("payload"), F.count("*").alias("n_items"))
+    """A prompt for each batch: its items in order, numbered from 0, each below a line of its trimmed context; empty parts of the context are left out."""
+    parts = [F.substring(t.trim_all(t.text(F.col(c))), 1, n) for c, _, n in CONTEXT]
+    line = F.concat_ws(" | ", *[F.when(v != "", F.concat(F.lit(label), v)) for v, (_, label, _) in zip(parts, CONTEXT, strict=True)])
+    item = F.struct(order, F.when(line != "", F.concat(F.lit("<CONTESTO>"), line, F.lit("</CONTESTO>\n"))).otherwise("").alias("context"), t.text(F.col("text")).alias("text"))
+    block = lambda x, i: F.concat(x["context"], F.lit('<PARAGRAFO id="'), i.cast("string"), F.lit('">\n'), x["text"], F.lit("\n</PARAGRAFO>"))
+    return batches.withColumn("item", item).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("item")), block), "\n\n").alias("payload"), F.count("*").alias("n_items"))
 
 
 def validate_batches(batches: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -208,12 +214,26 @@ def validate_answers(responses: DataFrame) -> DataFrame:
     return out.withColumns({"answer": answer, "basis": F.when(F.col("_r.basis") == "general", "general").otherwise("source"), "label": F.substring(t.trim_all(t.text(F.col("_r.label"))), 1, 80), "error": F.when(answer == "", "NO_ANSWER")}).drop("_r")
 
 
-def apply_edits(book: DataFrame, edits: DataFrame, key, fields=("original", "summary", "accessible")) -> DataFrame:
-    """The book's records with the latest edit (edited_at) of each laid over, marked `edited`; an edited source clears the results."""
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("edited_at")))
-    latest = edits.withColumn("_n", last).where("_n = 1").drop("_n").alias("e")
-    both = book.alias("b").join(latest, list(key), "left")
-    changed = F.col("e.original").isNotNull() & ~F.col("e.original").eqNullSafe(F.col("b.original"))
-    over = lambda c: F.coalesce(f"e.{c}", f"b.{c}") if c == "original" else F.coalesce(F.col(f"e.{c}"), F.when(~changed, F.col(f"b.{c}")))
-    rest = [F.col(f"b.{c}") for c in book.columns if c not in (*key, *fields)]
-    return both.select(*key, *[over(c).alias(c) for c in fields], *rest, F.col("e.edited_at").isNotNull().alias("edited"))
+def apply_edits(book: DataFrame, edits: DataFrame, key, fields=("original", "summary", "accessible"), whole=None) -> DataFrame:
+    """The book's records with the latest edit (edited_at, then the greater text) of each field laid over, marked `edited`.
+
+    An edit is a row with one or more fields; blank ones change nothing. The first field is the source: an edit of it clears all results
+    of its book (the key's columns in `whole`; without it, of its own record) but those edited later.
+    """
+    source, results = fields[0], fields[1:]
+    value = {c: F.nullif(t.trim_all(t.text(F.col(c))), F.lit("")) for c in fields}
+    latest = edits.groupBy(*key).agg(*[F.max(F.when(value[c].isNotNull(), F.struct("edited_at", value[c].alias("v")))).alias(f"_{c}") for c in fields]).where(reduce(lambda x, y: x | y, [F.col(f"_{c}").isNotNull() for c in fields]))
+    both = book.join(latest, list(key), "left")
+    if whole:
+        cleared = latest.groupBy(*whole).agg(F.max(f"_{source}.edited_at").alias("_cleared")).where("_cleared IS NOT NULL")
+        both = both.join(cleared, list(whole), "left")
+    else:
+        both = both.withColumn("_cleared", F.col(f"_{source}.edited_at"))
+
+    def over(c: str) -> Column:
+        newer = F.col(f"_{c}").isNotNull() & (F.col("_cleared").isNull() | (F.col(f"_{c}.edited_at") > F.col("_cleared")))
+        return F.when(newer, F.col(f"_{c}.v")).when(F.col("_cleared").isNull(), F.col(c))
+
+    rest = [c for c in book.columns if c not in (*key, *fields)]
+    edited = reduce(lambda x, y: x | y, [F.col(f"_{c}").isNotNull() for c in fields])
+    return both.select(*key, F.coalesce(f"_{source}.v", source).alias(source), *[over(c).alias(c) for c in results], *rest, edited.alias("edited"))

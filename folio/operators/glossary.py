@@ -76,15 +76,20 @@ def chapter_glossary(paras: DataFrame, by, order: str, most: int | None = None)
     return out.where(F.col("place") <= most) if most else out
 
 
+def literal(term: Column) -> Column:
+    """A pattern that matches the term's own characters."""
+    return F.regexp_replace(term, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
 def alternation(terms: Column) -> Column:
-    """A pattern of the terms, longest first, on word boundaries; terms hold letters, spaces, quotes and hyphens only."""
-    ordered = F.array_sort(terms, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    """A pattern of the terms, longest first, between anything but letters and digits; terms may hold any characters, empty ones match nothing."""
+    ordered = F.array_sort(F.filter(terms, lambda v: t.trim_all(v) != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(F.transform(ordered, literal), "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def mark_terms(text: Column, terms: Column, before: str = "**", after: str = "**") -> Column:
     """The text with its non-overlapping term occurrences marked."""
-    return F.when(F.size(terms) > 0, F.regexp_replace(text, alternation(terms), F.lit(f"{before}$1{after}"))).otherwise(text)
+    return F.when(F.exists(terms, lambda v: t.trim_all(v) != ""), F.regexp_replace(text, alternation(terms), F.lit(f"{before}$1{after}"))).otherwise(text)
 
 
 def term_spans(text: Column, terms: Column) -> Column:
@@ -102,11 +107,11 @@ def term_spans(text: Column, terms: Column) -> Column:
 
 def inline_glossary(text: Column, entries: Column) -> Column:
     """The text with short definitions in brackets after their term's first occurrence, unless there already."""
-    short = F.filter(entries, lambda e: e["placement"] == "inline")
+    short = F.filter(entries, lambda e: (e["placement"] == "inline") & (t.trim_all(e["term"]) != ""))
 
     def insert(acc: Column, e: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?ius)^(.*?(?<![\p{L}\p{N}])"), e["term"], F.lit(r")(?![\p{L}\p{N}])"))
-        safe = F.regexp_replace(e["definition"], r"([\\$])", r"\\\$1")
+        pattern = F.concat(F.lit(r"(?ius)^(.*?(?<![\p{L}\p{N}])"), literal(e["term"]), F.lit(r")(?![\p{L}\p{N}])"))
+        safe = F.regexp_replace(e["definition"], r"([\\$])", r"\\\\$1")
         there = t.contains_ci(acc, F.concat(e["term"], F.lit(" ("), e["definition"]))
         return F.when(there, acc).otherwise(F.regexp_replace(acc, pattern, F.concat(F.lit("$1 ("), safe, F.lit(")"))))
 

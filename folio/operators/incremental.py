@@ -10,11 +10,17 @@ from folio.functions import text as t
 VERSION = 3
 
 
-def doc_signature(level: str, text: str = "text", title: str = "source", shape: Column | None = None) -> Column:
-    """A hash of version, level, title, length, head and tail of the text, and the chapters' shape."""
+def chapter_shape(chapters: Column) -> Column:
+    """Titles and lengths of the paragraphs of chapters, an array of (title, paragraphs)."""
+    each = F.transform(chapters, lambda c: F.concat(t.text(c["title"]), F.lit("|"), F.array_join(F.transform(c["paragraphs"], lambda p: F.length(t.text(p)).cast("string")), ",")))
+    return F.array_join(each, "||")
+
+
+def doc_signature(level: str, text: str = "text", title: str = "source", shape: Column | None = None, format: Column | None = None) -> Column:
+    """A hash of version, level, source format, title, length, head and tail of the text, and the chapters' shape."""
     c = t.text(F.col(text))
     tail = F.substring(c, F.greatest(F.length(c) - 3_499, F.lit(1)), F.lit(3_500))
-    parts = [F.lit(str(VERSION)), F.lit(level), t.text(F.col(title)), F.length(c).cast("string"), F.substring(c, 1, 3_500), tail, F.lit("") if shape is None else shape]
+    parts = [F.lit(str(VERSION)), F.lit(level), F.lit("") if format is None else t.text(format), t.text(F.col(title)), F.length(c).cast("string"), F.substring(c, 1, 3_500), tail, F.lit("") if shape is None else t.text(shape)]
     return F.sha2(F.concat_ws("::", *parts), 256)
 
 
@@ -30,9 +36,9 @@ def resume(df: DataFrame, checkpoint: DataFrame, key=("signature", "para")) -> t
 
 
 def upsert_checkpoint(old: DataFrame, new: DataFrame | None, key=("signature", "para"), at: str = "saved_at") -> DataFrame:
-    """The latest row of each key."""
+    """The latest row of each key; of rows saved at once the greatest by its other columns in order of name."""
     both = old if new is None else old.unionByName(new)
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(at), *[F.desc(c) for c in sorted(both.columns) if c not in (*key, at)]))).where("_n = 1").drop("_n")
 
 
 def upsert_library(library: DataFrame, records: DataFrame) -> DataFrame:

@@ -368,7 +368,8 @@ def build_structure_legacy(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def choose_structure(legacy: DataFrame, rebuilt: DataFrame, paged: DataFrame) -> DataFrame:
-    """Chapters (doc_id, title, ...) by document: the older ones unless the document has pages (doc_id in `paged`), none, or a single `Documento`."""
+    """Chapters (doc_id, title, ...) by document: the older ones, or the rebuilt ones where there are any and the document has pages (doc_id in `paged`), no older chapter, or a single `Documento`."""
     counts = legacy.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("title").alias("only"))
     keep = counts.join(paged.select("doc_id").distinct(), "doc_id", "left_anti").where(~((F.col("n") == 1) & (F.lower("only") == "documento"))).select("doc_id")
-    return legacy.join(keep, "doc_id", "left_semi").unionByName(rebuilt.join(keep, "doc_id", "left_anti"), allowMissingColumns=True)
+    taken = rebuilt.join(keep, "doc_id", "left_anti")
+    return legacy.join(taken.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(taken, allowMissingColumns=True)

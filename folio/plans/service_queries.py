@@ -117,12 +117,15 @@ def file_routes(spark, sf_dir):
     return files.route_by_format(table(spark, sf_dir, "pages").select(F.col("url").alias("path"))).drop("error")
 
 
-SIGNATURE = "sha256('3::studio::' || coalesce(source, '') || '::' || length(coalesce(text, '')) || '::' || substring(coalesce(text, ''), 1, 3500) || '::' || substring(coalesce(text, ''), greatest(length(coalesce(text, '')) - 3499, 1), 3500) || '::')"
+SIGNATURE = "sha256('3::studio::' || coalesce(lang, '') || '::' || coalesce(source, '') || '::' || length(coalesce(text, '')) || '::' || substring(coalesce(text, ''), 1, 3500) || '::' || substring(coalesce(text, ''), greatest(length(coalesce(text, '')) - 3499, 1), 3500) || '::' || coalesce(source, '') || '|' || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: length(p)::VARCHAR), ',') || '||Fine|')"
 
 
 @query("doc_signatures", f"SELECT doc_id, {SIGNATURE} AS signature FROM documents")
 def doc_signatures(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", incremental.doc_signature("studio").alias("signature"))
+    """A document is a chapter named by its source, with a paragraph for each block, and an empty one; its language stands for the format."""
+    chapter = lambda title, parts: F.struct(title.alias("title"), parts.alias("paragraphs"))
+    chapters = F.array(chapter(F.col("source"), F.split(t.text(F.col("text")), "\n\n")), chapter(F.lit("Fine"), F.array().cast("array<string>")))
+    return docs(spark, sf_dir).select("doc_id", incremental.doc_signature("studio", shape=incremental.chapter_shape(chapters), format=F.col("lang")).alias("signature"))
 
 
 @query("resume_pending", f"SELECT doc_id, {SIGNATURE} AS signature FROM documents WHERE lang <> 'en'")

@@ -84,9 +84,14 @@ def apart(x: str) -> str:
     return f"regexp_replace({x}, '([^\\p{{L}}\\p{{N}}])', chr(1) || '\\1' || chr(1), 'g')"
 
 
+def quoted(x: str) -> str:
+    """A pattern of a term's own characters, as they stand in an `apart` text."""
+    return f"regexp_replace({apart(x)}, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g')"
+
+
 def marked(x: str, terms: str, before: str, after: str) -> str:
     """As glossary.mark_terms; `before` and `after` are SQL."""
-    alternation = f"array_to_string(list_transform(list_sort(list_transform({terms}, lambda v: {{'n': -length(v), 'v': v}})), lambda v: {apart('v.v')}), '|')"
+    alternation = f"array_to_string(list_transform(list_sort(list_transform({terms}, lambda v: {{'n': -length(v), 'v': v}})), lambda v: {quoted('v.v')}), '|')"
     found = f"regexp_replace({apart(x)}, '(?i)(^|\\x01)(' || {alternation} || ')(\\x01|$)', '\\1' || {before} || '\\2' || {after} || '\\3', 'g')"
     return f"CASE WHEN len({terms}) > 0 THEN replace({found}, chr(1), '') ELSE {x} END"
 
@@ -101,7 +106,7 @@ def term_highlight(spark, sf_dir):
     return mined(spark, sf_dir).select(*BY, "para", glossary.mark_terms(text, terms).alias("marked"), F.size(glossary.term_spans(text, terms)).alias("n_spans"))
 
 
-_INSERT = f"CASE WHEN contains(lower(a.t), lower(x.term || ' (' || x.definition)) THEN a.t ELSE replace(regexp_replace({apart('a.t')}, '(?i)(^|\\x01)(' || {apart('x.term')} || ')(\\x01|$)', '\\1\\2 (' || replace(x.definition, '\\', '\\\\') || ')\\3'), chr(1), '') END"
+_INSERT = f"CASE WHEN contains(lower(a.t), lower(x.term || ' (' || x.definition)) THEN a.t ELSE replace(regexp_replace({apart('a.t')}, '(?i)(^|\\x01)(' || {quoted('x.term')} || ')(\\x01|$)', '\\1\\2 (' || replace(x.definition, '\\', '\\\\') || ')\\3'), chr(1), '') END"
 
 
 @query("inline_glossary", f"""WITH {GLOSSARY} SELECT r1.book, r1.chapter, r1.para, list_reduce([{{'t': coalesce(r0.text, ''), 'term': '', 'definition': ''}}] || list_transform(list_filter(glossary, lambda e: e.placement = 'inline'), lambda e: {{'t': '', 'term': e.term, 'definition': e.definition}}),
@@ -110,6 +115,30 @@ def inline_glossary(spark, sf_dir):
     return mined(spark, sf_dir).select(*BY, "para", glossary.inline_glossary(F.col("text"), F.col("glossary")).alias("inlined"))
 
 
+#: Terms that hold what patterns and replacements take for something else.
+SYMBOLS = ("f(x", "C++", "a.b", "$1", "\\n", "[x]", "a|b", "")
+SYMBOL_TEXT = "Il C++ e f(x) sono a.b, axb, C+, xC++ e C++x; $1 vale \\n o [x] (a|b). "
+_SYMBOLED = f"sy AS (SELECT doc_id, {q(SYMBOL_TEXT)} || coalesce(text, '') AS text, [{', '.join(map(q, SYMBOLS[:-1]))}] || list_filter([regexp_extract(coalesce(text, ''), '([\\p{{L}}]{{5,}})', 1)], lambda v: v <> '') AS terms FROM documents)"
+
+
+def symboled(spark, sf_dir) -> DataFrame:
+    """Documents after a sentence of symbols, with these and their first long word as terms."""
+    text = F.concat(F.lit(SYMBOL_TEXT), t.text(F.col("text")))
+    first = F.regexp_extract(t.text(F.col("text")), r"([\p{L}]{5,})", 1)
+    return docs(spark, sf_dir).select("doc_id", text.alias("text"), F.array(*map(F.lit, SYMBOLS), first).alias("terms"))
+
+
+@query("symbol_terms", f"WITH {_SYMBOLED} SELECT doc_id, {marked('text', 'terms', "'**'", "'**'")} AS marked FROM sy")
+def symbol_terms(spark, sf_dir):
+    return symboled(spark, sf_dir).select("doc_id", glossary.mark_terms(F.col("text"), F.col("terms")).alias("marked"))
+
+
+@query("symbol_glossary", f"""WITH {_SYMBOLED} SELECT doc_id, list_reduce([{{'t': text, 'term': '', 'definition': ''}}] || list_transform(terms, lambda v: {{'t': '', 'term': v, 'definition': 'vale $1 o \\2'}}), lambda a, x: {{'t': {_INSERT}, 'term': '', 'definition': ''}}).t AS inlined FROM sy""")
+def symbol_glossary(spark, sf_dir):
+    entries = F.transform("terms", lambda v: F.struct(v.alias("term"), F.lit("vale $1 o \\2").alias("definition"), F.lit("inline").alias("placement")))
+    return symboled(spark, sf_dir).select("doc_id", glossary.inline_glossary(F.col("text"), entries).alias("inlined"))
+
+
 CUES = " OR ".join(f"regexp_matches(v, {q(p)})" for p in audit.cue_patterns(LEX))
 IMPORTANT = f"list_filter({s.sentences('text')}, lambda v: length(v) BETWEEN 22 AND 420 AND ({CUES}))"
 
@@ -211,15 +240,6 @@ def audit_rollup(spark, sf_dir):
     return audit.audit_rollup(chapter_audit(spark, sf_dir), ["book"])
 
 
-@query(
-    "quality_rollup",
-    f"""WITH {FIDELITY}, {GLOSSARY} SELECT r1.book, d.lang, count(*) AS paragraphs, 0::BIGINT AS ai, count(*) AS locale, 0::BIGINT AS misto, sum(len(r.found))::BIGINT AS fidelity_recovered, sum(len(r1.glossary))::BIGINT AS glossary_entries
-FROM r JOIN r1 USING (doc_id) JOIN documents d USING (doc_id) GROUP BY ROLLUP (r1.book, d.lang)""",
-)
-def quality_rollup(spark, sf_dir):
-    return audit.quality_metrics(records(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id"), ["book", "lang"])
-
-
 @query("local_study_records", f"WITH {RECORDS} SELECT doc_id, summary, accessible, kp AS key_points, rm AS remember, keywords, 'locale' AS engine, len(found)::INT AS fidelity_recovered FROM t1")
 def local_study_records(spark, sf_dir):
     return summary.summarize_local(docs(spark, sf_dir), "studio", LEX).drop("text")

@@ -217,13 +217,16 @@ def detect_chapters(spark, sf_dir):
     return structure.detect_chapters(whole_texts(spark, sf_dir))
 
 
-@query("choose_structure", f"WITH {WHOLE_CHAPTERS} SELECT book AS doc_id, title FROM h WHERE book % 3 <> 0 UNION ALL SELECT doc_id, unnest(['Parte A', 'Parte B']) FROM documents WHERE doc_id % 3 = 0")
+@query("choose_structure", f"""WITH {WHOLE_CHAPTERS}, old AS (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['Parte A', 'Parte B'] WHEN 1 THEN ['DOCUMENTO'] ELSE [] END) AS title FROM documents),
+-- pages, no older chapter, or a single one of that name ask for new ones; without any the older ones stay
+redo AS (SELECT doc_id FROM documents d WHERE (doc_id % 4 = 0 OR (SELECT count(*) FROM old WHERE old.doc_id = d.doc_id) = 0 OR (SELECT list(lower(title)) FROM old WHERE old.doc_id = d.doc_id) = ['documento']) AND EXISTS (SELECT 1 FROM h WHERE h.book = d.doc_id AND h.book % 7 <> 0))
+SELECT book AS doc_id, title FROM h WHERE book IN (SELECT doc_id FROM redo) UNION ALL SELECT doc_id, title FROM old WHERE doc_id NOT IN (SELECT doc_id FROM redo)""")
 def choose_structure(spark, sf_dir):
-    """Two older chapters for every third document, a single `Documento` for the others."""
+    """Two older chapters for every third document, a single `Documento` for the next ones, none for the others; every fourth has pages, and every seventh no rebuilt chapters."""
     d = docs(spark, sf_dir).select("doc_id")
     older = d.where("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.lit("Parte A"), F.lit("Parte B"))).alias("title")).union(d.where("doc_id % 3 = 1").select("doc_id", F.lit("DOCUMENTO")))
-    rebuilt = structure.detect_chapters(whole_texts(spark, sf_dir)).select(F.col("book").alias("doc_id"), "title")
-    return structure.choose_structure(older, rebuilt, d.limit(0))
+    rebuilt = structure.detect_chapters(whole_texts(spark, sf_dir).where("book % 7 <> 0")).select(F.col("book").alias("doc_id"), "title")
+    return structure.choose_structure(older, rebuilt, d.where("doc_id % 4 = 0"))
 
 
 # -- units of work and what a model gives back
@@ -317,9 +320,14 @@ def asked(spark, sf_dir) -> DataFrame:
 ASKED = "nb AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents), qb AS (SELECT source || '-' || (n // 7) AS batch_id, (n % 7)::INT AS item_idx, CASE WHEN n % 2 = 1 THEN printf('%d.1 Sezione', n // 5 + 1) ELSE '' END AS section, coalesce(text, '') AS text FROM nb)"
 
 
-@query("prompt_payloads", f"""WITH {ASKED} SELECT batch_id, string_agg('<paragraph n="' || item_idx || '" context="' || 'Chapter ' || repeat('x', 172) || ' | ' || section || ' | p. 1' || '">' || chr(10) || text || chr(10) || '</paragraph>', chr(10) ORDER BY item_idx) AS payload, count(*) AS n_items FROM qb GROUP BY ALL""")
+@query("prompt_payloads", f"""WITH {ASKED}, pc AS (SELECT *, CASE WHEN item_idx % 3 = 2 THEN '' ELSE 'Capitolo: Chapter ' || repeat('x', 172) END AS ct, CASE WHEN section <> '' THEN 'Sezione: ' || section ELSE '' END AS st, CASE WHEN item_idx % 3 = 2 THEN '' ELSE 'Pagina: p. 1' END AS pg, row_number() OVER (PARTITION BY batch_id ORDER BY item_idx) - 1 AS k FROM qb),
+pl AS (SELECT *, array_to_string(list_filter([ct, st, pg], lambda v: v <> ''), ' | ') AS line FROM pc)
+SELECT batch_id, string_agg(CASE WHEN line <> '' THEN '<CONTESTO>' || line || '</CONTESTO>' || chr(10) ELSE '' END || '<PARAGRAFO id="' || k || '">' || chr(10) || text || chr(10) || '</PARAGRAFO>', chr(10) || chr(10) ORDER BY item_idx) AS payload, count(*) AS n_items FROM pl GROUP BY ALL""")
 def prompt_payloads(spark, sf_dir):
-    return batches.prompt_payloads(asked(spark, sf_dir), ["batch_id"])
+    """Every third item has no chapter and page."""
+    some = lambda c, v: F.when(F.col("item_idx") % 3 != 2, v).alias(c)
+    items = asked(spark, sf_dir).select("batch_id", "item_idx", "text", "section_title", some("chapter_title", F.col("chapter_title")), some("page_label", F.col("page_label")))
+    return batches.prompt_payloads(items, ["batch_id"])
 
 
 @query("validate_batches", f"WITH {ASKED} SELECT batch_id, count(*) AS n_items, sum(length(text))::BIGINT AS n_chars, CASE WHEN count(*) > 5 THEN 'ITEM_COUNT' WHEN count(*) FILTER ({s.norm('text')} = '') > 0 THEN 'EMPTY_ITEM' WHEN sum(length(text)) > 22000 THEN 'TOO_LONG' END AS reject FROM qb GROUP BY ALL")
@@ -377,14 +385,16 @@ def explain_requests(spark, sf_dir):
     return batches.explain_requests(c)
 
 
-@query("apply_edits", """WITH e AS (SELECT conv_id AS doc_id, arg_max(CASE WHEN turn % 2 = 0 THEN text END, turn) FILTER (turn = m) AS original, arg_max(CASE WHEN turn % 2 = 1 THEN text END, turn) FILTER (turn = m) AS summary FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id)
-SELECT d.doc_id, coalesce(e.original, d.text) AS original, coalesce(e.summary, CASE WHEN e.original IS NULL OR e.original IS NOT DISTINCT FROM d.text THEN d.source END) AS summary, e.doc_id IS NOT NULL AS edited FROM documents d LEFT JOIN e USING (doc_id)""")
+@query("apply_edits", f"""WITH ed AS (SELECT conv_id AS doc_id, turn, {s.trim_all("coalesce(text, '')")} AS v FROM conversations),
+e AS (SELECT doc_id, arg_max(v, turn) FILTER (turn % 3 = 0) AS original, max(turn) FILTER (turn % 3 = 0) AS o, arg_max(v, turn) FILTER (turn % 3 = 1) AS summary, max(turn) FILTER (turn % 3 = 1) AS sm, arg_max(v, turn) FILTER (turn % 3 = 2) AS accessible, max(turn) FILTER (turn % 3 = 2) AS ac FROM ed WHERE v <> '' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(e.original, d.text) AS original, CASE WHEN sm > coalesce(o, -1) THEN e.summary WHEN o IS NULL THEN d.source END AS summary, CASE WHEN ac > coalesce(o, -1) THEN e.accessible WHEN o IS NULL THEN d.lang END AS accessible, e.doc_id IS NOT NULL AS edited FROM documents d LEFT JOIN e USING (doc_id)""")
 def apply_edits(spark, sf_dir):
-    """Turns as edits of the document with their conversation's number: even ones of the source, odd ones of the summary; the last one counts."""
+    """Turns as edits of the document with their conversation's number: of the source, the summary and the accessible text in turn."""
     c = table(spark, sf_dir, "conversations")
-    edits = c.select(F.col("conv_id").alias("doc_id"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("original"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("summary"), F.col("turn").alias("edited_at"))
-    book = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.col("source").alias("summary"))
-    return batches.apply_edits(book, edits, ["doc_id"], ("original", "summary"))
+    one = lambda k, name: F.when(F.col("turn") % 3 == k, F.col("text")).alias(name)
+    edits = c.select(F.col("conv_id").alias("doc_id"), one(0, "original"), one(1, "summary"), one(2, "accessible"), F.col("turn").alias("edited_at"))
+    book = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.col("source").alias("summary"), F.col("lang").alias("accessible"))
+    return batches.apply_edits(book, edits, ["doc_id"])
 
 
 @query("apply_refinement", f"""WITH {RECORDS}, rf AS (SELECT doc_id, text, 'Refined.' AS summary, 'Said anew.' AS accessible, ['a', 'b'] AS key_points, ['c'] AS remember, list_transform(range(12), lambda i: 'k' || i) AS keywords FROM rec WHERE doc_id % 4 = 0), {repaired('rf', 24, 4)}
@@ -443,3 +453,25 @@ def cascade_delete(spark, sf_dir):
     left = incremental.cascade_delete(d.where("id % 50 = 0").select("id"), d, d, d.where("id % 2 = 0"))
     counts = [x.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, x in zip(("library", "checkpoints", "ocr"), left, strict=True)]
     return counts[0].union(counts[1]).union(counts[2])
+
+
+@query(
+    "quality_rollup",
+    f"""WITH {RECORDS}, {sq.CHUNKS.replace('a AS (', 'qa AS (', 1).replace('FROM a)', 'FROM qa)').replace('b AS (', 'qb AS (', 1)}, qn AS (SELECT doc_id, count(*) AS n, max(length(chunk)) AS longest FROM qb GROUP BY doc_id),
+qr AS (SELECT r.book, d.lang, n, longest, len(found) AS fr, len(r.glossary) AS ge, CASE WHEN r.doc_id % 3 = 0 THEN 'ai' WHEN r.doc_id % 3 = 1 AND r.doc_id % 2 = 0 THEN 'misto' ELSE 'locale' END AS e, CASE WHEN r.doc_id % 2 = 0 THEN n END AS st,
+  CASE WHEN r.doc_id % 2 = 0 THEN n // 2 END AS sa, CASE WHEN r.doc_id % 5 = 0 THEN n ELSE 0 END AS resumed FROM rec r JOIN documents d USING (doc_id) JOIN qn USING (doc_id)),
+qs AS (SELECT book, lang, count(*) AS paragraphs, count(*) FILTER (e = 'ai') AS ai, count(*) FILTER (e = 'misto') AS misto, count(*) FILTER (e = 'locale') AS locale, sum(fr)::BIGINT AS fidelity_recovered, sum(ge)::BIGINT AS glossary_entries, sum(coalesce(st, 1))::BIGINT AS total_chunks,
+  sum(coalesce(sa, (e = 'ai')::INT))::BIGINT AS ai_chunks, sum(CASE WHEN st IS NULL THEN (e = 'locale')::INT ELSE st - sa END)::BIGINT AS local_chunks, sum(CASE WHEN st IS NULL THEN (e = 'misto')::INT ELSE 0 END)::BIGINT AS mixed_chunks, sum(resumed)::BIGINT AS resumed_chunks, sum(n)::BIGINT AS prepared, count(*) FILTER (n > 1) AS long_split, max(longest)::INT AS max_chunk_chars
+  FROM qr GROUP BY ROLLUP (book, lang))
+SELECT * EXCLUDE (prepared), CASE WHEN ai = paragraphs THEN 'ai' WHEN locale = paragraphs THEN 'locale' ELSE 'misto' END AS engine, CASE WHEN resumed_chunks >= prepared THEN paragraphs ELSE least(paragraphs, floor(resumed_chunks / prepared::DOUBLE * paragraphs)) END::BIGINT AS resumed_paragraphs,
+  floor(ai_chunks / total_chunks::DOUBLE * 1000 + 0.5) / 10 AS ai_chunk_percent FROM qs""",
+)
+def quality_rollup(spark, sf_dir):
+    """Every third record by a model, some by both; every second one with counts of its chunks, half of them by a model; every fifth from a checkpoint."""
+    d = docs(spark, sf_dir)
+    chunks = batches.chunk_map(d.withColumnRenamed("source", "book"), book="book").select("doc_id", "n_chunks", "max_chunk")
+    r = records(spark, sf_dir).join(d.select("doc_id", "lang"), "doc_id").join(chunks, "doc_id")
+    engine = F.when(F.col("doc_id") % 3 == 0, "ai").when((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0), "misto").otherwise("locale")
+    half = F.floor(F.col("n_chunks") / 2)
+    stats = F.when(F.col("doc_id") % 2 == 0, F.struct(F.col("n_chunks").alias("total_chunks"), half.alias("ai_chunks"), (F.col("n_chunks") - half).alias("local_chunks"), F.lit(0).alias("mixed_chunks")))
+    return audit.quality_metrics(r.withColumns({"engine": engine, "chunk_stats": stats, "resumed": F.when(F.col("doc_id") % 5 == 0, F.col("n_chunks")).otherwise(0)}), ["book", "lang"])
