@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.functions.lexicon import ITALIAN, Lexicon
+from folio.operators.segmentation import greedy_segments
 from folio.operators.structure import pack
 from folio.operators.summary import ensure_fidelity
 
@@ -84,17 +85,9 @@ def combine_units(pieces: DataFrame, key, sources: DataFrame, order: str = "chun
 
 
 def make_batches(df: DataFrame, by: list[str], order: str, text: str = "text", items: int = ITEMS, chars: int = CHARS) -> DataFrame:
-    """by, batch_no, order, n_chars: greedy batches in order within each group (a chapter), so none crosses groups.
-
-    Only lengths are gathered, not texts.
-    """
-    kind = df.schema[order].dataType.simpleString()
-    each = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n")))).alias("u"))
-    step = f"""aggregate(u, named_struct('b', 0, 'i', 0, 'c', 0, 'out', cast(array() as array<struct<o: {kind}, n: int, b: int>>)),
-      (a, x) -> IF(a.i > 0 AND (a.i >= {items} OR a.c + x.n > {chars}),
-        named_struct('b', a.b + 1, 'i', 1, 'c', x.n, 'out', concat(a.out, array(named_struct('o', x.o, 'n', x.n, 'b', a.b + 1)))),
-        named_struct('b', a.b, 'i', a.i + 1, 'c', a.c + x.n, 'out', concat(a.out, array(named_struct('o', x.o, 'n', x.n, 'b', a.b))))), a -> a.out)"""
-    return each.select(*by, F.explode(F.expr(step)).alias("x")).select(*by, F.col("x.b").alias("batch_no"), F.col("x.o").alias(order), F.col("x.n").alias("n_chars"))
+    """by, batch_no, order, n_chars: greedy batches in order within each group (a chapter), so none crosses groups; groups of any size, of which only lengths are moved."""
+    found = greedy_segments(df.select(*by, order, F.length(text).alias("n_chars")), by, order, "n_chars", items, chars, "batch_no")
+    return found.withColumn("batch_no", F.col("batch_no").cast("int"))
 
 
 def page_label(start: Column, end: Column) -> Column:

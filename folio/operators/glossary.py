@@ -111,7 +111,7 @@ def inline_glossary(text: Column, entries: Column) -> Column:
 
     def insert(acc: Column, e: Column) -> Column:
         pattern = F.concat(F.lit(r"(?ius)^(.*?(?<![\p{L}\p{N}])"), literal(e["term"]), F.lit(r")(?![\p{L}\p{N}])"))
-        safe = F.regexp_replace(e["definition"], r"([\\$])", r"\\\\$1")
+        safe = F.regexp_replace(e["definition"], r"([\\$])", r"\\$1")
         there = t.contains_ci(acc, F.concat(e["term"], F.lit(" ("), e["definition"]))
         return F.when(there, acc).otherwise(F.regexp_replace(acc, pattern, F.concat(F.lit("$1 ("), safe, F.lit(")"))))
 

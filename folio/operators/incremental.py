@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as t
@@ -47,6 +48,58 @@ def upsert_library(library: DataFrame, records: DataFrame) -> DataFrame:
     return upsert_checkpoint(both, None, ("id",), "updated_at")
 
 
+class Library:
+    """A library as a Parquet table in folders by a hash of the key: an upsert reads and rewrites the folders of its own rows only.
+
+    `buckets` belongs to the table and must stay the same. Rows are merged by `merge` (old, new), as upsert_checkpoint does by default: the
+    latest by `at` of each key. Writing the same rows again changes nothing, so an upsert that failed before its commit is simply done again; the
+    commit itself replaces one folder after the other, and a driver lost between the removal of a folder and its renewal loses that folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id", at: str = "updated_at", buckets: int = 256, merge=None):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+        self.merge = merge or (lambda old, new: upsert_checkpoint(old, new, (key,), at))
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int"))
+
+    def _exists(self) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def _stored(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], f"{self.schema}, bucket int")
+        return self.spark.read.schema(empty.schema).parquet(self.path) if self._exists() else empty
+
+    def rows(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def _touched(self, placed: DataFrame) -> list[int]:
+        """At most `buckets` numbers."""
+        return [r.bucket for r in placed.select("bucket").distinct().collect()]
+
+    def pending(self, signed: DataFrame) -> DataFrame:
+        """Rows (key, signature, ...) that the library doesn't hold with this signature; folders of other keys aren't read."""
+        placed = self._placed(signed)
+        held = self._stored().where(F.col("bucket").isin(self._touched(placed))).select(self.key, "signature", "bucket")
+        return placed.join(held, ["bucket", self.key, "signature"], "left_anti").drop("bucket")
+
+    def upsert(self, records: DataFrame) -> None:
+        """Merges records with the library's columns in, by rewriting the folders of their keys; nothing is written for no records."""
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
+        # computed once: read for its folders, then written
+        placed = self._placed(records.select(*names)).persist(StorageLevel.DISK_ONLY)
+        try:
+            touched = self._touched(placed)
+            if not touched:
+                return
+            old = self._stored().where(F.col("bucket").isin(touched)).drop("bucket")
+            merged = self._placed(self.merge(old, placed.drop("bucket"))).repartition("bucket")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        finally:
+            placed.unpersist()
+
+
 def list_library(library: DataFrame) -> DataFrame:
     """All books without their payload, newest first."""
     return library.drop("source_data", "study_book").orderBy(F.desc("updated_at"), "id")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, by, order: str, name: str, width: int = 10_000) -> DataFrame:
-    """`df` with each row's number, from 0, in its group by an integer column; rows without it come first.
+def numbered(df: DataFrame, by, order: str, name: str, width: int = 10_000, ties=()) -> DataFrame:
+    """`df` with each row's number, from 0, in its group by an integer column, then by those in `ties`; rows without it come first.
 
     Rows are sorted in ranges of `width` values, and a range's first number is the sum of the counts before it, so that
     no group is sorted in one task. Null is a group of its own.
@@ -17,7 +17,7 @@ def numbered(df: DataFrame, by, order: str, name: str, width: int = 10_000) -> D
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, "_range"]
     starts = held.select(*[F.col(c).alias(f"_at_{c}") for c in keys], F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys).orderBy(order, *ties)
     placed = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
     both = placed.join(starts, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
     return both.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))

@@ -122,10 +122,14 @@ SIGNATURE = "sha256('3::studio::' || coalesce(lang, '') || '::' || coalesce(sour
 
 @query("doc_signatures", f"SELECT doc_id, {SIGNATURE} AS signature FROM documents")
 def doc_signatures(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", _signature().alias("signature"))
+
+
+def _signature():
     """A document is a chapter named by its source, with a paragraph for each block, and an empty one; its language stands for the format."""
     chapter = lambda title, parts: F.struct(title.alias("title"), parts.alias("paragraphs"))
     chapters = F.array(chapter(F.col("source"), F.split(t.text(F.col("text")), "\n\n")), chapter(F.lit("Fine"), F.array().cast("array<string>")))
-    return docs(spark, sf_dir).select("doc_id", incremental.doc_signature("studio", shape=incremental.chapter_shape(chapters), format=F.col("lang")).alias("signature"))
+    return incremental.doc_signature("studio", shape=incremental.chapter_shape(chapters), format=F.col("lang"))
 
 
 @query("resume_pending", f"SELECT doc_id, {SIGNATURE} AS signature FROM documents WHERE lang <> 'en'")
@@ -167,20 +171,65 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
-    out = streams.dedupe_requests(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"], lifetime="3650 days")
-    return streams.run_to_end(out, _place(spark)).select("user_id", "event_type")
+    out = streams.dedupe_requests(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"])
+    return streams.run_to_end(out, _place(spark)).select("user_id", "event_type").distinct()
+
+
+# the first event of a key, then the first one 30 minutes or more after it, and so on
+@query("stream_suppressed", """WITH RECURSIVE k AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL UNION ALL
+SELECT k.user_id, k.event_type, (SELECT min(e.ts) FROM events e WHERE e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 30 MINUTE) AS ts FROM k WHERE k.ts IS NOT NULL)
+SELECT user_id, event_type, ts FROM k WHERE ts IS NOT NULL""")
+def stream_suppressed(spark, sf_dir):
+    with streams.keyed_state(spark):
+        out = streams.suppressed(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"])
+        rows = streams.run_to_end(out, _place(spark))
+    return rows.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_progress", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_progress(spark, sf_dir):
-    rows = streams.run_to_end(streams.progress(_event_stream(spark, sf_dir), late="3650 days"), _place(spark), "update")
+    rows = streams.run_to_end(streams.progress(_event_stream(spark, sf_dir)), _place(spark), "update")
     return rows.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("stream_latest", "SELECT user_id, max(ts) AS ts FROM events GROUP BY ALL")
+def _latest(spark, sf_dir, key: list[str], days: int) -> DataFrame:
+    """The last state of each key: its latest entry, and whether that has expired."""
+    with streams.keyed_state(spark):
+        out = streams.latest_entries(_event_stream(spark, sf_dir).select("ts", "event_id", *key), key, lifetime_days=days)
+        rows = streams.run_to_end(out, _place(spark))
+    last = rows.groupBy(*key).agg(F.max(F.struct("batch", "expired", "ts", "event_id")).alias("e"))
+    return last.select(*key, F.col("e.ts").cast("timestamp_ntz").alias("ts"), "e.event_id", "e.expired")
+
+
+def _latest_sql(key: str, days: int) -> str:
+    return f"SELECT {key}, max(ts) AS ts, arg_max(event_id, ts) AS event_id, max(ts) + INTERVAL {days} DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS expired FROM events GROUP BY ALL"
+
+
+@query("stream_latest", _latest_sql("user_id", 30))
 def stream_latest(spark, sf_dir):
-    rows = streams.run_to_end(streams.latest_entries(_event_stream(spark, sf_dir).select("ts", "user_id", "event_id"), "user_id"), _place(spark), "update")
-    return rows.groupBy("user_id").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))
+    """Answers live for 30 days, as many as the events cover."""
+    return _latest(spark, sf_dir, ["user_id"], 30)
+
+
+@query("stream_expired", _latest_sql("user_id, event_type", 7))
+def stream_expired(spark, sf_dir):
+    return _latest(spark, sf_dir, ["user_id", "event_type"], 7)
+
+
+@query("stream_enrich", f"""WITH a AS (SELECT *, {SIGNATURE} AS signature FROM documents)
+SELECT doc_id AS id, signature, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE length(coalesce(text, '')) END::BIGINT AS letters FROM a""")
+def stream_enrich(spark, sf_dir):
+    """Documents as a stream into a library that holds every fourth as it is now, every next one with another signature."""
+    place, d = _place(spark), docs(spark, sf_dir)
+    library = incremental.Library(spark, f"{place}/library", "id long, signature string, letters long, updated_at long", buckets=16)
+
+    def sign(batch: DataFrame) -> DataFrame:
+        return batch.withColumn("id", F.col("doc_id")).withColumn("signature", _signature())
+
+    library.upsert(sign(d).where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, F.col("signature")).otherwise("old").alias("signature"), F.lit(-1).alias("letters"), F.lit(0).alias("updated_at")))
+    enrich = lambda rows: rows.select("id", "signature", F.length(t.text(F.col("text"))).alias("letters"), F.lit(1).alias("updated_at"))
+    streams.enrich_into_library(spark, f"{sf_dir}/documents.parquet*", d.schema, sign, enrich, library, f"{place}/state").awaitTermination()
+    return library.rows().drop("updated_at")
 
 
 _LETTERS = "length(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}]', '', 'g'))"

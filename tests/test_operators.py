@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.functions.lexicon import ITALIAN
-from folio.operators import answers, artefacts, audit, batches, budget, cleaning, glossary, incremental, structure, summary
+from folio.operators import answers, artefacts, audit, batches, budget, cleaning, glossary, incremental, segmentation, structure, summary
 from folio.sources import files, sinks
 
 ENTRY = "array<struct<term: string, definition: string, placement: string, basis: string>>"
@@ -227,3 +228,34 @@ def test_numbers_of_a_hot_group(spark):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
         expected |= {r[2]: n for n, r in enumerate(own)}
     assert got == expected
+
+
+@pytest.mark.parametrize(("n", "items", "most", "width", "fan"), [(0, 5, 100, 16, 4), (500, 5, 100, 16, 3), (2_000, 3, 50, 8, 2), (300, 5, 100, 8_192, 1_024)])
+def test_greedy_segments_equal_a_fold(spark, n, items, most, width, fan):
+    rng = random.Random(n)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, i, i, i, i * 7]), rng.choice([None, 0, 5, 20, 60, 150])) for i in range(n)]
+    expected, groups = [], {}
+    for g, o, v in rows:
+        groups.setdefault(g, []).append((o is not None, o or 0, v or 0, o))
+    for g, own in groups.items():
+        number = held = total = 0
+        for _, _, v, o in sorted(own, key=lambda x: x[:3]):
+            if held and (held >= items or total + v > most):
+                number, held, total = number + 1, 0, 0
+            held, total = held + 1, total + v
+            expected.append((g, number, o, v))
+    found = segmentation.greedy_segments(spark.createDataFrame(rows, "g string, o long, v int"), ["g"], "o", "v", items, most, "s", width, fan)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_terms_of_any_characters(spark):
+    terms = ["f(x", "C++", "a.b", "c", "", "$1", "\\"]
+    assert one(spark, glossary.mark_terms(F.col("a"), F.col("b")), a="f(x) C++ axb a.b C C+ $1 \\ xC++", b=terms) == "**f(x**) **C++** axb **a.b** **C** **C**+ **$1** **\\** xC++"
+    assert one(spark, glossary.mark_terms(F.col("a"), F.col("b")), a="x", b=[""]) == "x"
+
+
+def test_structure_without_rebuilt_chapters_stays(spark):
+    old = spark.createDataFrame([(1, "Documento"), (2, "A"), (2, "B"), (3, "A"), (4, "documento")], "doc_id int, title string")
+    new = spark.createDataFrame([(2, "new"), (3, "new"), (4, "new"), (5, "new")], "doc_id int, title string")
+    got = structure.choose_structure(old, new, spark.createDataFrame([(3,)], "doc_id int"))
+    assert sorted(map(tuple, got.collect())) == [(1, "Documento"), (2, "A"), (2, "B"), (3, "new"), (4, "new"), (5, "new")]
