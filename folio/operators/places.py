@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine where that is unset (tests) a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="folio-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df`, a narrow table that is read several times, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def numbered(df: DataFrame, by, order: str, name: str, width: int = 10_000, ties=()) -> DataFrame:
     """`df` with each row's number, from 0, in its group by an integer column, then by those in `ties`; rows without it come first.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.places import numbered
+from folio.operators.places import numbered, settled
 
 STEP = "array<struct<x: int, n: long>>"
 
@@ -76,12 +76,12 @@ def greedy_segments(df: DataFrame, by, order: str, size: str, items: int, most:
     if items >= width:
         raise ValueError("a range must be longer than a segment")
     kinds = {c: df.schema[c].dataType.simpleString() for c in (*by, order, size)}
-    rows = df.select(*by, order, F.coalesce(size, F.lit(0)).cast(kinds[size]).alias(size))
+    rows = settled(df.select(*by, order, F.coalesce(size, F.lit(0)).cast(kinds[size]).alias(size)))
     placed = numbered(rows, by, order, "_i", ties=(size,)).select(F.struct(*by).alias("k"), F.col("_i").cast("long").alias("i"), F.col(order).alias("o"), F.col(size).cast("long").alias("v"))
     # the first rows of a range stand beside the range before it too
     own = F.floor(F.col("i") / width)
     shown = F.when((F.col("i") % width < items) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    packed = placed.withColumn("r", F.explode(shown)).groupBy("k", "r").agg(F.array_sort(F.collect_list(F.struct("i", "o", "v"))).alias("rows"))
+    packed = settled(placed.withColumn("r", F.explode(shown)).groupBy("k", "r").agg(F.array_sort(F.collect_list(F.struct("i", "o", "v"))).alias("rows")))
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +106,7 @@ def greedy_segments(df: DataFrame, by, order: str, size: str, items: int, most:
 
     sizes = F.transform("rows", lambda x: x["v"])
     key = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in by) + ">"
-    known = packed.select("k", "r", sizes.alias("sizes")).mapInArrow(functions, f"k {key}, r long, f {STEP}")
+    known = settled(packed.select("k", "r", sizes.alias("sizes")).mapInArrow(functions, f"k {key}, r long, f {STEP}"))
     entries = _entries(known, items, fan)
     kept = packed.join(entries, ["k", "r"]).select(F.struct("k", F.slice("rows", 1, width).alias("rows")).alias("rows"), sizes.alias("sizes"), "first", "before")
     listed = f"struct<k: {key}, rows: array<struct<i: long, o: {kinds[order]}, v: long>>>"

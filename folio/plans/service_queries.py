@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators import answers, budget, incremental, structure, summary
-from folio.operators.places import numbered
+from folio.operators.places import numbered, shared_folder
 from folio.plans import sql as s
 from folio.plans.structure_queries import gathered
 from folio.plans.study_queries import BY, RECORDS, marked, records
@@ -154,13 +153,8 @@ def library_latest(spark, sf_dir):
 
 
 def _place(spark) -> str:
-    """A new folder for a stream's state and rows: below spark.checkpoint.dir, or on one machine (tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="folio-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's state and rows."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
