@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df`, a wide table that is read several times with different columns, written once as Parquet below the shared folder.
+
+    Results may still read it, so it stays; the `folio-*` folders there can go when the results are written.
+    """
+    path = f"{shared_folder(df.sparkSession)}/folio-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, by, order: str, name: str, width: int = 10_000, ties=()) -> DataFrame:
     """`df` with each row's number, from 0, in its group by an integer column, then by those in `ties`; rows without it come first.
 

@@ -1,7 +1,8 @@
 """Hierarchy of a book: headings, chapters, sections, body paragraphs, from pages of text.
 
-Lines are ordered by (page, line_no) inside a book. Everything after classification is windows and aggregates keyed by
-the book, so one exchange serves them; a single huge book is the largest unit of work.
+Lines are ordered by (page, line_no) inside a book. What a line inherits from all lines before it (its number, chapter and segment, the
+container, the last heading of each level) is a scan on two levels: inside ranges of pages, then over one row a range, whose carry
+goes back to the range's lines. So a huge book is many tasks; only its ranges' summaries meet in one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators.cleaning import is_index_page
+from folio.operators.places import written
 
 NUMERAL = "[0-9ivxlcdm]+"
 TITLE = r"(?: *[-–—:.] *(.+))?$"
@@ -143,24 +145,28 @@ def choose_root_strategy(candidates: DataFrame) -> DataFrame:
     return counts.select("book", mode.alias("mode"), F.when(mode == "numbered", F.col("root_depth")).alias("root_depth"))
 
 
-def outline(pages: DataFrame) -> DataFrame:
+def outline(pages: DataFrame, width: int = 64) -> DataFrame:
     """All lines with mode, role (root, container, section, body, consumed), chapter_no (0 before the first root), title, container, level, and the section stack.
 
     stack is the path of (level, title) at the line. A level is on it if its last heading is later than the last ones of
-    all smaller levels since the last root or container.
+    all smaller levels since the last root or container. Classified lines are written once, in ranges of `width` pages.
     """
     family, depth = F.col("heading.family"), F.col("heading.depth")
-    book = Window.partitionBy("book")
-    lines = explode_lines(pages)
-    lines = lines.withColumns({k: c.over(book) for k, c in _counts(family, depth).items()}).withColumn("root_depth", _least_depth())
-    lines = lines.withColumn("mode", _mode({k: F.col(k) for k in (*MODES, "visual")}, F.col("root_depth"))).drop(*MODES, "visual", *[f"d{k}" for k in range(1, 7)])
+    part = F.struct("book", F.floor(F.col("page") / width).alias("range"))
+    lines = written(explode_lines(pages).withColumn("_part", part))
+    of_book = Window.partitionBy("_part.book")
+    parts = lines.groupBy("_part").agg(*[c.alias(k) for k, c in _counts(family, depth).items()])
+    parts = parts.withColumns({k: F.sum(k).over(of_book) for k in _counts(family, depth)}).withColumn("root_depth", _least_depth())
+    parts = parts.select("_part", "root_depth", _mode({k: F.col(k) for k in (*MODES, "visual")}, F.col("root_depth")).alias("mode"))
+    # one exchange serves the windows by page and by range
+    lines = lines.join(parts, "_part").repartition("_part")
     root = (
         F.when(F.col("mode").isin("chapter", "container"), (family == F.col("mode")) | (family == "named"))
         .when(F.col("mode") == "numbered", (family == "numbered") & (depth == F.col("root_depth")))
         .when(F.col("mode") == "named", family == "named")
         .when(F.col("mode") == "visual", (family == "visual") & (depth == 1))
     )
-    on_page = Window.partitionBy("book", "page").orderBy("line_no")
+    on_page = Window.partitionBy("_part", "page").orderBy("line_no")
     lines = lines.withColumn("is_root", F.coalesce(root, F.lit(False)))
     # only a bare chapter line asks what the next line is
     following, bare = F.col("following"), F.col("is_root") & (family == "chapter") & F.col("heading.bare")
@@ -173,18 +179,37 @@ def outline(pages: DataFrame) -> DataFrame:
     base = F.when(F.col("mode") == "numbered", F.col("root_depth")).otherwise(1)
     level = F.when(family == "section", F.greatest(F.lit(2), depth)).when(family == "numbered", F.greatest(F.lit(2), depth - base + 2)).otherwise(2)
     lines = lines.withColumn("level", F.when(F.col("role") == "section", F.least(F.lit(6), level)))
-    so_far = Window.partitionBy("book").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # inside a range
+    order = Window.partitionBy("_part").orderBy("page", "line_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumns(
         {
-            "pos": F.row_number().over(Window.partitionBy("book").orderBy("page", "line_no")),
+            "pos": F.row_number().over(order).cast("long"),
             "chapter_no": F.count_if(F.col("role") == "root").over(so_far),
             "segment": F.count_if(F.col("role").isin("root", "container", "section")).over(so_far),
             "container": F.last(F.when(F.col("role") == "container", F.col("title")), ignorenulls=True).over(so_far),
         }
     )
-    lines = lines.withColumn("reset", F.coalesce(F.max(F.when(F.col("role").isin("root", "container"), F.col("pos"))).over(so_far), F.lit(0)))
-    last = {f"s{k}": F.max(F.when(F.col("level") == k, F.struct("pos", "level", "title"))).over(so_far) for k in range(2, 7)}
-    lines = lines.withColumns(last)
+    lines = lines.withColumn("reset", F.max(F.when(F.col("role").isin("root", "container"), F.col("pos"))).over(so_far))
+    lines = lines.withColumns({f"s{k}": F.max(F.when(F.col("level") == k, F.struct("pos", "level", "title"))).over(so_far) for k in range(2, 7)})
+    # over ranges: what a range's last line has seen is carried to the ranges after it
+    sums, lasts = ("pos", "chapter_no", "segment"), ("container", "reset", *[f"s{k}" for k in range(2, 7)])
+    ends = lines.groupBy("_part").agg(F.max_by(F.struct(*sums, *lasts), "pos").alias("e"))
+    earlier = Window.partitionBy("_part.book").orderBy("_part.range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_part", "e", *[F.coalesce(F.sum(f"e.{c}").over(earlier), F.lit(0)).alias(f"c_{c}") for c in sums])
+
+    def later(c: str, of: str = "") -> Column:
+        """A place in the range, or a heading there, by its number in the book."""
+        if c == "reset":
+            return F.col(f"{of}reset") + F.col("c_pos")
+        return F.when(F.col(f"{of}{c}").isNotNull(), F.struct((F.col(f"{of}{c}.pos") + F.col("c_pos")).alias("pos"), F.col(f"{of}{c}.level").alias("level"), F.col(f"{of}{c}.title").alias("title")))
+
+    held = {c: F.col("e.container") if c == "container" else later(c, "e.") for c in lasts}
+    carry = carry.select("_part", *[f"c_{c}" for c in sums], *[F.last(v, ignorenulls=True).over(earlier).alias(f"c_{c}") for c, v in held.items()])
+    lines = lines.join(carry, "_part")
+    own = {c: F.col(c) if c == "container" else later(c) for c in lasts}
+    lines = lines.withColumns({c: F.coalesce(v, F.col(f"c_{c}")) for c, v in own.items()}).withColumns({c: F.col(f"c_{c}") + F.col(c) for c in sums})
+    lines = lines.withColumn("reset", F.coalesce("reset", F.lit(0)))
     entries, floor = [], F.col("reset")
     for k in range(2, 7):
         entries.append(F.when(F.col(f"s{k}.pos") > floor, F.col(f"s{k}")))
