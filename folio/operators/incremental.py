@@ -48,6 +48,45 @@ def upsert_library(library: DataFrame, records: DataFrame) -> DataFrame:
     return upsert_checkpoint(both, None, ("id",), "updated_at")
 
 
+def _combined(place: Column, digest: Column) -> list[Column]:
+    """Sums that stand for the digests of children with their places; they add up in any order, so a node of very many children is no single group."""
+    both = F.sha2(F.concat_ws(":", place.cast("string"), digest), 256)
+    part = lambda at: F.sum(F.conv(F.substring(both, at, 15), 16, 10).cast("decimal(38,0)"))
+    return [part(1).alias("_a"), part(16).alias("_b"), F.count("*").alias("children")]
+
+
+def hash_tree(paragraphs: DataFrame, book: str = "book", chapter: str = "chapter", para: str = "para", text: str = "text") -> DataFrame:
+    """level (paragraph, chapter, book), book, chapter, para, digest, children: fingerprints of paragraphs by their text, and of chapters and books by their children's in order."""
+    leaf = paragraphs.select(book, chapter, para, F.sha2(t.text(F.col(text)), 256).alias("digest"))
+    own = F.sha2(F.concat_ws(":", F.col("_a").cast("string"), F.col("_b").cast("string"), F.col("children").cast("string")), 256).alias("digest")
+    chapters = leaf.groupBy(book, chapter).agg(*_combined(F.col(para), F.col("digest"))).select(book, chapter, own, "children")
+    books = chapters.groupBy(book).agg(*_combined(F.col(chapter), F.col("digest"))).select(book, own, "children")
+    level = lambda name: F.lit(name).alias("level")
+    out = leaf.select(level("paragraph"), "*", F.lit(0).cast("long").alias("children"))
+    for name, rows in (("chapter", chapters), ("book", books)):
+        out = out.unionByName(rows.select(level(name), "*"), allowMissingColumns=True)
+    return out
+
+
+def tree_changes(new: DataFrame, old: DataFrame, book: str = "book", chapter: str = "chapter") -> dict[str, DataFrame]:
+    """Of two hash trees what is new, level by level: books with another digest, in these the chapters whose digest the book hadn't, and in these the paragraphs whose digest it hadn't.
+
+    Moved chapters and paragraphs aren't new. Below an unchanged node nothing is compared.
+    """
+
+    def fresh(rows: DataFrame, name: str) -> DataFrame:
+        had = old.where(F.col("level") == name).select(F.col(book).alias("_of"), F.col("digest").alias("_had")).distinct()
+        return rows.join(had, F.col(book).eqNullSafe(F.col("_of")) & (F.col("digest") == F.col("_had")), "left_anti")
+
+    def inside(name: str, above: DataFrame, keys: list[str]) -> DataFrame:
+        some = above.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        return new.where(F.col("level") == name).join(some, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+
+    books = fresh(new.where("level = 'book'"), "book")
+    chapters = fresh(inside("chapter", books, [book]), "chapter")
+    return {"book": books, "chapter": chapters, "paragraph": fresh(inside("paragraph", chapters, [book, chapter]), "paragraph")}
+
+
 class Library:
     """A library as a Parquet table in folders by a hash of the key: an upsert reads and rewrites the folders of its own rows only.
 

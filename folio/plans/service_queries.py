@@ -139,6 +139,33 @@ def resume_pending(spark, sf_dir):
     return incremental.resume(all_.drop("lang"), done)[1].select("doc_id", "signature")
 
 
+_TREE = """a AS (SELECT doc_id, source AS book, (row_number() OVER w - 1) // 5 AS chapter, (row_number() OVER w - 1) % 5 AS para, coalesce(text, '') AS text FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+b AS (SELECT *, CASE WHEN doc_id % 97 = 0 THEN 'before ' || text ELSE text END AS old FROM a),
+c AS (SELECT book, chapter, list(text ORDER BY para) AS now, list(old ORDER BY para) AS old FROM b GROUP BY ALL),
+d AS (SELECT book, chapter FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.book = c.book AND o.old = c.now)),
+e AS (SELECT b.* FROM b JOIN d USING (book, chapter) WHERE NOT EXISTS (SELECT 1 FROM b AS o WHERE o.book = b.book AND o.old = b.text))"""
+
+
+def _trees(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents as paragraphs, five a chapter, and as they were when a few were other texts."""
+    d = numbered(docs(spark, sf_dir).select(F.col("source").alias("book"), "doc_id", t.text(F.col("text")).alias("text")), ["book"], "doc_id", "n")
+    d = d.select("book", F.floor(F.col("n") / 5).alias("chapter"), (F.col("n") % 5).alias("para"), "doc_id", "text")
+    before = d.withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("before "), "text")).otherwise(F.col("text")))
+    return incremental.hash_tree(d), incremental.hash_tree(before)
+
+
+@query("tree_pending", f"WITH {_TREE} SELECT book, chapter, para FROM e")
+def tree_pending(spark, sf_dir):
+    """Paragraphs to be done again."""
+    return incremental.tree_changes(*_trees(spark, sf_dir))["paragraph"].select("book", "chapter", "para")
+
+
+@query("tree_changes", f"WITH {_TREE} SELECT book, count(*) AS chapters FROM d GROUP BY book")
+def tree_changes(spark, sf_dir):
+    """Changed chapters by book."""
+    return incremental.tree_changes(*_trees(spark, sf_dir))["chapter"].groupBy("book").agg(F.count("*").alias("chapters"))
+
+
 @query("ttl_fresh", "SELECT event_id, user_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY")
 def ttl_fresh(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -259,3 +259,24 @@ def test_structure_without_rebuilt_chapters_stays(spark):
     new = spark.createDataFrame([(2, "new"), (3, "new"), (4, "new"), (5, "new")], "doc_id int, title string")
     got = structure.choose_structure(old, new, spark.createDataFrame([(3,)], "doc_id int"))
     assert sorted(map(tuple, got.collect())) == [(1, "Documento"), (2, "A"), (2, "B"), (3, "new"), (4, "new"), (5, "new")]
+
+
+def test_hash_tree_finds_the_edited_chapter(spark):
+    rows = [("a", c, p, f"text {c} {p}") for c in range(30) for p in range(4)] + [(None, 0, 0, None), ("b", 0, 0, "x")]
+    edited = [(b, c, p, "edited" if (b, c, p) == ("a", 7, 2) else x) for b, c, p, x in rows]
+    moved = [(b, c + 1 if b == "a" else c, p, x) for b, c, p, x in edited] + [("a", 0, 0, "a new first chapter")]
+    tree = lambda r: incremental.hash_tree(spark.createDataFrame(r, "book string, chapter int, para int, text string"))
+    found = {k: sorted(map(tuple, v.select("book", "chapter", "para").collect()), key=repr) for k, v in incremental.tree_changes(tree(edited), tree(rows)).items()}
+    assert found == {"book": [("a", None, None)], "chapter": [("a", 7, None)], "paragraph": [("a", 7, 2)]}
+    assert all(v.count() == 0 for v in incremental.tree_changes(tree(rows), tree(rows)).values())
+    found = {k: sorted(map(tuple, v.select("chapter", "para").collect())) for k, v in incremental.tree_changes(tree(moved), tree(edited)).items() if k != "book"}
+    assert found == {"chapter": [(0, None)], "paragraph": [(0, 0)]}
+
+
+def test_outline_of_ranges_equals_one_range(spark):
+    rng = random.Random(3)
+    shapes = ["CAPITOLO {} — X", "Capitolo {}", "PARTE {}", "1.{} Uno", "2.{}.1 Due", "Sezione {}", "Paragrafo {}", "Testo normale numero {} che continua.", "", "Introduzione", "Altro"]
+    pages = [(b, p, "\n".join(rng.choice(shapes).format(rng.randint(1, 9)) for _ in range(rng.randint(0, 9)))) for b, n in (("hot", 90), ("x", 7), (None, 9)) for p in range(1, n)]
+    df = spark.createDataFrame(pages, "book string, page int, text string")
+    found = [sorted(map(repr, structure.outline(df, width).drop("heading").collect())) for width in (1, 4, 1_000)]
+    assert found[0] == found[1] == found[2]
