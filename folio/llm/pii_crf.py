@@ -1,18 +1,20 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-Base spans come from fixed patterns. The field labels words that hold a digit, an `@` or a written-out one (`[at]`) as one
-of five kinds (the four of the patterns, and secrets such as access tokens) or none; all other words can only be none,
-so they need no node. Neighbouring words are linked in a chain, and each word also with the last earlier one that has
-the same digits or letters, however far away. Loopy belief propagation over both kinds of link makes repeated and
-similar words agree on a label across the document. Runs of words of one kind with a marginal of `sure` or more
+Base spans come from fixed patterns. The field labels words that hold a digit, an `@` or a written-out one (`[at]`, with the words of
+its address) as one of five kinds (the four of the patterns, and secrets such as access tokens) or none; all other words can only be none,
+so they need no node. Neighbouring words are linked in a chain, so that the groups of a number written with spaces are one. Each word is also
+linked with the last earlier one that is the same or similar, however far away: equal digits whatever stands between them, numbers that end in the same
+eight digits, secrets with the same first sixteen characters, addresses that differ in how @ and dots are written. Loopy belief propagation over both kinds
+of link makes them agree on a label across the document: a token that a cue introduces once is a secret where it stands
+bare too, and a number that is once called an order's is no card elsewhere. Runs of words of one kind with a marginal of `sure` or more
 that touch no base span are added.
 
-The field is fitted piecewise on a bounded sample (the `sample` documents with candidate words and the least hashes).
-Its labels are the base spans as they stand; the same documents with each base span disguised (a card number that
-fails its check, a phone number without `+`, `[at]` for `@`), still labelled; and again with things of other meaning in their
-places (dates, versions, shorter numbers, handles), labelled none. A long word of letters and digits that a cue such as
-`token =` introduces is labelled a secret. Words that look like a kind without any such evidence have no label. Word weights
-come from multinomial logistic regression, link weights from label counts.
+The field is fitted piecewise on a bounded sample (the `sample` documents with candidate words and the least hashes). Each text is
+used as it stands, labelled by its base spans and by cues (`token =`) before secrets; with its spans in forms that the base patterns miss
+(a card number that fails its check, with spaces or without; a phone number without `+`; an address in words), still labelled; with other things
+in their places (dates, versions, shorter numbers, handles; numbers and hashes that a word such as order or commit introduces), labelled none; and with
+repeats that stand bare and share the label of the first. A bare token without a cue is shown as a secret and as none, so alone it decides nothing.
+Word weights come from multinomial logistic regression, link weights from label counts.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole in linear time; repeated rows give
 repeated results; where the sample has no candidate words only base spans are found; an empty table gives an empty
@@ -43,16 +45,26 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = r"[0-9@]|[\[(]at[\])]"
+CANDIDATE = r"[0-9@]|[\[(] ?at ?[\])]"
 HIT, SPACE = re.compile(CANDIDATE), re.compile(r"[\x20\x09-\x0D]")
-AT = re.compile(r"@|[\[(]at[\])]")
+AT = re.compile(r"@|[\[(] ?at ?[\])]")
+#: A written-out @, and the rest of an address after it.
+SPELLED, AFTER_AT = re.compile(r"[\[(] ?at ?[\])]"), re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]|(?<= )dot(?= )) ?[A-Za-z0-9-]+)+")
+DOT = re.compile(r" ?(?:[\[(] ?dot ?[\])]|(?<= )dot(?= )) ?")
+GROUP = re.compile(r"[(]?[0-9]{1,6}[)]?(?:[-.][0-9]{1,6})*")
+NATIONAL = re.compile(r"[(]?[0-9]{2,4}[)]?[-.][0-9]{3}[-.][0-9]{4}")
 SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SECRET_CUES = frozenset("token key secret password passwd pwd apikey api_key bearer auth credential access_token".split())
+PHONE_CUES = frozenset("phone tel telephone mobile cell fax call ring dial".split())
+#: What such numbers and hashes are of that are nobody's own.
+OBJECT_CUES = frozenset("order invoice parcel shipment tracking ticket serial sku isbn item article part commit revision hash checksum md5 sha1 sha256 build digest blob".split())
 OTHER_CUES = frozenset("card visa mastercard credit phone tel telephone mobile fax call mail email contact ip host address".split())
 WHITE = " \t\n\x0b\f\r"
 NOT_DIGIT = re.compile(r"[^0-9]")
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 7, "secret": 0}
 SAMPLE = 2_000
+#: How much more than others those words weigh in training that a word calls an object's: nothing else about them is unlike the rest.
+OBJECT_WEIGHT = 24.0
 SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 Span = tuple[str, int, int]
@@ -94,11 +106,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the words that hold a digit or @."""
+    """Spans of the words that hold a digit or @; an address with a written-out @ is one, with the words that it is made of."""
     out, low = [], 0
     while m := HIT.search(text, low):
         start = max(low, *[text.rfind(c, low, m.start()) + 1 for c in WHITE])
-        gap = SPACE.search(text, m.end())
+        rest = AFTER_AT.match(text, m.end()) if SPELLED.fullmatch(m[0]) else None
+        if rest:
+            # the word before, if @ stands by itself
+            before = m.start() - 1 if m.start() > low and text[m.start() - 1] == " " else m.start()
+            own = LOCAL.match(text[max(low, *[text.rfind(c, low, before) + 1 for c in WHITE]) : before][::-1])
+            if own:
+                start = before - len(own[0])
+            elif out and out[-1][1] == before and LOCAL.fullmatch(text, *out[-1]):
+                start = out.pop()[0]
+        gap = SPACE.search(text, rest.end() if rest else m.end())
         low = gap.start() if gap else len(text)
         out.append((start, low))
     return out
@@ -132,44 +153,81 @@ def word_features(word: str) -> list[float]:
         1.0, bool(at), bool(at and local and "." in domain.strip(".")), n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 12, 13 <= n <= 19, n > 19,
         core.isdigit(), dotted, dotted and all(len(p) <= 3 and int(p) <= 255 for p in parts), word.startswith("+"), "(" in word and ")" in word, "-" in core, "." in core,
         any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits), len(core) - n > n, bool(secret), bool(secret and len(secret[0]) >= 24), core.count("-") == 2 and n == 8, core.isdigit() and 13 <= n <= 19,
+        bool(NATIONAL.fullmatch(core)), core.startswith("00") and n >= 4, bool(at and DOT.search(domain)),
     ]
 
 
-#: Places of features: of the word itself, then of what follows it, what is before it, and the words around it.
-PLUS, BRACKETS, DASH, SHAPED = 13, 14, 15, 20
-OWN = 24
-NEXT, NEXT_PHONE, JOINED, AFTER_PHONE, SECRET_CUE, OTHER_CUE = range(OWN, OWN + 6)
-N_FEATURES = OWN + 6
+#: Places of features: of the word itself, then of what follows it, what is before it, the run of digit groups that it is in, and the words before that.
+PLUS, BRACKETS, DASH, SHAPED, LONG = 13, 14, 15, 20, 23
+OWN = 27
+NEXT, NEXT_PHONE, JOINED, AFTER_PHONE, RUN_CARD, RUN_FOURS, RUN_YEARS, RUN_PHONE, RUN_ZEROS, SECRET_CUE, OTHER_CUE, PHONE_CUE, OBJECT_CUE, OBJECT_LONG, OBJECT_SHAPED, RUN_OBJECT = range(OWN, OWN + 16)
+N_FEATURES = OWN + 16
 
 
-def cues(text: str, start: int) -> tuple[bool, bool]:
-    """Whether the words shortly before a place name a secret, and whether they name another kind."""
+def cues(text: str, start: int) -> tuple[bool, bool, bool, bool]:
+    """Whether the words shortly before a place name a secret, another kind, a phone, or an object."""
     before = [w.strip(".,;:!?()[]\"'=#*$%&").lower() for w in re.split(r"[\s=:]+", text[max(0, start - 40) : start])[-4:]]
-    return any(w in SECRET_CUES for w in before), any(w in OTHER_CUES for w in before)
+    return tuple(any(w in names for w in before) for names in (SECRET_CUES, OTHER_CUES, PHONE_CUES, OBJECT_CUES))
+
+
+def similar(word: str, digits: str) -> list[str]:
+    """Keys that a word shares with those that it is linked with."""
+    secret = secret_part(word)
+    if secret:
+        return [secret[0].lower()[:16]]
+    if AT.search(word):
+        return [DOT.sub(".", SPELLED.sub("@", word)).replace(" ", "").strip(".,;:!?()#*$%&\"'").lower()]
+    if len(digits) >= 8:
+        return [digits, "/" + digits[-8:]]
+    return [digits] if len(digits) >= 4 else [word.strip(".,;:!?()").lower()]
+
+
+def group_runs(words: list[str], joined: list[bool]) -> list[tuple[int, int]]:
+    """Runs of two or more neighbouring words that are groups of digits: their first and one past their last."""
+    out, first = [], None
+    for i, word in enumerate([*words, ""]):
+        core = word.strip(".,;:!?#*$%&\"'").removeprefix("+")
+        fits = bool(GROUP.fullmatch(core)) and not IP.fullmatch(core)
+        if first is not None and not (fits and joined[i]):
+            if i - first > 1:
+                out.append((first, i))
+            first = None
+        if fits and first is None:
+            first = i
+    return out
 
 
 def graph(texts: list[str], docs: list[int]) -> Graph:
     owner, spans, rows, chain, skip = [], [], [], [], []
     for text, doc in zip(texts, docs, strict=True):
         last: dict[str, int] = {}
-        before = None
-        for start, end in candidates(text):
-            word, i = text[start:end], len(rows)
-            own = word_features(word)
-            joined = before is not None and not text[spans[before][1] : start].strip(WHITE)
-            if joined:
-                chain.append((before, i))
-                rows[before][NEXT], rows[before][NEXT_PHONE] = 1.0, float(own[PLUS] or own[BRACKETS] or own[DASH])
-            after_phone = joined and (rows[before][PLUS] or rows[before][BRACKETS] or rows[before][JOINED] and rows[before][DASH])
-            rows.append([*map(float, own), 0.0, 0.0, float(joined), float(after_phone), *map(float, cues(text, start))])
+        places, base = candidates(text), len(rows)
+        words = [text[a:b] for a, b in places]
+        joined = [i > 0 and not text[places[i - 1][1] : a].strip(WHITE) for i, (a, _) in enumerate(places)]
+        runs = {i: run for run in group_runs(words, joined) for i in range(*run)}
+        known: dict[int, tuple[bool, bool, bool, bool]] = {}
+        for k, ((start, end), word) in enumerate(zip(places, words, strict=True)):
+            i, own = base + k, word_features(word)
+            if joined[k]:
+                chain.append((i - 1, i))
+                rows[i - 1][NEXT], rows[i - 1][NEXT_PHONE] = 1.0, float(own[PLUS] or own[BRACKETS] or own[DASH])
+            after_phone = joined[k] and (rows[i - 1][PLUS] or rows[i - 1][BRACKETS] or rows[i - 1][JOINED] and rows[i - 1][DASH])
+            # the groups of a number share its length, its shape and the words before it
+            first, past = runs.get(k, (k, k + 1))
+            groups = [NOT_DIGIT.sub("", w) for w in words[first:past]]
+            digits, several = "".join(groups), past - first > 1
+            fours = several and all(len(g) == 4 for g in groups[:-1]) and 15 <= len(digits) <= 16
+            known[k] = known[first] if first != k else cues(text, start)
+            secret_cue, other_cue, phone_cue, object_cue = known[k]
+            years = several and all(len(g) == 4 and g < "2100" and g >= "1000" for g in groups)
+            run = [several and 13 <= len(digits) <= 19 and not digits.startswith("00"), fours, years, several and 7 <= len(digits) <= 15 and not fours, several and digits.startswith("00")]
+            around = [*run, secret_cue, other_cue, phone_cue, object_cue, object_cue and own[LONG], object_cue and own[SHAPED], object_cue and several]
+            rows.append([*map(float, own), 0.0, 0.0, float(joined[k]), float(after_phone), *map(float, around)])
             owner.append(doc)
             spans.append((start, end))
-            digits = NOT_DIGIT.sub("", word)
-            secret = secret_part(word)
-            key = secret[0].lower() if secret else digits if len(digits) >= 4 and not AT.search(word) else word.strip(".,;:!?()").lower()
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = before = i
+            keys = similar(word, NOT_DIGIT.sub("", word)) if not several else similar("", digits) if first == k and len(digits) >= 8 else []
+            skip += [(j, i) for j in dict.fromkeys(last[x] for x in keys if x in last)]
+            last |= dict.fromkeys(keys, i)
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Graph(np.array(owner, np.int64), pairs(spans), np.array(rows, float).reshape(-1, N_FEATURES), pairs(chain), pairs(skip))
 
@@ -221,14 +279,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def labels_of(g: Graph, spans: dict[int, list[Span]]) -> np.ndarray:
-    """The label of each word: the kind of the span that it overlaps, secret by shape and cue, none, or -1 where it looks like a kind without evidence."""
+    """The label of each word: the kind of the span that it overlaps (or `none`), secret by shape and cue, none, or -1 where it looks like a kind without evidence."""
     out = np.zeros(len(g.doc), np.int64)
     for i, (doc, (start, end), x) in enumerate(zip(g.doc.tolist(), g.span.tolist(), g.x, strict=True)):
         for kind, a, b in spans[doc]:
             if a < end and start < b:
-                out[i] = LABELS.index(kind) + 1
-        if not out[i]:
-            out[i] = LABELS.index("secret") + 1 if x[SHAPED] and x[SECRET_CUE] else -1 if x[SHAPED] or x[8] else 0
+                out[i] = 0 if kind == "none" else LABELS.index(kind) + 1
+                break
+        else:
+            if x[OBJECT_CUE]:
+                continue
+            out[i] = LABELS.index("secret") + 1 if x[SHAPED] and x[SECRET_CUE] else -1 if x[SHAPED] or x[8] or x[RUN_CARD] and not x[RUN_YEARS] else 0
     return out
 
 
@@ -248,34 +309,102 @@ def rewritten(text: str, spans: list[Span], change) -> tuple[str, list[Span]]:
 
 
 def disguise(kind: str, part: str) -> str:
-    """The same thing in a form that the base patterns miss."""
+    """The same thing in a form that the base patterns miss; which one, its digits say."""
+    digits = NOT_DIGIT.sub("", part)
+    way = sum(map(int, digits)) % 4
     if kind == "card":
-        return part[:-1] + str((int(part[-1]) + 5) % 10)
-    return part[1:] if kind == "phone" else part.replace("@", "[at]", 1) if kind == "email" else part
+        number = digits[:-1] + str((int(digits[-1]) + 5) % 10)
+        return " ".join(number[i : i + 4] for i in range(0, len(number), 4)) if way == 3 else number
+    if kind == "phone":
+        own = digits[-10:]
+        return (part[1:], f"{own[:3]}-{own[3:6]}-{own[6:]}", f"00{digits[:2]} {digits[2:4]} {digits[4:8]} {digits[8:]}", f"({own[:3]}) {own[3:6]}-{own[6:]}")[way]
+    if kind == "email":
+        name, _, host = part.partition("@")
+        return (f"{name}[at]{host}", f"{name} (at) {host.replace('.', ' dot ')}", f"{name}(at){host}", f"{name} [at] {host.replace('.', ' [dot] ')}")[way]
+    return part
 
 
 def mislead(kind: str, part: str) -> str:
-    """Something else of a similar form."""
+    """Something else of a similar form; which one, its digits say."""
     digits = (NOT_DIGIT.sub("", part) + "1" * 8)[:8]
+    way = sum(map(int, digits)) % 3
     if kind == "phone":
-        return f"{digits[:4]}-0{digits[4]}-1{digits[5]}"
+        return (f"{digits[:4]}-0{digits[4]}-1{digits[5]}", f"{digits[:3]} of {digits[3:6]}", f"{digits[:4]} {digits[4:6]}")[way]
+    if kind == "card" and way:
+        return " ".join(f"{19 + i % 2}{digits[i : i + 2]}" for i in range(3 + way - 1))
+    if kind == "secret":
+        return part[:10]
     return digits if kind == "card" else ".".join(part.split(".")[:3]) if kind == "ip" else "@" + part.partition("@")[0]
 
 
-def examples(text: str) -> list[tuple[str, list[Span]]]:
-    """A text and its base spans, and the text with these disguised, and replaced."""
-    spans = base_spans(text)
-    out = [(text, spans)]
-    if spans:
-        out += [rewritten(text, spans, disguise), (rewritten(text, spans, mislead)[0], [])]
+def named_object(kind: str, part: str) -> str:
+    """A number or hash that a word calls an object's."""
+    names = sorted(OBJECT_CUES)
+    name = names[sum(map(ord, part)) % len(names)]
+    if kind == "card":
+        return f"{name} {disguise(kind, part)}"
+    return f"{name} {part}" if kind == "secret" else mislead(kind, part)
+
+
+def cued_secrets(text: str) -> list[Span]:
+    """Words in the form of a secret that a cue introduces, and no word that names an object."""
+    out = []
+    for start, end in candidates(text):
+        part = secret_part(text[start:end])
+        if part:
+            secret, _, _, thing = cues(text, start)
+            if secret and not thing:
+                out.append(("secret", start + part.start(), start + part.end()))
+    return out
+
+
+def repeated(text: str, spans: list[Span], labelled: bool) -> tuple[str, list[Span]]:
+    """The text with its cards and secrets once more at its end, each bare between dots; with their label if `labelled`, else with none."""
+    out, found = text, list(spans) if labelled else []
+    for kind, a, b in spans:
+        if kind in ("card", "secret"):
+            out += " . "
+            found.append((kind if labelled else "none", len(out), len(out) + b - a))
+            out += text[a:b]
+    return out, found
+
+
+class Example(NamedTuple):
+    """A text with its spans, and from where on its words show how links agree but not how words look."""
+
+    text: str
+    spans: list[Span]
+    tail: int
+
+
+def examples(text: str) -> list[Example]:
+    """A text; the text with its spans disguised, and these once more; with others in their places; named as objects, and again without the name; and secrets that stand bare."""
+    base = base_spans(text)
+    spans = sorted({*base, *cued_secrets(text)}, key=lambda s: s[1:])
+    out = [Example(text, base, len(text))]
+    if not spans:
+        return out
+    hidden, places = rewritten(text, spans, disguise)
+    again, everywhere = repeated(hidden, places, True)
+    out += [Example(rewritten(text, spans, mislead)[0], [], len(text) * 2), Example(again, everywhere, len(hidden))]
+    things, marks = rewritten(text, spans, named_object)
+    # what follows the name is the thing itself
+    own = [(k, b - len(things[a:b].split(" ", 1)[-1]), b) for k, a, b in marks if k in ("card", "secret")]
+    out.append(Example(*repeated(things, own, False), len(things)))
+    secrets = [s for s in spans if s[0] == "secret"]
+    if secrets:
+        bare = " . ".join(text[a:b] for _, a, b in secrets)
+        out += [Example(bare, [(label, 0, len(bare))], len(bare)) for label in ("none", "secret")]
     return out
 
 
-def fit(g: Graph, y: np.ndarray, steps: int = 600, rate: float = 1.0, decay: float = 1e-3) -> Field:
-    n, sure = len(LABELS) + 1, y >= 0
+def fit(g: Graph, y: np.ndarray, shown: np.ndarray, steps: int = 1_500, rate: float = 1.0, decay: float = 3e-4) -> Field:
+    """Words that aren't `shown`, and those of unknown label (-1), don't train the word weights."""
+    n, sure = len(LABELS) + 1, (y >= 0) & shown
     x, target = g.x[sure], np.eye(n)[y[sure]]
     # rare labels weigh as much as frequent ones
     each = 1 / np.bincount(y[sure], minlength=n)[y[sure]] if sure.any() else np.zeros(0)
+    each = each * np.where(x[:, OBJECT_CUE] > 0, OBJECT_WEIGHT, 1.0)
     each = (each / max(each.sum(), 1e-9))[:, None]
     weights = np.zeros((N_FEATURES, n))
     speed = np.zeros_like(weights)
@@ -283,22 +412,23 @@ def fit(g: Graph, y: np.ndarray, steps: int = 600, rate: float = 1.0, decay: flo
         speed = 0.9 * speed - rate * 0.1 * (x.T @ (each * (_softmax(x @ weights) - target)) + decay * weights)
         weights = weights + speed
 
-    def potentials(pairs: np.ndarray, same_way: bool) -> np.ndarray:
+    def potentials(pairs: np.ndarray, same_way: bool, weight: float) -> np.ndarray:
         pairs = pairs[(y[pairs] >= 0).all(1)]
         seen = np.full((n, n), 0.5) + np.eye(n)
         np.add.at(seen, (y[pairs[:, 0]], y[pairs[:, 1]]), 1)
         seen = seen if same_way else seen + seen.T
         share = seen / seen.sum()
-        return 0.5 * np.log(share / np.outer(share.sum(1), share.sum(0)))
+        return weight * np.log(share / np.outer(share.sum(1), share.sum(0)))
 
-    return Field(weights, potentials(g.chain, True), potentials(g.skip, False))
+    # similar words agree nearly always; neighbours depend on much else that the weights know already
+    return Field(weights, potentials(g.chain, True, 0.5), potentials(g.skip, False, 1.0))
 
 
 def _begins(kind: str, before: str, word: str) -> bool:
     """Whether a word begins a new span of a kind, right after a word of that kind."""
     if kind == "card":
         return max(len(NOT_DIGIT.sub("", w)) for w in (before, word)) >= LEAST_DIGITS["card"]
-    return word.startswith("+") if kind == "phone" else True
+    return word.startswith(("+", "00")) if kind == "phone" else True
 
 
 def added_spans(g: Graph, marginals: np.ndarray, texts: dict[int, str], base: dict[int, list[Span]], sure: float) -> dict[int, list[Span]]:
@@ -343,20 +473,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [e for t in b.column(1).to_pylist() for e in examples(t)]
-            g = graph([t for t, _ in made], list(range(len(made))))
-            y = labels_of(g, {i: spans for i, (_, spans) in enumerate(made)})
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (g.x, g.chain, g.skip, y)], names=["x", "chain", "skip", "y"])
+            g = graph([e.text for e in made], list(range(len(made))))
+            y = labels_of(g, {i: e.spans for i, e in enumerate(made)})
+            shown = np.array([a < made[i].tail for i, (a, _) in zip(g.doc.tolist(), g.span.tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (g.x, g.chain, g.skip, y, shown)], names=["x", "chain", "skip", "y", "shown"])
 
     parts, at = [], 0
-    for row in few.mapInArrow(run, "x binary, chain binary, skip binary, y binary").collect():
+    for row in few.mapInArrow(run, "x binary, chain binary, skip binary, y binary, shown binary").collect():
         x = np.frombuffer(row.x).reshape(-1, N_FEATURES)
-        chain, skip, y = (np.frombuffer(v, np.int64) for v in (row.chain, row.skip, row.y))
-        parts.append((x, chain.reshape(-1, 2) + at, skip.reshape(-1, 2) + at, y))
+        chain, skip, y, shown = (np.frombuffer(v, np.int64) for v in (row.chain, row.skip, row.y, row.shown))
+        parts.append((x, chain.reshape(-1, 2) + at, skip.reshape(-1, 2) + at, y, shown > 0))
         at += len(x)
     if not at:
         return None
-    x, chain, skip, y = (np.concatenate(p) for p in zip(*parts, strict=True))
-    return fit(Graph(np.zeros(at, np.int64), np.zeros((at, 2), np.int64), x, chain, skip), y)
+    x, chain, skip, y, shown = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return fit(Graph(np.zeros(at, np.int64), np.zeros((at, 2), np.int64), x, chain, skip), y, shown)
 
 
 def find_personal_data(docs: DataFrame, sample: int = SAMPLE, sure: float = 0.9) -> DataFrame:

@@ -456,6 +456,44 @@ def test_personal_data_beyond_the_patterns(spark, tmp_path):
     assert not any(got[i].has_personal_data for i in range(303, 308))
 
 
+HASH = "24be9f8e7d6c5b4a39281706f5e4d3c2b1a006ff"
+FOUND = [
+    ("pay 4111 1111 1111 1112 now please", ["card:4111 1111 1111 1112"]), ("call me 555-123-4567 today", ["phone:555-123-4567"]), ("ring 0044 20 7946 0958 or not", ["phone:0044 20 7946 0958"]),
+    ("write john (at) mail dot com now", ["email:john (at) mail dot com"]), ("order 2123465659789240 shipped", []), (f"commit {HASH} fixed it", []), (f"a bare {TOKEN} alone", []), ("the years 1914 1918 1939 1945 matter", []),
+]
+#: Results that only links give: full, and without them.
+LINKED = [
+    (f'token = "{TOKEN}" and far later {TOKEN} again', [f"secret:{TOKEN}"] * 2, [f"secret:{TOKEN}"]),
+    (f'token = "{TOKEN}" and far later {TOKEN[:24]}… again', [f"secret:{TOKEN}", f"secret:{TOKEN[:24]}"], [f"secret:{TOKEN}"]),
+    ("order 2123465659789240 and much later 2123465659789240 again", [], ["card:2123465659789240"]),
+]
+
+
+def test_links_decide(spark):
+    """What the field finds, and that it finds other things with the links' potentials set to zero."""
+    texts = _personal_texts()
+    field = pii_crf.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+    def found(text, field):
+        g = pii_crf.graph([text], [0])
+        return [f"{k}:{text[a:b]}" for k, a, b in pii_crf.added_spans(g, field.marginals(g), {0: text}, {0: pii_crf.base_spans(text)}, 0.9).get(0, [])]
+
+    assert [found(t, field) for t, _ in FOUND] == [want for _, want in FOUND]
+    assert [found(t, field) for t, _, _ in LINKED] == [want for _, want, _ in LINKED]
+    without = field._replace(skip=np.zeros_like(field.skip))
+    assert [found(t, without) for t, _, _ in LINKED] == [want for _, _, want in LINKED]
+    groups = "pay 4111 1111 1111 1112 now"
+    assert found(groups, field._replace(chain=np.full_like(field.chain, 0.0))) in ([], found(groups, field))
+
+
+def test_field_over_a_very_long_text(spark):
+    rng = np.random.default_rng(1)
+    long = " ".join(f"{rng.integers(0, 10**6)} word" for _ in range(20_000)) + f' token = "{TOKEN}" ' + "x " * 50_000 + TOKEN
+    texts = [*_personal_texts(), long]
+    got = pii_crf.find_personal_data(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")).where(f"doc_id = {len(texts) - 1}").first()
+    assert [(s.kind, long[s.start : s.end]) for s in got.spans if s.kind == "secret"] == [("secret", TOKEN)] * 2
+
+
 def test_loopy_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(5)
     field = pii_crf.Field(rng.normal(size=(pii_crf.N_FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
