@@ -12,8 +12,11 @@ elements with their path of enclosing elements, and its text chunks with theirs.
    made again without that class.
 3. What lies between two neighbouring tokens of the innermost open span is a slot, named by the open classes and the places
    in them. Text of valid classes is constant; all other text is in slots.
-4. Which slots hold the article, templates can't tell; element and name rules say it for each chunk, and the chunks of a slot
+4. Element and name rules say for each chunk whether it may be the article's, and the chunks of a slot
    with the same path, on all pages of the host that mark their article alike, decide together by majority (an even split leaves each its own).
+5. On pages that don't mark their article, slots also decide by what they hold over all pages of the host: the varying text of a
+   container (what a chunk's paragraph stands in) on at least half of these pages is no article if it is on average less than `least_text` of the
+   text of the page's largest container. So an advert without a name in a box of its own goes, and a heading beside the paragraphs stays.
 
 The rules: a chunk isn't main text if it stands in a part that isn't the article by its element or by a name in its class,
 id or role that consists of such words alone (menus, headers, footers, sidebars, notices, adverts, forms, comments).
@@ -295,10 +298,23 @@ def settled(tokens: list[int], places: list[int | None], classes: list[list[int]
 
 # -- templates on Spark
 
-ROW = "host string, digest binary, tokens array<long>, counts array<int>, firsts array<int>, sequence array<int>, places array<long>, verdicts array<boolean>"
+ROW = "host string, digest binary, tokens array<long>, counts array<int>, firsts array<int>, sequence array<int>, places array<long>, verdicts array<boolean>, containers array<long>, sizes array<int>"
 
 
-def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[int | None], list[bool]]:
+#: What stands between a paragraph and the container that it is in.
+LISTS = frozenset("ul ol dl table tbody thead tfoot tr".split())
+
+
+@lru_cache(maxsize=50_000)
+def container(path: tuple[str, ...]) -> int:
+    """Stands for the path of the container that a chunk's paragraph, heading, item or cell is in, or of the element itself that holds bare text."""
+    end = len(path)
+    while end and path[end - 1].split(" ", 1)[0] in PARAGRAPHS | LISTS:
+        end -= 1
+    return _path_hash(path[:end])
+
+
+def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[int | None], list[bool], list[int | None], list[int]]:
     found, order = chunks(page)
     sequence = tokens_of(found, order)
     counts = Counter(sequence)
@@ -308,11 +324,11 @@ def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[i
         firsts.setdefault(t, at)
     verdicts, marked = rule_verdicts(found)
     places = [chunk_place(found[o], marked) if isinstance(o, int) else None for o in order]
-    return list(counts), list(counts.values()), list(firsts.values()), [number[t] for t in sequence], places, verdicts
+    return list(counts), list(counts.values()), list(firsts.values()), [number[t] for t in sequence], places, verdicts, [None if marked else container(c.path) for c in found], [len(c.text) for c in found]
 
 
 def _page_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.binary(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))]
+    kinds = [pa.string(), pa.binary(), *map(pa.list_, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()))]
     for batch in batches:
         seen: dict[tuple[str, bytes], tuple] = {}
         for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
@@ -376,10 +392,29 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2, least_valid: float = 0.9, broadcast_tokens: int = 2_000_000) -> DataFrame:
-    """host, classes (the valid ones, their tokens in order), kept and dropped (slots with a place whose chunks are mostly main text, or mostly not, but not all), over distinct pages."""
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each container on pages that don't mark their article: its pages, and the sum of its varying text's shares of that of each page's largest one; container null: all such pages."""
+    for batch in batches:
+        pages, text = Counter(), Counter()
+        extra = zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)
+        for (host, sequence, places, _, classes), (containers, sizes) in zip(_pages_with_classes(batch), extra, strict=True):
+            own = Counter()
+            slots = (slot for slot, place in zip(settled(sequence, places, classes), places, strict=True) if place is not None)
+            for slot, of, size in zip(slots, containers, sizes, strict=True):
+                if of is not None and slot is not None:
+                    own[of] += size
+            for of, size in own.items():
+                pages[host, of] += 1
+                text[host, of] += size / max(own.values())
+            if own:
+                pages[host, None] += 1
+        yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in pages], pa.string()), "container": pa.array([k[1] for k in pages], pa.int64()), "pages": pa.array(pages.values(), pa.int64()), "share": pa.array([float(text[k]) for k in pages], pa.float64())})
+
+
+def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2, least_valid: float = 0.9, least_text: float = 0.2, broadcast_tokens: int = 2_000_000) -> DataFrame:
+    """host, classes (the valid ones, their tokens in order), kept and dropped (slots with a place whose chunks are mostly main text, or mostly not, but not all), light (containers with too little text), over distinct pages."""
     named = pages.select(host_path(F.col("url"))[0].alias("host"), "html")
-    once = named.mapInArrow(_page_digests, ROW).groupBy("host", "digest").agg(*(F.first(c).alias(c) for c in ("tokens", "counts", "firsts", "sequence", "places", "verdicts")))
+    once = named.mapInArrow(_page_digests, ROW).groupBy("host", "digest").agg(*(F.first(c).alias(c) for c in ("tokens", "counts", "firsts", "sequence", "places", "verdicts", "containers", "sizes")))
     each, drop = stored(once)
     occurrences = each.select("host", "digest", F.explode(F.arrays_zip("tokens", "counts", "firsts")).alias("t")).select("host", F.col("t.tokens").alias("token"), F.xxhash64("digest", "t.counts").alias("seen"), (F.shiftleft(F.xxhash64("digest"), 24) + F.col("t.firsts")).alias("place"))
     tokens = occurrences.groupBy("host", "token").agg(F.bit_xor("seen").alias("vector"), F.count("*").alias("pages"), F.min("place").alias("place")).where(F.col("pages") >= least_pages)
@@ -388,9 +423,9 @@ def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3,
     grouped = frequent.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members")).where(F.size("members") >= least_tokens)
     candidates = cut(grouped.select("host", F.col("members.token").alias("members")))
 
-    def beside(classes: DataFrame) -> DataFrame:
+    def beside(classes: DataFrame, *more: str) -> DataFrame:
         lists = classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes"))
-        return each.select("host", "tokens", "sequence", "places", "verdicts").join(sized(lists, "classes", broadcast_tokens), "host")
+        return each.select("host", "tokens", "sequence", "places", "verdicts", *more).join(sized(lists, "classes", broadcast_tokens), "host")
 
     def sound(checked: DataFrame, key: str) -> DataFrame:
         return checked.groupBy("host", key).agg(F.sum("pages").alias("pages"), F.sum("broken").alias("broken")).where(F.col("broken") <= (1 - least_valid) * F.col("pages")).select("host", key)
@@ -404,7 +439,12 @@ def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3,
     votes = beside(classes).mapInArrow(_vote, "host string, slot long, chunks long, kept long").groupBy("host", "slot").agg(F.sum("chunks").alias("chunks"), F.sum("kept").alias("kept"))
     mixed = votes.where((F.col("kept") > 0) & (F.col("kept") < F.col("chunks")) & (2 * F.col("kept") != F.col("chunks"))).withColumn("most", 2 * F.col("kept") > F.col("chunks"))
     slots = mixed.groupBy("host").agg(F.collect_list(F.when(F.col("most"), F.col("slot"))).alias("kept"), F.collect_list(F.when(~F.col("most"), F.col("slot"))).alias("dropped"))
-    made = cut(classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes")).join(slots, "host", "left"))
+    weighed = beside(classes, "containers", "sizes").select("host", "tokens", "sequence", "places", "verdicts", "classes", "containers", "sizes").mapInArrow(_weigh, "host string, container long, pages long, share double")
+    weighed = weighed.groupBy("host", "container").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
+    whole = weighed.where("container IS NULL").select("host", F.col("pages").alias("all_pages"))
+    thin = weighed.where("container IS NOT NULL").join(whole, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("all_pages")) & (F.col("share") < least_text * F.col("pages")))
+    light = thin.groupBy("host").agg(F.array_sort(F.collect_list("container")).alias("light"))
+    made = cut(classes.groupBy("host").agg(F.array_sort(F.collect_list("members")).alias("classes")).join(slots, "host", "left").join(light, "host", "left"))
     drop()
     return made
 
@@ -421,6 +461,7 @@ class Template(NamedTuple):
     classes: list[list[int]]
     kept: frozenset[int] = frozenset()
     dropped: frozenset[int] = frozenset()
+    light: frozenset[int] = frozenset()
 
 
 def main_text(page: str, template: Template | frozenset) -> str:
@@ -437,7 +478,7 @@ def main_text(page: str, template: Template | frozenset) -> str:
         if slot is None:  # constant
             keep = verdicts[o] and marked and any(p.split(" ", 1)[0] in PARAGRAPHS for p in found[o].path)
         else:
-            keep = slot in template.kept or verdicts[o] and slot not in template.dropped
+            keep = (slot in template.kept or verdicts[o] and slot not in template.dropped) and (marked or container(found[o].path) not in template.light)
         if keep:
             out.append(found[o].text)
     return "\n".join(out)
@@ -451,8 +492,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for row, (host, page) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 if host not in known:
-                    classes, kept, dropped = (part.column(i)[row].as_py() for i in (4, 5, 6))
-                    known[host] = Template(classes, frozenset(kept or ()), frozenset(dropped or ())) if classes else frozenset()
+                    classes, *sets = (part.column(i)[row].as_py() for i in (4, 5, 6, 7))
+                    known[host] = Template(classes, *(frozenset(x or ()) for x in sets)) if classes else frozenset()
                 texts.append(main_text(page or "", known[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -460,7 +501,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, broadcast_tokens: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars, a row for each page."""
     made = templates(pages, broadcast_tokens=broadcast_tokens)
-    held = made.agg(F.sum(F.size(F.flatten("classes")) + F.coalesce(F.size("kept"), F.lit(0)) + F.coalesce(F.size("dropped"), F.lit(0)) + 8)).first()[0] or 0
+    held = made.agg(F.sum(F.size(F.flatten("classes")) + F.coalesce(F.size("kept"), F.lit(0)) + F.coalesce(F.size("dropped"), F.lit(0)) + F.coalesce(F.size("light"), F.lit(0)) + 8)).first()[0] or 0
     named = pages.select("page_id", "url", host_path(F.col("url"))[0].alias("host"), "html")
-    both = named.join(F.broadcast(made) if held <= broadcast_tokens else made, "host", "left").select("page_id", "url", "host", "html", "classes", "kept", "dropped")
+    both = named.join(F.broadcast(made) if held <= broadcast_tokens else made, "host", "left").select("page_id", "url", "host", "html", "classes", "kept", "dropped", "light")
     return both.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -397,6 +397,33 @@ def test_slots_and_constants_decide_where_no_article_is_marked(spark):
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
+def test_boxes_of_little_text_are_no_article(spark):
+    """Pages without an article mark: an advert, a link box and a teaser without names go by what their containers hold; headings, items and long boxes stay."""
+    rng = np.random.default_rng(4)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        title, first, item, box, ad, teaser = said(6), said(60), said(12), said(40), said(7), said(5)
+        lead = said(30) if i == 0 else None  # on one page only
+        ads = f"<div class=b>{ad}</div>" if i % 4 else ""
+        more = f"<div class=l><p>{lead}</p></div>" if lead else ""
+        rows.append((i, "https://plain.example.org/x", f"<html><body><div id=post-{i}>{ads}<h1>{title}</h1>{more}<p>{first}</p><ul><li>{item}</li></ul><section>{box}</section></div><div class=c><p><b>{teaser}</b></p></div></body></html>", "x"))
+        want[i] = "\n".join(x for x in (title, lead, first, item, box) if x)
+    for host, n in (("two.example.org", 2), ("marked.example.org", 6)):
+        for _ in range(n):
+            i, ad, text = len(rows), said(5), said(50)
+            mark = ("<article>", "</article>") if n > 2 else ("", "")
+            rows.append((i, f"https://{host}/", f"<html><body>{mark[0]}<div>{ad}</div><p>{text}</p>{mark[1]}</body></html>", "x"))
+            want[i] = f"{ad}\n{text}"  # too few pages, or marked as the article
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, light string")).collect()}
+    assert {i: got[i] for i in range(12, len(rows))} == {i: want[i] for i in range(12, len(rows))}
+    # each post's element has its own id, so its advert's path is a page's own: boxes are told by what most pages share
+    assert all(got[i].endswith(want[i][-30:]) and rows[i][2].split("<b>")[1].split("</b>")[0] not in got[i] for i in range(12))
+    same = [(i, u, re.sub(r" id=post-[0-9]+", "", t), x) for i, u, t, x in rows]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(same, "page_id long, url string, html string, light string")).collect()}
+    assert got == want
+
+
 def test_personal_data(spark, docs, empty):
     rng = np.random.default_rng(3)
     parts = ["a", "@", ".", "b.c", "1", "+", " ", "x@y.z", "@@", "-", "\n", "10.2.3.4"]
