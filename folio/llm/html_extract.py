@@ -378,37 +378,35 @@ def _check_nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _tallies(found, broken, "head")
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, kept = Counter(), Counter()
-        for host, sequence, places, verdicts, classes in _pages_with_classes(batch):
-            texts = (slot for slot, place in zip(settled(sequence, places, classes), places, strict=True) if place is not None)
-            for slot, verdict in zip(texts, verdicts, strict=True):
-                if slot is not None:
-                    found[host, slot] += 1
-                    kept[host, slot] += verdict
-        yield pa.RecordBatch.from_pydict(
-            {"host": pa.array([k[0] for k in found], pa.string()), "slot": pa.array([k[1] for k in found], pa.int64()), "chunks": pa.array(found.values(), pa.int64()), "kept": pa.array([kept[k] for k in found], pa.int64())}
-        )
+TALLY = "host string, slot long, container long, number long, kept long, share double"
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each container on pages that don't mark their article: its pages, and the sum of its varying text's shares of that of each page's largest one; container null: all such pages."""
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slot with a place its chunks and the kept ones; of each container on pages that don't mark their article those pages, and the sum of its varying text's shares of that of each page's largest one; slot and container null: all such pages."""
     for batch in batches:
-        pages, text = Counter(), Counter()
+        found, kept, pages, shares = Counter(), Counter(), Counter(), Counter()
         extra = zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)
-        for (host, sequence, places, _, classes), (containers, sizes) in zip(_pages_with_classes(batch), extra, strict=True):
+        for (host, sequence, places, verdicts, classes), (containers, sizes) in zip(_pages_with_classes(batch), extra, strict=True):
             own = Counter()
             slots = (slot for slot, place in zip(settled(sequence, places, classes), places, strict=True) if place is not None)
-            for slot, of, size in zip(slots, containers, sizes, strict=True):
-                if of is not None and slot is not None:
-                    own[of] += size
-            for of, size in own.items():
-                pages[host, of] += 1
-                text[host, of] += size / max(own.values())
+            for slot, verdict, of, size in zip(slots, verdicts, containers, sizes, strict=True):
+                if slot is not None:
+                    found[host, slot] += 1
+                    kept[host, slot] += verdict
+                    if of is not None:
+                        own[of] += size
             if own:
+                most = max(own.values())
                 pages[host, None] += 1
-        yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in pages], pa.string()), "container": pa.array([k[1] for k in pages], pa.int64()), "pages": pa.array(pages.values(), pa.int64()), "share": pa.array([float(text[k]) for k in pages], pa.float64())})
+                for of, size in own.items():
+                    pages[host, of] += 1
+                    shares[host, of] += size / most
+        n, m = len(found), len(pages)
+        columns = {
+            "host": pa.array([k[0] for k in (*found, *pages)], pa.string()), "slot": pa.array([*(k[1] for k in found), *[None] * m], pa.int64()), "container": pa.array([*[None] * n, *(k[1] for k in pages)], pa.int64()),
+            "number": pa.array([*found.values(), *pages.values()], pa.int64()), "kept": pa.array([*(kept[k] for k in found), *[0] * m], pa.int64()), "share": pa.array([*[0.0] * n, *(float(shares[k]) for k in pages)], pa.float64()),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_tokens: int = 2, least_valid: float = 0.9, least_text: float = 0.2, broadcast_tokens: int = 2_000_000) -> DataFrame:
@@ -436,11 +434,12 @@ def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3,
     ordered = cut(ordered.select("host", F.col("members.token").alias("members")))
     nested = sound(beside(ordered).mapInArrow(_check_nesting, "host string, head long, pages long, broken long"), "head")
     classes = cut(ordered.withColumn("head", F.col("members")[0]).join(nested, ["host", "head"]).select("host", "members"))
-    votes = beside(classes).mapInArrow(_vote, "host string, slot long, chunks long, kept long").groupBy("host", "slot").agg(F.sum("chunks").alias("chunks"), F.sum("kept").alias("kept"))
+    tally = beside(classes, "containers", "sizes").select("host", "tokens", "sequence", "places", "verdicts", "classes", "containers", "sizes").mapInArrow(_vote, TALLY)
+    tally = cut(tally.groupBy("host", "slot", "container").agg(F.sum("number").alias("number"), F.sum("kept").alias("kept"), F.sum("share").alias("share")))
+    votes = tally.where("slot IS NOT NULL").select("host", "slot", F.col("number").alias("chunks"), "kept")
     mixed = votes.where((F.col("kept") > 0) & (F.col("kept") < F.col("chunks")) & (2 * F.col("kept") != F.col("chunks"))).withColumn("most", 2 * F.col("kept") > F.col("chunks"))
     slots = mixed.groupBy("host").agg(F.collect_list(F.when(F.col("most"), F.col("slot"))).alias("kept"), F.collect_list(F.when(~F.col("most"), F.col("slot"))).alias("dropped"))
-    weighed = beside(classes, "containers", "sizes").select("host", "tokens", "sequence", "places", "verdicts", "classes", "containers", "sizes").mapInArrow(_weigh, "host string, container long, pages long, share double")
-    weighed = weighed.groupBy("host", "container").agg(F.sum("pages").alias("pages"), F.sum("share").alias("share"))
+    weighed = tally.where("slot IS NULL").select("host", "container", F.col("number").alias("pages"), "share")
     whole = weighed.where("container IS NULL").select("host", F.col("pages").alias("all_pages"))
     thin = weighed.where("container IS NOT NULL").join(whole, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("all_pages")) & (F.col("share") < least_text * F.col("pages")))
     light = thin.groupBy("host").agg(F.array_sort(F.collect_list("container")).alias("light"))
