@@ -303,18 +303,19 @@ ROW = "host string, digest binary, tokens array<long>, counts array<int>, firsts
 
 #: What stands between a paragraph and the container that it is in.
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr".split())
+INSIDE = PARAGRAPHS | LISTS
 
 
 @lru_cache(maxsize=50_000)
 def container(path: tuple[str, ...]) -> int:
     """Stands for the path of the container that a chunk's paragraph, heading, item or cell is in, or of the element itself that holds bare text."""
     end = len(path)
-    while end and path[end - 1].split(" ", 1)[0] in PARAGRAPHS | LISTS:
+    while end and path[end - 1].split(" ", 1)[0] in INSIDE:
         end -= 1
     return _path_hash(path[:end])
 
 
-def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[int | None], list[bool], list[int | None], list[int]]:
+def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[int | None], list[bool], list[int] | None, list[int] | None]:
     found, order = chunks(page)
     sequence = tokens_of(found, order)
     counts = Counter(sequence)
@@ -324,7 +325,7 @@ def _read(page: str) -> tuple[list[int], list[int], list[int], list[int], list[i
         firsts.setdefault(t, at)
     verdicts, marked = rule_verdicts(found)
     places = [chunk_place(found[o], marked) if isinstance(o, int) else None for o in order]
-    return list(counts), list(counts.values()), list(firsts.values()), [number[t] for t in sequence], places, verdicts, [None if marked else container(c.path) for c in found], [len(c.text) for c in found]
+    return list(counts), list(counts.values()), list(firsts.values()), [number[t] for t in sequence], places, verdicts, None if marked else [container(c.path) for c in found], None if marked else [len(c.text) for c in found]
 
 
 def _page_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,11 +390,14 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (host, sequence, places, verdicts, classes), (containers, sizes) in zip(_pages_with_classes(batch), extra, strict=True):
             own = Counter()
             slots = (slot for slot, place in zip(settled(sequence, places, classes), places, strict=True) if place is not None)
-            for slot, verdict, of, size in zip(slots, verdicts, containers, sizes, strict=True):
+            held = list(zip(slots, verdicts, strict=True))
+            for slot, verdict in held:
                 if slot is not None:
                     found[host, slot] += 1
                     kept[host, slot] += verdict
-                    if of is not None:
+            if containers is not None:
+                for (slot, _), of, size in zip(held, containers, sizes, strict=True):
+                    if slot is not None:
                         own[of] += size
             if own:
                 most = max(own.values())
