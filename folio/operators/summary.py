@@ -1,7 +1,8 @@
 """Sentences, words, extractive summaries, fidelity repair.
 
-Tables are keyed by `key` columns (a document, or a document's paragraph), with a text column. All steps of a summary
-partition by the key, so one exchange serves them; a single very long text is the largest unit of work.
+Tables are keyed by `key` columns (a document, or a document's paragraph), with a text column. Sentences are scored,
+words counted and summaries made within the text's row, by sorted arrays and the runs of equal values in them, so that no
+step needs an exchange; time is that of sorting the text's words. Repeated keys are texts of their own.
 """
 
 from __future__ import annotations
@@ -28,10 +29,34 @@ def word_freq(df: DataFrame, lex: Lexicon = ITALIAN, key=KEY, text: str = "text"
     return words.groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+def _runs(values: Column, part: str) -> Column:
+    """at (from 0), n: each run of equal `part`s in sorted structs; `values` is an array that is computed already."""
+    new = F.transform(values, lambda v, i: F.when((i == 0) | (v[part] != F.get(values, i - 1)[part]), i))
+    return t.let(F.filter(new, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda a, i: F.struct(a.alias("at"), (F.coalesce(F.get(at, i + 1), F.size(values)) - a).alias("n"))))
+
+
+def _counted(each: Column, lex: Lexicon, f) -> Column:
+    """f(words, runs): the content words of sentences as sorted structs (word, idx of the sentence, pos in it), and the runs of each word."""
+    raw = F.transform(each, lambda s, i: F.transform(t.raw_words(s), lambda w, p: F.struct(w.alias("word"), i.alias("idx"), p.alias("pos"))))
+    words = F.array_sort(F.filter(F.flatten(raw), lambda w: t.is_content(w["word"], lex.stop)))
+    return t.let(words, lambda w: t.let(_runs(w, "word"), lambda r: f(w, r)))
+
+
+def _best(words: Column, runs: Column, k: int) -> Column:
+    """word, n of the first k words by count, then length, then first occurrence."""
+    order = F.transform(runs, lambda r: t.let(F.get(words, r["at"]), lambda w: F.struct((-r["n"]).alias("less"), (-F.length(w["word"])).alias("shorter"), w["idx"].alias("idx"), w["pos"].alias("pos"), w["word"].alias("word"), r["n"].alias("n"))))
+    return F.transform(t.head(F.array_sort(order), k), lambda w: F.struct(w["word"].alias("word"), w["n"].cast("long").alias("n")))
+
+
+def keywords(c: Column, lex: Lexicon = ITALIAN, k: int = 8) -> Column:
+    """word, n of a text's k most frequent content words; longer ones, then earlier ones first."""
+    return _counted(t.sentences(c), lex, lambda words, runs: _best(words, runs, k))
+
+
 def top_keywords(df: DataFrame, lex: Lexicon = ITALIAN, k: int = 8, key=KEY, text: str = "text") -> DataFrame:
     """key, rank (from 1), word, n: by count, then length, then first occurrence."""
-    order = Window.partitionBy(*key).orderBy(F.desc("n"), F.desc(F.length("word")), "first_pos")
-    return word_freq(df, lex, key, text).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*key, "rank", "word", "n")
+    each = df.select(*key, F.posexplode(keywords(F.col(text), lex, k)).alias("rank", "w"))
+    return each.select(*key, (F.col("rank") + 1).alias("rank"), "w.word", "w.n")
 
 
 def cue_bonus(sentence: Column, lex: Lexicon) -> Column:
@@ -44,17 +69,33 @@ def cue_bonus(sentence: Column, lex: Lexicon) -> Column:
     )
 
 
+def _scores(each: Column, words: Column, runs: Column, lex: Lexicon) -> Column:
+    """idx, sentence, score of each sentence; all arguments are arrays that are computed already."""
+    counts = F.flatten(F.transform(runs, lambda r: F.array_repeat(r["n"], r["n"])))
+    held = F.transform(counts, lambda n, i: F.struct(F.get(words, i)["idx"].alias("idx"), n.alias("n")))
+    # a zero for each sentence, so that there is one run for each, also for those without content words
+    placed = F.array_sort(F.concat(held, F.transform(each, lambda s, i: F.struct(i.alias("idx"), F.lit(0).alias("n")))))
+
+    def means(v: Column) -> Column:
+        total = lambda r: F.aggregate(F.slice(v, r["at"] + 1, r["n"]), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.transform(_runs(v, "idx"), lambda r: F.when(r["n"] > 1, total(r) / (r["n"] - 1)))
+
+    quarter = F.ceil(F.size(each) * 0.25)
+    place = lambda i: F.when(i == 0, 1.1).when(i < quarter, 0.45).otherwise(0.0)
+    score = lambda s, i, m: F.when(m.isNotNull(), F.round(m + cue_bonus(s, lex) + place(i), 6)).otherwise(0.0)
+    return t.let(t.let(placed, means), lambda m: F.transform(each, lambda s, i: F.struct(i.alias("idx"), s.alias("sentence"), score(s, i, F.get(m, i)).alias("score"))))
+
+
+def scored_sentences(c: Column, lex: Lexicon = ITALIAN) -> Column:
+    """idx (from 0), sentence, score: mean frequency of its content words in the text, plus cue and position points; 0 without content words."""
+    return t.let(t.sentences(c), lambda s: _counted(s, lex, lambda w, r: _scores(s, w, r, lex)))
+
+
 def score_sentences(df: DataFrame, lex: Lexicon = ITALIAN, key=KEY, text: str = "text") -> DataFrame:
-    """key, idx, sentence, n_sentences, score: mean frequency of its content words in the text, plus cue and position points; 0 without content words."""
-    # the sentence rides on its first word's row only, so that exploding doesn't copy it
-    each = sentence_table(df, key, text).withColumn("n_sentences", F.count("*").over(Window.partitionBy(*key)))
-    words = each.select("*", F.posexplode_outer(t.raw_words(F.col("sentence"))).alias("pos", "word"))
-    words = words.withColumn("word", F.when(t.is_content(F.col("word"), lex.stop), F.col("word")))
-    words = words.withColumn("freq", F.when(F.col("word").isNotNull(), F.count("*").over(Window.partitionBy(*key, "word"))))
-    means = words.groupBy(*key, "idx").agg(F.first("n_sentences").alias("n_sentences"), F.max(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("sentence"))).alias("sentence"), F.avg("freq").alias("content"))
-    place = F.when(F.col("idx") == 0, 1.1).when(F.col("idx") < F.ceil(F.col("n_sentences") * 0.25), 0.45).otherwise(0.0)
-    score = F.when(F.col("content").isNotNull(), F.round(F.col("content") + cue_bonus(F.col("sentence"), lex) + place, 6)).otherwise(0.0)
-    return means.select(*key, "idx", "sentence", "n_sentences", score.alias("score"))
+    """key, idx, sentence, n_sentences, score of each text's scored_sentences."""
+    each = df.select(*key, t.let(scored_sentences(F.col(text), lex), lambda s: F.transform(s, lambda x: F.struct(x.alias("x"), F.size(s).cast("long").alias("n")))).alias("_s"))
+    each = each.select(*key, F.explode("_s").alias("_s"))
+    return each.select(*key, "_s.x.idx", "_s.x.sentence", F.col("_s.n").alias("n_sentences"), "_s.x.score")
 
 
 def wanted(n: Column, level: str) -> Column:
@@ -62,17 +103,33 @@ def wanted(n: Column, level: str) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n * F.lit(ratio)).cast("int")))
 
 
-def joined(sentences: str = "sentence", by: str = " ") -> Column:
-    """The sentences of a group in order of idx."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", sentences))), lambda s: s[sentences]), by)
+def _picked(scored: Column, level: str) -> Column:
+    """idx, sentence of the best sentences, in their order; all where there are few."""
+    order = F.array_sort(F.transform(scored, lambda s: F.struct((F.lit(0.0) - s["score"]).alias("less"), s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
+    n = F.size(scored)
+    most = F.when(n <= levels()[level][1], n).otherwise(wanted(n, level))
+    return F.array_sort(F.transform(F.slice(order, F.lit(1), most), lambda s: F.struct(s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
+
+
+def _text_of(picked: Column) -> Column:
+    return F.array_join(F.transform(picked, lambda s: s["sentence"]), " ")
+
+
+def summary_of(c: Column, level: str = "studio", lex: Lexicon = ITALIAN) -> Column:
+    """A text's extractive summary; null where the text has no sentence."""
+    summed = t.let(scored_sentences(c, lex), lambda s: _picked(s, level))
+    return t.let(summed, lambda p: F.when(F.size(p) > 0, _text_of(p)))
 
 
 def extract_summary(df: DataFrame, level: str = "studio", lex: Lexicon = ITALIAN, key=KEY, text: str = "text") -> DataFrame:
-    """key, n_sentences, n_kept, summary: the best sentences in their order; texts of few sentences are kept whole."""
-    scored = score_sentences(df, lex, key, text)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "idx"))
-    kept = scored.withColumn("rank", rank).where((F.col("rank") <= wanted(F.col("n_sentences"), level)) | (F.col("n_sentences") <= levels()[level][1]))
-    return kept.groupBy(*key).agg(F.first("n_sentences").alias("n_sentences"), F.count("*").alias("n_kept"), joined().alias("summary"))
+    """key, n_sentences, n_kept, summary: the best sentences in their order; texts of few sentences are kept whole, those of none have no row."""
+
+    def made(scored: Column) -> Column:
+        row = lambda p: F.struct(F.size(scored).cast("long").alias("n_sentences"), F.size(p).cast("long").alias("n_kept"), _text_of(p).alias("summary"))
+        return t.let(_picked(scored, level), row)
+
+    each = df.select(*key, t.let(scored_sentences(F.col(text), lex), made).alias("_s"))
+    return each.where(F.col("_s.n_sentences") > 0).select(*key, "_s.*")
 
 
 def summary_levels(spark) -> DataFrame:
@@ -119,12 +176,19 @@ def ensure_fidelity(df: DataFrame, lex: Lexicon = ITALIAN, source: str = "text",
     ).drop("_missing", "_found")
 
 
+def _once(df: DataFrame, given) -> DataFrame:
+    """`df` with all columns but those `given` computed in one step that later filters can't be pushed below, which would compute them again."""
+    made = [c for c in df.columns if c not in given]
+    return df.select(*given, F.explode(F.array(F.struct(*made))).alias("_row")).select(*given, "_row.*")
+
+
 def summarize_local(df: DataFrame, level: str = "studio", lex: Lexicon = ITALIAN, key=KEY, text: str = "text") -> DataFrame:
-    """key, text, summary, accessible, key_points, remember, keywords, engine, fidelity_recovered."""
-    base = extract_summary(df, level, lex, key, text).select(*key, "summary")
-    words = top_keywords(df, lex, 8, key, text).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda w: w["word"]).alias("keywords"))
-    none = F.array().cast("array<string>")
-    both = df.select(*key, text).join(base, list(key), "left").join(words, list(key), "left")
-    both = both.withColumns({"summary": t.text(F.col("summary")), "keywords": F.coalesce("keywords", none)})
+    """key, text, summary, accessible, key_points, remember, keywords, engine, fidelity_recovered; words are counted once for the summary and the keywords."""
+
+    def made(each: Column) -> Column:
+        row = lambda w, r: F.struct(t.let(_scores(each, w, r, lex), lambda s: _text_of(_picked(s, level))).alias("summary"), F.transform(_best(w, r, 8), lambda k: k["word"]).alias("keywords"))
+        return _counted(each, lex, row)
+
+    both = df.select(*key, text, t.let(t.sentences(F.col(text)), made).alias("_s")).select(*key, text, "_s.*")
     both = both.withColumns({"accessible": t.accessible(F.col("summary"), lex.connectives), "key_points": key_points(F.col("summary")), "remember": remember_items(F.col(text), F.col("keywords"), lex), "engine": F.lit("locale")})
-    return ensure_fidelity(both, lex, text)
+    return _once(ensure_fidelity(both, lex, text), [*key, text])

@@ -260,7 +260,7 @@ _LETTERS = "length(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}]', '', 'g'))"
 b AS (SELECT doc_id, CASE WHEN n > 0 THEN round(100.0::DOUBLE - m * 100.0::DOUBLE / n, 3) ELSE 0.0 END::DOUBLE AS reduction FROM a)
 SELECT doc_id, reduction, CASE WHEN reduction BETWEEN 60 AND 70 THEN 'in' WHEN reduction BETWEEN 55 AND 75 THEN 'near' ELSE 'out' END AS band FROM b""")
 def letter_budget(spark, sf_dir):
-    both = docs(spark, sf_dir).join(summary.extract_summary(docs(spark, sf_dir), "studio", LEX).select("doc_id", "summary"), "doc_id", "left")
+    both = docs(spark, sf_dir).select("doc_id", "text", summary.summary_of(F.col("text"), "studio", LEX).alias("summary"))
     cut = budget.reduction(F.col("text"), F.col("summary"))
     return both.select("doc_id", cut.alias("reduction"), budget.band(cut).alias("band"))
 

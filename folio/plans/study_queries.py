@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.operators import artefacts, audit, glossary, summary
-from folio.operators.places import numbered
+from folio.operators.places import numbered, written
 from folio.plans import sql as s
 from folio.plans.sql import q
 from folio.plans.text_queries import FIDELITY, KEYWORDS, LEX, LISTED, REMEMBER, docs, summary_sql
@@ -163,9 +163,8 @@ i2 AS (SELECT *, CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_intersect(w, gw)) /
     f"""WITH {COVERAGE} SELECT doc_id, idx, round(share, 6) AS coverage, contains(lower({s.norm('summary')}), lower(sentence)) OR share >= CASE WHEN len(w) <= 3 THEN 0.67::DOUBLE WHEN len(w) <= 6 THEN 0.55::DOUBLE ELSE 0.48::DOUBLE END AS covered FROM i2""",
 )
 def coverage(spark, sf_dir):
-    made = summary.extract_summary(docs(spark, sf_dir), "studio", LEX).select("doc_id", "summary")
     # a document's generated words are split once, before its sentences are taken apart
-    both = docs(spark, sf_dir).select("doc_id", audit.important_sentences(F.col("text"), LEX).alias("found")).where(F.size("found") > 0).join(made, "doc_id", "left")
+    both = docs(spark, sf_dir).select("doc_id", audit.important_sentences(F.col("text"), LEX).alias("found"), summary.summary_of(F.col("text"), "studio", LEX).alias("summary"))
     both = both.select("doc_id", "found", F.lower(t.normalize(F.col("summary"))).alias("low"), F.array_distinct(t.content_words(F.col("summary"), LEX.audit_stop)).alias("known"))
     judged = F.transform("found", lambda v: t.let(t.content_words(v, LEX.audit_stop), lambda w: F.struct(F.round(audit.coverage_of(w, F.col("known")), 6).alias("coverage"), audit.covered_by(v, w, F.col("low"), F.col("known")).alias("covered"))))
     return both.select("doc_id", F.posexplode(judged).alias("idx", "x")).select("doc_id", "idx", "x.*")
@@ -289,7 +288,7 @@ def quiz_points(spark, sf_dir):
 
 @query("quiz", f"WITH {QUIZ} SELECT * FROM quizzes")
 def quiz(spark, sf_dir):
-    return artefacts.quiz(records(spark, sf_dir), BY, "para")
+    return artefacts.quiz(written(records(spark, sf_dir)), BY, "para")
 
 
 @query("quiz_scores", f"WITH {QUIZ} SELECT book, chapter, count(*) AS answered, count(*) FILTER (correct_index = 0) AS correct FROM quizzes GROUP BY ALL")

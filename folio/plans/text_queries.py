@@ -167,8 +167,8 @@ LISTED = "z AS (SELECT doc_id, list(word ORDER BY rank) AS keywords FROM k GROUP
 
 @query("remember_items", f"WITH {KEYWORDS}, {LISTED} SELECT d.doc_id, {REMEMBER} AS remember FROM documents d LEFT JOIN z USING (doc_id)")
 def remember_items(spark, sf_dir):
-    words = summary.top_keywords(docs(spark, sf_dir), LEX).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda w: w["word"]).alias("keywords"))
-    return docs(spark, sf_dir).join(words, "doc_id", "left").select("doc_id", summary.remember_items(F.col("text"), F.col("keywords"), LEX).alias("remember"))
+    words = F.transform(summary.keywords(F.col("text"), LEX), lambda w: w["word"])
+    return docs(spark, sf_dir).select("doc_id", summary.remember_items(F.col("text"), words, LEX).alias("remember"))
 
 
 @query("anchors", f"SELECT doc_id, {s.anchors('text')} AS anchors FROM documents")
@@ -186,7 +186,7 @@ r AS (SELECT *, list_filter(hits, lambda v, i: list_position(hits, v) = i)[1:5]
 
 @query("missing_anchors", f"WITH {FIDELITY} SELECT doc_id, missing FROM r")
 def missing_anchors(spark, sf_dir):
-    found = docs(spark, sf_dir).join(summary.extract_summary(docs(spark, sf_dir), "studio", LEX).select("doc_id", "summary"), "doc_id", "left")
+    found = docs(spark, sf_dir).select("doc_id", "text", summary.summary_of(F.col("text"), "studio", LEX).alias("summary"))
     spoken = t.accessible(F.col("summary"), LEX.connectives)
     return found.select("doc_id", summary.missing_anchors(F.col("text"), t.text(F.col("summary")), spoken).alias("missing"))
 

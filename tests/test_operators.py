@@ -280,3 +280,52 @@ def test_outline_of_ranges_equals_one_range(spark):
     df = spark.createDataFrame(pages, "book string, page int, text string")
     found = [sorted(map(repr, structure.outline(df, width).drop("heading").collect())) for width in (1, 4, 1_000)]
     assert found[0] == found[1] == found[2]
+
+
+def test_line_budget_equals_ranking(spark):
+    """A hot group, one of equal remainders, one with more units than lines, weights null and 0, a null group; against ranking each group."""
+    rng = random.Random(5)
+    rows = [("hot", i, rng.randint(0, 900)) for i in range(700)] + [("same", i, 7) for i in range(90)] + [("many", i, 5) for i in range(1_200)]
+    rows += [(None, i, w) for i, w in enumerate([3, None, 0, 8])] + [("none", i, 0) for i in range(3)]
+    got = budget.line_budget(spark.createDataFrame(rows, "doc string, n long, weight long"), ["doc"], "n", 1_000).collect()
+    expected = {}
+    for doc in {r[0] for r in rows}:
+        group = [(n, w or 0) for d, n, w in rows if d == doc]
+        total = sum(w for _, w in group)
+        spare = max(0, 1_000 - len(group)) if total else 0
+        part = {n: spare * w / total if total else 0.0 for n, w in group}
+        left = spare - sum(int(x) for x in part.values())
+        first = sorted(part, key=lambda n: (-round(part[n] - int(part[n]), 9), n))[:left]
+        expected |= {(doc, n): 1 + int(x) + (n in first) for n, x in part.items()}
+    assert {(r.doc, r.n): r.lines for r in got} == expected and len(got) == len(rows)
+    assert sum(r.lines for r in got if r.doc == "same") == 1_000
+    empty = spark.createDataFrame([], "doc string, n long, weight long")
+    assert budget.line_budget(empty, ["doc"], "n", 9).count() == 0
+
+
+def test_summary_in_one_row(spark):
+    """Scores and keywords equal counting by hand; null, empty and wordless texts, repeated keys and a text of 60,000 words; no exchange."""
+    rng = random.Random(3)
+    long = " ".join(f"parola{rng.randint(0, 3_000)}" + ("." if i % 12 == 11 else "") for i in range(60_000))
+    rows = [(1, "Gatto gatto cane. Il gatto corre. Un cane dorme. ..."), (2, None), (3, ""), (4, "?!"), (5, long), (6, "a b. Gatto."), (6, "Cane.")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    scored = summary.score_sentences(df).collect()
+    for key, text in rows:
+        sents = [s for r, s in ((r, r.sentence) for r in scored if r.doc_id == key)]
+        if key in (2, 3):
+            assert not sents
+        if key == 5:
+            count = {}
+            for w in text.replace(".", "").split():
+                count[w] = count.get(w, 0) + 1
+            assert len(sents) == 5_000
+            for r in [r for r in scored if r.doc_id == 5][2_000:2_020]:
+                words = r.sentence.rstrip(".").split()
+                assert r.score == pytest.approx(sum(count[w] for w in words) / len(words), abs=1e-6)
+    first = sorted((r.idx, r.score) for r in scored if r.doc_id == 1)
+    assert first[0][1] == pytest.approx((3 + 3 + 2) / 3 + 1.1, abs=1e-6) and [r.score for r in scored if r.doc_id == 4] == [0.0]
+    assert [(r.rank, r.word, r.n) for r in summary.top_keywords(df).where("doc_id = 1").orderBy("rank").collect()][:2] == [(1, "gatto", 3), (2, "cane", 2)]
+    made = summary.extract_summary(df)
+    assert {r.doc_id for r in made.collect()} == {1, 4, 5, 6} and made.where("doc_id = 6").count() == 2
+    plan = summary.summarize_local(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and summary.summarize_local(df).count() == len(rows)
