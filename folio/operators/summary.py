@@ -18,6 +18,12 @@ DATA_NUMBER = r"(^|[^\p{L}\p{N}_])[0-9]{2,4}([^\p{L}\p{N}_]|$)"
 LIST_MARK = r"(?iu)(^|[ ])([12ab][.)]|{words})([^\p{L}\p{N}]|$)"
 
 
+def _once(df: DataFrame, given) -> DataFrame:
+    """`df` with all columns but those `given` computed in one step that later filters can't be pushed below, which would compute them again."""
+    made = [c for c in df.columns if c not in given]
+    return df.select(*given, F.explode(F.array(F.struct(*made))).alias("_row")).select(*given, "_row.*")
+
+
 def sentence_table(df: DataFrame, key=KEY, text: str = "text", least: int = 1) -> DataFrame:
     """key, idx (from 0), sentence."""
     return df.select(*key, F.posexplode(t.sentences(F.col(text), least)).alias("idx", "sentence"))
@@ -38,14 +44,14 @@ def _runs(values: Column, part: str) -> Column:
 def _counted(each: Column, lex: Lexicon, f) -> Column:
     """f(words, runs): the content words of sentences as sorted structs (word, idx of the sentence, pos in it), and the runs of each word."""
     raw = F.transform(each, lambda s, i: F.transform(t.raw_words(s), lambda w, p: F.struct(w.alias("word"), i.alias("idx"), p.alias("pos"))))
-    words = F.array_sort(F.filter(F.flatten(raw), lambda w: t.is_content(w["word"], lex.stop)))
+    words = F.sort_array(F.filter(F.flatten(raw), lambda w: t.is_content(w["word"], lex.stop)))
     return t.let(words, lambda w: t.let(_runs(w, "word"), lambda r: f(w, r)))
 
 
 def _best(words: Column, runs: Column, k: int) -> Column:
     """word, n of the first k words by count, then length, then first occurrence."""
     order = F.transform(runs, lambda r: t.let(F.get(words, r["at"]), lambda w: F.struct((-r["n"]).alias("less"), (-F.length(w["word"])).alias("shorter"), w["idx"].alias("idx"), w["pos"].alias("pos"), w["word"].alias("word"), r["n"].alias("n"))))
-    return F.transform(t.head(F.array_sort(order), k), lambda w: F.struct(w["word"].alias("word"), w["n"].cast("long").alias("n")))
+    return F.transform(t.head(F.sort_array(order), k), lambda w: F.struct(w["word"].alias("word"), w["n"].cast("long").alias("n")))
 
 
 def keywords(c: Column, lex: Lexicon = ITALIAN, k: int = 8) -> Column:
@@ -74,7 +80,7 @@ def _scores(each: Column, words: Column, runs: Column, lex: Lexicon) -> Column:
     counts = F.flatten(F.transform(runs, lambda r: F.array_repeat(r["n"], r["n"])))
     held = F.transform(counts, lambda n, i: F.struct(F.get(words, i)["idx"].alias("idx"), n.alias("n")))
     # a zero for each sentence, so that there is one run for each, also for those without content words
-    placed = F.array_sort(F.concat(held, F.transform(each, lambda s, i: F.struct(i.alias("idx"), F.lit(0).alias("n")))))
+    placed = F.sort_array(F.concat(held, F.transform(each, lambda s, i: F.struct(i.alias("idx"), F.lit(0).alias("n")))))
 
     def means(v: Column) -> Column:
         total = lambda r: F.aggregate(F.slice(v, r["at"] + 1, r["n"]), F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -105,10 +111,10 @@ def wanted(n: Column, level: str) -> Column:
 
 def _picked(scored: Column, level: str) -> Column:
     """idx, sentence of the best sentences, in their order; all where there are few."""
-    order = F.array_sort(F.transform(scored, lambda s: F.struct((F.lit(0.0) - s["score"]).alias("less"), s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
+    order = F.sort_array(F.transform(scored, lambda s: F.struct((F.lit(0.0) - s["score"]).alias("less"), s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
     n = F.size(scored)
     most = F.when(n <= levels()[level][1], n).otherwise(wanted(n, level))
-    return F.array_sort(F.transform(F.slice(order, F.lit(1), most), lambda s: F.struct(s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
+    return F.sort_array(F.transform(F.slice(order, F.lit(1), most), lambda s: F.struct(s["idx"].alias("idx"), s["sentence"].alias("sentence"))))
 
 
 def _text_of(picked: Column) -> Column:
@@ -128,7 +134,7 @@ def extract_summary(df: DataFrame, level: str = "studio", lex: Lexicon = ITALIAN
         row = lambda p: F.struct(F.size(scored).cast("long").alias("n_sentences"), F.size(p).cast("long").alias("n_kept"), _text_of(p).alias("summary"))
         return t.let(_picked(scored, level), row)
 
-    each = df.select(*key, t.let(scored_sentences(F.col(text), lex), made).alias("_s"))
+    each = _once(df.select(*key, t.let(scored_sentences(F.col(text), lex), made).alias("_s")), key)
     return each.where(F.col("_s.n_sentences") > 0).select(*key, "_s.*")
 
 
@@ -176,12 +182,6 @@ def ensure_fidelity(df: DataFrame, lex: Lexicon = ITALIAN, source: str = "text",
     ).drop("_missing", "_found")
 
 
-def _once(df: DataFrame, given) -> DataFrame:
-    """`df` with all columns but those `given` computed in one step that later filters can't be pushed below, which would compute them again."""
-    made = [c for c in df.columns if c not in given]
-    return df.select(*given, F.explode(F.array(F.struct(*made))).alias("_row")).select(*given, "_row.*")
-
-
 def summarize_local(df: DataFrame, level: str = "studio", lex: Lexicon = ITALIAN, key=KEY, text: str = "text") -> DataFrame:
     """key, text, summary, accessible, key_points, remember, keywords, engine, fidelity_recovered; words are counted once for the summary and the keywords."""
 
