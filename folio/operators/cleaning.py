@@ -14,7 +14,7 @@ OCR_LEAST = 80
 
 
 def solid_chars(c: Column) -> Column:
-    return F.length(F.regexp_replace(t.clean_text(c), t.SPACE, ""))
+    return F.length(F.regexp_replace(t.clean_text(c), f"{t.BLANK}+", ""))
 
 
 def needs_ocr(c: Column, least: int = OCR_LEAST) -> Column:
@@ -84,7 +84,7 @@ def removed_report(keys: DataFrame, book: str = "book") -> DataFrame:
 def is_index_page(text: Column, page: Column) -> Column:
     """A table of contents: named so in its first lines, or (up to page 30) with many lines that end in a page number."""
     rows = F.filter(F.transform(F.split(t.text(text), "\n"), lambda v: t.trim_all(F.regexp_replace(F.replace(v, F.lit("­"), F.lit("")), r"[ \t]+", " "))), lambda v: v != "")
-    named = F.lower(F.array_join(F.slice(rows, 1, 5), " ")).rlike(t.any_of(("indice", "sommario", "contents")))
+    named = F.lower(F.array_join(F.slice(rows, 1, 5), " ")).rlike(t.cue(("indice", "sommario", "contents")))
     tails = F.size(F.filter(rows, lambda v: v.rlike(r"\.{2,} ?[0-9]{1,4}$") | v.rlike(r"^[0-9]+(?:\.[0-9]+)* .+ [0-9]{1,4}$")))
     dense = tails >= F.greatest(F.lit(4), F.ceil(F.size(rows) * F.lit(0.35)))
     return (F.size(rows) >= 5) & (named | ((F.coalesce(page, F.lit(0)) <= 30) & dense))

@@ -256,7 +256,7 @@ def pack(pieces: Column, most: int) -> Column:
 def split_study_paragraphs(text: Column, longest: int = 1800, most: int = 1350) -> Column:
     """Blocks between empty lines; longer ones as packs of sentences."""
     source = t.clean_block(text)
-    blocks = F.filter(F.transform(F.split(source, rf"\n{t.SPACE}*\n"), lambda b: t.clean_block(b)), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(source, rf"\n{t.BLANK}*\n"), lambda b: t.clean_block(b)), lambda b: b != "")
 
     def parts(b: Column) -> Column:
         found = F.filter(F.transform(F.regexp_extract_all(b, F.lit(t.SENTENCE), F.lit(0)), lambda s: t.clean_block(s)), lambda s: s != "")
@@ -269,7 +269,7 @@ def split_paragraphs_legacy(text: Column) -> Column:
     """The older split: sentences gathered to more than 700 characters, blocks of more than 1400 as packs of up to 1200."""
     edge = r"(?<=[.!?])[\s]+(?=[A-ZÀ-ÖØ-Ý])"
     clean = t.clean_text(text)
-    blocks = F.filter(F.transform(F.split(clean, rf"\n{t.SPACE}*\n"), lambda b: t.trim_all(b)), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(clean, rf"\n{t.BLANK}*\n"), lambda b: t.trim_all(b)), lambda b: b != "")
     grown = gather(F.transform(F.split(clean, edge), t.trim_all), lambda now, _: F.length(now) > 700)
     raw = F.when(F.size(blocks) > 1, blocks).otherwise(grown)
     return F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= 1400, F.array(b)).otherwise(pack(F.split(b, edge), 1200))))
