@@ -14,12 +14,17 @@ FORMULA = r"(^|[^\p{L}\p{N}_])[A-Za-z]{1,4} *= *[^,.;]{1,40}"
 PER_PARAGRAPH, PER_CHAPTER = 2, 8
 
 
+#: The same for Java's engine, to be found and not taken out.
+QUICK_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}_])(?:1[0-9]{3}|20[0-9]{2}|[0-9]{1,3}(?:[.,][0-9]+)?%)(?![\p{L}\p{N}_])"
+
+
 def cue_patterns(lex: Lexicon) -> tuple[str, ...]:
     return (t.any_of(lex.important), NUMBER, FORMULA)
 
 
 def important_sentences(source: Column, lex: Lexicon = ITALIAN) -> Column:
-    return F.filter(t.sentences(source), lambda s: F.length(s).between(22, 420) & t.any_pattern(s, cue_patterns(lex)))
+    marked = lambda s: s.rlike(t.cue(lex.important)) | s.rlike(QUICK_NUMBER) | (F.contains(s, F.lit("=")) & s.rlike(FORMULA))
+    return F.filter(t.sentences(source), lambda s: F.length(s).between(22, 420) & marked(s))
 
 
 def coverage_of(words: Column, generated: Column) -> Column:
@@ -53,9 +58,9 @@ def _fold(cap: Column, lex: Lexicon) -> Column:
 
     What is recovered counts as generated text for the sentences after it.
     """
-    each = F.transform("important", lambda s: F.struct(s.alias("s"), t.content_words(s, lex.audit_stop).alias("w")))
+    each = F.transform("important", lambda s: F.struct(s.alias("s"), F.array_distinct(t.content_words(s, lex.audit_stop)).alias("w")))
     start = F.struct(
-        F.lower(t.normalize(F.col("searchable"))).alias("target"), t.content_words(F.col("searchable"), lex.audit_stop).alias("words"), F.lit(0).alias("before"), F.array().cast("array<string>").alias("recovered"), F.lit(0).alias("capped")
+        F.lower(t.normalize(F.col("searchable"))).alias("target"), F.array_distinct(t.content_words(F.col("searchable"), lex.audit_stop)).alias("words"), F.lit(0).alias("before"), F.array().cast("array<string>").alias("recovered"), F.lit(0).alias("capped")
     )
 
     def step(acc: Column, x: Column) -> Column:
@@ -63,7 +68,7 @@ def _fold(cap: Column, lex: Lexicon) -> Column:
         return (
             F.when(covered_by(x["s"], x["w"], acc["target"], acc["words"]), keep(before=acc["before"] + 1))
             .when(F.size(acc["recovered"]) >= cap, keep(capped=acc["capped"] + 1))
-            .otherwise(keep(target=F.concat_ws(" ", acc["target"], F.lower(x["s"])), words=F.concat(acc["words"], x["w"]), recovered=F.concat(acc["recovered"], F.array(x["s"]))))
+            .otherwise(keep(target=F.concat_ws(" ", acc["target"], F.lower(x["s"])), words=F.array_union(acc["words"], x["w"]), recovered=F.concat(acc["recovered"], F.array(x["s"]))))
         )
 
     return F.aggregate(each, start, step)
@@ -76,11 +81,12 @@ def audit_paragraphs(paras: DataFrame, by, order: str, source: str = "text", lex
     less is the first c of what it would without the chapter's cap, so two folds and a running sum replace a loop.
     """
     known = paras.withColumns({"important": important_sentences(F.col(source), lex), "searchable": search_text()})
-    first = known.withColumn("alone", F.size(_fold(F.lit(PER_PARAGRAPH), lex)["recovered"]))
+    first = known.withColumn("first", _fold(F.lit(PER_PARAGRAPH), lex)).withColumn("alone", F.size("first.recovered"))
     earlier = F.coalesce(F.sum("alone").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     capped = first.withColumn("cap", F.least(F.lit(PER_PARAGRAPH), F.greatest(F.lit(0), PER_CHAPTER - earlier)))
-    done = capped.withColumn("f", _fold(F.col("cap"), lex))
-    return done.withColumns({"n_important": F.size("important"), "covered_before": F.col("f.before"), "recovered": F.col("f.recovered"), "capped": F.col("f.capped")}).drop("important", "searchable", "alone", "cap", "f")
+    # the first fold holds unless the cap takes something from it
+    done = capped.withColumn("f", F.when((F.col("cap") >= PER_PARAGRAPH) | ((F.col("alone") <= F.col("cap")) & (F.col("first.capped") == 0)), F.col("first")).otherwise(_fold(F.col("cap"), lex)))
+    return done.withColumns({"n_important": F.size("important"), "covered_before": F.col("f.before"), "recovered": F.col("f.recovered"), "capped": F.col("f.capped")}).drop("important", "searchable", "first", "alone", "cap", "f")
 
 
 def append_recovery(audited: DataFrame) -> DataFrame:
