@@ -57,7 +57,7 @@ def engine_label(ai: Column, local: Column, total: Column) -> Column:
     return F.when((ai == total) & (total > 0), "ai").when((local == total) & (total > 0), "locale").otherwise("misto")
 
 
-def merge_chunks(pieces: DataFrame, key, order: str = "chunk_no", caps=(10, 6, 14, 8)) -> DataFrame:
+def merge_chunks(pieces: DataFrame, key, order: str = "chunk_no", caps=(10, 6, 14, 8), more: Column | None = None) -> DataFrame:
     """One record of a paragraph's chunks (summary, accessible, key_points, remember, keywords, glossary, engine, fidelity_recovered), sets joined in order and capped."""
     several = lambda name, most: t.unique_ci(F.flatten(_ordered(name, order)), most)
     join = lambda name, by: F.array_join(F.filter(_ordered(name, order), lambda v: v.isNotNull() & (v != "")), by)
@@ -72,16 +72,23 @@ def merge_chunks(pieces: DataFrame, key, order: str = "chunk_no", caps=(10, 6, 1
         F.sum("fidelity_recovered").alias("fidelity_recovered"),
         engine_label(ai, local, F.count("*")).alias("engine"),
         F.struct(F.count("*").alias("total_chunks"), ai.alias("ai_chunks"), local.alias("local_chunks"), mixed.alias("mixed_chunks")).alias("chunk_stats"),
+        *([] if more is None else [more]),
     )
 
 
-def combine_units(pieces: DataFrame, key, sources: DataFrame, order: str = "chunk_no", lex: Lexicon = ITALIAN) -> DataFrame:
+def combine_units(pieces: DataFrame, key, sources: DataFrame | None = None, order: str = "chunk_no", lex: Lexicon = ITALIAN) -> DataFrame:
     """As merge_chunks with the caps of units (8, 5, 12, 6), then a fidelity pass on the source (key, text); any unit by a model makes the whole `ai`.
 
-    fidelity_recovered counts the last pass only.
+    Without `sources` the source is the pieces' own text, by lines, gathered in the same pass. fidelity_recovered counts the last pass only.
     """
-    merged = merge_chunks(pieces, key, order, (8, 5, 12, 6)).withColumn("engine", F.when(F.col("chunk_stats.ai_chunks") > 0, "ai").otherwise("locale"))
-    return ensure_fidelity(merged.join(sources.select(*key, "text"), list(key)), lex).drop("text")
+    caps, whole = (8, 5, 12, 6), None
+    if sources is None:
+        pieces = pieces.withColumn("text", t.text(F.col("text")))
+        whole = F.array_join(_ordered("text", order), "\n").alias("text")
+    merged = merge_chunks(pieces, key, order, caps, whole)
+    merged = merged.withColumn("engine", F.when(F.col("chunk_stats.ai_chunks") > 0, "ai").otherwise("locale"))
+    both = merged if sources is None else merged.join(sources.select(*key, "text"), list(key))
+    return ensure_fidelity(both, lex).drop("text")
 
 
 def make_batches(df: DataFrame, by: list[str], order: str, text: str = "text", items: int = ITEMS, chars: int = CHARS) -> DataFrame:

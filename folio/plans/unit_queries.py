@@ -287,9 +287,7 @@ rp AS (SELECT * REPLACE (CASE WHEN len(lost) > 0 THEN {s.norm("summary || ' ' ||
 
 @query("combine_units", f"WITH {PIECES}, {_merged((8, 5, 12, 6))}, {_SOURCES}, cu AS (SELECT * FROM mg JOIN src USING (book, chapter)), {repaired('cu')} SELECT book, chapter, summary, accessible, key_points, remember, keywords, len(lost)::INT AS fidelity_recovered, CASE WHEN ai > 0 THEN 'ai' ELSE 'locale' END AS engine FROM rp")
 def combine_units(spark, sf_dir):
-    p = pieces(spark, sf_dir)
-    sources = p.groupBy(*BY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", t.text(F.col("text")).alias("v")))), lambda x: x["v"]), "\n").alias("text"))
-    return batches.combine_units(p, BY, sources, "para", LEX).select(*BY, "summary", "accessible", "key_points", "remember", "keywords", "fidelity_recovered", "engine")
+    return batches.combine_units(pieces(spark, sf_dir), BY, None, "para", LEX).select(*BY, "summary", "accessible", "key_points", "remember", "keywords", "fidelity_recovered", "engine")
 
 
 def paged(spark, sf_dir) -> DataFrame:
