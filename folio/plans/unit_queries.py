@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as t
 from folio.functions.lexicon import levels
 from folio.operators import answers, audit, batches, cleaning, glossary, incremental, structure, summary
+from folio.operators.places import written
 from folio.plans import sql as s
 from folio.plans import structure_queries as sq
 from folio.plans.sql import q
@@ -402,7 +403,8 @@ def apply_refinement(spark, sf_dir):
     words = '["' + '", "'.join(f"k{i}" for i in range(14)) + '"]'
     good = f'```json\n{{"summary": " Refined. ", "dsaSummary": "Said anew.", "keyPoints": ["a", "b"], "remember": ["c"], "keywords": {words}}}\n```'
     given = docs(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, good).otherwise('{"summary": "x", "dsaSummary": "y", "keyPoints": []}').alias("payload"))
-    book = records(spark, sf_dir).drop("glossary", *BY, "para", "section", "text")
+    # read twice: by refined records and by the others; its columns of place are not needed
+    book = written(summary.summarize_local(docs(spark, sf_dir).where("doc_id is not null"), "studio", LEX).withColumnRenamed("text", "original"))
     out = batches.apply_refinement(book, batches.refined_records(given), ["doc_id"], "original", LEX)
     return out.select("doc_id", "summary", "accessible", "key_points", "remember", "keywords", "engine", "fidelity_recovered")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as t
 from folio.functions.lexicon import ITALIAN
+from folio.functions.lexicon import MIXED as LANGUAGES
 from folio.operators import answers, artefacts, audit, batches, budget, cleaning, glossary, incremental, segmentation, structure, summary
 from folio.sources import files, sinks
 
@@ -337,3 +338,38 @@ def test_summary_in_one_row(spark):
     assert {r.doc_id for r in made.collect()} == {1, 4, 5, 6} and made.where("doc_id = 6").count() == 2
     plan = summary.summarize_local(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and summary.summarize_local(df).count() == len(rows)
+
+
+def test_quick_patterns_find_what_the_plain_ones_do(spark):
+    rng = random.Random(5)
+    parts = [*" aeEèÈsSſıİkK\u212a.,;=!?_'-125%\n\t\x0b\x1c\u00a0\u2003\u1680\ufeff\u3000éßñ日", "  ", "is", "È", "significa", "si intende", "a)", "2.", "1492", "12%", "50.5%", "x = 3", "NATO", "ÀB", "secondo", "KAUSE", "causa"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(40))),) for _ in range(3_000)], "a string")
+    a, lex = F.col("a"), LANGUAGES
+    marks = summary.LIST_MARK.replace("{words}", "|".join(lex.lists))
+    points = F.when(a.rlike(t.any_of(lex.defines)), 1.8).otherwise(0.0) + F.when(a.rlike(summary.DATA_NUMBER) | a.rlike(t.any_of(lex.data)), 1.4).otherwise(0.0) + F.when(a.rlike(marks), 0.8).otherwise(0.0)
+    plain = F.trim(F.regexp_replace(a, f"{t.SPACE}+", " "))
+    each = [F.regexp_extract_all(a, F.lit(p.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")), F.lit(0)) for p in t.ANCHORS]
+    both = rows.select(
+        F.struct(t.normalize(a), t.raw_words(a), t.trim_all(a), summary.cue_bonus(a, lex), t.anchors(a), *[a.rlike(t.cue(w)) for w in (lex.remember, lex.important, lex.examples)], a.rlike(audit.QUICK_NUMBER)).alias("quick"),
+        F.struct(
+            plain, F.filter(F.split(F.regexp_replace(F.lower(plain), t.NOT_WORD, " "), " "), lambda w: w != ""), F.regexp_replace(a, f"^{t.SPACE}+|{t.SPACE}+$", ""), points,
+            F.slice(F.array_distinct(F.filter(F.transform(F.concat(*each), t.normalize), lambda v: F.length(v) > 1)), 1, 32), *[a.rlike(t.any_of(w)) for w in (lex.remember, lex.important, lex.examples)], a.rlike(audit.NUMBER),
+        ).alias("plain"),
+    ).collect()
+    assert all(tuple(r.quick) == tuple(r.plain) for r in both)
+
+
+def test_later_sentences_are_not_tried(spark):
+    """A test that fails on what comes after the last wanted value."""
+    tried = lambda v: F.when(v == "bad", F.raise_error(F.lit("tried"))).otherwise(v == "x")
+    assert one(spark, t.first_matches(F.col("a"), tried, 2), a=["a", "x", "x", "bad"]) == ["x", "x"]
+
+
+def test_units_are_made_and_terms_found_once(spark):
+    rows = [("b", i, f"Il dato {i} vale {1900 + i}. Altro testo.", "Corto.", "Corto.", [], [], [], "ai", 0) for i in range(3)]
+    p = spark.createDataFrame(rows, "book string, chunk_no int, text string, summary string, accessible string, key_points array<string>, remember array<string>, keywords array<string>, engine string, fidelity_recovered int").withColumn("glossary", F.array().cast(ENTRY))
+    whole = spark.createDataFrame([("b", "\n".join(r[2] for r in rows))], "book string, text string")
+    assert batches.combine_units(p, ["book"]).collect() == batches.combine_units(p, ["book"], whole).collect()
+    for text in ("a b A", "a \x02 b \x03 a"):
+        made = one(spark, glossary.marked_spans(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text)
+        assert (made.marked, made.n) == (one(spark, glossary.mark_terms(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text), len(one(spark, glossary.term_spans(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text)))
