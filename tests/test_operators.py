@@ -373,3 +373,33 @@ def test_units_are_made_and_terms_found_once(spark):
     for text in ("a b A", "a \x02 b \x03 a"):
         made = one(spark, glossary.marked_spans(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text)
         assert (made.marked, made.n) == (one(spark, glossary.mark_terms(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text), len(one(spark, glossary.term_spans(F.col("a"), F.array(F.lit("a"), F.lit("b"))), a=text)))
+
+
+def test_cues_by_tokens_and_listed_classes(spark):
+    """Cues found by tokens are those that patterns find, also where letters fold to others; classes by single characters hold the same ones as ranges."""
+    rng = random.Random(7)
+    parts = [*" aeEèÈsSſıİkKK.,;'_-1̇ßœªʰ²日", "  ", "is", "È", "Sı", "significa", "si intende", "si  intende", "INTENDE", "magı", "definisce", "secondo", "KAUSE", "causa", "ley", "𝐀", "́"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(25))),) for _ in range(3_000)], "a string")
+    a, lists = F.col("a"), (LANGUAGES.defines, LANGUAGES.remember, LANGUAGES.important, glossary.MIXED.needed())
+    both = rows.select("a", *[F.struct(t.has_cue(a, t.tokens(a), w).alias("q"), a.rlike(t.any_of(w)).alias("p")).alias(f"x{i}") for i, w in enumerate(lists)]).collect()
+    assert all(r[f"x{i}"].q == r[f"x{i}"].p for r in both for i in range(4))
+    every = spark.createDataFrame([(chr(n),) for n in range(0x20000) if not 0xD800 <= n < 0xE000], "a string")
+    for ranged, single in ((f"(?iu)^{glossary.WORD}$", f"(?iu)^{glossary.QUICK_WORD}$"), (f"^{t.NOT_WORD}$", f"^(?:{t.APART}| )$"), (f"^{t.SPACE}$", f"^{t.BLANK}$"), (f"^{t.SPACE}$", f"^(?:{t.ODD_BLANK}| )$")):
+        assert every.where(a.rlike(ranged) != a.rlike(single)).count() == 0
+
+
+def test_points_made_ahead_take_the_place_of_texts(spark):
+    """Records that hold their points give the same cards and questions without texts; a null summary falls back on the original."""
+    rows = [("b", i, f"Il punto numero {i} del riassunto è questo.", "", f"Testo originale lungo {i}.", [f"Da ricordare sempre il {i}."], ["corto", f"DA ricordare  sempre il {i}."], ["k"], None) for i in range(6)] + [("b", 6, None, None, "Solo il testo originale resta qui.", [], [], [], "1.1 S")]
+    p = spark.createDataFrame(rows, "book string, para int, summary string, accessible string, original string, remember array<string>, key_points array<string>, keywords array<string>, section string").withColumn("glossary", F.array().cast(ENTRY))
+    slim = p.withColumn("points", artefacts.points(3)).select("book", "para", "section", "keywords", "glossary", "points")
+    for made in (artefacts.flashcards, artefacts.quiz_points, artefacts.oral_questions, artefacts.concept_map):
+        assert sorted(map(repr, made(slim, ["book"], "para").collect())) == sorted(map(repr, made(p, ["book"], "para").collect()))
+    assert artefacts.concept_map(slim, ["book"], "para").where("para = 6").first().points == ["Solo il testo originale resta qui."]
+
+
+def test_recovery_by_lines(spark):
+    """Each anchor's first sentence, letter case aside, once; anchors that no sentence has give none."""
+    row = spark.createDataFrame([(["Nel 1492 fine.", "La nato nel 1492.", "E x = 3."], ["NATO", "1492", "X = 3", "77"])], "s array<string>, m array<string>")
+    assert row.select(summary.recovery(F.col("s"), F.col("m"))).first()[0] == ["La nato nel 1492.", "Nel 1492 fine.", "E x = 3."]
+    assert row.select(summary.recovery(F.array().cast("array<string>"), F.col("m"))).first()[0] == []
