@@ -88,12 +88,12 @@ def scan_status(spark, sf_dir):
 @query("book_json", f"""WITH {RECORDS}, bj AS (SELECT book, chapter, list({{'para': para, 'summary': summary, 'keywords': keywords}} ORDER BY para) AS paragraphs FROM rec GROUP BY book, chapter)
 SELECT book, list({{'chapter': chapter, 'paragraphs': paragraphs}} ORDER BY chapter) AS chapters FROM bj GROUP BY book""")
 def book_json(spark, sf_dir):
-    return sinks.book_json(records(spark, sf_dir), "book", "chapter", "para", ["summary", "keywords"])
+    return sinks.book_json(records(spark, sf_dir, "summary", "keywords"), "book", "chapter", "para", ["summary", "keywords"])
 
 
 @query("display_text", f"""WITH {RECORDS} SELECT doc_id, {s.norm("coalesce(nullif(trim(accessible), ''), nullif(trim(summary), ''), nullif(trim(text), ''), '')")} AS spoken, {s.norm("coalesce(nullif(trim(summary), ''), nullif(trim(accessible), ''), nullif(trim(text), ''), '')")} AS plain FROM rec""")
 def display_text(spark, sf_dir):
-    return records(spark, sf_dir).select("doc_id", sinks.display_text(True).alias("spoken"), sinks.display_text(False).alias("plain"))
+    return records(spark, sf_dir, "summary", "accessible", "original").select("doc_id", sinks.display_text(True).alias("spoken"), sinks.display_text(False).alias("plain"))
 
 
 def library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -248,9 +248,9 @@ def unbounded_batches(spark, sf_dir):
 PIECES = f"""{RECORDS}, pi AS (SELECT doc_id, book, chapter, para, text, summary, accessible, kp AS key_points, rm AS remember, keywords, glossary, CASE WHEN doc_id % 3 = 0 THEN 'ai' ELSE 'locale' END AS engine, len(found) AS fr FROM rec)"""
 
 
-def pieces(spark, sf_dir) -> DataFrame:
+def pieces(spark, sf_dir, *names: str) -> DataFrame:
     """Study records as the pieces of their chapter, every third one made by a model."""
-    return records(spark, sf_dir).withColumn("engine", F.when(F.col("doc_id") % 3 == 0, "ai").otherwise("locale"))
+    return records(spark, sf_dir, *names).withColumn("engine", F.when(F.col("doc_id") % 3 == 0, "ai").otherwise("locale"))
 
 
 def _joined(name: str, by: str) -> str:
@@ -267,7 +267,7 @@ mg AS (SELECT {by}, {s.norm('s')} AS summary, accessible, {', '.join(f'{s.unique
 
 @query("merge_chunks", f"WITH {PIECES}, {_merged((10, 6, 14, 8))} SELECT book, chapter, summary, accessible, key_points, remember, keywords, list_transform(glossary, lambda e: e.term) AS terms, fidelity_recovered, engine, n AS total_chunks, ai AS ai_chunks, n - ai AS local_chunks, 0::BIGINT AS mixed_chunks FROM mg")
 def merge_chunks(spark, sf_dir):
-    out = batches.merge_chunks(pieces(spark, sf_dir), BY, "para")
+    out = batches.merge_chunks(pieces(spark, sf_dir, "summary", "accessible", "key_points", "remember", "keywords", "glossary", "fidelity_recovered"), BY, "para")
     return out.select(*BY, "summary", "accessible", "key_points", "remember", "keywords", F.transform("glossary", lambda e: e["term"]).alias("terms"), "fidelity_recovered", "engine", "chunk_stats.*")
 
 
@@ -371,7 +371,7 @@ def normalize_responses(spark, sf_dir):
 def with_fallback(spark, sf_dir):
     given = responses(spark, sf_dir)
     made = batches.normalize_responses(batches.validate_responses(given), given.select("batch_id", F.lit(0).alias("item_idx"), F.col("text").alias("source"))).select(F.col("batch_id").alias("doc_id"), "summary", "engine")
-    return batches.with_fallback(made, records(spark, sf_dir).select("doc_id", "summary", "engine"), ["doc_id"])
+    return batches.with_fallback(made, records(spark, sf_dir, "summary", "engine").select("doc_id", "summary", "engine"), ["doc_id"])
 
 
 @query("explain_requests", f"""WITH a AS (SELECT conv_id, turn, ['simple', 'meaning', 'unknown', 'custom'][(turn % 4 + 1)::INT] AS action, CASE WHEN conv_id % 5 = 0 THEN '' ELSE coalesce(text, '') END AS selection, CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE coalesce(text, '') END AS question, repeat(coalesce(text, ''), 40) AS source_text FROM conversations),
