@@ -85,7 +85,11 @@ def classify_heading(value: Column, surrounded: Column) -> Column:
 
 def classify_heading_legacy(line: Column) -> Column:
     """level, kind of the older rules for files without pages, or null."""
-    value = t.trim_all(t.text(line))
+    return classify_trimmed_legacy(t.trim_all(t.text(line)))
+
+
+def classify_trimmed_legacy(value: Column) -> Column:
+    """The same of a line without white space at its ends."""
     is_ = {k: value.rlike(p) for k, p in LEGACY.items()}
     number = F.regexp_extract(value, LEGACY["numbered"], 1)
     level = F.least(F.lit(3), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
@@ -265,14 +269,53 @@ def split_study_paragraphs(text: Column, longest: int = 1800, most: int = 1350)
     return F.flatten(F.transform(blocks, parts))
 
 
+def _parted(clean: Column, pattern: str, keep: str = "") -> Column:
+    """Clean text, which has no soft hyphens, cut at a pattern; a split by the pattern would compile it for each value."""
+    return F.split(F.regexp_replace(clean, pattern, keep + "\u00ad"), "\u00ad")
+
+
+def _blocks_legacy(clean: Column) -> Column:
+    return F.filter(F.transform(_parted(clean, rf"\n{t.BLANK}*\n"), t.trim_all), lambda b: b != "")
+
+
+def _sentences_legacy(clean: Column) -> Column:
+    return _parted(clean, rf"([.!?]){t.BLANK}+(?=[A-ZÀ-ÖØ-Ý])", "$1")
+
+
 def split_paragraphs_legacy(text: Column) -> Column:
     """The older split: sentences gathered to more than 700 characters, blocks of more than 1400 as packs of up to 1200."""
-    edge = r"(?<=[.!?])[\s]+(?=[A-ZÀ-ÖØ-Ý])"
     clean = t.clean_text(text)
-    blocks = F.filter(F.transform(F.split(clean, rf"\n{t.BLANK}*\n"), lambda b: t.trim_all(b)), lambda b: b != "")
-    grown = gather(F.transform(F.split(clean, edge), t.trim_all), lambda now, _: F.length(now) > 700)
+    blocks = _blocks_legacy(clean)
+    grown = gather(F.transform(_sentences_legacy(clean), t.trim_all), lambda now, _: F.length(now) > 700)
     raw = F.when(F.size(blocks) > 1, blocks).otherwise(grown)
-    return F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= 1400, F.array(b)).otherwise(pack(F.split(b, edge), 1200))))
+    return F.flatten(F.transform(raw, lambda b: F.when(F.length(b) <= 1400, F.array(b)).otherwise(pack(_sentences_legacy(b), 1200))))
+
+
+def count_paragraphs_legacy(clean: Column) -> Column:
+    """How many paragraphs split_paragraphs_legacy makes of a clean text, from its sentences' lengths alone; 0 if it is empty."""
+    zero, one = F.lit(0), F.lit(1)
+    lengths = lambda c: F.transform(_sentences_legacy(c), F.length)
+
+    def packed(acc: Column, n: Column) -> Column:
+        fresh = (acc["now"] == 0) | (acc["now"] + 1 + n > 1200)
+        return F.struct(F.when(fresh, acc["packs"] + 1).otherwise(acc["packs"]).alias("packs"), F.when(fresh, n).otherwise(acc["now"] + 1 + n).alias("now"))
+
+    packs = lambda b: F.aggregate(lengths(b), F.struct(zero.alias("packs"), zero.alias("now")), packed, lambda acc: acc["packs"])
+    of_blocks = lambda blocks: F.aggregate(blocks, zero, lambda n, b: n + F.when(F.length(b) <= 1400, one).otherwise(packs(b)))
+
+    # what is gathered is cut into the same sentences again when it is packed
+    ended = lambda acc: F.when(acc["grown"] <= 1400, one).otherwise(acc["pack"]["packs"])
+    none = F.struct(zero.alias("packs"), zero.alias("now"))
+
+    def grow(acc: Column, n: Column) -> Column:
+        ends = acc["grown"] > 700
+        begins = ends | (acc["grown"] == 0)
+        return F.struct(
+            F.when(ends, acc["done"] + ended(acc)).otherwise(acc["done"]).alias("done"), F.when(begins, n).otherwise(acc["grown"] + 1 + n).alias("grown"), packed(F.when(begins, none).otherwise(acc["pack"]), n).alias("pack")
+        )
+
+    of_sentences = F.aggregate(lengths(clean), F.struct(zero.alias("done"), zero.alias("grown"), none.alias("pack")), grow, lambda acc: acc["done"] + ended(acc))
+    return F.when(clean == "", zero).otherwise(t.let(_blocks_legacy(clean), lambda blocks: F.when(F.size(blocks) > 1, of_blocks(blocks)).otherwise(of_sentences)))
 
 
 def paragraphs(segments: DataFrame) -> DataFrame:
@@ -354,42 +397,99 @@ def root_level_legacy(lines: DataFrame) -> DataFrame:
     return known.withColumns({"root_level": least, "is_root": F.coalesce(F.col("heading.level") == least, F.lit(False))})
 
 
-def build_structure_legacy(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chapters and sections of pages (book, page, text) by the older headings: those of the book's least level begin chapters, others sections.
+def parts_legacy(pages: DataFrame, counted: bool = True) -> DataFrame:
+    """book, page, line_no, level, title, has_text and, if counted, n (of paragraphs): pages (book, page, text) cut before each older heading.
 
-    chapters: book, chapter_no, title, page_start, page_end, n_sections, n_paragraphs. Text before the first chapter is
-    `Introduzione`, sections before it `Documento`; a book without headings, or without text, is one `Documento`.
-    sections: book, chapter_no, section_no, title, level, page_start, page_end (before the next section, or the chapter's end).
+    Level and title are null for what comes before a page's first heading. All of a page is done in its row.
     """
-    clean = pages.select("book", "page", t.clean_text(F.col("text")).alias("text"))
-    lines = clean.select("book", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    whole, so_far = Window.partitionBy("book"), Window.partitionBy("book").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("level", classify_heading_legacy(F.col("line"))["level"])
-    lines = lines.withColumn("root_level", F.min("level").over(whole)).withColumn("kind", F.when(F.col("level").isNull(), "body").when(F.col("level") == F.col("root_level"), "root").otherwise("section"))
-    lines = lines.withColumns({"chapter_no": F.count_if(F.col("kind") == "root").over(so_far), "segment": F.count_if(F.col("kind") != "body").over(so_far)})
-    body = t.clean_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "body", F.struct("line_no", "line")))), lambda x: x["line"]), "\n"))
-    parts = lines.groupBy("book", "page", "segment").agg(
-        F.first("chapter_no").alias("chapter_no"), F.first("root_level").alias("root_level"), F.max(F.when(F.col("kind") == "root", F.struct("page", t.trim_all(F.col("line")).alias("title")))).alias("root"),
-        F.max(F.when(F.col("kind") == "section", F.struct(t.trim_all(F.col("line")).alias("title"), F.greatest(F.lit(2), F.col("level") - F.col("root_level") + 1).alias("level")))).alias("section"), body.alias("body"),
+    rows = pages.select("book", "page", F.split(t.clean_text(F.col("text")), "\n").alias("l"))
+    rows = rows.withColumn("level", F.transform(F.transform("l", t.trim_all), lambda v: classify_trimmed_legacy(v)["level"]))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (i == 0) | F.get("level", i).isNotNull()))
+
+    def part(i: Column, k: Column) -> Column:
+        head = F.get("level", i).isNotNull().cast("int")
+        body = F.slice("l", i + head + 1, F.coalesce(F.get("at", k + 1), F.size("l")) - i - head)
+        return F.struct(i.alias("line_no"), F.get("level", i).alias("level"), F.when(head == 1, t.trim_all(F.get("l", i))).alias("title"), F.array_join(body, "\n").alias("body"))
+
+    each = rows.select("book", "page", F.explode(F.transform("at", part)).alias("x")).select("book", "page", "x.*")
+    # lines of a clean text need no more than trimming, unless a word is still broken
+    body = F.when(F.contains("body", F.lit("-\n")), t.clean_text(F.col("body"))).otherwise(t.trim_all(F.col("body")))
+    each = each.withColumn("body", body).withColumn("has_text", F.col("body") != "")
+    return (each.withColumn("n", count_paragraphs_legacy(F.col("body"))) if counted else each).drop("body")
+
+
+def placed_legacy(parts: DataFrame, width: int = 64) -> DataFrame:
+    """Parts with their root (begins a chapter) or section, chapter_no, segment (headings so far), next heading, and what holds of the whole book.
+
+    Parts are written once, without their text. Only a row for each range of `width` pages meets with those of its book.
+    """
+    parts = written(parts.withColumn("_part", F.struct("book", F.floor(F.col("page") / width).alias("range"))))
+    level, levels, place = F.col("level"), (1, 2, 3), F.struct("page", "line_no", "level")
+    ranges = parts.groupBy("_part").agg(
+        *[F.count_if(level == k).alias(f"d{k}") for k in levels], F.count("level").alias("heads"), F.count_if("has_text").alias("texts"), F.min("page").alias("least"), F.max("page").alias("most"),
+        F.min(place).alias("first"), F.min(F.when(level.isNotNull(), place)).alias("head"),
     )
-    parts = parts.withColumn("n", F.when(F.col("body") == "", 0).otherwise(F.size(split_paragraphs_legacy(F.col("body")))))
-    some = F.when(F.col("n") > 0, F.col("page"))
-    sums = parts.groupBy("book", "chapter_no").agg(
-        F.max("root_level").alias("root_level"), F.max("root").alias("root"), F.count("section").alias("n_sections"), F.sum("n").alias("n_paragraphs"), F.min(some).alias("first_page"), F.max(some).alias("last_page"),
-        F.min(F.when((F.col("n") > 0) | F.col("section").isNotNull(), F.struct("segment", "page", (F.col("section").isNull()).alias("text_first")))).alias("begins"),
-        F.min("page").alias("least_page"), F.max("page").alias("most_page"),
+    whole = Window.partitionBy("_part.book")
+    earlier = whole.orderBy("_part.range").rowsBetween(Window.unboundedPreceding, -1)
+    later = whole.orderBy(F.desc("_part.range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("root_level", F.coalesce(*[F.when(F.sum(f"d{k}").over(whole) > 0, k) for k in levels]))
+    roots = F.coalesce(*[F.when(F.col("root_level") == k, F.col(f"d{k}")) for k in levels], F.lit(0))
+    empty = (F.sum("texts").over(whole) == 0) & (F.sum(F.col("heads") - roots).over(whole) == 0)
+    begins_with_root = F.coalesce(F.min("first").over(whole)["level"] == F.col("root_level"), F.lit(False))
+    ranges = ranges.select(
+        "_part", "root_level", F.coalesce(F.sum(roots).over(earlier), F.lit(0)).alias("c_chapter"), F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("c_segment"), F.min("head").over(later).alias("c_next"),
+        (F.col("root_level").isNull() | empty).alias("none"), F.min("least").over(whole).alias("b_start"), F.max("most").over(whole).alias("b_end"), begins_with_root.cast("int").alias("b_first"),
     )
-    held = (F.col("n_sections") > 0) | (F.col("n_paragraphs") > 0)
-    sums = sums.withColumns({"none": F.col("root_level").isNull() | (F.count_if(held).over(whole) == 0), "b_start": F.min("least_page").over(whole), "b_end": F.max("most_page").over(whole), "b_first": F.min("chapter_no").over(whole)})
-    sums = sums.where(F.when(F.col("none"), F.col("chapter_no") == F.col("b_first")).otherwise(held))
-    title = F.when(F.col("none"), "Documento").otherwise(F.coalesce("root.title", F.when(F.col("begins.text_first"), "Introduzione").otherwise("Documento")))
-    start = F.when(F.col("none"), F.col("b_start")).otherwise(F.coalesce("root.page", "begins.page"))
-    end = F.when(F.col("none"), F.col("b_end")).otherwise(F.coalesce("last_page", start))
-    found = sums.select("book", "chapter_no", title.alias("title"), start.alias("page_start"), end.alias("page_end"), "n_sections", "n_paragraphs")
-    in_chapter = Window.partitionBy("book", "chapter_no").orderBy("segment")
-    each = parts.where("section is not null").select("book", "chapter_no", F.row_number().over(in_chapter).alias("section_no"), "section.title", "section.level", F.col("page").alias("page_start"), F.lead("page").over(in_chapter).alias("next"))
-    each = each.join(found.select("book", "chapter_no", F.col("page_end").alias("of")), ["book", "chapter_no"])
-    return found, each.withColumn("page_end", F.when(F.col("next").isNotNull(), F.greatest("page_start", F.col("next") - 1)).otherwise(F.col("of"))).drop("next", "of")
+    order = Window.partitionBy("_part").orderBy("page", "line_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    is_root = F.coalesce(level == F.col("root_level"), F.lit(False))
+    parts = parts.join(ranges, "_part").withColumns({"root": is_root, "section": level.isNotNull() & ~is_root})
+    return parts.withColumns({"chapter_no": F.col("c_chapter") + F.count_if("root").over(so_far), "segment": F.col("c_segment") + F.count("level").over(so_far)})
+
+
+def _chapter_sums(placed: DataFrame, *more: Column) -> DataFrame:
+    """Of each chapter its root, number of sections, first segment, first page with text or a section, and last page with text."""
+    own = F.col("has_text") | F.col("section")
+    return placed.groupBy("book", "chapter_no").agg(
+        F.max(F.when(F.col("root"), F.struct("page", "title"))).alias("root"), F.count_if("section").alias("n_sections"), F.count_if("has_text").alias("n_texts"), F.min("segment").alias("segment"),
+        F.min(F.when(own, F.struct("segment", "page", (~F.col("section")).alias("text_first")))).alias("begins"), F.max(F.when(F.col("has_text"), F.col("page"))).alias("last_page"), *more,
+    )
+
+
+def chapters_legacy(placed: DataFrame) -> DataFrame:
+    """book, chapter_no, title, page_start, page_end, n_sections, n_paragraphs of placed parts with n; chapters without sections and text go.
+
+    Text before the first chapter is `Introduzione`, sections before it `Documento`; a book without headings, or without text, is one `Documento`.
+    """
+    sums = _chapter_sums(placed, F.sum("n").alias("n_paragraphs"), *[F.first(c).alias(c) for c in ("none", "b_start", "b_end", "b_first")])
+    of = lambda book, own: F.when(F.col("none"), book).otherwise(own)
+    title = F.coalesce("root.title", F.when(F.col("begins.text_first"), "Introduzione").otherwise("Documento"))
+    start = F.coalesce("root.page", "begins.page")
+    return sums.where(of(F.col("chapter_no") == F.col("b_first"), (F.col("n_sections") > 0) | (F.col("n_texts") > 0))).select(
+        "book", "chapter_no", of(F.lit("Documento"), title).alias("title"), of(F.col("b_start"), start).alias("page_start"), of(F.col("b_end"), F.coalesce("last_page", start)).alias("page_end"), "n_sections", "n_paragraphs"
+    )
+
+
+def sections_legacy(placed: DataFrame) -> DataFrame:
+    """book, chapter_no, section_no, title, level, page_start, page_end (before the next section, or the chapter's end) of placed parts.
+
+    All headings from a chapter's root to a section are its sections, so segments number them.
+    """
+    following = F.lead(F.struct("page", "line_no", "level")).over(Window.partitionBy("_part").orderBy("page", "line_no"))
+    each = placed.where("level is not null").withColumn("next", F.coalesce(following, F.col("c_next"))).where("section")
+    following = F.when(F.col("next.level") != F.col("root_level"), F.col("next.page"))
+    sums = _chapter_sums(placed).where("n_sections > 0")
+    ends = sums.select("book", "chapter_no", F.when(F.col("chapter_no") > 0, F.col("segment")).otherwise(0).alias("before"), F.coalesce("last_page", "root.page", "begins.page").alias("of"))
+    return each.join(ends, ["book", "chapter_no"]).select(
+        "book", "chapter_no", (F.col("segment") - F.col("before")).cast("int").alias("section_no"), "title", F.greatest(F.lit(2), F.col("level") - F.col("root_level") + 1).alias("level"), F.col("page").alias("page_start"),
+        F.when(following.isNotNull(), F.greatest(F.col("page"), following - 1)).otherwise(F.col("of")).alias("page_end"),
+    )
+
+
+def build_structure_legacy(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chapters and sections of pages (book, page, text) by the older headings: those of the book's least level begin chapters, others sections."""
+    placed = placed_legacy(parts_legacy(pages))
+    return chapters_legacy(placed), sections_legacy(placed)
 
 
 def choose_structure(legacy: DataFrame, rebuilt: DataFrame, paged: DataFrame) -> DataFrame:

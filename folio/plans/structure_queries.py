@@ -31,7 +31,7 @@ def query(name: str, check: str | None = None):
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = numbered(docs(spark, sf_dir).select("source", "doc_id", "text"), ["source"], "doc_id", "n").withColumn("page", (F.col("n") + 1).cast("int"))
+    d = numbered(docs(spark, sf_dir).select("source", "doc_id", "text"), ["source"], "doc_id", "n", width=1_000).withColumn("page", (F.col("n") + 1).cast("int"))
     k = F.floor((F.col("page") - 1) / 5) + 1
     chapter = F.when((F.col("page") - 1) % 5 == 0, F.format_string("CAPITOLO %d — AREA %d\n\n", k, F.col("page"))).otherwise("")
     section = F.when(F.col("page") % 2 == 0, F.format_string("%d.1 Sezione %d\n\n", k, F.col("page"))).otherwise("")

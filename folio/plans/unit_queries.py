@@ -194,13 +194,13 @@ lz AS (SELECT book, chapter_no, coalesce(root, CASE WHEN text_first THEN 'Introd
 
 @query("chapters_legacy", f"WITH {LEGACY_CHAPTERS} SELECT * FROM lz")
 def chapters_legacy(spark, sf_dir):
-    return structure.build_structure_legacy(sq.book_pages(spark, sf_dir))[0]
+    return structure.chapters_legacy(structure.placed_legacy(structure.parts_legacy(sq.book_pages(spark, sf_dir))))
 
 
 @query("sections_legacy", f"""WITH {LEGACY_CHAPTERS}, ls AS (SELECT book, chapter_no, row_number() OVER w AS section_no, section AS title, level, page AS page_start, lead(page) OVER w AS nx FROM lg WHERE section IS NOT NULL WINDOW w AS (PARTITION BY book, chapter_no ORDER BY segment))
 SELECT ls.book, ls.chapter_no, section_no::INT AS section_no, ls.title, level::INT AS level, ls.page_start, CASE WHEN nx IS NOT NULL THEN greatest(ls.page_start, nx - 1) ELSE lz.page_end END AS page_end FROM ls JOIN lz USING (book, chapter_no)""")
 def sections_legacy(spark, sf_dir):
-    return structure.build_structure_legacy(sq.book_pages(spark, sf_dir))[1]
+    return structure.sections_legacy(structure.placed_legacy(structure.parts_legacy(sq.book_pages(spark, sf_dir), counted=False)))
 
 
 def whole_texts(spark, sf_dir) -> DataFrame:

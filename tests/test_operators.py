@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as t
 from folio.functions.lexicon import ITALIAN
 from folio.functions.lexicon import MIXED as LANGUAGES
-from folio.operators import answers, artefacts, audit, batches, budget, cleaning, glossary, incremental, segmentation, structure, summary
+from folio.operators import answers, artefacts, audit, batches, budget, cleaning, glossary, incremental, places, segmentation, structure, summary
 from folio.sources import files, sinks
 
 ENTRY = "array<struct<term: string, definition: string, placement: string, basis: string>>"
@@ -403,3 +403,65 @@ def test_recovery_by_lines(spark):
     row = spark.createDataFrame([(["Nel 1492 fine.", "La nato nel 1492.", "E x = 3."], ["NATO", "1492", "X = 3", "77"])], "s array<string>, m array<string>")
     assert row.select(summary.recovery(F.col("s"), F.col("m"))).first()[0] == ["La nato nel 1492.", "Nel 1492 fine.", "E x = 3."]
     assert row.select(summary.recovery(F.array().cast("array<string>"), F.col("m"))).first()[0] == []
+
+
+def older_structure(pages):
+    """A plain model of the older chapters and sections."""
+    level = {"CAPITOLO 3": 1, "Sezione 2 uno": 2, "2.1 Due": 2, "1.1.1 Tre": 3}
+    chapters, sections = [], []
+    for book in {p[0] for p in pages}:
+        lines = [(p, v) for b, p, text in sorted((p for p in pages if p[0] == book), key=lambda p: p[1]) for v in text.strip("\n").split("\n")]
+        levels = [level[v] for _, v in lines if v in level]
+        root, k, found = min(levels, default=9), 0, {}
+        for p, v in lines:
+            k += level.get(v) == root
+            found.setdefault(k, []).append((p, v))
+        of_book = []
+        for k, held in found.items():
+            heads = [(p, v, level[v]) for p, v in held if level.get(v, root) != root]
+            texts = [p for p, v in held if v and v not in level]
+            if not heads and not texts:
+                continue
+            first = next((p, v) for p, v in held if v and level.get(v) != root)
+            title, start = held[0][::-1] if k else ("Documento" if first[1] in level else "Introduzione", first[0])
+            of_book.append((book, k, *((title, start, max(texts, default=start)) if levels else ("Documento", lines[0][0], lines[-1][0])), len(heads)))
+            for i, (p, v, n) in enumerate(heads):
+                end = max(p, heads[i + 1][0] - 1) if i + 1 < len(heads) else max(texts, default=start)
+                if book is not None:
+                    sections.append((book, k, i + 1, v, max(2, n - root + 1), p, end))
+        chapters += of_book or [(book, min(found), "Documento", lines[0][0], lines[-1][0], 0)]
+    return sorted(map(repr, chapters)), sorted(map(repr, sections))
+
+
+def test_older_structure_over_ranges(spark):
+    """Chapters longer than a range of pages, ranges without headings, books that begin with a section, without headings, without text, without a name."""
+    rng = random.Random(3)
+    body = ["Testo semplice di una pagina.", "altro testo,", ""]
+    pages = [(b, p, "\n".join(rng.choice(heads if rng.random() < often else body) for _ in range(rng.randint(1, 5)))) for b, heads, often in (
+        ("a", ["CAPITOLO 3", "Sezione 2 uno", "2.1 Due", "1.1.1 Tre"], 0.3), ("rare", ["CAPITOLO 3", "2.1 Due"], 0.01), ("low", ["2.1 Due", "1.1.1 Tre"], 0.05), (None, ["CAPITOLO 3", "2.1 Due"], 0.1), ("plain", [""], 0.1)
+    ) for p in range(1, 301)]
+    pages += [("section", 1, "2.1 Due\ntesto"), ("section", 2, "CAPITOLO 3\n\n2.1 Due"), ("empty", 1, ""), ("empty", 2, "\n"), ("roots", 4, "CAPITOLO 3"), ("roots", 5, "CAPITOLO 3"), ("late", 1, ""), ("late", 2, "CAPITOLO 3")]
+    chapters, sections = structure.build_structure_legacy(spark.createDataFrame(pages, "book string, page int, text string"))
+    expected = older_structure(pages)
+    assert sorted(repr(tuple(r)) for r in chapters.drop("n_paragraphs").collect()) == expected[0]
+    assert sorted(repr(tuple(r)) for r in sections.collect()) == expected[1]
+    # no task gets all lines of a book, or their text
+    assert all(x not in df._jdf.queryExecution().optimizedPlan().toString() for df in (chapters, sections) for x in ("windowspecdefinition(book#", "split(text#"))
+
+
+def test_older_paragraphs_are_counted(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["Parola", "nel", "mezzo", "Ecco", "x" * rng.randint(1, 300)])
+    texts = ["".join(word() + rng.choice([" ", " ", ". ", "! ", ".\n", "? " if n % 2 else " ", "\n\n" if n % 3 else " ", ".\u00a0"]) for _ in range(rng.randint(0, 150))) for n in range(120)]
+    clean = t.clean_text(F.col("text"))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(structure.count_paragraphs_legacy(clean).alias("n"), structure.split_paragraphs_legacy(F.col("text")).alias("p")).collect()
+    assert [r.n for r in rows] == [len(r.p) for r in rows] and len({r.n for r in rows}) > 9
+    # white space of all kinds ends a sentence, as in the SQL
+    assert len(one(spark, structure.split_paragraphs_legacy(F.col("a")), a="\u00a0".join(["Frase " + "a" * 90 + "."] * 20))) == 3
+    assert one(spark, t.trim_all(F.col("a")), a="\ufeff\u2003 a \u0085") == "a \u0085"
+
+
+def test_numbered_groups_may_be_null(spark):
+    rows = [(b, n) for b in ("a", None) for n in (None, 1, 2, 15_000, 40_000)]
+    got = places.numbered(spark.createDataFrame(rows, "book string, n long"), ["book"], "n", "i").collect()
+    assert sorted((r.book or "", r.i, r.n or 0) for r in got) == [(b, i, n) for b in ("", "a") for i, n in enumerate((0, 1, 2, 15_000, 40_000))]
