@@ -157,7 +157,9 @@ def response_glossary(entries: Column, source: Column, most: int = 3) -> Column:
             F.substring(t.normalize(e["term"]), 1, 90).alias("term"), F.substring(F.regexp_replace(t.normalize(e["definition"]), "[.;:]$", ""), 1, 180).alias("definition"), F.lit("side").alias("placement"), F.when(e["basis"] == "general", "general").otherwise("source").alias("basis")
         ),
     )
-    there = t.let(F.lower(t.text(source)), lambda low: F.filter(clean, lambda e: (e["term"] != "") & (e["definition"] != "") & F.contains(low, F.lower(e["term"]))))
+    # a Σ is lower-cased by what follows it, so a term of the source may be there only as it is written
+    said = lambda low, term: F.contains(low, F.lower(term)) | F.contains(t.text(source), term)
+    there = t.let(F.lower(t.text(source)), lambda low: F.filter(clean, lambda e: (e["term"] != "") & (e["definition"] != "") & said(low, e["term"])))
     first = lambda kept: t.let(F.transform(kept, lambda e: F.lower(e["term"])), lambda names: F.filter(kept, lambda e, i: F.array_position(names, F.lower(e["term"])) == i + 1))
     return F.slice(t.let(there, first), 1, most)
 

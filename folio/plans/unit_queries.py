@@ -334,11 +334,16 @@ def validate_batches(spark, sf_dir):
     return batches.validate_batches(asked(spark, sf_dir), ["batch_id"])
 
 
+#: Latin letters that their capital lower-cases to again, and ß with its own: with SS a word in capitals isn't the same term, and the source may hold it too.
+SMALL = "ß" + "".join(c for c in map(chr, range(0x61, 0x250)) if c.upper() != c and c.upper().lower() == c)
+CAPITAL = "ẞ" + SMALL[1:].upper()
+
+
 def responses(spark, sf_dir) -> DataFrame:
     """A response to each document: by doc_id fenced, plain, one record too many, without its glossary, or not JSON. The record repeats terms, has one without definition and one that the source lacks."""
     first = F.regexp_extract(t.text(F.col("text")), r"(\p{L}+)", 1)
     entry = lambda term, said, basis: F.struct(term.alias("term"), F.lit(said).alias("definition"), F.lit("inline").alias("placement"), F.lit(basis).alias("basis"))
-    entries = F.array(entry(first, "  said  of it. ", "boh"), entry(F.upper(first), "again", "source"), entry(F.concat(first, F.lit("")), "", "source"), entry(F.lit("not-in-any-text"), "x", "source"), entry(F.lit(" "), "y", "general"), entry(F.substring(first, 1, 1), "a letter;", "general"))
+    entries = F.array(entry(first, "  said  of it. ", "boh"), entry(F.translate(first, SMALL, CAPITAL), "again", "source"), entry(F.concat(first, F.lit("")), "", "source"), entry(F.lit("not-in-any-text"), "x", "source"), entry(F.lit(" "), "y", "general"), entry(F.substring(first, 1, 1), "a letter;", "general"))
     points = F.array(*[F.lit(f" point {i} ") for i in range(10)], F.lit(" "))
     record = F.struct(F.concat(F.lit(" "), F.substring(t.text(F.col("text")), 1, 30)).alias("summary"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(" spoken ").alias("dsaSummary"), points.alias("keyPoints"), points.alias("remember"), F.concat(points, F.array(F.lit("k"))).alias("keywords"), F.when(F.col("doc_id") % 5 != 3, entries).alias("glossary"))
     one, two = F.to_json(F.struct(F.array(record).alias("summaries"))), F.to_json(F.struct(F.array(record, record).alias("summaries")))

@@ -79,6 +79,14 @@ def test_responses(spark):
     assert [(r.answer, r.basis, r.error) for r in said] == [("x", "general", None), ("", "source", "NO_ANSWER")]
 
 
+def test_response_terms_of_odd_case(spark):
+    rows = [(["Maß", "MASSE", "maß", "MAẞ"], "Das Maß der Masse"), (["MASSE", "Maß"], "Das Maß"), (["ΟΔΟΣ", "οδοσ", "λόγος"], "ΟΔΟΣ\u2019Α")]
+    given = spark.createDataFrame(rows, "terms array<string>, source string")
+    entries = F.transform("terms", lambda v: F.struct(v.alias("term"), F.lit("d").alias("definition"), F.lit("side").alias("placement"), F.lit("source").alias("basis")))
+    got = given.select("source", batches.response_glossary(entries, F.col("source")).alias("g")).collect()
+    assert [[e.term for e in r.g] for r in got] == [["Maß", "MASSE"], ["Maß"], ["ΟΔΟΣ", "οδοσ"]]
+
+
 def test_ocr_cache(spark):
     pages = spark.createDataFrame([(1, 1, "poco", "embedded"), (1, 2, "x" * 100, "embedded"), (1, 3, "breve testo", "embedded")], "doc_id int, page_number int, text string, text_source string")
     cache = spark.createDataFrame([(1, 1, "testo letto"), (1, 2, "y" * 200), (1, 3, "b")], "doc_id int, page_number int, text string")

@@ -47,6 +47,20 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr) == expected
 
 
+def test_normalized_terms_equal_sql_where_capitals_change_letters(spark, tmp_path):
+    """SS, which is no repeat of ß, stands in the source too; so with other letters whose capitals lower-case to something else, and a Σ at a word's end."""
+    texts = ["Erß verß erss", "ß ssa", "Maße MASSE Maẞe", "\ufb01x fix FIX", "µm μm", "ſo so", "ıx ix", "ΟΔΟΣ\u2019Α", "ασ ας", "İx i̇x", "Plain plain", "", None]
+    rows = [(10 * i + k, v) for i, v in enumerate(texts) for k in (0, 1, 2, 3, 4)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(catalogue.ORACLES["normalize_responses"])
+    names = [c[0] for c in found.description]
+    expected = sorted((plain(r) for r in found.fetchall()), key=repr)
+    got = catalogue.QUERIES["normalize_responses"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted((tuple(plain(r[c]) for c in names) for r in got), key=repr) == expected and len(got) == 2 * len(texts)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
